@@ -1,0 +1 @@
+"""Queries registered in a later step."""
