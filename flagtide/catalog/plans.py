@@ -1 +1,503 @@
-"""Queries registered in a later step."""
+"""Plan reading, rules and validation joins (SURVEY 2.1 read_plans, 2.2 rules,
+2.3 joins, 2.5 resolve_attempts / first_violation, 2.7 set operations)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flagtide.catalog.extract import PLANTED_GUARDS_SQL, _candidates, _files
+from flagtide.functions import text as tx
+from flagtide.operators import guards as G
+from flagtide.plans import validate as V
+from flagtide.registry import query
+from flagtide.sources.tables import CORPUS_SQL, read_table
+
+# Proposed files per (repo, flag), planted from the corpus with faults chosen
+# by o_orderkey % 13: 1 path outside the allowlist, 2 file omitted, 3 unknown
+# flag, 4 path listed twice, 5 unsafe ``./`` path, 6 back-slashed path (valid
+# after normalisation), 7 an extra allowlisted file without the flag.
+PROPOSALS_BODY = """
+failed_repo AS (SELECT DISTINCT repo_id FROM corpus WHERE o_orderkey % 97 = 0),
+g AS (SELECT * FROM corpus WHERE o_orderkey % 97 <> 0 AND k IN (0, 1, 2, 5, 7)
+      AND repo_id NOT IN (SELECT repo_id FROM failed_repo)),
+proposal AS (
+  SELECT repo_id, CASE WHEN o_orderkey % 13 = 3 THEN concat('UNKNOWN_', flag) ELSE flag END AS flag_name,
+         CASE WHEN o_orderkey % 13 = 1 THEN concat('missing/', path)
+              WHEN o_orderkey % 13 = 5 THEN concat('./', path)
+              WHEN o_orderkey % 13 = 6 THEN replace(path, '/', chr(92))
+              ELSE path END AS raw_path, o_orderkey
+  FROM g WHERE o_orderkey % 13 <> 2
+  UNION ALL SELECT repo_id, flag, path, o_orderkey FROM g WHERE o_orderkey % 13 = 4
+  UNION ALL SELECT g.repo_id, g.flag, min(c.path), min(g.o_orderkey) + 1000000000
+  FROM g JOIN corpus c ON c.repo_id = g.repo_id AND c.k = 4 AND c.o_orderkey % 97 <> 0
+  WHERE g.o_orderkey % 13 = 7 GROUP BY g.repo_id, g.flag
+)
+"""
+
+CONTEXT_SQL = """
+SELECT CAST(c_custkey AS STRING) AS repo_id,
+       concat('  ', c_name, ' owns these switches; segment ', c_mktsegment, chr(10)) AS text
+FROM customer
+"""
+
+
+def _register(spark, sf_dir):
+    read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").createOrReplaceTempView("orders")
+    read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_mktsegment").createOrReplaceTempView("customer")
+
+
+def proposals(spark, sf_dir):
+    _register(spark, sf_dir)
+    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {PROPOSALS_BODY} "
+                     "SELECT repo_id, flag_name, raw_path, o_orderkey FROM proposal")
+
+
+def contexts(spark, sf_dir):
+    _register(spark, sf_dir)
+    return spark.sql(CONTEXT_SQL)
+
+
+def _target_seed(col_repo="repo_id", col_flag="flag_name"):
+    return F.col(col_repo).cast("bigint") + F.length(col_flag)
+
+
+def plan_attempts(spark, sf_dir):
+    """``plan_attempts(repo_id, attempt, status, error, payload)`` built by Spark
+    from the planted proposals: attempt 1 carries the planted faults plus
+    schema faults (string ``final_state`` for repo % 23 = 0, an extra field for
+    repo % 29 = 0); repos with repo % 3 = 0 get a clean attempt 2 built from the
+    candidates; attempt 1 of repo % 31 = 0 did not complete."""
+    p = proposals(spark, sf_dir)
+    ctx = contexts(spark, sf_dir)
+    cust = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("repo_id"), "c_name")
+    seed = _target_seed()
+    business_quote = F.when(seed % 5 != 0, F.col("c_name")).otherwise(F.lit("words nobody wrote"))
+    t = (p.groupBy("repo_id", "flag_name")
+         .agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "raw_path"))),
+                          lambda s: s["raw_path"]).alias("files_affected"))
+         .join(cust, "repo_id", "left"))
+    target = F.struct(
+        F.col("flag_name"), (seed % 2 == 0).alias("final_state"), F.col("files_affected"),
+        F.array(F.struct(F.lit("business_context").alias("source"), business_quote.alias("quote"),
+                         F.lit("stated by the owner").alias("explanation")),
+                F.struct(F.lit("repository").alias("source"), F.concat(F.lit("if "), F.col("flag_name")).alias("quote"),
+                         F.lit("guard in code").alias("explanation"))).alias("evidence"))
+    rid = F.col("repo_id").cast("bigint")
+    first = (t.groupBy("repo_id").agg(F.array_sort(F.collect_list(target)).alias("targets"))
+             .select("repo_id", F.to_json(F.struct("targets")).alias("payload")))
+    payload = F.col("payload")
+    payload = F.when(rid % 23 == 0, F.regexp_replace(payload, '"final_state":(true|false)', '"final_state":"$1"')) \
+        .otherwise(payload)
+    payload = F.when(rid % 29 == 0, F.regexp_replace(payload, '"flag_name":', '"note":"x","flag_name":')) \
+        .otherwise(payload)
+    a1 = first.select("repo_id", F.lit(1).alias("attempt"),
+                      F.when(rid % 31 == 0, F.lit("incomplete")).otherwise(F.lit("completed")).alias("status"),
+                      F.lit(None).cast("string").alias("error"), payload.alias("payload"))
+    cands = _candidates(spark, sf_dir)
+    clean_t = cands.join(cust, "repo_id", "left").select(
+        "repo_id", F.struct(
+            F.col("flag_name"), (seed % 2 == 0).alias("final_state"), F.col("files").alias("files_affected"),
+            F.array(F.struct(F.lit("business_context").alias("source"), F.col("c_name").alias("quote"),
+                             F.lit("stated by the owner").alias("explanation"))).alias("evidence")).alias("t"))
+    a2 = (clean_t.where(F.col("repo_id").cast("bigint") % 3 == 0).groupBy("repo_id")
+          .agg(F.array_sort(F.collect_list("t")).alias("targets"))
+          .select("repo_id", F.lit(2).alias("attempt"), F.lit("completed").alias("status"),
+                  F.lit(None).cast("string").alias("error"), F.to_json(F.struct("targets")).alias("payload")))
+    _ = ctx
+    return a1.unionByName(a2)
+
+
+def _parsed(spark, sf_dir):
+    return V.parse_plans(plan_attempts(spark, sf_dir))
+
+
+def _allowlist(spark, sf_dir):
+    return G.path_allowlist(_files(spark, sf_dir)).where(F.col("error_code").isNull())
+
+
+# --- oracle building blocks (DuckDB) -----------------------------------------
+
+_ORACLE_TARGETS = f"""
+WITH {PLANTED_GUARDS_SQL},
+{PROPOSALS_BODY},
+cand AS (SELECT repo_id, flag_name, file_path FROM occ WHERE repo_id NOT IN (SELECT repo_id FROM failed)),
+cand_flags AS (SELECT DISTINCT repo_id, flag_name FROM cand),
+cand_files AS (SELECT DISTINCT repo_id, flag_name, file_path AS path FROM cand),
+allow AS (SELECT DISTINCT repo_id, path FROM corpus),
+tgt AS (
+  SELECT repo_id, flag_name, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY flag_name) AS INTEGER) AS ordinal
+  FROM (SELECT DISTINCT repo_id, flag_name FROM proposal) x
+),
+pf AS (
+  SELECT p.repo_id, p.flag_name, t.ordinal, p.raw_path,
+         replace(p.raw_path, chr(92), '/') AS npath
+  FROM proposal p JOIN tgt t ON t.repo_id = p.repo_id AND t.flag_name = p.flag_name
+),
+pfn AS (
+  SELECT *, CASE WHEN npath = '' THEN 'empty'
+                 WHEN starts_with(npath, '/') OR regexp_matches(npath, '^[A-Za-z]:') THEN 'not_relative'
+                 WHEN list_has_any(string_split(npath, '/'), ['', '.', '..']) THEN 'unsafe_part'
+                 WHEN NOT ends_with(lower(npath), '.py') THEN 'not_python' END AS error_code
+  FROM pf
+),
+good_pf AS (SELECT * FROM pfn WHERE error_code IS NULL)
+"""
+
+
+@query("join_unknown_flags", oracle=_ORACLE_TARGETS + """
+SELECT DISTINCT t.repo_id, t.flag_name FROM tgt t
+WHERE NOT EXISTS (SELECT 1 FROM cand_flags c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name)
+""")
+def join_unknown_flags(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    t1 = targets.where(F.col("attempt") == 1)
+    return V.join_unknown_flags(t1, _candidates(spark, sf_dir)).select("repo_id", "flag_name").distinct()
+
+
+@query("normalize_model_paths", oracle=_ORACLE_TARGETS + """
+SELECT repo_id, flag_name, raw_path, CASE WHEN error_code IS NULL THEN npath END AS path, error_code FROM pfn
+""")
+def normalize_model_paths(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    f = V.target_files(targets.where(F.col("attempt") == 1))
+    return f.select("repo_id", "flag_name", "raw_path", "path", "error_code")
+
+
+@query("join_hallucinated_paths", oracle=_ORACLE_TARGETS + """
+SELECT repo_id, flag_name, npath AS path FROM good_pf p
+WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path = p.npath)
+""")
+def join_hallucinated_paths(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    f = V.target_files(targets.where(F.col("attempt") == 1))
+    return V.join_hallucinated_paths(f, _allowlist(spark, sf_dir)).select("repo_id", "flag_name", "path")
+
+
+@query("join_unrelated_paths", oracle=_ORACLE_TARGETS + """
+SELECT repo_id, flag_name, npath AS path FROM good_pf p
+WHERE EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path = p.npath)
+  AND NOT EXISTS (SELECT 1 FROM cand_files c WHERE c.repo_id = p.repo_id AND c.flag_name = p.flag_name
+                  AND c.path = p.npath)
+""")
+def join_unrelated_paths(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    f = V.target_files(targets.where(F.col("attempt") == 1))
+    return V.join_unrelated_paths(f, _allowlist(spark, sf_dir), _candidates(spark, sf_dir)).select(
+        "repo_id", "flag_name", "path")
+
+
+@query("join_omitted_paths", oracle=_ORACLE_TARGETS + """
+SELECT t.repo_id, t.flag_name, c.path FROM tgt t JOIN cand_files c ON c.repo_id = t.repo_id AND c.flag_name = t.flag_name
+WHERE NOT EXISTS (SELECT 1 FROM good_pf p WHERE p.repo_id = t.repo_id AND p.flag_name = t.flag_name AND p.npath = c.path)
+""")
+def join_omitted_paths(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    t1 = targets.where(F.col("attempt") == 1)
+    return V.join_omitted_paths(t1, V.target_files(t1), _candidates(spark, sf_dir)).select(
+        "repo_id", "flag_name", "path")
+
+
+@query("set_difference", oracle=_ORACLE_TARGETS + """
+SELECT t.repo_id, t.flag_name,
+       (SELECT CAST(count(DISTINCT p.npath) AS BIGINT) FROM good_pf p WHERE p.repo_id = t.repo_id AND p.flag_name = t.flag_name
+          AND NOT EXISTS (SELECT 1 FROM cand_files c WHERE c.repo_id = p.repo_id AND c.flag_name = p.flag_name AND c.path = p.npath)) AS n_extra,
+       (SELECT CAST(count(*) AS BIGINT) FROM cand_files c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name
+          AND NOT EXISTS (SELECT 1 FROM good_pf p WHERE p.repo_id = c.repo_id AND p.flag_name = c.flag_name AND p.npath = c.path)) AS n_missing
+FROM tgt t
+""")
+def set_difference(spark, sf_dir):
+    """Per target: proposed minus candidate files and candidate minus proposed, as array ops."""
+    _, targets = _parsed(spark, sf_dir)
+    t1 = targets.where(F.col("attempt") == 1)
+    prop = V.target_files(t1).groupBy("repo_id", "flag_name").agg(
+        F.collect_set(F.when(F.col("error_code").isNull(), F.col("path"))).alias("proposed"))
+    c = _candidates(spark, sf_dir).select("repo_id", "flag_name", "files")
+    j = t1.select("repo_id", "flag_name").join(prop, ["repo_id", "flag_name"], "left").join(
+        c, ["repo_id", "flag_name"], "left")
+    prop_c = F.coalesce("proposed", F.array().cast("array<string>"))
+    files_c = F.coalesce("files", F.array().cast("array<string>"))
+    return j.select("repo_id", "flag_name",
+                    F.size(F.array_except(prop_c, files_c)).cast("bigint").alias("n_extra"),
+                    F.size(F.array_except(files_c, prop_c)).cast("bigint").alias("n_missing"))
+
+
+@query("set_equality", oracle=_ORACLE_TARGETS + """
+, pset AS (SELECT repo_id, flag_name, string_agg(DISTINCT npath, ',' ORDER BY npath) AS s FROM good_pf GROUP BY ALL),
+cset AS (SELECT repo_id, flag_name, string_agg(path, ',' ORDER BY path) AS s FROM cand_files GROUP BY ALL)
+SELECT t.repo_id, t.flag_name, coalesce(p.s = c.s, false) AS same_files
+FROM tgt t LEFT JOIN pset p ON p.repo_id = t.repo_id AND p.flag_name = t.flag_name
+           LEFT JOIN cset c ON c.repo_id = t.repo_id AND c.flag_name = t.flag_name
+""")
+def set_equality(spark, sf_dir):
+    """Proposed file set == candidate file set (sorted, de-duplicated arrays)."""
+    _, targets = _parsed(spark, sf_dir)
+    t1 = targets.where(F.col("attempt") == 1)
+    prop = V.target_files(t1).where(F.col("error_code").isNull()).groupBy("repo_id", "flag_name").agg(
+        F.array_sort(F.collect_set("path")).alias("proposed"))
+    c = _candidates(spark, sf_dir).select("repo_id", "flag_name", "files")
+    j = t1.select("repo_id", "flag_name").join(prop, ["repo_id", "flag_name"], "left").join(
+        c, ["repo_id", "flag_name"], "left")
+    return j.select("repo_id", "flag_name", F.coalesce(F.col("proposed") == F.col("files"), F.lit(False))
+                    .alias("same_files"))
+
+
+@query("dup_paths", oracle=_ORACLE_TARGETS + """
+SELECT repo_id, flag_name, npath AS path, CAST(count(*) AS BIGINT) AS n FROM good_pf GROUP BY ALL HAVING count(*) > 1
+""")
+def dup_paths(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    f = V.target_files(targets.where(F.col("attempt") == 1))
+    d = V.dup_paths(f)
+    return d.join(f.select(*V.TARGET_KEY, "flag_name").distinct(), V.TARGET_KEY).select(
+        "repo_id", "flag_name", "path", F.col("n").cast("bigint").alias("n"))
+
+
+_ORACLE_EVIDENCE = _ORACLE_TARGETS + f"""
+, ctx AS ({CONTEXT_SQL.replace('customer', 'customer')}),
+cust AS (SELECT CAST(c_custkey AS STRING) AS repo_id, c_name FROM customer),
+ev AS (
+  SELECT t.repo_id, t.flag_name, t.ordinal, 1 AS ev_ordinal, 'business_context' AS source,
+         CASE WHEN (CAST(t.repo_id AS BIGINT) + length(t.flag_name)) % 5 <> 0 THEN c.c_name ELSE 'words nobody wrote' END AS quote
+  FROM tgt t LEFT JOIN cust c ON c.repo_id = t.repo_id
+  UNION ALL
+  SELECT repo_id, flag_name, ordinal, 2, 'repository', concat('if ', flag_name) FROM tgt
+),
+repo_text AS (
+  SELECT repo_id, flag_name, string_agg(snippet, chr(10) ORDER BY file_path, line, kind, snippet) AS txt
+  FROM occ WHERE repo_id NOT IN (SELECT repo_id FROM failed) GROUP BY ALL
+),
+ungrounded AS (
+  SELECT e.* FROM ev e
+  LEFT JOIN ctx x ON x.repo_id = e.repo_id
+  LEFT JOIN repo_text r ON r.repo_id = e.repo_id AND r.flag_name = e.flag_name
+  WHERE NOT coalesce(contains(CASE WHEN e.source = 'business_context' THEN trim(x.text, ' ' || chr(10)) ELSE r.txt END, e.quote), false)
+)
+"""
+
+
+@query("join_evidence_grounding", oracle=_ORACLE_EVIDENCE + """
+SELECT repo_id, flag_name, CAST(ev_ordinal AS INTEGER) AS ev_ordinal, source, quote FROM ungrounded
+""")
+def join_evidence_grounding(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    t1 = targets.where(F.col("attempt") == 1)
+    return V.join_evidence_grounding(t1, contexts(spark, sf_dir), _candidates(spark, sf_dir)).select(
+        "repo_id", "flag_name", "ev_ordinal", "source", "quote")
+
+
+@query("benchmark_grounding", oracle="""
+SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)
+""")
+def benchmark_grounding(spark, sf_dir):
+    """Keyless grounding: which benchmark passages occur verbatim in which documents."""
+    from flagtide.plans.grounding import quotes_in_texts
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return quotes_in_texts(bench, docs, "item_id", "quote", "doc_id", "text")
+
+
+_ORACLE_SCHEMA = _ORACLE_TARGETS + """
+, schema_bad AS (
+  SELECT DISTINCT repo_id FROM pfn GROUP BY repo_id, flag_name, raw_path HAVING count(*) > 1
+  UNION SELECT CAST(c_custkey AS STRING) FROM customer WHERE c_custkey % 23 = 0 OR c_custkey % 29 = 0
+)
+"""
+
+
+@query("read_plans", oracle=_ORACLE_TARGETS + """
+SELECT t.repo_id, 1 AS attempt, t.ordinal, t.flag_name,
+       CASE WHEN CAST(t.repo_id AS BIGINT) % 23 = 0 THEN 'STRING' ELSE 'BOOLEAN' END AS final_state_type,
+       CAST((SELECT count(*) FROM pf WHERE pf.repo_id = t.repo_id AND pf.flag_name = t.flag_name) AS INTEGER) AS n_files,
+       CAST(CASE WHEN CAST(t.repo_id AS BIGINT) % 29 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_extra_keys
+FROM tgt t
+""")
+def read_plans(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    return targets.where(F.col("attempt") == 1).select(
+        "repo_id", "attempt", "ordinal", "flag_name", "final_state_type",
+        F.size("files_affected").alias("n_files"), F.size("extra_keys").alias("n_extra_keys"))
+
+
+@query("target_rules", oracle=_ORACLE_SCHEMA + """
+SELECT repo_id, CAST(count(*) AS BIGINT) AS n_target_violations FROM (
+  SELECT repo_id FROM (SELECT DISTINCT repo_id, flag_name FROM pfn GROUP BY repo_id, flag_name, raw_path HAVING count(*) > 1) d
+  UNION ALL SELECT repo_id FROM tgt WHERE CAST(repo_id AS BIGINT) % 23 = 0
+  UNION ALL SELECT repo_id FROM tgt WHERE CAST(repo_id AS BIGINT) % 29 = 0
+) v GROUP BY repo_id
+""")
+def target_rules(spark, sf_dir):
+    _, targets = _parsed(spark, sf_dir)
+    v = V.target_rules(targets.where(F.col("attempt") == 1))
+    return v.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_target_violations"))
+
+
+@query("evidence_rules", oracle="""
+SELECT doc_id,
+       length(text) < 1 OR length(text) > 500 AS bad_quote,
+       trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank_quote
+FROM documents
+""")
+def evidence_rules(spark, sf_dir):
+    """Evidence rules on documents used as quotes (length before strip, blank after)."""
+    docs = read_table(spark, sf_dir, "documents")
+    ev = docs.select(F.lit("r").alias("repo_id"), F.lit(1).alias("attempt"), F.col("doc_id").alias("ordinal"),
+                     F.array(F.struct(F.lit("repository").alias("source"), F.col("text").alias("quote"),
+                                      F.lit("why").alias("explanation"),
+                                      F.array().cast("array<string>").alias("extra_keys"))).alias("evidence"))
+    v = V.evidence_rules(ev)
+    flags = v.groupBy("ordinal").agg(
+        F.bool_or(F.col("message").startswith("quote must")).alias("bad_quote"),
+        F.bool_or(F.col("message") == "quote cannot be blank").alias("blank_quote"))
+    return docs.select(F.col("doc_id")).join(flags, F.col("doc_id") == F.col("ordinal"), "left").select(
+        "doc_id", F.coalesce("bad_quote", F.lit(False)).alias("bad_quote"),
+        F.coalesce("blank_quote", F.lit(False)).alias("blank_quote"))
+
+
+@query("plan_rules", oracle="""
+SELECT CAST(o_custkey AS STRING) AS repo_id, CAST(count(*) > 100 AS BOOLEAN) AS too_many_targets,
+       count(*) <> count(DISTINCT o_orderpriority) AS duplicate_flags
+FROM orders GROUP BY o_custkey
+""")
+def plan_rules(spark, sf_dir):
+    """Plan rules on plans with one target per order (flag = order priority):
+    more than 100 targets, or a repeated flag."""
+    orders = read_table(spark, sf_dir, "orders")
+    t = orders.select(F.col("o_custkey").cast("string").alias("repo_id"), F.lit(1).alias("attempt"),
+                      F.col("o_orderkey").alias("ordinal"), F.col("o_orderpriority").alias("flag_name"))
+    plans = t.groupBy("repo_id", "attempt").agg(F.count(F.lit(1)).alias("n_targets")).select(
+        "*", F.lit(True).alias("parsed"), F.array().cast("array<string>").alias("extra_keys"))
+    v = V.plan_rules(plans, t)
+    agg = v.groupBy("repo_id").agg(
+        F.bool_or(F.col("message") == "at most 100 targets").alias("too_many_targets"),
+        F.bool_or(F.col("message") == "duplicate target flag").alias("duplicate_flags"))
+    return plans.select("repo_id").join(agg, "repo_id", "left").select(
+        "repo_id", F.coalesce("too_many_targets", F.lit(False)).alias("too_many_targets"),
+        F.coalesce("duplicate_flags", F.lit(False)).alias("duplicate_flags"))
+
+
+@query("dup_flags", oracle="""
+SELECT p_type, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_type HAVING count(*) > 1
+""")
+def dup_flags(spark, sf_dir):
+    part = read_table(spark, sf_dir, "part")
+    return part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+@query("first_violation", oracle=_ORACLE_EVIDENCE + """
+, sem AS (
+  SELECT repo_id, ordinal, 1 AS rnk, 0 AS evo FROM tgt t
+    WHERE NOT EXISTS (SELECT 1 FROM cand_flags c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name)
+  UNION ALL SELECT repo_id, ordinal, 2, 0 FROM pfn WHERE error_code IS NOT NULL
+  UNION ALL SELECT repo_id, ordinal, 3, 0 FROM good_pf GROUP BY repo_id, ordinal, npath HAVING count(*) > 1
+  UNION ALL SELECT repo_id, ordinal, 4, 0 FROM good_pf p
+    WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path = p.npath)
+  UNION ALL SELECT repo_id, ordinal, 5, 0 FROM good_pf p
+    WHERE EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path = p.npath)
+      AND NOT EXISTS (SELECT 1 FROM cand_files c WHERE c.repo_id = p.repo_id AND c.flag_name = p.flag_name AND c.path = p.npath)
+  UNION ALL SELECT t.repo_id, t.ordinal, 6, 0 FROM tgt t JOIN cand_files c ON c.repo_id = t.repo_id AND c.flag_name = t.flag_name
+    WHERE NOT EXISTS (SELECT 1 FROM good_pf p WHERE p.repo_id = t.repo_id AND p.flag_name = t.flag_name AND p.npath = c.path)
+  UNION ALL SELECT repo_id, ordinal, 7, ev_ordinal FROM ungrounded
+),
+schema_v AS (
+  SELECT repo_id, min(ordinal) AS ordinal FROM (
+    SELECT repo_id, ordinal FROM pfn GROUP BY repo_id, ordinal, raw_path HAVING count(*) > 1
+    UNION ALL SELECT repo_id, ordinal FROM tgt WHERE CAST(repo_id AS BIGINT) % 23 = 0 OR CAST(repo_id AS BIGINT) % 29 = 0
+  ) s GROUP BY repo_id
+),
+firsts AS (
+  SELECT repo_id, CAST(ordinal AS INTEGER) AS ordinal, 'schema' AS rule FROM schema_v
+  UNION ALL
+  SELECT repo_id, CAST(arg_min(ordinal, ordinal * 100 + rnk * 10 + evo) AS INTEGER),
+         CASE arg_min(rnk, ordinal * 100 + rnk * 10 + evo) WHEN 1 THEN 'unknown_flag' WHEN 2 THEN 'bad_path'
+              WHEN 3 THEN 'duplicate_path' WHEN 4 THEN 'hallucinated_path' WHEN 5 THEN 'unrelated_path'
+              WHEN 6 THEN 'omitted_path' ELSE 'ungrounded_evidence' END
+  FROM sem WHERE repo_id NOT IN (SELECT repo_id FROM schema_v) GROUP BY repo_id
+)
+SELECT repo_id, 1 AS attempt, ordinal, rule FROM firsts
+""")
+def first_violation(spark, sf_dir):
+    plans, targets = _parsed(spark, sf_dir)
+    p1, t1 = plans.where(F.col("attempt") == 1), targets.where(F.col("attempt") == 1)
+    v = V.all_violations(p1, t1, _candidates(spark, sf_dir), _allowlist(spark, sf_dir), contexts(spark, sf_dir))
+    return V.first_violation(v).select("repo_id", "attempt", "ordinal", "rule")
+
+
+_EVENTS_ATTEMPTS = """
+ev AS (
+  SELECT user_id, ts, event_id, event_type, CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'invalid'
+         ELSE 'fatal' END AS outcome, concat('event ', CAST(event_id AS VARCHAR)) AS err
+  FROM events WHERE event_type IN ('purchase', 'error', 'signup')
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev),
+top2 AS (SELECT * FROM ranked WHERE n <= 2),
+stop AS (SELECT user_id, min(n) AS stop_at FROM top2 WHERE outcome IN ('valid', 'fatal') GROUP BY user_id),
+seen AS (SELECT user_id, max(n) AS seen FROM top2 GROUP BY user_id)
+"""
+
+
+@query("resolve_attempts", oracle=f"""
+WITH {_EVENTS_ATTEMPTS}
+SELECT s.user_id,
+       CASE WHEN st.stop_at IS NULL THEN 'exhausted' WHEN t.outcome = 'valid' THEN 'accepted' ELSE 'fatal' END AS resolution,
+       CAST(coalesce(st.stop_at, s.seen) AS INTEGER) AS used_attempt,
+       CASE WHEN st.stop_at IS NULL THEN l.err WHEN t.outcome = 'fatal' THEN t.err END AS error
+FROM seen s LEFT JOIN stop st ON st.user_id = s.user_id
+LEFT JOIN top2 t ON t.user_id = s.user_id AND t.n = st.stop_at
+LEFT JOIN top2 l ON l.user_id = s.user_id AND l.n = s.seen
+""")
+def resolve_attempts(spark, sf_dir):
+    """Events per user as model attempts: purchase = valid plan, error = rule
+    violation (retry), signup = fatal; at most 2 attempts."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error", "signup"))
+    ev = ev.select("user_id", "ts", "event_id",
+                   F.when(F.col("event_type") == "purchase", "valid").when(F.col("event_type") == "error", "invalid")
+                   .otherwise("fatal").alias("outcome"),
+                   F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("err"))
+    return V.resolve_attempts(ev, "user_id", ["ts", "event_id"], "outcome", "err", max_attempts=2)
+
+
+@query("plan_resolution", oracle=None)
+def plan_resolution(spark, sf_dir):
+    """Full plan check per attempt, then first-success-per-repo over attempts."""
+    from flagtide.plans.discovery import discover_plans
+    return discover_plans(plan_attempts(spark, sf_dir), _candidates(spark, sf_dir),
+                          _allowlist(spark, sf_dir), contexts(spark, sf_dir))
+
+
+@query("early_exit_rules", oracle=f"""
+WITH corpus AS ({CORPUS_SQL}),
+failed AS (SELECT DISTINCT repo_id FROM corpus WHERE o_orderkey % 97 = 0),
+ncand AS (SELECT repo_id, count(*) AS n FROM corpus WHERE k IN (0, 1, 2, 5, 7) AND o_orderkey % 97 <> 0
+          AND repo_id NOT IN (SELECT repo_id FROM failed) GROUP BY repo_id),
+ctx AS (SELECT CAST(c_custkey AS STRING) AS repo_id,
+               CASE WHEN c_custkey % 11 = 0 THEN '   ' ELSE concat(c_name, ' ', c_mktsegment) END AS text FROM customer)
+SELECT c.repo_id,
+       CASE WHEN length(trim(c.text)) > 20000 THEN 'error_context_too_long'
+            WHEN trim(c.text) = '' THEN 'empty_plan_no_context'
+            WHEN n.n IS NULL THEN 'empty_plan_no_candidates'
+            ELSE 'call_model' END AS decision
+FROM ctx c LEFT JOIN ncand n ON n.repo_id = c.repo_id
+""")
+def early_exit_rules(spark, sf_dir):
+    """Decision per repo before any model call (context blank for customers % 11)."""
+    from flagtide.plans.discovery import early_exit
+    cust = read_table(spark, sf_dir, "customer")
+    ctx = cust.select(F.col("c_custkey").cast("string").alias("repo_id"),
+                      F.when(F.col("c_custkey") % 11 == 0, F.lit("   "))
+                      .otherwise(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("text"))
+    allow = _allowlist(spark, sf_dir)
+    return early_exit(ctx, _candidates(spark, sf_dir), allow).select("repo_id", "decision")
+
+
+@query("prompt_table", oracle=None)
+def prompt_table(spark, sf_dir):
+    """Batch-inference inputs: one prompt per repo with candidates and context."""
+    from flagtide.plans.discovery import prompt_table as build
+    return build(_candidates(spark, sf_dir), contexts(spark, sf_dir)).select(
+        "repo_id", "prompt_chars", "too_long")
+
+
+_ = (tx,)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,10 @@ def _parse_guards(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"guards": guards, "error": errors})
 
 
+# Parsing is expensive: never let the optimizer copy it into a pushed filter.
+_parse_guards = _parse_guards.asNondeterministic()
+
+
 def prune_ignored(files: DataFrame, ignore=IGNORED_DIRS, path_col: str = "path") -> DataFrame:
     """Scanner rules on a file table: drop files under a directory whose exact
     name is ignored or starts with ``.`` (the root itself is never tested) and
@@ -108,33 +112,47 @@ def parse_files(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataF
     return parsed
 
 
-def extract(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
-            max_snippet_chars: int = tx.MAX_SNIPPET_CHARS,
-            max_file_bytes: int = MAX_FILE_BYTES) -> Extraction:
-    """``extract_guards`` + ``guard_snippet`` + ``size_guard`` as one job."""
+def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
+                  max_snippet_chars: int = tx.MAX_SNIPPET_CHARS,
+                  max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """One row per file: its guards (with snippets cut natively from the text)
+    or the stage and message of the problem (oversize, decode, parse)."""
     size = F.coalesce(F.col("size"), F.length("content").cast("bigint"))
+    empty = F.array().cast("array<struct<flag_name:string,kind:string,line:int,snippet:string>>")
     oversize = files.where(size > max_file_bytes).select(
-        "repo_id", "path", F.lit("oversize").alias("stage"),
+        "repo_id", "path", empty.alias("guards"), F.lit("oversize").alias("stage"),
         F.format_string("file is %d bytes; limit is %d", size, F.lit(max_file_bytes)).alias("error"))
     parsed = parse_files(files, max_file_bytes)
-    lines = tx.split_lines(F.col("text"))
-    with_snippets = parsed.where(F.col("parsed.error").isNull() & F.col("text").isNotNull()).select(
-        "repo_id", "path",
-        F.transform("parsed.guards", lambda g: F.struct(
-            g["flag_name"].alias("flag_name"), g["kind"].alias("kind"), g["line"].alias("line"),
-            tx.guard_snippet(lines, g["line"], g["end_line"], context_lines,
-                             max_snippet_chars).alias("snippet"))).alias("guards"))
-    occurrences = with_snippets.select(
+    # split once per file; the lambda below reads the column
+    parsed = parsed.withColumn("lines", F.when(F.size("parsed.guards") > 0, tx.split_lines(F.col("text"))))
+    lines = F.col("lines")
+    guards = F.transform("parsed.guards", lambda g: F.struct(
+        g["flag_name"].alias("flag_name"), g["kind"].alias("kind"), g["line"].alias("line"),
+        tx.guard_snippet(lines, g["line"], g["end_line"], context_lines,
+                         max_snippet_chars).alias("snippet")))
+    stage = (F.when(F.col("decode_error").isNotNull(), F.lit("decode"))
+             .when(F.col("parsed.error").isNotNull(), F.lit("parse")))
+    per_file = parsed.select(
+        "repo_id", "path", F.when(stage.isNull(), guards).otherwise(empty).alias("guards"),
+        stage.alias("stage"), F.coalesce("decode_error", "parsed.error").alias("error"))
+    return oversize.unionByName(per_file)
+
+
+def extraction_of(per_file: DataFrame) -> Extraction:
+    occurrences = per_file.where(F.col("stage").isNull()).select(
         "repo_id", F.col("path").alias("file_path"), F.explode("guards").alias("g")).select(
         "repo_id", "g.flag_name", "file_path", "g.line", "g.kind", "g.snippet")
-    bad = parsed.where(F.col("decode_error").isNotNull() | F.col("parsed.error").isNotNull())
-    errors = oversize.unionByName(bad.select(
-        "repo_id", "path",
-        F.when(F.col("decode_error").isNotNull(), F.lit("decode")).otherwise(F.lit("parse")).alias("stage"),
-        F.coalesce("decode_error", "parsed.error").alias("error")))
+    errors = per_file.where(F.col("stage").isNotNull()).select("repo_id", "path", "stage", "error")
     return Extraction(occurrences, errors)
 
 
+def extract(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
+            max_snippet_chars: int = tx.MAX_SNIPPET_CHARS,
+            max_file_bytes: int = MAX_FILE_BYTES) -> Extraction:
+    """``extract_guards`` + ``guard_snippet`` + ``size_guard`` as one job."""
+    return extraction_of(extract_files(files, context_lines, max_snippet_chars, max_file_bytes))
+
+
 def occurrence_counts(occurrences: DataFrame) -> DataFrame:
     """Occurrences per (repo, flag); partial aggregation before the shuffle."""
     return occurrences.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_occurrences"))
@@ -193,9 +211,8 @@ def discover_candidates(files: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
     candidates for that repo (it appears in the errors instead)."""
     from flagtide.session import materialize
 
-    ex = extract(files)
-    occ = materialize(ex.occurrences)
-    errors = materialize(ex.errors)
+    ex = extraction_of(materialize(extract_files(files)))
+    occ, errors = ex.occurrences, ex.errors
     cands = group_candidates(occ, limit)
     if strict:
         cands = cands.join(failed_repos(errors, occ, limit), "repo_id", "left_anti")

@@ -50,6 +50,12 @@ def _diff(originals: pd.Series, updated: pd.Series, paths: pd.Series) -> pd.Seri
                       for o, u, p in zip(originals, updated, paths)])
 
 
+# Python steps are expensive: never let the optimizer copy them into pushed filters.
+_rewrite = _rewrite.asNondeterministic()
+_used_names = _used_names.asNondeterministic()
+_diff = _diff.asNondeterministic()
+
+
 def used_names_table(files: DataFrame) -> DataFrame:
     """``(repo_id, path, name)``: names used outside import statements."""
     d = decode_source(files).where(F.col("text").isNotNull())

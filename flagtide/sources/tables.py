@@ -55,6 +55,8 @@ def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus as a ``source_files`` table: ``(repo_id, path, size, content)``."""
     corpus = generated_corpus(spark, sf_dir)
+    # spread files over the cluster like a table written in many files
+    corpus = corpus.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     content = F.encode(F.col("source"), "UTF-8")
     return corpus.select("repo_id", "path", F.length(content).cast("bigint").alias("size"),
                          content.alias("content"))
