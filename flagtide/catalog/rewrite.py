@@ -1 +1,398 @@
-"""Queries registered in a later step."""
+"""Rewrite job, outcomes, gates, delivery and reports (SURVEY 2.3, 2.4, 2.5,
+2.6, 2.8, 2.9) on the generated corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flagtide.catalog.extract import _files
+from flagtide.functions import text as tx
+from flagtide.operators import delivery as D
+from flagtide.operators import outcomes as O
+from flagtide.operators import report as R
+from flagtide.operators import rewrite as RW
+from flagtide.registry import query
+from flagtide.sources.tables import CORPUS_SQL, read_table
+
+# One target row per corpus file: its flag, state true for o_orderkey % 3 = 0.
+TARGETS_BODY = """
+t AS (SELECT repo_id, flag AS flag_name, o_orderkey % 3 = 0 AS final_state, path, k, o_orderkey, source FROM corpus),
+runs AS (SELECT DISTINCT repo_id, flag AS flag_name,
+                (CAST(repo_id AS BIGINT) + length(flag)) % 4 <> 0 AS passed FROM corpus)
+"""
+
+# Expected text after the rewrite, per template and state (FIXTURES.md 3).
+EXPECTED_BODY = """
+expected AS (
+  SELECT *,
+    CASE WHEN o_orderkey % 97 = 0 THEN 'failed' WHEN k IN (3, 4, 6) THEN 'unchanged' ELSE 'mutated' END AS status,
+    CASE WHEN o_orderkey % 97 = 0 THEN NULL
+         WHEN k = 0 AND final_state THEN concat('from svc import new_f', chr(10), 'new_f()', chr(10))
+         WHEN k = 0 THEN concat('from svc import old_f', chr(10), 'old_f()', chr(10))
+         WHEN k = 1 AND final_state THEN concat('h = new_h', chr(10))
+         WHEN k = 1 THEN concat('h = old_h', chr(10))
+         WHEN k = 2 AND final_state THEN concat('if OTHER:', chr(10), '    a()', chr(10), 'else:', chr(10), '    b()', chr(10))
+         WHEN k = 2 THEN concat('if OTHER:', chr(10), '    a()', chr(10), 'else:', chr(10), '    c()', chr(10))
+         WHEN k = 5 AND final_state THEN concat('a()', chr(10))
+         WHEN k = 5 THEN ''
+         WHEN k = 7 AND final_state THEN concat('def f():', chr(13), chr(10), '    a()', chr(13), chr(10))
+         WHEN k = 7 THEN concat('def f():', chr(13), chr(10), '    pass', chr(13), chr(10))
+         ELSE source END AS updated
+  FROM t
+),
+per_target AS (
+  SELECT e.repo_id, e.flag_name, bool_or(e.status = 'failed') AS any_failed, bool_or(e.status = 'unchanged') AS any_unchanged,
+         min(r.passed) AS passed, count(*) AS n_files
+  FROM expected e JOIN runs r ON r.repo_id = e.repo_id AND r.flag_name = e.flag_name GROUP BY e.repo_id, e.flag_name
+),
+outcome AS (
+  SELECT repo_id, flag_name, n_files,
+         CASE WHEN any_failed THEN 'preparation_failed' WHEN any_unchanged THEN 'no_changes'
+              WHEN NOT passed THEN 'validation_failed' ELSE 'prepared' END AS status
+  FROM per_target
+)
+"""
+
+ORACLE_PREFIX = f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY}, {EXPECTED_BODY}"
+
+
+def _register(spark, sf_dir):
+    read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").createOrReplaceTempView("orders")
+
+
+def targets(spark, sf_dir):
+    _register(spark, sf_dir)
+    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
+                     "SELECT repo_id, flag_name, final_state, path FROM t")
+
+
+def validation_runs(spark, sf_dir):
+    _register(spark, sf_dir)
+    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
+                     "SELECT repo_id, flag_name, passed, CAST(NULL AS STRING) AS output FROM runs")
+
+
+def rewritten(spark, sf_dir):
+    return RW.rewrite_files(targets(spark, sf_dir), _files(spark, sf_dir))
+
+
+def outcomes(spark, sf_dir):
+    return O.target_outcomes(rewritten(spark, sf_dir), validation_runs(spark, sf_dir))
+
+
+@query("rewrite_guards", oracle=ORACLE_PREFIX + """
+SELECT repo_id, path, flag_name, final_state, status, sha256(updated) AS updated_sha256 FROM expected
+""")
+def rewrite_guards(spark, sf_dir):
+    r = rewritten(spark, sf_dir)
+    return r.select("repo_id", "path", "flag_name", "final_state", "status", "updated_sha256")
+
+
+@query("clean_imports", oracle=ORACLE_PREFIX + """
+SELECT repo_id, path, string_split(updated, chr(10))[1] AS import_line FROM expected WHERE k = 0 AND status = 'mutated'
+""")
+def clean_imports(spark, sf_dir):
+    """First line of each rewritten file that imported both arms' functions."""
+    r = rewritten(spark, sf_dir).where(F.col("updated_source").startswith("from svc import"))
+    return r.select("repo_id", "path", F.split("updated_source", "\n")[0].alias("import_line"))
+
+
+@query("file_status", oracle=ORACLE_PREFIX + """
+SELECT repo_id, path, status, status = 'failed' AS has_error FROM expected
+""")
+def file_status(spark, sf_dir):
+    r = rewritten(spark, sf_dir)
+    return r.select("repo_id", "path", "status", F.col("error").isNotNull().alias("has_error"))
+
+
+@query("mutation_summary", oracle=ORACLE_PREFIX + """
+SELECT repo_id, CAST(count_if(status = 'mutated') AS BIGINT) AS mutated,
+       CAST(count_if(status = 'unchanged') AS BIGINT) AS unchanged, CAST(count_if(status = 'failed') AS BIGINT) AS failed
+FROM expected GROUP BY repo_id
+""")
+def mutation_summary(spark, sf_dir):
+    return RW.mutation_summary(rewritten(spark, sf_dir))
+
+
+@query("target_independence", oracle=f"""
+WITH corpus AS ({CORPUS_SQL}),
+t AS (SELECT repo_id, flag AS flag_name, true AS final_state, path, k, o_orderkey, source FROM corpus WHERE k IN (0, 1, 2, 5, 7)
+      UNION ALL
+      SELECT repo_id, flag, false, path, k, o_orderkey, source FROM corpus WHERE k IN (0, 1, 2, 5, 7)),
+runs AS (SELECT 1 AS x), {EXPECTED_BODY.split('per_target AS')[0].rstrip().rstrip(',')}
+SELECT repo_id, path, final_state, status, sha256(updated) AS updated_sha256 FROM expected
+""")
+def target_independence(spark, sf_dir):
+    """Each guarded file resolved both ways; every result starts from the original bytes."""
+    _register(spark, sf_dir)
+    t = spark.sql(f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, path FROM corpus "
+                  "WHERE k IN (0, 1, 2, 5, 7)")
+    both = t.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("final_state"))
+    r = RW.rewrite_files(both, _files(spark, sf_dir))
+    return r.select("repo_id", "path", "final_state", "status", "updated_sha256")
+
+
+@query("unified_diff", oracle=None)
+def unified_diff(spark, sf_dir):
+    d = RW.file_diffs(rewritten(spark, sf_dir))
+    return d.select("repo_id", "flag_name", "path", F.size("diff_lines").alias("n_lines"),
+                    F.array_join("diff_lines", "\n").alias("diff"))
+
+
+@query("diff_budget", oracle=None)
+def diff_budget(spark, sf_dir):
+    """Per target diff under a 12-line budget (truncation marker when over)."""
+    d = RW.file_diffs(rewritten(spark, sf_dir))
+    return O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12)
+
+
+@query("report_lines_limit", oracle=None)
+def report_lines_limit(spark, sf_dir):
+    """First 5 diff lines of every target (the report line limit)."""
+    d = RW.file_diffs(rewritten(spark, sf_dir))
+    b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=5)
+    return b.select("repo_id", "flag_name", F.size(F.split("diff", "\n")).alias("n_report_lines"))
+
+
+@query("target_outcome", oracle=ORACLE_PREFIX + """
+SELECT repo_id, flag_name, status, CAST(CASE WHEN status = 'prepared' THEN n_files ELSE 0 END AS INTEGER) AS n_files
+FROM outcome
+""")
+def target_outcome(spark, sf_dir):
+    o = outcomes(spark, sf_dir)
+    return o.select("repo_id", "flag_name", "status", F.size("files").alias("n_files"))
+
+
+@query("join_outcome_validation", oracle=ORACLE_PREFIX + """
+SELECT p.repo_id, p.flag_name, r.passed AS validation_passed FROM per_target p
+JOIN runs r ON r.repo_id = p.repo_id AND r.flag_name = p.flag_name
+""")
+def join_outcome_validation(spark, sf_dir):
+    return outcomes(spark, sf_dir).select("repo_id", "flag_name", "validation_passed")
+
+
+@query("join_targets_files", oracle=f"""
+WITH corpus AS ({CORPUS_SQL})
+SELECT repo_id, flag AS flag_name, CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path,
+       o_orderkey % 23 <> 0 AS found
+FROM corpus
+""")
+def join_targets_files(spark, sf_dir):
+    """Targets joined to file bodies; every 23rd names a file that does not exist."""
+    _register(spark, sf_dir)
+    t = spark.sql(f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, "
+                  "CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path FROM corpus")
+    f = _files(spark, sf_dir).select("repo_id", "path", F.lit(True).alias("found"))
+    return t.join(f, ["repo_id", "path"], "left").select(
+        "repo_id", "flag_name", "path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("join_stale_snapshot", oracle=f"""
+WITH corpus AS ({CORPUS_SQL})
+SELECT repo_id, path, o_orderkey % 10 = 0 AS vanished FROM corpus WHERE o_orderkey % 9 = 0 OR o_orderkey % 10 = 0
+""")
+def join_stale_snapshot(spark, sf_dir):
+    """Snapshot hashes vs current files: every 9th changed, every 10th removed."""
+    _register(spark, sf_dir)
+    corpus = spark.sql(CORPUS_SQL)
+    snap = corpus.select("repo_id", "path", F.sha2(F.encode("source", "UTF-8"), 256).alias("sha256"))
+    cur = corpus.where(F.col("o_orderkey") % 10 != 0).select(
+        "repo_id", "path", F.sha2(F.encode(F.when(F.col("o_orderkey") % 9 == 0, F.concat("source", F.lit("#")))
+                                           .otherwise(F.col("source")), "UTF-8"), 256).alias("sha256"))
+    stale = O.stale_snapshots(snap, cur)
+    return stale.select("repo_id", "path", F.col("current_sha256").isNull().alias("vanished"))
+
+
+@query("gate_all_or_nothing", oracle="""
+SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS group_failed FROM lineitem
+""")
+def gate_all_or_nothing(spark, sf_dir):
+    """Line items per order: one returned item vetoes the whole order."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    g = RW.gate_all_or_nothing(li, ["l_orderkey"], F.col("l_returnflag") == "R")
+    return g.select("l_orderkey", "l_linenumber", "group_failed")
+
+
+@query("baseline_gate", oracle=f"""
+WITH corpus AS ({CORPUS_SQL}),
+per AS (SELECT repo_id, count(*) AS n FROM corpus GROUP BY repo_id),
+base AS (SELECT CAST(c_custkey AS STRING) AS repo_id, c_custkey % 6 <> 0 AS passed FROM customer WHERE c_custkey % 10 <> 0)
+SELECT p.repo_id, CAST(p.n AS BIGINT) AS n_targets,
+       CASE WHEN b.passed IS NULL THEN 'baseline_missing' WHEN NOT b.passed THEN 'baseline_failed' ELSE 'proceed' END AS decision
+FROM per p LEFT JOIN base b ON b.repo_id = p.repo_id
+""")
+def baseline_gate(spark, sf_dir):
+    """Baseline test run per repo (failing for customers % 6, missing for % 10)."""
+    cust = read_table(spark, sf_dir, "customer")
+    base = cust.where(F.col("c_custkey") % 10 != 0).select(
+        F.col("c_custkey").cast("string").alias("repo_id"), (F.col("c_custkey") % 6 != 0).alias("passed"))
+    return O.baseline_gate(targets(spark, sf_dir), base)
+
+
+@query("prep_summary", oracle=ORACLE_PREFIX + """
+SELECT repo_id, CAST(count(*) AS BIGINT) AS targets, CAST(count_if(status = 'prepared') AS BIGINT) AS prepared,
+       CAST(count_if(status <> 'prepared') AS BIGINT) AS failed
+FROM outcome GROUP BY repo_id
+""")
+def prep_summary(spark, sf_dir):
+    return R.prep_summary(outcomes(spark, sf_dir))
+
+
+@query("has_failures", oracle=ORACLE_PREFIX + """
+SELECT repo_id, bool_or(status <> 'prepared') AS has_failures FROM outcome GROUP BY repo_id
+""")
+def has_failures(spark, sf_dir):
+    return R.has_failures(outcomes(spark, sf_dir))
+
+
+@query("sort_changes", oracle=ORACLE_PREFIX + """
+SELECT e.repo_id, e.flag_name, string_agg(e.path, ',' ORDER BY e.path) AS paths
+FROM expected e JOIN outcome o ON o.repo_id = e.repo_id AND o.flag_name = e.flag_name
+WHERE o.status = 'prepared' GROUP BY e.repo_id, e.flag_name
+""")
+def sort_changes(spark, sf_dir):
+    o = outcomes(spark, sf_dir).where(F.col("status") == "prepared")
+    return o.select("repo_id", "flag_name", F.array_join(F.array_sort(
+        F.transform("files", lambda f: f["path"])), ",").alias("paths"))
+
+
+@query("sink_file_changes", oracle=ORACLE_PREFIX + """
+SELECT repo_id, flag_name, path, sha256(updated) AS updated_sha256 FROM expected WHERE status = 'mutated'
+""")
+def sink_file_changes(spark, sf_dir):
+    """Complete replacement sources written as parquet, then read back."""
+    r = rewritten(spark, sf_dir).where(F.col("status") == "mutated").select(
+        "repo_id", "flag_name", "path", "updated_source", "original_sha256", "updated_sha256")
+    out = R.output_root(spark) + "/file_changes"
+    R.write_table(r, out)
+    return spark.read.parquet(out).select("repo_id", "flag_name", "path", "updated_sha256")
+
+
+# --- delivery ---------------------------------------------------------------
+
+DELIVERY_FEEDS = """
+prs AS (SELECT DISTINCT repo_id, 'main' AS base,
+               concat('org', repo_id, ':remediation/remove-', replace(lower(flag), '_', '-')) AS head,
+               concat('https://example.invalid/pr/', repo_id) AS url, CAST(repo_id AS INT) AS number,
+               concat('h', repo_id) AS head_sha
+        FROM corpus WHERE CAST(repo_id AS BIGINT) % 5 = 0),
+br AS (SELECT DISTINCT repo_id, concat('remediation/remove-', replace(lower(flag), '_', '-')) AS branch,
+              concat('b', repo_id) AS sha FROM corpus WHERE CAST(repo_id AS BIGINT) % 7 = 0)
+"""
+
+
+def _delivery_inputs(spark, sf_dir):
+    _register(spark, sf_dir)
+    prs = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM prs")
+    br = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM br")
+    o = outcomes(spark, sf_dir)
+    rid = F.col("repo_id").cast("bigint")
+    o = o.select("*", F.concat(F.lit("org"), F.col("repo_id")).alias("owner"),
+                 *D.base_branch(F.when(rid % 13 == 0, F.lit("  ")), F.lit("main"))).drop("error")
+    return o, prs, br
+
+
+def deliveries(spark, sf_dir):
+    o, prs, br = _delivery_inputs(spark, sf_dir)
+    # keep the preparation error next to the delivery result
+    o2 = outcomes(spark, sf_dir).select("repo_id", "flag_name", "error")
+    return D.delivery_status(o.join(o2, ["repo_id", "flag_name"]), prs, br)
+
+
+_DELIVERY_ORACLE = ORACLE_PREFIX + ", " + DELIVERY_FEEDS + """
+, d AS (
+  SELECT o.repo_id, o.flag_name, o.status,
+         CASE WHEN o.status <> 'prepared' THEN 'not_prepared'
+              WHEN CAST(o.repo_id AS BIGINT) % 13 = 0 THEN 'failed'
+              WHEN p.url IS NOT NULL THEN 'reused'
+              WHEN b.sha IS NOT NULL THEN 'failed'
+              ELSE 'ready' END AS delivery_status,
+         p.url AS pr_url
+  FROM outcome o
+  LEFT JOIN prs p ON p.repo_id = o.repo_id AND CAST(o.repo_id AS BIGINT) % 13 <> 0
+       AND p.head = concat('org', o.repo_id, ':remediation/remove-', replace(lower(o.flag_name), '_', '-'))
+  LEFT JOIN br b ON b.repo_id = o.repo_id AND b.branch = concat('remediation/remove-', replace(lower(o.flag_name), '_', '-'))
+)
+"""
+
+
+@query("delivery_status", oracle=_DELIVERY_ORACLE + """
+SELECT repo_id, flag_name, delivery_status FROM d
+""")
+def delivery_status(spark, sf_dir):
+    return deliveries(spark, sf_dir).select("repo_id", "flag_name", "delivery_status")
+
+
+@query("join_open_pr", oracle=_DELIVERY_ORACLE + """
+SELECT repo_id, flag_name, pr_url FROM d
+""")
+def join_open_pr(spark, sf_dir):
+    o, prs, _ = _delivery_inputs(spark, sf_dir)
+    t = o.withColumn("head", F.concat(F.col("owner"), F.lit(":"), tx.branch_name("flag_name")))
+    return D.join_open_pr(t, prs).select("repo_id", "flag_name", F.col("pr.url").alias("pr_url"))
+
+
+@query("join_branch_conflict", oracle=ORACLE_PREFIX + ", " + DELIVERY_FEEDS + """
+SELECT o.repo_id, o.flag_name, b.sha IS NOT NULL AS branch_exists FROM outcome o
+LEFT JOIN br b ON b.repo_id = o.repo_id AND b.branch = concat('remediation/remove-', replace(lower(o.flag_name), '_', '-'))
+""")
+def join_branch_conflict(spark, sf_dir):
+    o, _, br = _delivery_inputs(spark, sf_dir)
+    t = o.withColumn("branch_name", tx.branch_name("flag_name"))
+    return D.join_branch_conflict(t, br).select("repo_id", "flag_name", "branch_exists")
+
+
+@query("delivery_summary", oracle=_DELIVERY_ORACLE + """
+SELECT repo_id, CAST(count(*) AS BIGINT) AS targets, CAST(count_if(status = 'prepared') AS BIGINT) AS prepared,
+       CAST(count_if(delivery_status IN ('ready', 'reused')) AS BIGINT) AS delivered_or_reused,
+       CAST(count_if(delivery_status = 'failed') AS BIGINT) AS delivery_failed,
+       CAST(count_if(delivery_status = 'not_prepared') AS BIGINT) AS not_prepared
+FROM d GROUP BY repo_id
+""")
+def delivery_summary(spark, sf_dir):
+    return R.delivery_summary(deliveries(spark, sf_dir))
+
+
+@query("pr_text", oracle=ORACLE_PREFIX + """
+SELECT o.repo_id, o.flag_name, concat('Remove deprecated feature flag: ', o.flag_name) AS title,
+       concat('chore: remove deprecated feature flag ', o.flag_name) AS commit_message
+FROM outcome o WHERE o.status = 'prepared'
+""")
+def pr_text(spark, sf_dir):
+    o = outcomes(spark, sf_dir).where(F.col("status") == "prepared")
+    paths = F.transform("files", lambda f: f["path"])
+    return o.select("repo_id", "flag_name", *D.pr_text(F.col("flag_name"), paths)).drop("body")
+
+
+@query("prep_report", oracle=None)
+def prep_report(spark, sf_dir):
+    o = outcomes(spark, sf_dir)
+    d = O.diff_budget(RW.file_diffs(rewritten(spark, sf_dir)), ["repo_id", "flag_name"])
+    rec = R.prep_report(o, d)
+    return R.repo_report(rec, R.prep_summary(o))
+
+
+@query("delivery_report", oracle=None)
+def delivery_report(spark, sf_dir):
+    d = deliveries(spark, sf_dir)
+    rec = d.select("repo_id", "flag_name", F.to_json(F.struct(
+        F.col("delivery_error").alias("error"), F.col("flag_name"),
+        F.when(F.col("pr_url").isNotNull(), F.struct(
+            F.col("branch_name"), F.col("commit_sha"), F.col("pr_number"),
+            (F.col("delivery_status") == "reused").alias("reused_existing_pr"), F.col("pr_url").alias("url")))
+        .alias("pull_request"),
+        F.col("delivery_status").alias("status"))).alias("record"))
+    return R.repo_report(rec, R.delivery_summary(d), mode="delivery")
+
+
+@query("sink_report", oracle=ORACLE_PREFIX + """
+SELECT DISTINCT repo_id FROM outcome
+""")
+def sink_report(spark, sf_dir):
+    """Report documents written as JSON lines, then read back."""
+    o = outcomes(spark, sf_dir)
+    rep = R.repo_report(R.prep_report(o), R.prep_summary(o))
+    out = R.output_root(spark) + "/reports"
+    R.write_table(rep, out, fmt="json")
+    return spark.read.json(out).select("repo_id")
