@@ -212,9 +212,19 @@ cand AS (
 """
 
 
+# Candidates are checkpointed once per query run and shared by its parts.
+_MEMO: dict = {}
+
+
+def reset_memo() -> None:
+    _MEMO.clear()
+
+
 def _candidates(spark, sf_dir, limit=G.MAX_OCCURRENCES_PER_FLAG):
-    cands, _ = G.discover_candidates(_files(spark, sf_dir), limit=limit)
-    return cands
+    key = (spark.sparkContext.applicationId, sf_dir, limit)
+    if key not in _MEMO:
+        _MEMO[key] = G.discover_candidates(_files(spark, sf_dir), limit=limit)[0]
+    return _MEMO[key]
 
 
 def _occ_text():

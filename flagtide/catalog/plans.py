@@ -111,7 +111,15 @@ def plan_attempts(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return V.parse_plans(plan_attempts(spark, sf_dir))
+    """Parsed plans and targets, written once per query run (every check reads them)."""
+    from flagtide.catalog.extract import _MEMO
+    from flagtide.session import materialize
+
+    key = ("parsed", spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO:
+        plans, targets = V.parse_plans(plan_attempts(spark, sf_dir))
+        _MEMO[key] = (materialize(plans), materialize(targets))
+    return _MEMO[key]
 
 
 def _allowlist(spark, sf_dir):

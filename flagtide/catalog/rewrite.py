@@ -283,21 +283,21 @@ br AS (SELECT DISTINCT repo_id, concat('remediation/remove-', replace(lower(flag
 
 
 def _delivery_inputs(spark, sf_dir):
+    """Outcomes with owner and base branch (blank override for repo % 13 = 0),
+    open requests and existing branches."""
     _register(spark, sf_dir)
     prs = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM prs")
     br = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM br")
     o = outcomes(spark, sf_dir)
     rid = F.col("repo_id").cast("bigint")
-    o = o.select("*", F.concat(F.lit("org"), F.col("repo_id")).alias("owner"),
-                 *D.base_branch(F.when(rid % 13 == 0, F.lit("  ")), F.lit("main"))).drop("error")
+    base, _ = D.base_branch(F.when(rid % 13 == 0, F.lit("  ")), F.lit("main"))
+    o = o.select("*", F.concat(F.lit("org"), F.col("repo_id")).alias("owner"), base)
     return o, prs, br
 
 
 def deliveries(spark, sf_dir):
     o, prs, br = _delivery_inputs(spark, sf_dir)
-    # keep the preparation error next to the delivery result
-    o2 = outcomes(spark, sf_dir).select("repo_id", "flag_name", "error")
-    return D.delivery_status(o.join(o2, ["repo_id", "flag_name"]), prs, br)
+    return D.delivery_status(o, prs, br)
 
 
 _DELIVERY_ORACLE = ORACLE_PREFIX + ", " + DELIVERY_FEEDS + """

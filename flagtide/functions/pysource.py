@@ -309,11 +309,16 @@ def apply_flag(text: str, flag: str, state: bool) -> str:
     Innermost guards first; each edit is applied to the text and the result is
     parsed again, so an outer guard always sees its already-resolved body.
     """
+    return _apply_flag(text, flag, state)[0]
+
+
+def _apply_flag(text: str, flag: str, state: bool) -> tuple[str, ast.Module]:
+    """``apply_flag`` plus the parse tree of the result."""
     tree = _parse(text)
     while True:
         node = _innermost(tree, flag)
         if node is None:
-            return text
+            return text, tree
         doc = _Doc(text)
         if isinstance(node, ast.IfExp):
             text = _edit_ternary(doc, node, state)
@@ -361,13 +366,14 @@ def _binding(alias: ast.alias, from_import: bool) -> str:
     return alias.name.split(".")[-1] if from_import else alias.name.split(".")[0]
 
 
-def clean_imports(text: str) -> str:
+def clean_imports(text: str, tree: ast.Module | None = None) -> str:
     """Drop import aliases whose bound name is not used outside imports.
 
     ``from x import *`` and ``from __future__ import ...`` are always kept.
     An import left with no alias is removed; a block left empty gets ``pass``.
+    ``tree`` may pass the parse of ``text`` when the caller already has it.
     """
-    tree = _parse(text)
+    tree = _parse(text) if tree is None else tree
     used = used_names(tree)
     doc = _Doc(text)
     parents = _parents(tree)
@@ -441,12 +447,13 @@ def rewrite_source(text: str, flag: str, state: bool) -> tuple[str, str, str | N
     is) or ``failed`` (no partial output).
     """
     try:
-        updated = apply_flag(text, flag, state)
+        updated, tree = _apply_flag(text, flag, state)
         if updated == text:
             return "unchanged", text, None
-        updated = clean_imports(updated)
-        _parse(updated)
-        return "mutated", updated, None
+        cleaned = clean_imports(updated, tree)
+        if cleaned != updated:
+            _parse(cleaned)  # the edited text must still be Python
+        return "mutated", cleaned, None
     except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         return "failed", None, f"{type(error).__name__}: {error}"
 

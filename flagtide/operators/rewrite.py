@@ -25,7 +25,8 @@ REWRITE_TYPE = T.StructType([
 def _rewrite(texts: pd.Series, flags: pd.Series, states: pd.Series) -> pd.DataFrame:
     from flagtide.functions.pysource import rewrite_source
 
-    out = [rewrite_source(t, f, bool(s)) for t, f, s in zip(texts, flags, states)]
+    out = [rewrite_source(t, f, bool(s)) if t is not None and f is not None else (None, None, None)
+           for t, f, s in zip(texts, flags, states)]
     return pd.DataFrame(out, columns=["status", "updated", "error"])
 
 
@@ -35,6 +36,9 @@ def _used_names(texts: pd.Series) -> pd.Series:
 
     out = []
     for text in texts:
+        if text is None:
+            out.append(None)
+            continue
         try:
             out.append(sorted(used_names(_parse(text))))
         except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -71,6 +75,11 @@ def rewrite_files(targets: DataFrame, files: DataFrame) -> DataFrame:
     Out: status ``mutated``/``unchanged``/``failed``, error, updated text and
     bytes, and both SHA-256 hashes.
     """
+    # Hash the targets on the file key first: the Python stage then runs as
+    # wide as the shuffle, whatever the layout of the targets table, and the
+    # key is file-level, so no repository can become a hot partition.
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    targets = targets.repartition(n, "repo_id", "path")
     j = targets.join(files.select("repo_id", "path", "content"), ["repo_id", "path"], "left")
     d = decode_source(j)
     res = F.when(F.col("text").isNotNull(), _rewrite(F.col("text"), F.col("flag_name"), F.col("final_state")))

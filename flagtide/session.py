@@ -77,8 +77,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder,
-    so an expensive upstream (Python parsing) runs once and survives the loss
-    of an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the rows once as a table in the shared
+    checkpoint folder and reading them back.
+
+    The expensive upstream (Python parsing) then runs exactly once (an RDD
+    checkpoint of an unpersisted plan would compute it twice: once for the
+    action, once for the checkpoint file), and the result survives the loss
+    of any executor.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
