@@ -349,3 +349,22 @@ def discovery_audit(spark, sf_dir):
     return (c.groupBy("repo_id").agg(
         F.array_join(F.array_sort(F.collect_list("flag_name")), ",").alias("candidate_flags"))
         .join(allow, "repo_id"))
+
+
+@query("scan_tree", oracle=f"""
+WITH corpus AS ({CORPUS_SQL})
+SELECT repo_id, path, CAST(strlen(source) AS BIGINT) AS size, sha256(source) AS sha256 FROM corpus
+""")
+def scan_tree(spark, sf_dir):
+    """The corpus written as one folder per repository in the shared
+    checkpoint location, then read back with the tree data source."""
+    import uuid
+
+    from flagtide.operators.report import output_root
+    from flagtide.sources import tree
+
+    root = output_root(spark) + f"/trees/{uuid.uuid4().hex}"
+    tree.write_tree(_files(spark, sf_dir), root).agg(F.sum("written")).collect()
+    tree.register(spark)
+    df = spark.read.format("flagtide_tree").option("root", root).load()
+    return df.select("repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))

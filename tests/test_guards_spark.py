@@ -80,3 +80,22 @@ def test_decode_and_encode_round_trip(spark):
     d = G.decode_source(df)
     rows = d.select("had_bom", "text", (G.encode_source("text", "had_bom") == F.col("content")).alias("same")).collect()
     assert [(r.had_bom, r.text, r.same) for r in rows] == [(True, "x = 1\r\n", True), (False, "y\n", True)]
+
+
+def test_tree_data_source(spark, tmp_path):
+    from flagtide.sources import tree
+
+    layout = {
+        "r1/__init__.py": b"", "r1/app.py": b"if OLD_FLAG:\n    a()\n", "r1/.hidden.py": b"x = 1\n",
+        "r1/tests/t.py": b"", "r1/.git/x.py": b"", "r1/pkg/sub/m.py": b"y = 2\n", "r1/pkg/M.PY": b"",
+        "r1/pkg/node_modules/n.py": b"", "r1/pkg/notes.txt": b"", "r2/lib/dist/d.py": b"", "r2/lib/l.py": b"z\n",
+    }
+    for rel, data in layout.items():
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+    tree.register(spark)
+    df = spark.read.format("flagtide_tree").option("root", str(tmp_path)).load()
+    got = sorted((r.repo_id, r.path, r.size) for r in df.collect())
+    assert got == [("r1", ".hidden.py", 6), ("r1", "__init__.py", 0), ("r1", "app.py", 21),
+                   ("r1", "pkg/sub/m.py", 6), ("r2", "lib/l.py", 2)]
