@@ -117,8 +117,8 @@ def _parsed(spark, sf_dir):
 
     key = ("parsed", spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
-        plans, targets = V.parse_plans(plan_attempts(spark, sf_dir))
-        _MEMO[key] = (materialize(plans), materialize(targets))
+        plans, targets = V.parse_plans(materialize(plan_attempts(spark, sf_dir)))
+        _MEMO[key] = (plans, materialize(targets))
     return _MEMO[key]
 
 
@@ -394,7 +394,7 @@ def dup_flags(spark, sf_dir):
     return part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-@query("first_violation", oracle=_ORACLE_EVIDENCE + """
+_FIRSTS_SQL = _ORACLE_EVIDENCE + """
 , sem AS (
   SELECT repo_id, ordinal, 1 AS rnk, 0 AS evo FROM tgt t
     WHERE NOT EXISTS (SELECT 1 FROM cand_flags c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name)
@@ -424,6 +424,10 @@ firsts AS (
               WHEN 6 THEN 'omitted_path' ELSE 'ungrounded_evidence' END
   FROM sem WHERE repo_id NOT IN (SELECT repo_id FROM schema_v) GROUP BY repo_id
 )
+"""
+
+
+@query("first_violation", oracle=_FIRSTS_SQL + """
 SELECT repo_id, 1 AS attempt, ordinal, rule FROM firsts
 """)
 def first_violation(spark, sf_dir):
@@ -467,12 +471,29 @@ def resolve_attempts(spark, sf_dir):
     return V.resolve_attempts(ev, "user_id", ["ts", "event_id"], "outcome", "err", max_attempts=2)
 
 
-@query("plan_resolution", oracle=None)
+@query("plan_resolution", oracle=_FIRSTS_SQL + """
+, att AS (
+  SELECT repo_id, 1 AS attempt,
+         CASE WHEN CAST(repo_id AS BIGINT) % 31 = 0 THEN 'fatal'
+              WHEN repo_id IN (SELECT repo_id FROM firsts) THEN 'invalid' ELSE 'valid' END AS outcome
+  FROM (SELECT DISTINCT repo_id FROM proposal) p
+  UNION ALL SELECT DISTINCT repo_id, 2, 'valid' FROM cand WHERE CAST(repo_id AS BIGINT) % 3 = 0
+),
+rk AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY attempt) AS n FROM att),
+top2 AS (SELECT * FROM rk WHERE n <= 2),
+agg AS (SELECT repo_id, min(CASE WHEN outcome IN ('valid', 'fatal') THEN n END) AS stop_at, max(n) AS seen
+        FROM top2 GROUP BY repo_id)
+SELECT a.repo_id,
+       CASE WHEN a.stop_at IS NULL THEN 'exhausted' WHEN t.outcome = 'valid' THEN 'accepted' ELSE 'fatal' END AS resolution,
+       CAST(coalesce(a.stop_at, a.seen) AS INTEGER) AS used_attempt
+FROM agg a LEFT JOIN top2 t ON t.repo_id = a.repo_id AND t.n = a.stop_at
+""")
 def plan_resolution(spark, sf_dir):
     """Full plan check per attempt, then first-success-per-repo over attempts."""
     from flagtide.plans.discovery import discover_plans
     return discover_plans(plan_attempts(spark, sf_dir), _candidates(spark, sf_dir),
-                          _allowlist(spark, sf_dir), contexts(spark, sf_dir))
+                          _allowlist(spark, sf_dir), contexts(spark, sf_dir)).select(
+        "repo_id", "resolution", "used_attempt")
 
 
 @query("early_exit_rules", oracle=f"""
