@@ -259,14 +259,17 @@ def candidate_files(spark, sf_dir):
 
 @query("sort_files", oracle=f"""
 WITH {PLANTED_GUARDS_SQL}
-SELECT repo_id, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files
-FROM occ WHERE repo_id NOT IN (SELECT repo_id FROM failed) GROUP BY repo_id
+SELECT DISTINCT repo_id, file_path FROM occ WHERE repo_id NOT IN (SELECT repo_id FROM failed)
 """)
 def sort_files(spark, sf_dir):
-    """All guarded files of each repo, de-duplicated and sorted."""
+    """Guarded files of every repo, de-duplicated and sorted by (repo, path).
+
+    A range-partitioned global sort: a repository with a third of all files
+    is split over several sort tasks by path instead of landing in one list.
+    """
     c = _candidates(spark, sf_dir)
-    return c.groupBy("repo_id").agg(
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))), ",").alias("files"))
+    files = c.select("repo_id", F.explode("files").alias("file_path")).dropDuplicates()
+    return files.orderBy("repo_id", "file_path")
 
 
 @query("dedupe_files", oracle=f"""

@@ -42,7 +42,8 @@ def target_outcomes(rewritten: DataFrame, validations: DataFrame | None = None,
     ``validation_failed`` when its post-change run failed, else ``prepared``.
     Files are kept only for prepared targets."""
     key = list(key)
-    files = F.struct("path", "original_sha256", "updated_sha256", "updated_source")
+    # file bodies stay in the file-change table; outcomes carry keys and hashes
+    files = F.struct("path", "original_sha256", "updated_sha256")
     g = rewritten.groupBy(*key).agg(
         F.min_by(F.struct("path", "error"), F.when(F.col("status") == "failed", F.col("path"))).alias("first_failed"),
         F.array_sort(F.collect_list(F.when(F.col("status") == "unchanged", F.col("path")))).alias("unchanged"),

@@ -49,8 +49,14 @@ def early_exit(contexts: DataFrame, candidates: DataFrame, allowlist: DataFrame)
 
 def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
     """One prompt per repo: business context, then per flag (sorted) its
-    required file set and numbered occurrences. Rows over ``max_chars`` are
-    flagged ``too_long`` (the reference refuses to send them)."""
+    required file set and numbered occurrences.
+
+    The prompt length is summed first (a partial aggregate); only repos
+    within ``max_chars`` get their text assembled, so no task ever builds
+    more than ``max_chars`` of prompt, however many flags a repository has.
+    Longer ones are returned with ``too_long`` and no text (the reference
+    refuses to send them).
+    """
     per_flag = candidates.select(
         "repo_id", "flag_name",
         F.concat(
@@ -60,15 +66,22 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
             F.array_join(F.transform("occurrences", lambda o: F.concat(
                 o["file_path"], F.lit(":"), o["line"].cast("string"), F.lit(" ("), o["kind"], F.lit(")\n"),
                 o["snippet"])), "\n\n")).alias("block"))
-    per_repo = per_flag.groupBy("repo_id").agg(
+    ctx = contexts.select("repo_id", F.coalesce(tx.strip_ws("text"), F.lit("")).alias("context"))
+    head_len = len("BUSINESS CONTEXT:\n") + len("\n\nCANDIDATES:\n")
+    sizes = per_flag.groupBy("repo_id").agg(
+        (F.sum(F.length("block")) + 2 * (F.count(F.lit(1)) - 1)).alias("blocks_len"))
+    sizes = sizes.join(ctx, "repo_id", "left").select(
+        "repo_id", (F.col("blocks_len") + F.coalesce(F.length("context"), F.lit(0)) + head_len)
+        .cast("bigint").alias("prompt_chars"))
+    ok = sizes.where(F.col("prompt_chars") <= max_chars)
+    texts = per_flag.join(ok.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flag_name", "block"))),
                                  lambda s: s["block"]), "\n\n").alias("flags_text"))
-    ctx = contexts.select("repo_id", tx.strip_ws("text").alias("context"))
-    p = per_repo.join(ctx, "repo_id", "left").select(
+    texts = texts.join(ctx, "repo_id", "left").select(
         "repo_id", F.concat(F.lit("BUSINESS CONTEXT:\n"), F.coalesce("context", F.lit("")),
                             F.lit("\n\nCANDIDATES:\n"), F.col("flags_text")).alias("prompt"))
-    return p.select("repo_id", "prompt", F.length("prompt").alias("prompt_chars"),
-                    (F.length("prompt") > max_chars).alias("too_long"))
+    return sizes.join(texts, "repo_id", "left").select(
+        "repo_id", "prompt", "prompt_chars", (F.col("prompt_chars") > max_chars).alias("too_long"))
 
 
 def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,

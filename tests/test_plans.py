@@ -108,3 +108,20 @@ def test_keyless_grounding_is_exact(spark):
     brute = sorted((q, t) for q, qs in rows_q for t, ts in rows_t if qs in ts)
     assert got == brute
     _ = F
+
+
+def test_prompt_length_is_counted_before_assembly(spark):
+    from flagtide.plans.discovery import prompt_table
+
+    cands, _, ctx = facts(spark)
+    p = prompt_table(cands, ctx).collect()[0]
+    assert p.prompt_chars == len(p.prompt) and not p.too_long
+    assert p.prompt.startswith("BUSINESS CONTEXT:\nOwner says OLD_FLAG is on\n\nCANDIDATES:\nFLAG OLD_FLAG")
+    small = prompt_table(cands, ctx, max_chars=10).collect()[0]
+    assert small.too_long and small.prompt is None and small.prompt_chars == p.prompt_chars
+
+
+def test_attempt_limit_is_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([("a", i, "invalid", "e") for i in range(10)], "k string, n int, outcome string, err string")
+    plan = V.resolve_attempts(df, "k", ["n"], "outcome", "err", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
