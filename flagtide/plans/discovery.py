@@ -87,8 +87,12 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
 def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,
                      contexts: DataFrame) -> DataFrame:
     """Per (repo, attempt): ``valid`` / ``invalid`` (with the first violation)
-    / ``fatal`` (did not complete, or no parsed payload)."""
-    plans, targets = V.parse_plans(attempts)
+    / ``fatal`` (did not complete, or no parsed payload). The parsed targets
+    feed seven checks, so they are written once and read back."""
+    from flagtide.session import materialize
+
+    plans, targets = V.parse_plans(materialize(attempts))
+    targets = materialize(targets)
     first = V.first_violation(V.all_violations(plans, targets, candidates, allowlist, contexts))
     j = plans.join(first, V.PLAN_KEY, "left")
     outcome = (F.when(F.col("status") != "completed", F.lit("fatal"))

@@ -43,8 +43,10 @@ PLAN_KEY = ["repo_id", "attempt"]
 TARGET_KEY = ["repo_id", "attempt", "ordinal"]
 
 
-def _keys_of(json_col) -> F.Column:
-    return F.coalesce(F.json_object_keys(json_col), F.array().cast("array<string>"))
+def _keys_of(variant_col) -> F.Column:
+    """Top-level keys of a variant object (empty when it is not an object)."""
+    as_map = F.try_variant_get(variant_col, "$", "map<string,variant>")
+    return F.coalesce(F.map_keys(as_map), F.array().cast("array<string>"))
 
 
 def parse_plans(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +65,7 @@ def parse_plans(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
         *PLAN_KEY, "status", "error", "payload", "v",
         (F.col("v").isNotNull() & (F.schema_of_variant("v").startswith("OBJECT"))).alias("parsed"),
         F.variant_get("v", "$.targets", "array<variant>").alias("t_arr"),
-        F.array_except(_keys_of(F.to_json("v")), F.array(*[F.lit(k) for k in PLAN_KEYS])).alias("extra_keys"),
+        F.array_except(_keys_of(F.col("v")), F.array(*[F.lit(k) for k in PLAN_KEYS])).alias("extra_keys"),
     )
     targets = plans.select(*PLAN_KEY, F.posexplode("t_arr").alias("ordinal", "t")).select(
         *PLAN_KEY, (F.col("ordinal") + 1).alias("ordinal"),
@@ -72,14 +74,14 @@ def parse_plans(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.variant_get("t", "$.final_state", "boolean").alias("final_state"),
         F.variant_get("t", "$.files_affected", "array<string>").alias("files_affected"),
         F.variant_get("t", "$.evidence", "array<variant>").alias("ev"),
-        F.array_except(_keys_of(F.to_json("t")), F.array(*[F.lit(k) for k in TARGET_KEYS])).alias("extra_keys"),
+        F.array_except(_keys_of(F.col("t")), F.array(*[F.lit(k) for k in TARGET_KEYS])).alias("extra_keys"),
     ).select(
         *TARGET_KEY, "flag_name", "final_state_type", "final_state", "files_affected", "extra_keys",
         F.transform("ev", lambda e: F.struct(
             F.variant_get(e, "$.source", "string").alias("source"),
             F.variant_get(e, "$.quote", "string").alias("quote"),
             F.variant_get(e, "$.explanation", "string").alias("explanation"),
-            F.array_except(_keys_of(F.to_json(e)), F.array(*[F.lit(k) for k in EVIDENCE_KEYS]))
+            F.array_except(_keys_of(e), F.array(*[F.lit(k) for k in EVIDENCE_KEYS]))
             .alias("extra_keys"))).alias("evidence"),
     )
     plans = plans.select(*PLAN_KEY, "status", "error", "parsed",
