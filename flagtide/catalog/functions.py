@@ -151,7 +151,7 @@ WITH c AS (
          strlen(text) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END AS n_bytes FROM documents
 )
 SELECT doc_id,
-       CASE WHEN n_bytes > 100000 OR t = '' OR length(t) > 20000 THEN NULL ELSE length(t) END AS n_chars,
+       CAST(CASE WHEN n_bytes > 100000 OR t = '' OR length(t) > 20000 THEN NULL ELSE length(t) END AS INTEGER) AS n_chars,
        CASE WHEN n_bytes > 100000 THEN 'context file too large' WHEN t = '' THEN 'context is empty'
             WHEN length(t) > 20000 THEN 'context too long' END AS error
 FROM c

@@ -211,7 +211,10 @@ def discover_candidates(files: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
     candidates for that repo (it appears in the errors instead)."""
     from flagtide.session import materialize
 
-    ex = extraction_of(materialize(extract_files(files)))
+    per_file = extract_files(files)
+    # only files with guards or problems are kept (and written) for later steps
+    per_file = per_file.where((F.size("guards") > 0) | F.col("stage").isNotNull())
+    ex = extraction_of(materialize(per_file))
     occ, errors = ex.occurrences, ex.errors
     cands = group_candidates(occ, limit)
     if strict:
