@@ -151,7 +151,11 @@ pfn AS (
                  WHEN NOT ends_with(lower(npath), '.py') THEN 'not_python' END AS error_code
   FROM pf
 ),
-good_pf AS (SELECT * FROM pfn WHERE error_code IS NULL)
+good_pf AS (SELECT * FROM pfn WHERE error_code IS NULL),
+tgt2 AS (
+  SELECT repo_id, flag_name, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY flag_name) AS INTEGER) AS ordinal
+  FROM cand_flags WHERE CAST(repo_id AS BIGINT) % 3 = 0
+)
 """
 
 
@@ -161,17 +165,20 @@ WHERE NOT EXISTS (SELECT 1 FROM cand_flags c WHERE c.repo_id = t.repo_id AND c.f
 """)
 def join_unknown_flags(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    t1 = targets.where(F.col("attempt") == 1)
+    t1 = targets
     return V.join_unknown_flags(t1, _candidates(spark, sf_dir)).select("repo_id", "flag_name").distinct()
 
 
 @query("normalize_model_paths", oracle=_ORACLE_TARGETS + """
-SELECT repo_id, flag_name, raw_path, CASE WHEN error_code IS NULL THEN npath END AS path, error_code FROM pfn
+SELECT repo_id, 1 AS attempt, flag_name, raw_path, CASE WHEN error_code IS NULL THEN npath END AS path, error_code FROM pfn
+UNION ALL
+SELECT t.repo_id, 2, t.flag_name, c.path, c.path, NULL FROM tgt2 t
+JOIN cand_files c ON c.repo_id = t.repo_id AND c.flag_name = t.flag_name
 """)
 def normalize_model_paths(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    f = V.target_files(targets.where(F.col("attempt") == 1))
-    return f.select("repo_id", "flag_name", "raw_path", "path", "error_code")
+    f = V.target_files(targets)
+    return f.select("repo_id", "attempt", "flag_name", "raw_path", "path", "error_code")
 
 
 @query("join_hallucinated_paths", oracle=_ORACLE_TARGETS + """
@@ -180,7 +187,7 @@ WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path =
 """)
 def join_hallucinated_paths(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    f = V.target_files(targets.where(F.col("attempt") == 1))
+    f = V.target_files(targets)
     return V.join_hallucinated_paths(f, _allowlist(spark, sf_dir)).select("repo_id", "flag_name", "path")
 
 
@@ -192,7 +199,7 @@ WHERE EXISTS (SELECT 1 FROM allow a WHERE a.repo_id = p.repo_id AND a.path = p.n
 """)
 def join_unrelated_paths(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    f = V.target_files(targets.where(F.col("attempt") == 1))
+    f = V.target_files(targets)
     return V.join_unrelated_paths(f, _allowlist(spark, sf_dir), _candidates(spark, sf_dir)).select(
         "repo_id", "flag_name", "path")
 
@@ -203,31 +210,31 @@ WHERE NOT EXISTS (SELECT 1 FROM good_pf p WHERE p.repo_id = t.repo_id AND p.flag
 """)
 def join_omitted_paths(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    t1 = targets.where(F.col("attempt") == 1)
+    t1 = targets
     return V.join_omitted_paths(t1, V.target_files(t1), _candidates(spark, sf_dir)).select(
         "repo_id", "flag_name", "path")
 
 
 @query("set_difference", oracle=_ORACLE_TARGETS + """
-SELECT t.repo_id, t.flag_name,
+SELECT t.repo_id, 1 AS attempt, t.flag_name,
        (SELECT CAST(count(DISTINCT p.npath) AS BIGINT) FROM good_pf p WHERE p.repo_id = t.repo_id AND p.flag_name = t.flag_name
           AND NOT EXISTS (SELECT 1 FROM cand_files c WHERE c.repo_id = p.repo_id AND c.flag_name = p.flag_name AND c.path = p.npath)) AS n_extra,
        (SELECT CAST(count(*) AS BIGINT) FROM cand_files c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name
           AND NOT EXISTS (SELECT 1 FROM good_pf p WHERE p.repo_id = c.repo_id AND p.flag_name = c.flag_name AND p.npath = c.path)) AS n_missing
 FROM tgt t
+UNION ALL SELECT repo_id, 2, flag_name, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tgt2
 """)
 def set_difference(spark, sf_dir):
     """Per target: proposed minus candidate files and candidate minus proposed, as array ops."""
     _, targets = _parsed(spark, sf_dir)
-    t1 = targets.where(F.col("attempt") == 1)
-    prop = V.target_files(t1).groupBy("repo_id", "flag_name").agg(
+    key = ["repo_id", "attempt", "flag_name"]
+    prop = V.target_files(targets).groupBy(*key).agg(
         F.collect_set(F.when(F.col("error_code").isNull(), F.col("path"))).alias("proposed"))
     c = _candidates(spark, sf_dir).select("repo_id", "flag_name", "files")
-    j = t1.select("repo_id", "flag_name").join(prop, ["repo_id", "flag_name"], "left").join(
-        c, ["repo_id", "flag_name"], "left")
+    j = targets.select(*key).join(prop, key, "left").join(c, ["repo_id", "flag_name"], "left")
     prop_c = F.coalesce("proposed", F.array().cast("array<string>"))
     files_c = F.coalesce("files", F.array().cast("array<string>"))
-    return j.select("repo_id", "flag_name",
+    return j.select(*key,
                     F.size(F.array_except(prop_c, files_c)).cast("bigint").alias("n_extra"),
                     F.size(F.array_except(files_c, prop_c)).cast("bigint").alias("n_missing"))
 
@@ -235,21 +242,20 @@ def set_difference(spark, sf_dir):
 @query("set_equality", oracle=_ORACLE_TARGETS + """
 , pset AS (SELECT repo_id, flag_name, string_agg(DISTINCT npath, ',' ORDER BY npath) AS s FROM good_pf GROUP BY ALL),
 cset AS (SELECT repo_id, flag_name, string_agg(path, ',' ORDER BY path) AS s FROM cand_files GROUP BY ALL)
-SELECT t.repo_id, t.flag_name, coalesce(p.s = c.s, false) AS same_files
+SELECT t.repo_id, 1 AS attempt, t.flag_name, coalesce(p.s = c.s, false) AS same_files
 FROM tgt t LEFT JOIN pset p ON p.repo_id = t.repo_id AND p.flag_name = t.flag_name
            LEFT JOIN cset c ON c.repo_id = t.repo_id AND c.flag_name = t.flag_name
+UNION ALL SELECT repo_id, 2, flag_name, true FROM tgt2
 """)
 def set_equality(spark, sf_dir):
     """Proposed file set == candidate file set (sorted, de-duplicated arrays)."""
     _, targets = _parsed(spark, sf_dir)
-    t1 = targets.where(F.col("attempt") == 1)
-    prop = V.target_files(t1).where(F.col("error_code").isNull()).groupBy("repo_id", "flag_name").agg(
+    key = ["repo_id", "attempt", "flag_name"]
+    prop = V.target_files(targets).where(F.col("error_code").isNull()).groupBy(*key).agg(
         F.array_sort(F.collect_set("path")).alias("proposed"))
     c = _candidates(spark, sf_dir).select("repo_id", "flag_name", "files")
-    j = t1.select("repo_id", "flag_name").join(prop, ["repo_id", "flag_name"], "left").join(
-        c, ["repo_id", "flag_name"], "left")
-    return j.select("repo_id", "flag_name", F.coalesce(F.col("proposed") == F.col("files"), F.lit(False))
-                    .alias("same_files"))
+    j = targets.select(*key).join(prop, key, "left").join(c, ["repo_id", "flag_name"], "left")
+    return j.select(*key, F.coalesce(F.col("proposed") == F.col("files"), F.lit(False)).alias("same_files"))
 
 
 @query("dup_paths", oracle=_ORACLE_TARGETS + """
@@ -257,7 +263,7 @@ SELECT repo_id, flag_name, npath AS path, CAST(count(*) AS BIGINT) AS n FROM goo
 """)
 def dup_paths(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    f = V.target_files(targets.where(F.col("attempt") == 1))
+    f = V.target_files(targets)
     d = V.dup_paths(f)
     return d.join(f.select(*V.TARGET_KEY, "flag_name").distinct(), V.TARGET_KEY).select(
         "repo_id", "flag_name", "path", F.col("n").cast("bigint").alias("n"))
@@ -291,7 +297,7 @@ SELECT repo_id, flag_name, CAST(ev_ordinal AS INTEGER) AS ev_ordinal, source, qu
 """)
 def join_evidence_grounding(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    t1 = targets.where(F.col("attempt") == 1)
+    t1 = targets
     return V.join_evidence_grounding(t1, contexts(spark, sf_dir), _candidates(spark, sf_dir)).select(
         "repo_id", "flag_name", "ev_ordinal", "source", "quote")
 
@@ -321,10 +327,14 @@ SELECT t.repo_id, 1 AS attempt, t.ordinal, t.flag_name,
        CAST((SELECT count(*) FROM pf WHERE pf.repo_id = t.repo_id AND pf.flag_name = t.flag_name) AS INTEGER) AS n_files,
        CAST(CASE WHEN CAST(t.repo_id AS BIGINT) % 29 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_extra_keys
 FROM tgt t
+UNION ALL
+SELECT t.repo_id, 2, t.ordinal, t.flag_name, 'BOOLEAN',
+       CAST((SELECT count(*) FROM cand_files c WHERE c.repo_id = t.repo_id AND c.flag_name = t.flag_name) AS INTEGER), 0
+FROM tgt2 t
 """)
 def read_plans(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    return targets.where(F.col("attempt") == 1).select(
+    return targets.select(
         "repo_id", "attempt", "ordinal", "flag_name", "final_state_type",
         F.size("files_affected").alias("n_files"), F.size("extra_keys").alias("n_extra_keys"))
 
@@ -338,7 +348,7 @@ SELECT repo_id, CAST(count(*) AS BIGINT) AS n_target_violations FROM (
 """)
 def target_rules(spark, sf_dir):
     _, targets = _parsed(spark, sf_dir)
-    v = V.target_rules(targets.where(F.col("attempt") == 1))
+    v = V.target_rules(targets)
     return v.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_target_violations"))
 
 
@@ -432,7 +442,7 @@ SELECT repo_id, 1 AS attempt, ordinal, rule FROM firsts
 """)
 def first_violation(spark, sf_dir):
     plans, targets = _parsed(spark, sf_dir)
-    p1, t1 = plans.where(F.col("attempt") == 1), targets.where(F.col("attempt") == 1)
+    p1, t1 = plans, targets
     v = V.all_violations(p1, t1, _candidates(spark, sf_dir), _allowlist(spark, sf_dir), contexts(spark, sf_dir))
     return V.first_violation(v).select("repo_id", "attempt", "ordinal", "rule")
 
