@@ -531,7 +531,24 @@ def early_exit_rules(spark, sf_dir):
     return early_exit(ctx, _candidates(spark, sf_dir), allow).select("repo_id", "decision")
 
 
-@query("prompt_table", oracle=None)
+@query("prompt_table", oracle=_ORACLE_EVIDENCE + """
+, c_ok AS (SELECT * FROM occ WHERE repo_id NOT IN (SELECT repo_id FROM failed)),
+fl AS (SELECT repo_id, flag_name, string_agg(concat('- ', path), chr(10) ORDER BY path) AS files_txt
+       FROM (SELECT DISTINCT repo_id, flag_name, file_path AS path FROM c_ok) x GROUP BY ALL),
+oc AS (SELECT repo_id, flag_name,
+              string_agg(concat(file_path, ':', CAST(line AS VARCHAR), ' (', kind, ')', chr(10), snippet),
+                         chr(10) || chr(10) ORDER BY file_path, line, kind, snippet) AS occ_txt
+       FROM c_ok GROUP BY ALL),
+blocks AS (SELECT f.repo_id, f.flag_name,
+                  concat('FLAG ', f.flag_name, chr(10), 'REQUIRED FILES:', chr(10), f.files_txt, chr(10),
+                         'OCCURRENCES:', chr(10), o.occ_txt) AS block
+           FROM fl f JOIN oc o ON o.repo_id = f.repo_id AND o.flag_name = f.flag_name),
+prompts AS (SELECT b.repo_id, concat('BUSINESS CONTEXT:', chr(10), coalesce(trim(max(x.text), ' ' || chr(10)), ''),
+                                     chr(10), chr(10), 'CANDIDATES:', chr(10),
+                                     string_agg(b.block, chr(10) || chr(10) ORDER BY b.flag_name)) AS prompt
+            FROM blocks b LEFT JOIN ctx x ON x.repo_id = b.repo_id GROUP BY b.repo_id)
+SELECT repo_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, length(prompt) > 80000 AS too_long FROM prompts
+""")
 def prompt_table(spark, sf_dir):
     """Batch-inference inputs: one prompt per repo with candidates and context."""
     from flagtide.plans.discovery import prompt_table as build

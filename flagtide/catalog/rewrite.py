@@ -132,26 +132,53 @@ def target_independence(spark, sf_dir):
     return r.select("repo_id", "path", "final_state", "status", "updated_sha256")
 
 
-@query("unified_diff", oracle=None)
+# Diff sizes per template and state (3 header lines plus the one hunk's
+# context, removed and added lines), see FIXTURES.md 3.
+DIFF_BODY = """
+dl AS (
+  SELECT repo_id, flag_name, path,
+         CASE WHEN k = 0 THEN 10 WHEN k = 1 THEN 5 WHEN k = 2 AND final_state THEN 10 WHEN k = 2 THEN 9
+              WHEN k = 5 AND final_state THEN 7 WHEN k = 5 THEN 6 ELSE 7 END AS n_lines
+  FROM expected WHERE status = 'mutated'
+),
+budget AS (
+  SELECT *, sum(n_lines) OVER (PARTITION BY repo_id, flag_name ORDER BY path
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM dl
+)
+"""
+
+
+def _budget_oracle(limit: int) -> str:
+    return ORACLE_PREFIX + ", " + DIFF_BODY + f"""
+SELECT repo_id, flag_name, CAST(max(upto) AS BIGINT) AS n_lines,
+       CAST(least(max(upto), {limit}) + CASE WHEN max(upto) > {limit} THEN 1 ELSE 0 END AS INTEGER) AS n_report_lines
+FROM budget WHERE upto - n_lines <= {limit} GROUP BY repo_id, flag_name
+"""
+
+
+@query("unified_diff", oracle=ORACLE_PREFIX + ", " + DIFF_BODY + """
+SELECT repo_id, flag_name, path, CAST(n_lines AS INTEGER) AS n_lines, concat('--- a/', path) AS first_line FROM dl
+""")
 def unified_diff(spark, sf_dir):
     d = RW.file_diffs(rewritten(spark, sf_dir))
     return d.select("repo_id", "flag_name", "path", F.size("diff_lines").alias("n_lines"),
-                    F.array_join("diff_lines", "\n").alias("diff"))
+                    F.col("diff_lines")[0].alias("first_line"))
 
 
-@query("diff_budget", oracle=None)
+@query("diff_budget", oracle=_budget_oracle(12))
 def diff_budget(spark, sf_dir):
     """Per target diff under a 12-line budget (truncation marker when over)."""
     d = RW.file_diffs(rewritten(spark, sf_dir))
-    return O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12)
+    b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12)
+    return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
 
 
-@query("report_lines_limit", oracle=None)
+@query("report_lines_limit", oracle=_budget_oracle(5))
 def report_lines_limit(spark, sf_dir):
     """First 5 diff lines of every target (the report line limit)."""
     d = RW.file_diffs(rewritten(spark, sf_dir))
     b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=5)
-    return b.select("repo_id", "flag_name", F.size(F.split("diff", "\n")).alias("n_report_lines"))
+    return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
 
 
 @query("target_outcome", oracle=ORACLE_PREFIX + """
@@ -364,15 +391,33 @@ def pr_text(spark, sf_dir):
     return o.select("repo_id", "flag_name", *D.pr_text(F.col("flag_name"), paths)).drop("body")
 
 
-@query("prep_report", oracle=None)
+def _report_fields(rep, summary_field: str):
+    """Fields read back from each report document (the JSON is the output)."""
+    return rep.select(
+        "repo_id",
+        F.get_json_object("report", "$.mode").alias("mode"),
+        F.json_array_length(F.get_json_object("report", "$.outcomes")).alias("n_outcomes"),
+        F.get_json_object("report", f"$.summary.{summary_field}").cast("bigint").alias(summary_field),
+        F.get_json_object("report", "$.schema_version").cast("int").alias("schema_version"))
+
+
+@query("prep_report", oracle=ORACLE_PREFIX + """
+SELECT repo_id, 'dry_run' AS mode, CAST(count(*) AS INTEGER) AS n_outcomes,
+       CAST(count_if(status = 'prepared') AS BIGINT) AS prepared, 1 AS schema_version
+FROM outcome GROUP BY repo_id
+""")
 def prep_report(spark, sf_dir):
     o = outcomes(spark, sf_dir)
     d = O.diff_budget(RW.file_diffs(rewritten(spark, sf_dir)), ["repo_id", "flag_name"])
     rec = R.prep_report(o, d)
-    return R.repo_report(rec, R.prep_summary(o))
+    return _report_fields(R.repo_report(rec, R.prep_summary(o)), "prepared")
 
 
-@query("delivery_report", oracle=None)
+@query("delivery_report", oracle=_DELIVERY_ORACLE + """
+SELECT repo_id, 'delivery' AS mode, CAST(count(*) AS INTEGER) AS n_outcomes,
+       CAST(count_if(delivery_status IN ('ready', 'reused')) AS BIGINT) AS delivered_or_reused, 1 AS schema_version
+FROM d GROUP BY repo_id
+""")
 def delivery_report(spark, sf_dir):
     d = deliveries(spark, sf_dir)
     rec = d.select("repo_id", "flag_name", F.to_json(F.struct(
@@ -382,7 +427,7 @@ def delivery_report(spark, sf_dir):
             (F.col("delivery_status") == "reused").alias("reused_existing_pr"), F.col("pr_url").alias("url")))
         .alias("pull_request"),
         F.col("delivery_status").alias("status"))).alias("record"))
-    return R.repo_report(rec, R.delivery_summary(d), mode="delivery")
+    return _report_fields(R.repo_report(rec, R.delivery_summary(d), mode="delivery"), "delivered_or_reused")
 
 
 @query("sink_report", oracle=ORACLE_PREFIX + """
