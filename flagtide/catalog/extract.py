@@ -340,18 +340,17 @@ def used_names(spark, sf_dir):
 
 @query("discovery_audit", oracle=_CAND_ORACLE + """
 , allow AS (SELECT repo_id, CAST(count(DISTINCT path) AS BIGINT) AS n_allowlist FROM corpus GROUP BY repo_id)
-SELECT c.repo_id, string_agg(flag_name, ',' ORDER BY flag_name) AS candidate_flags,
-       max(a.n_allowlist) AS n_allowlist
-FROM cand c JOIN allow a ON a.repo_id = c.repo_id GROUP BY c.repo_id
+SELECT c.repo_id, c.flag_name, a.n_allowlist
+FROM cand c JOIN allow a ON a.repo_id = c.repo_id
 """)
 def discovery_audit(spark, sf_dir):
+    """Candidate flags per repository with the size of its allowlist, as rows
+    (a repository with very many flags never becomes one long list)."""
     files = _files(spark, sf_dir)
     c = _candidates(spark, sf_dir)
     allow = G.path_allowlist(files).where(F.col("error_code").isNull()).groupBy("repo_id").agg(
         F.countDistinct("path").alias("n_allowlist"))
-    return (c.groupBy("repo_id").agg(
-        F.array_join(F.array_sort(F.collect_list("flag_name")), ",").alias("candidate_flags"))
-        .join(allow, "repo_id"))
+    return c.select("repo_id", "flag_name").join(allow, "repo_id")
 
 
 @query("scan_tree", oracle=f"""
