@@ -291,7 +291,7 @@ def sink_file_changes(spark, sf_dir):
     r = rewritten(spark, sf_dir).where(F.col("status") == "mutated").select(
         "repo_id", "flag_name", "path", "updated_source", "original_sha256", "updated_sha256")
     out = R.output_root(spark) + "/file_changes"
-    R.write_table(r, out)
+    R.write_table(r.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(64))), out, partition_by=["bucket"])
     return spark.read.parquet(out).select("repo_id", "flag_name", "path", "updated_sha256")
 
 

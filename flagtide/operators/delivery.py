@@ -50,19 +50,26 @@ def delivery_status(outcomes: DataFrame, open_prs: DataFrame, branches: DataFram
     """Per target: ``not_prepared`` (its error or a default text), ``failed``
     (bad base, empty slug, branch exists without an open request, or no
     changed files), ``reused`` (an open request exists) or ``ready`` (new
-    work for the outbox). One failure never blocks other targets."""
+    work for the outbox). Prepared flags of one repository whose names give
+    the same branch (``A_B`` and ``A__B``) all fail rather than share a branch.
+    One failure never blocks other targets."""
     branch = tx.branch_name("flag_name")
     t = outcomes.withColumns({
         "branch_name": branch,
         "head": F.concat(F.col(owner_col), F.lit(":"), branch),
     })
     t = join_branch_conflict(join_open_pr(t, open_prs), branches)
+    # two flags of one repository with the same slug would share a branch
+    shared = (t.where(F.col("status") == "prepared").groupBy("repo_id", "branch_name")
+              .agg(F.count(F.lit(1)).alias("n_same_branch")))
+    t = t.join(shared, ["repo_id", "branch_name"], "left")
     prepared = F.col("status") == "prepared"
     n_files = F.coalesce(F.size("files"), F.lit(0))
     status = (F.when(~prepared, F.lit("not_prepared"))
               .when(F.col("base").isNull(), F.lit("failed"))
               .when(F.col("branch_name").isNull(), F.lit("failed"))
               .when(n_files == 0, F.lit("failed"))
+              .when(F.col("n_same_branch") > 1, F.lit("failed"))
               .when(F.col("pr.url").isNotNull(), F.lit("reused"))
               .when(F.col("branch_exists"), F.lit("failed"))
               .otherwise(F.lit("ready")))
@@ -71,6 +78,9 @@ def delivery_status(outcomes: DataFrame, open_prs: DataFrame, branches: DataFram
              .when(F.col("branch_name").isNull(),
                    F.lit("ValueError: flag_name does not contain characters usable in a branch."))
              .when(n_files == 0, F.lit("PipelineError: prepared target contains no changed files"))
+             .when(F.col("n_same_branch") > 1, F.concat(
+                 F.lit("SlugCollision: another flag of this repository maps to branch '"),
+                 F.col("branch_name"), F.lit("'")))
              .when(F.col("pr.url").isNull() & F.col("branch_exists"), F.concat(
                  F.lit("DeliveryConflictError: Branch '"), F.col("branch_name"),
                  F.lit("' already exists but has no open pull request."))))

@@ -62,6 +62,8 @@ def test_delivery_status(spark):
         ("r1", "OLD_UI", "prepared", None, [("b.py",)], "main", "org"),
         ("r1", "GONE_UI", "prepared", None, [("c.py",)], "main", "org"),
         ("r1", "BAD_UI", "no_changes", "nothing", [], "main", "org"),
+        ("r2", "A_B", "prepared", None, [("x.py",)], "main", "org"),
+        ("r2", "A__B", "prepared", None, [("y.py",)], "main", "org"),
     ], "repo_id string, flag_name string, status string, error string, files array<struct<path:string>>, "
        "base string, owner string")
     prs = spark.createDataFrame([("r1", "main", "org:remediation/remove-old-ui", "u", 7, "s")],
@@ -72,5 +74,5 @@ def test_delivery_status(spark):
     got = {r.flag_name: (r.delivery_status, r.commit_sha)
            for r in D.delivery_status(outcomes, prs, branches).collect()}
     assert got == {"NEW_UI": ("ready", None), "OLD_UI": ("reused", "s"), "GONE_UI": ("failed", None),
-                   "BAD_UI": ("not_prepared", None)}
+                   "BAD_UI": ("not_prepared", None), "A_B": ("failed", None), "A__B": ("failed", None)}
     _ = F
