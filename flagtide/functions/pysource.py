@@ -366,15 +366,17 @@ def _binding(alias: ast.alias, from_import: bool) -> str:
     return alias.name.split(".")[-1] if from_import else alias.name.split(".")[0]
 
 
-def clean_imports(text: str, tree: ast.Module | None = None) -> str:
+def clean_imports(text: str, tree: ast.Module | None = None,
+                  keep: set[str] | None = None) -> str:
     """Drop import aliases whose bound name is not used outside imports.
 
     ``from x import *`` and ``from __future__ import ...`` are always kept.
     An import left with no alias is removed; a block left empty gets ``pass``.
-    ``tree`` may pass the parse of ``text`` when the caller already has it.
+    ``tree`` may pass the parse of ``text`` when the caller already has it;
+    names in ``keep`` are treated as used.
     """
     tree = _parse(text) if tree is None else tree
-    used = used_names(tree)
+    used = used_names(tree) | (keep or set())
     doc = _Doc(text)
     parents = _parents(tree)
     edits: list[tuple[int, int, str]] = []
@@ -440,17 +442,25 @@ def _removal_edit(doc: _Doc, stmt, seq, pass_instead: bool) -> tuple[int, int, s
     return doc.end_of(prev), s_end, ""
 
 
-def rewrite_source(text: str, flag: str, state: bool) -> tuple[str, str, str | None]:
+def rewrite_source(text: str, flag: str, state: bool, scope: str = "all") -> tuple[str, str, str | None]:
     """Resolve ``flag`` in one file: ``(status, updated_text, error)``.
 
     status is ``mutated``, ``unchanged`` (cleanup skipped, text returned as
-    is) or ``failed`` (no partial output).
+    is) or ``failed`` (no partial output). ``scope="all"`` drops every unused
+    import of a changed file; ``scope="new"`` only those the change made
+    unused (imports that were already unused, e.g. for side effects, stay).
     """
     try:
         updated, tree = _apply_flag(text, flag, state)
         if updated == text:
             return "unchanged", text, None
-        cleaned = clean_imports(updated, tree)
+        keep = None
+        if scope == "new":
+            before = _parse(text)
+            keep = {_binding(a, isinstance(n, ast.ImportFrom))
+                    for n in ast.walk(before) if isinstance(n, (ast.Import, ast.ImportFrom))
+                    for a in n.names} - used_names(before)
+        cleaned = clean_imports(updated, tree, keep)
         if cleaned != updated:
             _parse(cleaned)  # the edited text must still be Python
         return "mutated", cleaned, None

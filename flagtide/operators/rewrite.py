@@ -22,11 +22,11 @@ REWRITE_TYPE = T.StructType([
 
 
 @F.pandas_udf(REWRITE_TYPE)
-def _rewrite(texts: pd.Series, flags: pd.Series, states: pd.Series) -> pd.DataFrame:
+def _rewrite(texts: pd.Series, flags: pd.Series, states: pd.Series, scopes: pd.Series) -> pd.DataFrame:
     from flagtide.functions.pysource import rewrite_source
 
-    out = [rewrite_source(t, f, bool(s)) if t is not None and f is not None else (None, None, None)
-           for t, f, s in zip(texts, flags, states)]
+    out = [rewrite_source(t, f, bool(s), c) if t is not None and f is not None else (None, None, None)
+           for t, f, s, c in zip(texts, flags, states, scopes)]
     return pd.DataFrame(out, columns=["status", "updated", "error"])
 
 
@@ -66,14 +66,16 @@ def used_names_table(files: DataFrame) -> DataFrame:
     return d.select("repo_id", "path", F.explode(_used_names("text")).alias("name"))
 
 
-def rewrite_files(targets: DataFrame, files: DataFrame) -> DataFrame:
+def rewrite_files(targets: DataFrame, files: DataFrame, import_scope: str = "all") -> DataFrame:
     """One row per (repo, flag, path) target file.
 
     ``targets``: ``repo_id, flag_name, final_state, path``;
     ``files``: ``repo_id, path, content`` (only targeted files are read: the
     join is on the file key, so each body is shipped once per target).
     Out: status ``mutated``/``unchanged``/``failed``, error, updated text and
-    bytes, and both SHA-256 hashes.
+    bytes, and both SHA-256 hashes. ``import_scope``: ``all`` (drop every
+    unused import of a changed file) or ``new`` (only those the change made
+    unused).
     """
     # Hash the targets on the file key first: the Python stage then runs as
     # wide as the shuffle, whatever the layout of the targets table, and the
@@ -82,7 +84,8 @@ def rewrite_files(targets: DataFrame, files: DataFrame) -> DataFrame:
     targets = targets.repartition(n, "repo_id", "path")
     j = targets.join(files.select("repo_id", "path", "content"), ["repo_id", "path"], "left")
     d = decode_source(j)
-    res = F.when(F.col("text").isNotNull(), _rewrite(F.col("text"), F.col("flag_name"), F.col("final_state")))
+    res = F.when(F.col("text").isNotNull(), _rewrite(F.col("text"), F.col("flag_name"), F.col("final_state"),
+                                                      F.lit(import_scope)))
     d = d.withColumn("r", res)
     status = (F.when(F.col("content").isNull(), F.lit("failed"))
               .when(F.col("decode_error").isNotNull(), F.lit("failed"))

@@ -137,3 +137,9 @@ def test_find_guards_rules():
 def test_syntax_error_is_raised_not_skipped():
     with pytest.raises(SyntaxError):
         find_guards("if:\n")
+
+
+def test_import_scope_new_keeps_side_effect_imports():
+    source = "import side_effect\nfrom m import a, b\nif FLAG_A:\n    a()\nelse:\n    b()\n"
+    assert rewrite_source(source, "FLAG_A", True)[1] == "from m import a\na()\n"
+    assert rewrite_source(source, "FLAG_A", True, scope="new")[1] == "import side_effect\nfrom m import a\na()\n"
