@@ -101,15 +101,18 @@ class Extraction:
 
 
 def parse_files(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Per file: size check, decode, parse. Keeps ``text`` next to the result so
-    snippets are cut natively without a second pass over the files."""
+    """Per file, in one pass: size check, decode, parse. Oversize files are
+    neither decoded nor parsed (their text is null). ``text`` stays next to
+    the result so snippets are cut natively without a second pass."""
     size = F.coalesce(F.col("size"), F.length("content").cast("bigint"))
     sized = files.select("repo_id", "path", size.alias("size"), "content")
-    decoded = decode_source(sized.where(F.col("size") <= max_file_bytes))
-    parsed = decoded.select(
-        "repo_id", "path", "text", "decode_error",
-        F.when(F.col("text").isNotNull(), _parse_guards(F.col("text"))).alias("parsed"))
-    return parsed
+    decoded = decode_source(sized)
+    fits = F.col("size") <= max_file_bytes
+    text = F.when(fits, F.col("text"))
+    return decoded.select(
+        "repo_id", "path", "size", text.alias("text"),
+        F.when(fits, F.col("decode_error")).alias("decode_error"),
+        F.when(text.isNotNull(), _parse_guards(text)).alias("parsed"))
 
 
 def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
@@ -117,11 +120,7 @@ def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
                   max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """One row per file: its guards (with snippets cut natively from the text)
     or the stage and message of the problem (oversize, decode, parse)."""
-    size = F.coalesce(F.col("size"), F.length("content").cast("bigint"))
     empty = F.array().cast("array<struct<flag_name:string,kind:string,line:int,snippet:string>>")
-    oversize = files.where(size > max_file_bytes).select(
-        "repo_id", "path", empty.alias("guards"), F.lit("oversize").alias("stage"),
-        F.format_string("file is %d bytes; limit is %d", size, F.lit(max_file_bytes)).alias("error"))
     parsed = parse_files(files, max_file_bytes)
     # split once per file; the lambda below reads the column
     parsed = parsed.withColumn("lines", F.when(F.size("parsed.guards") > 0, tx.split_lines(F.col("text"))))
@@ -130,12 +129,16 @@ def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
         g["flag_name"].alias("flag_name"), g["kind"].alias("kind"), g["line"].alias("line"),
         tx.guard_snippet(lines, g["line"], g["end_line"], context_lines,
                          max_snippet_chars).alias("snippet")))
-    stage = (F.when(F.col("decode_error").isNotNull(), F.lit("decode"))
+    oversize = F.col("size") > max_file_bytes
+    stage = (F.when(oversize, F.lit("oversize"))
+             .when(F.col("decode_error").isNotNull(), F.lit("decode"))
              .when(F.col("parsed.error").isNotNull(), F.lit("parse")))
-    per_file = parsed.select(
+    error = F.when(oversize, F.format_string("file is %d bytes; limit is %d", F.col("size"),
+                                             F.lit(max_file_bytes))) \
+        .otherwise(F.coalesce("decode_error", "parsed.error"))
+    return parsed.select(
         "repo_id", "path", F.when(stage.isNull(), guards).otherwise(empty).alias("guards"),
-        stage.alias("stage"), F.coalesce("decode_error", "parsed.error").alias("error"))
-    return oversize.unionByName(per_file)
+        stage.alias("stage"), error.alias("error"))
 
 
 def extraction_of(per_file: DataFrame) -> Extraction:
