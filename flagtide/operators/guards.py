@@ -166,19 +166,12 @@ def occurrence_limit(occurrences: DataFrame, limit: int = MAX_OCCURRENCES_PER_FL
     return occurrence_counts(occurrences).where(F.col("n_occurrences") > limit)
 
 
-# A key set is broadcast only below this many rows (checked with a count).
-BROADCAST_KEYS_MAX = 2_000_000
-
-
 def _drop_keys(rows: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
-    """Left-anti join against a key set: broadcast when its size is checked to
-    be small, otherwise a shuffled anti join (AQE splits skewed partitions)."""
-    n = keys_df.count()
-    if n == 0:
-        return rows
-    if n <= BROADCAST_KEYS_MAX:
-        return rows.join(F.broadcast(keys_df.select(*on)), on, "left_anti")
-    return rows.join(keys_df.select(*on), on, "left_anti")
+    """Left-anti join against a key set (broadcast when checked small, salted
+    shuffle otherwise; see ``operators.skew``)."""
+    from flagtide.operators.skew import join_per_key
+
+    return join_per_key(rows, keys_df.select(*on), on, "left_anti")
 
 
 def group_candidates(occurrences: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,

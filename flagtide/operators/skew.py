@@ -1,0 +1,34 @@
+"""Joining a wide row table to a table with one row per key, whatever the skew.
+
+A key may hold a third of all rows. When the per-key side is checked to be
+small it is broadcast (no shuffle of the rows at all); otherwise both sides
+are salted: each row gets one of ``SALT_BUCKETS`` salts from a hash of its
+own columns, and each key row is repeated once per salt, so a hot key is
+spread over ``SALT_BUCKETS`` tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A per-key table is broadcast only below this many rows (checked with a count).
+BROADCAST_KEYS_MAX = 2_000_000
+SALT_BUCKETS = 32
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "left",
+                 broadcast_max: int | None = None, buckets: int | None = None) -> DataFrame:
+    """``rows`` joined (``left``, ``left_anti`` or ``left_semi``) to ``per_key``
+    (at most one row per key)."""
+    broadcast_max = BROADCAST_KEYS_MAX if broadcast_max is None else broadcast_max
+    buckets = SALT_BUCKETS if buckets is None else buckets
+    n = per_key.count()
+    if n == 0 and how == "left_anti":
+        return rows
+    if n <= broadcast_max:
+        return rows.join(F.broadcast(per_key), on, how)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(buckets))
+    salted_rows = rows.withColumn("_salt", salt)
+    salted_keys = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    return salted_rows.join(salted_keys, on + ["_salt"], how).drop("_salt")

@@ -99,3 +99,26 @@ def test_tree_data_source(spark, tmp_path):
     got = sorted((r.repo_id, r.path, r.size) for r in df.collect())
     assert got == [("r1", ".hidden.py", 6), ("r1", "__init__.py", 0), ("r1", "app.py", 21),
                    ("r1", "pkg/sub/m.py", 6), ("r2", "lib/l.py", 2)]
+
+
+def test_salted_anti_join_fallback_is_exact(spark, monkeypatch):
+    from flagtide.operators import skew
+
+    monkeypatch.setattr(skew, "BROADCAST_KEYS_MAX", 0)
+    body = "".join(f"if HOT_FLAG:\n    a{i}()\n" for i in range(60))
+    files = files_df(spark, [("r1", f"h{j}.py", body) for j in range(3)] + [("r1", "c.py", "if COLD_FLAG:\n    b()\n")])
+    occ = G.extract(files).occurrences
+    grouped = G.group_candidates(occ, 50).collect()
+    assert [(r.flag_name, r.n_occurrences) for r in grouped] == [("COLD_FLAG", 1)]
+
+
+def test_salted_gate_matches_broadcast(spark, monkeypatch):
+    from flagtide.operators import rewrite as RW
+    from flagtide.operators import skew
+
+    rows = spark.createDataFrame([(k % 3, i, i % 7 == 0) for i, k in enumerate(range(300))],
+                                 "g int, i int, bad boolean")
+    want = sorted(RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect())
+    monkeypatch.setattr(skew, "BROADCAST_KEYS_MAX", 0)
+    got = sorted(RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect())
+    assert got == want and len(got) == 300
