@@ -214,7 +214,7 @@ def discover_candidates(files: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
     occ, errors = ex.occurrences, ex.errors
     cands = group_candidates(occ, limit)
     if strict:
-        cands = cands.join(failed_repos(errors, occ, limit), "repo_id", "left_anti")
+        cands = _drop_keys(cands, failed_repos(errors, occ, limit), ["repo_id"])
     over = occurrence_limit(occ, limit).select(
         "repo_id", F.lit(None).cast("string").alias("path"), F.lit("occurrence_limit").alias("stage"),
         F.format_string("flag %s exceeds the occurrence limit of %d", "flag_name",

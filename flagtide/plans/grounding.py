@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flagtide.operators.skew import join_per_key
+
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 ANCHOR_WORDS = 3
 # A key set is broadcast only when its row count is at most this.
@@ -66,7 +68,9 @@ def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_co
         # only (text id, anchor) rows are exploded; text bodies stay in the scan
         text_keys = text_words.select(text_id, F.explode(F.array_distinct(
             _grams(words, n) if n > 1 else words)).alias("anchor"))
-        pairs = text_keys.join(_maybe_broadcast(anchors), "anchor").select(text_id, quote_id, quote_col)
+        # anchors broadcast when checked small, else salted (a common 3-gram
+        # can be a hot key on the text side)
+        pairs = join_per_key(text_keys, anchors, ["anchor"], "inner").select(text_id, quote_id, quote_col)
         # candidate pairs are few: they go to the texts, not the texts to them
         confirmed = texts.select(text_id, text_col).join(_maybe_broadcast(pairs), text_id)
         results.append(confirmed.where(F.instr(F.col(text_col), F.col(quote_col)) > 0)
