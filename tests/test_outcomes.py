@@ -76,3 +76,16 @@ def test_delivery_status(spark):
     assert got == {"NEW_UI": ("ready", None), "OLD_UI": ("reused", "s"), "GONE_UI": ("failed", None),
                    "BAD_UI": ("not_prepared", None), "A_B": ("failed", None), "A__B": ("failed", None)}
     _ = F
+
+
+def test_bom_and_crlf_survive_the_rewrite(spark):
+    files = spark.createDataFrame([("r", "a.py", b"\xef\xbb\xbfif OLD_FLAG:\r\n    a()\r\nb()\r\n")],
+                                  "repo_id string, path string, content binary")
+    targets = spark.createDataFrame([("r", "OLD_FLAG", True, "a.py")],
+                                    "repo_id string, flag_name string, final_state boolean, path string")
+    row = RW.rewrite_files(targets, files).collect()[0]
+    assert row.status == "mutated" and row.had_bom
+    assert bytes(row.updated_bytes) == b"\xef\xbb\xbfa()\r\nb()\r\n"
+    import hashlib
+    assert row.original_sha256 == hashlib.sha256(b"\xef\xbb\xbfif OLD_FLAG:\r\n    a()\r\nb()\r\n").hexdigest()
+    assert row.updated_sha256 == hashlib.sha256(b"\xef\xbb\xbfa()\r\nb()\r\n").hexdigest()

@@ -125,3 +125,16 @@ def test_attempt_limit_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([("a", i, "invalid", "e") for i in range(10)], "k string, n int, outcome string, err string")
     plan = V.resolve_attempts(df, "k", ["n"], "outcome", "err", 2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_repository_quote_may_span_two_snippets(spark):
+    cands = spark.createDataFrame(
+        [("r1", "OLD_FLAG", ["a.py", "b.py"], [("a.py", 1, "if_statement", "   1: if OLD_FLAG:"),
+                                               ("b.py", 3, "if_statement", "   3: if OLD_FLAG:")])],
+        "repo_id string, flag_name string, files array<string>, "
+        "occurrences array<struct<file_path:string,line:int,kind:string,snippet:string>>")
+    _, _, ctx = facts(spark)
+    evidence = [_ev(), _ev(source="repository", quote="if OLD_FLAG:\n   3: if"), _ev(source="repository", quote="nope")]
+    _, t = V.parse_plans(attempts_df(spark, [{"targets": [_target(files=("a.py", "b.py"), evidence=evidence)]}]))
+    bad = [(r.ev_ordinal, r.quote) for r in V.join_evidence_grounding(t, ctx, cands).collect()]
+    assert bad == [(3, "nope")]
