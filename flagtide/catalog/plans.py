@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flagtide.catalog.extract import PLANTED_GUARDS_SQL, _candidates, _files
-from flagtide.functions import text as tx
 from flagtide.operators import guards as G
 from flagtide.plans import validate as V
 from flagtide.registry import query
@@ -70,7 +69,6 @@ def plan_attempts(spark, sf_dir):
     repo % 29 = 0); repos with repo % 3 = 0 get a clean attempt 2 built from the
     candidates; attempt 1 of repo % 31 = 0 did not complete."""
     p = proposals(spark, sf_dir)
-    ctx = contexts(spark, sf_dir)
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("repo_id"), "c_name")
     seed = _target_seed()
@@ -106,7 +104,6 @@ def plan_attempts(spark, sf_dir):
           .agg(F.array_sort(F.collect_list("t")).alias("targets"))
           .select("repo_id", F.lit(2).alias("attempt"), F.lit("completed").alias("status"),
                   F.lit(None).cast("string").alias("error"), F.to_json(F.struct("targets")).alias("payload")))
-    _ = ctx
     return a1.unionByName(a2)
 
 
@@ -555,5 +552,3 @@ def prompt_table(spark, sf_dir):
     return build(_candidates(spark, sf_dir), contexts(spark, sf_dir)).select(
         "repo_id", "prompt_chars", "too_long")
 
-
-_ = (tx,)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flagtide.functions import text as tx
 
 SCHEMA_VERSION = 1
 
@@ -89,5 +88,3 @@ def output_root(spark) -> str:
     from flagtide.session import ensure_checkpoint_dir
     return ensure_checkpoint_dir(spark).rstrip("/") + "/outputs"
 
-
-_ = tx

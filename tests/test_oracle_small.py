@@ -1,7 +1,5 @@
 """Registered queries against their DuckDB oracles on the smallest fixture."""
 
-import math
-
 import duckdb
 import pytest
 
@@ -40,7 +38,6 @@ def test_query_matches_oracle(spark, con, name):
     d_cols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(d_cols)
     assert _rows(df.columns, df.collect()) == _rows(d_cols, res.fetchall())
-    _ = math
 
 
 def test_every_query_has_a_callable():

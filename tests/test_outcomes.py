@@ -1,7 +1,5 @@
 """Statuses, gates, diff budgets and delivery on small tables."""
 
-from pyspark.sql import functions as F
-
 from flagtide.operators import delivery as D
 from flagtide.operators import outcomes as O
 from flagtide.operators import rewrite as RW
@@ -75,7 +73,6 @@ def test_delivery_status(spark):
            for r in D.delivery_status(outcomes, prs, branches).collect()}
     assert got == {"NEW_UI": ("ready", None), "OLD_UI": ("reused", "s"), "GONE_UI": ("failed", None),
                    "BAD_UI": ("not_prepared", None), "A_B": ("failed", None), "A__B": ("failed", None)}
-    _ = F
 
 
 def test_bom_and_crlf_survive_the_rewrite(spark):

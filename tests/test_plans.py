@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from flagtide.plans import validate as V
 from flagtide.plans.grounding import quotes_in_texts
 
@@ -107,7 +105,6 @@ def test_keyless_grounding_is_exact(spark):
               (13, "alpha beta gamma delta epsilon zeta"), (14, "gamma  delta")]
     brute = sorted((q, t) for q, qs in rows_q for t, ts in rows_t if qs in ts)
     assert got == brute
-    _ = F
 
 
 def test_prompt_length_is_counted_before_assembly(spark):
