@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flagtide.functions import text as tx
 from flagtide.operators import guards as G
 from flagtide.registry import query
-from flagtide.sources.tables import CORPUS_SQL, generated_source_files, read_table
+from flagtide.sources.tables import CORPUS_SQL, generated_source_files, read_table, shared_sql
 
 # Directory trees planted from order columns: ignored, hidden and normal
 # folders, hidden files, upper-case suffixes. Same SQL in Spark and DuckDB.
@@ -57,8 +57,7 @@ def _files(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").createOrReplaceTempView("orders")
-    return spark.sql(PATHS_SQL)
+    return shared_sql(spark, PATHS_SQL, sf_dir)
 
 
 @query("scan_sources", oracle=f"""
@@ -138,8 +137,7 @@ WITH f AS ({_FLAG_FEED})
 SELECT p_partkey, candidate, regexp_full_match(candidate, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') AS is_flag FROM f
 """)
 def is_flag_name(spark, sf_dir):
-    read_table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_FLAG_FEED).select("p_partkey", "candidate", tx.is_flag_name("candidate").alias("is_flag"))
+    return shared_sql(spark, _FLAG_FEED, sf_dir, ["part"]).select("p_partkey", "candidate", tx.is_flag_name("candidate").alias("is_flag"))
 
 
 @query("extract_guards", oracle=f"""

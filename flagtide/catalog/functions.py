@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flagtide.functions import text as tx
 from flagtide.operators import outcomes as O
 from flagtide.registry import query
-from flagtide.sources.tables import read_table
+from flagtide.sources.tables import read_table, shared_sql
 
 WS = tx.WS_CLASS
 
@@ -41,9 +41,8 @@ c AS (
 SELECT page_id, CASE WHEN error_code IS NULL THEN p END AS path, error_code FROM c
 """)
 def normalize_path(spark, sf_dir):
-    read_table(spark, sf_dir, "pages").select("page_id", "url").createOrReplaceTempView("pages")
     n = tx.normalize_path(F.col("raw"))
-    return spark.sql(PAGE_PATHS_SQL).select("page_id", n["path"].alias("path"), n["error_code"].alias("error_code"))
+    return shared_sql(spark, PAGE_PATHS_SQL, sf_dir, ["pages"]).select("page_id", n["path"].alias("path"), n["error_code"].alias("error_code"))
 
 
 _BRANCH_FEED = """
@@ -63,8 +62,7 @@ s2 AS (SELECT p_partkey, regexp_replace(left(regexp_replace(s, '^-+|-+\\z', '',
 SELECT p_partkey, CASE WHEN s <> '' THEN concat('remediation/remove-', s) END AS branch FROM s2
 """)
 def branch_name(spark, sf_dir):
-    read_table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_BRANCH_FEED).select("p_partkey", tx.branch_name("flag").alias("branch"))
+    return shared_sql(spark, _BRANCH_FEED, sf_dir, ["part"]).select("p_partkey", tx.branch_name("flag").alias("branch"))
 
 
 @query("content_hash", oracle="""
@@ -88,8 +86,7 @@ WITH f AS ({_REPO_FEED})
 SELECT c_custkey, regexp_full_match(repo, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') AS valid FROM f
 """)
 def repo_name_check(spark, sf_dir):
-    read_table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    return spark.sql(_REPO_FEED).select("c_custkey", tx.repo_name_ok("repo").alias("valid"))
+    return shared_sql(spark, _REPO_FEED, sf_dir, ["customer"]).select("c_custkey", tx.repo_name_ok("repo").alias("valid"))
 
 
 RAW_RUNS_SQL = """
@@ -118,8 +115,7 @@ SELECT o_orderkey,
 FROM r
 """)
 def classify_run(spark, sf_dir):
-    read_table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    runs = spark.sql(RAW_RUNS_SQL)
+    runs = shared_sql(spark, RAW_RUNS_SQL, sf_dir)
     return O.classify_runs(runs).select("o_orderkey", "passed", "returncode", "timed_out", "output")
 
 
@@ -139,8 +135,7 @@ SELECT o_orderkey, CASE WHEN b <> '' THEN b END AS base,
 FROM r
 """)
 def base_branch(spark, sf_dir):
-    read_table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    f = spark.sql(_BASE_FEED)
+    f = shared_sql(spark, _BASE_FEED, sf_dir)
     from flagtide.operators.delivery import base_branch as resolve
     return f.select("o_orderkey", *resolve("override", "default_branch"))
 

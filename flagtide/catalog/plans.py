@@ -9,7 +9,7 @@ from flagtide.catalog.extract import PLANTED_GUARDS_SQL, _candidates, _files
 from flagtide.operators import guards as G
 from flagtide.plans import validate as V
 from flagtide.registry import query
-from flagtide.sources.tables import CORPUS_SQL, read_table
+from flagtide.sources.tables import CORPUS_SQL, read_table, shared_sql
 
 # Proposed files per (repo, flag), planted from the corpus with faults chosen
 # by o_orderkey % 13: 1 path outside the allowlist, 2 file omitted, 3 unknown
@@ -40,22 +40,13 @@ FROM customer
 """
 
 
-def _register(spark, sf_dir):
-    read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").createOrReplaceTempView("orders")
-    read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_mktsegment").createOrReplaceTempView("customer")
-
-
 def proposals(spark, sf_dir):
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {PROPOSALS_BODY} "
-                     "SELECT repo_id, flag_name, raw_path, o_orderkey FROM proposal")
+    return shared_sql(spark, f"WITH corpus AS ({CORPUS_SQL}), {PROPOSALS_BODY} "
+                      "SELECT repo_id, flag_name, raw_path, o_orderkey FROM proposal", sf_dir)
 
 
 def contexts(spark, sf_dir):
-    _register(spark, sf_dir)
-    return spark.sql(CONTEXT_SQL)
+    return shared_sql(spark, CONTEXT_SQL, sf_dir, ["customer"])
 
 
 def _target_seed(col_repo="repo_id", col_flag="flag_name"):

@@ -12,7 +12,7 @@ from flagtide.operators import outcomes as O
 from flagtide.operators import report as R
 from flagtide.operators import rewrite as RW
 from flagtide.registry import query
-from flagtide.sources.tables import CORPUS_SQL, read_table
+from flagtide.sources.tables import CORPUS_SQL, read_table, shared_sql
 
 # One target row per corpus file: its flag, state true for o_orderkey % 3 = 0.
 TARGETS_BODY = """
@@ -56,21 +56,18 @@ outcome AS (
 ORACLE_PREFIX = f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY}, {EXPECTED_BODY}"
 
 
-def _register(spark, sf_dir):
-    read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").createOrReplaceTempView("orders")
+def _sql(spark, sf_dir, sql):
+    return shared_sql(spark, sql, sf_dir)
 
 
 def targets(spark, sf_dir):
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
-                     "SELECT repo_id, flag_name, final_state, path FROM t")
+    return _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
+                "SELECT repo_id, flag_name, final_state, path FROM t")
 
 
 def validation_runs(spark, sf_dir):
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
-                     "SELECT repo_id, flag_name, passed, CAST(NULL AS STRING) AS output FROM runs")
+    return _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} "
+                "SELECT repo_id, flag_name, passed, CAST(NULL AS STRING) AS output FROM runs")
 
 
 def rewritten(spark, sf_dir):
@@ -125,8 +122,7 @@ SELECT repo_id, path, final_state, status, sha256(updated) AS updated_sha256 FRO
 """)
 def target_independence(spark, sf_dir):
     """Every file resolved both ways; every result starts from the original bytes."""
-    _register(spark, sf_dir)
-    t = spark.sql(f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, path FROM corpus")
+    t = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, path FROM corpus")
     both = t.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("final_state"))
     r = RW.rewrite_files(both, _files(spark, sf_dir))
     return r.select("repo_id", "path", "final_state", "status", "updated_sha256")
@@ -206,9 +202,8 @@ FROM corpus
 """)
 def join_targets_files(spark, sf_dir):
     """Targets joined to file bodies; every 23rd names a file that does not exist."""
-    _register(spark, sf_dir)
-    t = spark.sql(f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, "
-                  "CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path FROM corpus")
+    t = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, "
+             "CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path FROM corpus")
     f = _files(spark, sf_dir).select("repo_id", "path", F.lit(True).alias("found"))
     return t.join(f, ["repo_id", "path"], "left").select(
         "repo_id", "flag_name", "path", F.coalesce("found", F.lit(False)).alias("found"))
@@ -220,8 +215,7 @@ SELECT repo_id, path, o_orderkey % 10 = 0 AS vanished FROM corpus WHERE o_orderk
 """)
 def join_stale_snapshot(spark, sf_dir):
     """Snapshot hashes vs current files: every 9th changed, every 10th removed."""
-    _register(spark, sf_dir)
-    corpus = spark.sql(CORPUS_SQL)
+    corpus = _sql(spark, sf_dir, CORPUS_SQL)
     snap = corpus.select("repo_id", "path", F.sha2(F.encode("source", "UTF-8"), 256).alias("sha256"))
     cur = corpus.where(F.col("o_orderkey") % 10 != 0).select(
         "repo_id", "path", F.sha2(F.encode(F.when(F.col("o_orderkey") % 9 == 0, F.concat("source", F.lit("#")))
@@ -311,9 +305,8 @@ br AS (SELECT DISTINCT repo_id, concat('remediation/remove-', replace(lower(flag
 def _delivery_inputs(spark, sf_dir):
     """Outcomes with owner and base branch (blank override for repo % 13 = 0),
     open requests and existing branches."""
-    _register(spark, sf_dir)
-    prs = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM prs")
-    br = spark.sql(f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM br")
+    prs = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM prs")
+    br = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}), {DELIVERY_FEEDS} SELECT * FROM br")
     o = outcomes(spark, sf_dir)
     rid = F.col("repo_id").cast("bigint")
     base, _ = D.base_branch(F.when(rid % 13 == 0, F.lit("  ")), F.lit("main"))

@@ -39,17 +39,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+def shared_sql(spark: SparkSession, sql: str, sf_dir: str, tables=("orders",)) -> DataFrame:
+    """Run SQL written against the driver table names (the same text DuckDB
+    runs) without touching the caller's views: each named table is bound as a
+    CTE over a private temp view of its parquet file; Catalyst still prunes
+    columns and pushes filters into the scan."""
+    import hashlib
+
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+    ctes = []
+    for name in tables:
+        view = f"_flagtide_{name}_{tag}"
+        read_table(spark, sf_dir, name).createOrReplaceTempView(view)
+        ctes.append(f"{name} AS (SELECT * FROM {view})")
+    body = sql.strip()
+    if body[:4].upper() == "WITH":
+        return spark.sql("WITH " + ", ".join(ctes) + ", " + body[4:].lstrip())
+    return spark.sql("WITH " + ", ".join(ctes) + " " + body)
 
 
 def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo_id, path, flag, k, o_orderkey, source)`` from ``orders``."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    orders.createOrReplaceTempView("orders")
-    return spark.sql(CORPUS_SQL)
+    return shared_sql(spark, CORPUS_SQL, sf_dir)
 
 
 def generated_source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
