@@ -65,6 +65,8 @@ def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_co
     results = []
     for n in (ANCHOR_WORDS, 1):
         anchors = q.where(F.col("anchor_n") == n).select(quote_id, quote_col, "anchor")
+        if anchors.isEmpty():
+            continue  # no text needs exploding for an anchor class nobody uses
         # only (text id, anchor) rows are exploded; text bodies stay in the scan
         text_keys = text_words.select(text_id, F.explode(F.array_distinct(
             _grams(words, n) if n > 1 else words)).alias("anchor"))
@@ -83,6 +85,10 @@ def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_co
         pairs = texts.select(text_id, text_col).join(
             F.broadcast(short), F.instr(F.col(text_col), F.col(quote_col)) > 0)
         results.append(pairs.select(quote_id, text_id))
+    if not results:  # no quotes at all
+        from pyspark.sql.types import StructType
+        schema = StructType([quotes.schema[quote_id], texts.schema[text_id]])
+        return quotes.sparkSession.createDataFrame([], schema)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

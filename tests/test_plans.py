@@ -135,3 +135,10 @@ def test_repository_quote_may_span_two_snippets(spark):
     _, t = V.parse_plans(attempts_df(spark, [{"targets": [_target(files=("a.py", "b.py"), evidence=evidence)]}]))
     bad = [(r.ev_ordinal, r.quote) for r in V.join_evidence_grounding(t, ctx, cands).collect()]
     assert bad == [(3, "nope")]
+
+
+def test_grounding_with_no_quotes(spark):
+    texts = spark.createDataFrame([(1, "alpha beta")], "tid int, text string")
+    quotes = spark.createDataFrame([], "qid int, quote string")
+    out = quotes_in_texts(quotes, texts, "qid", "quote", "tid", "text")
+    assert out.columns == ["qid", "tid"] and out.count() == 0
