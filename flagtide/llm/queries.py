@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import exact_dedup, packing
+from flagtide.llm import exact_dedup, packing, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -27,3 +27,23 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+# DuckDB has SHA-1 in hexadecimal and base64 but no base32: five bits at a time
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM h)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (('0x' || substr(hex || '0000', 1 + CAST(i * 5 // 4 AS INTEGER), 2))::INTEGER
+         >> CAST(3 - (i * 5) % 4 AS INTEGER)) % 32, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM w
+"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
