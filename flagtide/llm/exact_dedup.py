@@ -36,7 +36,9 @@ def fold(spark: SparkSession, fingerprint_path: str, state_path: str) -> None:
     the entry with the largest id and the number of rows, per digest."""
     schema = spark.read.parquet(fingerprint_path).schema
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
-                  spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="4"):
+                  spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="4",
+                  # else every state partition reserves megabytes of disk in advance
+                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         stream = spark.readStream.schema(schema).parquet(fingerprint_path)
         state = stream.groupBy("digest").agg(
             F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("n"))
