@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import exact_dedup, packing, toxicity, warc
+from flagtide.llm import exact_dedup, minhash, packing, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -53,3 +53,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_minhash_inverted_join")
+def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, least=85))
