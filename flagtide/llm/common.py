@@ -48,3 +48,24 @@ def settings(spark: SparkSession, **conf: str):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def key_filter(df: DataFrame, column: str, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``keys`` (or, with
+    ``inside`` false, the others), told by a bitmap of hashed keys.
+
+    The bitmap is broadcast: 16 bits to a key and 64 MB at most, whatever the
+    number of keys. Rows wrongly let through are left to the join that follows,
+    so beyond that size only the saving is lost, never a row.
+    """
+    bits = 1 << min(29, max(18, (16 * max(1, keys.count())).bit_length()))
+    page = 1 << 15
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    pages = keys.where(F.col(key).isNotNull()).select(at(key).alias("at")).groupBy(
+        F.floor(F.col("at") / page).alias("__ft_page")).agg(F.bitmap_construct_agg(F.col("at") % page).alias("__ft_map"))
+    found = df.withColumn("__ft_at", at(column)).withColumn("__ft_page", F.floor(F.col("__ft_at") / page))
+    found = found.join(F.broadcast(pages), "__ft_page", "left")
+    bit = (F.col("__ft_at") % page).cast("int")
+    byte = F.conv(F.hex(F.substring("__ft_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    return found.where(hit if inside else ~hit).select(*df.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import exact_dedup, minhash, packing, toxicity, warc
+from flagtide.llm import exact_dedup, minhash, packing, suffix_dedup, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -58,3 +58,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minhash_inverted_join")
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, least=85))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
