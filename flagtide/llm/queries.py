@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import exact_dedup, minhash, packing, suffix_dedup, toxicity, warc
+from flagtide.llm import embedding_dedup, exact_dedup, minhash, packing, suffix_dedup, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -64,3 +64,8 @@ def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_embedding_collisions")
+def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
