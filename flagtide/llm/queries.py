@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import embedding_dedup, exact_dedup, minhash, packing, suffix_dedup, toxicity, warc
+from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, minhash, packing, suffix_dedup, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -69,3 +69,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_embedding_collisions")
 def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "kept_sha256")
