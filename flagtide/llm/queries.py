@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, minhash, packing, suffix_dedup, toxicity, warc
+from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, minhash, packing, sentencepiece_viterbi, suffix_dedup, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -75,3 +75,8 @@ def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+@query("op4_sentencepiece_viterbi")
+def op4_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), with_ids=False)
