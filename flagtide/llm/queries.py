@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, minhash, packing, sentencepiece_viterbi, suffix_dedup, toxicity, warc
+from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, lm_score, minhash, packing, sentencepiece_viterbi, suffix_dedup, toxicity, warc
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -80,3 +80,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_sentencepiece_viterbi")
 def op4_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op9_pseudo_likelihood")
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
