@@ -69,3 +69,12 @@ def key_filter(df: DataFrame, column: str, keys: DataFrame, key: str, inside: bo
     byte = F.conv(F.hex(F.substring("__ft_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
     return found.where(hit if inside else ~hit).select(*df.columns)
+
+
+def without_rows(keyed: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``keyed`` (with a column __ft_key) without the rows whose id and key are in
+    ``gone`` (__ft_id, __ft_gone; a written table)."""
+    rest = key_filter(keyed, "__ft_key", gone, "__ft_gone", inside=False)
+    maybe = key_filter(keyed, "__ft_key", gone, "__ft_gone")
+    same = F.col(id_col).eqNullSafe(F.col("__ft_id")) & (F.col("__ft_key") == F.col("__ft_gone"))
+    return rest.unionByName(maybe.join(gone, same, "left_anti"))

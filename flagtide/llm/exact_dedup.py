@@ -14,8 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flagtide.llm.common import ascii_lower, settings, shared_folder
-from flagtide.session import ensure_checkpoint_dir
+from flagtide.llm.common import ascii_lower, settings, shared_folder, without_rows, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,9 +25,15 @@ def sha256_digest(text: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  digest=sha256_digest) -> DataFrame:
-    """doc_id, digest and locator (the file the row was read from, may be empty)."""
+    """doc_id, digest, locator (the file the row was read from, may be empty) and
+    row_key (see ``row_key``)."""
     return docs.select(F.col(id_col).alias("doc_id"), digest(ascii_lower(F.col(text_col))).alias("digest"),
-                       F.input_file_name().alias("locator"))
+                       F.input_file_name().alias("locator"), row_key(id_col, text_col).alias("row_key"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells apart rows that repeat an id with another text."""
+    return F.xxhash64(F.col(id_col), ascii_lower(F.col(text_col)))
 
 
 def fold(spark: SparkSession, fingerprint_path: str, state_path: str) -> None:
@@ -59,7 +64,7 @@ def read_state(spark: SparkSession, state_path: str) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           digest=sha256_digest) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, digest, locator.
+    """One row per input row: doc_id, keep_id, group_size, kept, digest, locator, row_key.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the
     row with the largest id stays. Null texts count as empty texts (all of
@@ -75,18 +80,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fold(spark, f"{base}/fingerprints", f"{base}/state")
     read_state(spark, f"{base}/state").write.parquet(f"{base}/entries")
     entries = spark.read.parquet(f"{base}/entries")
-    rows = spark.read.parquet(f"{base}/fingerprints").select("doc_id", "digest")
+    rows = spark.read.parquet(f"{base}/fingerprints").select("doc_id", "digest", "row_key")
 
     # full bytes of every hit: a digest's smallest and largest text are the same bytes
     hits = entries.where("group_size > 1").select("digest")
-    texts = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm"),
+                        row_key(id_col, text_col).alias("row_key"))
     texts = texts.withColumn("digest", digest(F.col("norm"))).join(hits.hint("shuffle_hash"), "digest", "left_semi")
     (texts.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
      .where("lo != hi").select("digest").write.parquet(f"{base}/collisions"))
     collided = spark.read.schema("digest binary").parquet(f"{base}/collisions")
 
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-               "digest", "locator"]
+               "digest", "locator", "row_key"]
     if collided.isEmpty():
         return rows.join(entries, "digest").select(*columns)
     # different texts under one digest: those digests are grouped by the text itself
@@ -99,8 +105,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``dedup`` keeps, all columns unchanged."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    keepers = dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__ft_id")).distinct()
-    return docs.join(keepers, F.col(id_col).eqNullSafe(F.col("__ft_id")), "left_semi")
+    """The rows of ``docs`` that ``dedup`` keeps, all columns unchanged. Only
+    rows that a bitmap of the removed ones lets through are joined with them."""
+    gone = written(dedup(docs, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_gone")).distinct())
+    return without_rows(docs.withColumn("__ft_key", row_key(id_col, text_col)), gone, id_col).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagtide.llm.common import LOWER, UPPER, written
+from flagtide.llm.common import LOWER, UPPER, without_rows, written
 from flagtide.llm.components import components
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -114,7 +114,8 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_hash (of the whole set), sig (K int32, as bytes)."""
+    """doc_id, row_key, n_shingles, set_hash (of the whole set) and sig (K numbers)
+    of doc_id, text, row_key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, hashes, sigs = [], [], []
@@ -124,10 +125,10 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 hashes.append(set_hash(shingles))
                 sigs.append(signature(shingles, s.coordinates).view(np.int32) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "set_hash", "sig"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()),
+                 pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "row_key", "n_shingles", "set_hash", "sig"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_hash binary, sig array<int>")
+    return docs.mapInArrow(run, "doc_id bigint, row_key bigint, n_shingles bigint, set_hash binary, sig array<int>")
 
 
 def set_hash(shingles: np.ndarray) -> bytes | None:
@@ -311,7 +312,7 @@ def links(sets: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, row_key: one row per row of ``docs``.
 
     Null texts and texts without words have the empty set and link with
     nothing. Rows with equal sets are one class (linked). Rows that repeat an
@@ -321,7 +322,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     """
     s = settings
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(signatures(texts, s))
+    rows = written(signatures(texts.withColumn("row_key", F.xxhash64("doc_id", "text")), s))
     classes = written(rows.where("n_shingles > 0").groupBy("set_hash").agg(
         F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).withColumn("node", node_of()))
     found = components(links(classes.where("doc_id is not null"), texts, s))
@@ -329,9 +330,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         "component", F.coalesce("component", "node"))
     least = merged.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     merged = merged.join(least, "component").select("set_hash", "component_id")
-    columns = ["doc_id", "n_shingles", "component_id"]
+    columns = ["doc_id", "n_shingles", "component_id", "row_key"]
     linked = rows.where("n_shingles > 0").join(merged, "set_hash").select(*columns)
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = rows.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
     return linked.unionByName(empty).withColumn(
         "kept", F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -339,6 +341,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 def keep_representatives(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, all columns unchanged."""
-    gone = near_duplicates(docs, settings, id_col, text_col).where("not kept").select(
-        F.col("doc_id").alias("__ft_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__ft_id"), "left_anti")
+    gone = written(near_duplicates(docs, settings, id_col, text_col).where("not kept").select(
+        F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_gone")).distinct())
+    keyed = docs.withColumn("__ft_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    return without_rows(keyed, gone, id_col).select(*docs.columns)

@@ -57,7 +57,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_minhash_inverted_join")
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, least=85))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, least=85)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op1_suffix_dedup")

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flagtide.llm.common import written
 
@@ -237,7 +237,7 @@ def score_text(text: str | None, model: Model, auto: TermAutomaton) -> float:
 
 # -------------------------------------------------------------------- training
 
-def held_out(doc_id) -> "F.Column":
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
@@ -414,7 +414,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     @F.pandas_udf("double")
-    def toxicity(texts: "F.pd.Series") -> "F.pd.Series":  # type: ignore[name-defined]
+    def toxicity(texts):
         import pandas as pd
 
         auto = automaton(model)

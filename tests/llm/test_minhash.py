@@ -47,7 +47,7 @@ def test_documents(spark, s):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], s)
     result = minhash.near_duplicates(docs, s)
-    assert result.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert result.columns == ["doc_id", "n_shingles", "component_id", "kept", "row_key"]
     assert got(result) == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in result.collect())
 
