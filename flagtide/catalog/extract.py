@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flagtide.functions import text as tx
 from flagtide.operators import guards as G
 from flagtide.registry import query
+from flagtide.session import materialize
 from flagtide.sources.tables import CORPUS_SQL, generated_source_files, read_table, shared_sql
 
 # Directory trees planted from order columns: ignored, hidden and normal
@@ -73,18 +74,24 @@ WITH p AS ({PATHS_SQL})
 SELECT DISTINCT repo_id, path FROM p WHERE o_orderkey % 9 IN (3, 4, 8) AND o_orderkey % 4 <> 2
 """)
 def path_allowlist(spark, sf_dir):
-    allow = G.path_allowlist(G.prune_ignored(_paths(spark, sf_dir)))
-    return allow.where(F.col("error_code").isNull()).select("repo_id", "path").distinct()
+    """Every path in two spellings (as scanned, and with back-slashes and
+    blanks around); the operator makes one row of them."""
+    paths = G.prune_ignored(_paths(spark, sf_dir)).select("repo_id", "path")
+    other = F.concat(F.lit(" "), F.translate("path", "/", "\\"), F.lit("\t"))
+    allow = G.path_allowlist(paths.unionByName(paths.select("repo_id", other.alias("path"))))
+    return allow.where(F.col("error_code").isNull()).select("repo_id", "path")
 
 
 @query("size_guard", oracle="""
-SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) > 4096
+SELECT CAST(doc_id AS VARCHAR) AS path, 'file is ' || strlen(text) || ' bytes; limit is 4096' AS error
+FROM documents WHERE strlen(text) > 4096
 """)
 def size_guard(spark, sf_dir):
-    """Files over the byte limit (documents as files; 4,096-byte limit)."""
+    """The extractor's ``oversize`` stage on documents as files, limit 4,096 bytes."""
     docs = read_table(spark, sf_dir, "documents")
-    content = F.encode("text", "UTF-8")
-    return docs.select("doc_id", F.length(content).cast("bigint").alias("size")).where(F.col("size") > 4096)
+    files = docs.select(F.lit("r").alias("repo_id"), F.col("doc_id").cast("string").alias("path"),
+                        F.lit(None).cast("bigint").alias("size"), F.encode("text", "UTF-8").alias("content"))
+    return G.extract_files(files, max_file_bytes=4096).where(F.col("stage") == "oversize").select("path", "error")
 
 
 def _doc_bytes(spark, sf_dir):
@@ -296,17 +303,18 @@ UNION SELECT repo_id FROM occ GROUP BY repo_id, flag_name HAVING count(*) > 3
 """)
 def strict_failed_repos(spark, sf_dir):
     """Repos failed as a whole: a bad file or a flag over a limit of 3."""
-    ex = G.extract(_files(spark, sf_dir))
+    ex = G.extraction_of(materialize(G.extract_files(_files(spark, sf_dir))))  # parsed once for both uses
     return G.failed_repos(ex.errors, ex.occurrences, limit=3)
 
 
-@query("top_flags", oracle=_CAND_ORACLE + """
-SELECT flag_name, CAST(count(DISTINCT repo_id) AS BIGINT) AS n_repos, CAST(sum(n_files) AS BIGINT) AS n_files,
-       CAST(sum(n_occurrences) AS BIGINT) AS n_occurrences
-FROM cand GROUP BY flag_name ORDER BY n_repos DESC, n_files DESC, flag_name LIMIT 20
+@query("top_flags", oracle=f"""
+WITH {PLANTED_GUARDS_SQL}
+SELECT flag_name, CAST(count(DISTINCT repo_id) AS BIGINT) AS n_repos,
+       CAST(count(DISTINCT concat_ws('|', repo_id, file_path)) AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_occurrences
+FROM occ GROUP BY flag_name ORDER BY n_repos DESC, n_files DESC, flag_name LIMIT 20
 """)
 def top_flags(spark, sf_dir):
-    return G.top_flags(_candidates(spark, sf_dir), 20)
+    return G.top_flags(G.extract(_files(spark, sf_dir)).occurrences, 20)
 
 
 @query("used_names", oracle=f"""
@@ -347,7 +355,7 @@ def discovery_audit(spark, sf_dir):
     files = _files(spark, sf_dir)
     c = _candidates(spark, sf_dir)
     allow = G.path_allowlist(files).where(F.col("error_code").isNull()).groupBy("repo_id").agg(
-        F.countDistinct("path").alias("n_allowlist"))
+        F.count("path").alias("n_allowlist"))
     return c.select("repo_id", "flag_name").join(allow, "repo_id")
 
 
@@ -356,8 +364,8 @@ WITH corpus AS ({CORPUS_SQL})
 SELECT repo_id, path, CAST(strlen(source) AS BIGINT) AS size, sha256(source) AS sha256 FROM corpus
 """)
 def scan_tree(spark, sf_dir):
-    """The corpus written as one folder per repository in the shared
-    checkpoint location, then read back with the tree data source."""
+    """The corpus written as one folder per repository below the shared
+    checkpoint folder (which must be mounted by all machines), then scanned."""
     import uuid
 
     from flagtide.operators.report import output_root
@@ -365,6 +373,4 @@ def scan_tree(spark, sf_dir):
 
     root = output_root(spark) + f"/trees/{uuid.uuid4().hex}"
     tree.write_tree(_files(spark, sf_dir), root).agg(F.sum("written")).collect()
-    tree.register(spark)
-    df = spark.read.format("flagtide_tree").option("root", root).load()
-    return df.select("repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))
+    return tree.read_tree(spark, root).select("repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))

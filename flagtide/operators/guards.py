@@ -101,16 +101,16 @@ class Extraction:
 
 
 def parse_files(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Per file, in one pass: size check, decode, parse. Oversize files are
-    neither decoded nor parsed (their text is null). ``text`` stays next to
+    """Per file, in one pass: size check, decode, parse. Oversize files and
+    files without content are neither decoded nor parsed (their text is null). ``text`` stays next to
     the result so snippets are cut natively without a second pass."""
-    size = F.coalesce(F.col("size"), F.length("content").cast("bigint"))
+    size = F.coalesce(F.col("size"), F.length("content").cast("bigint"), F.lit(0).cast("bigint"))
     sized = files.select("repo_id", "path", size.alias("size"), "content")
     decoded = decode_source(sized)
     fits = F.col("size") <= max_file_bytes
     text = F.when(fits, F.col("text"))
     return decoded.select(
-        "repo_id", "path", "size", text.alias("text"),
+        "repo_id", "path", "size", text.alias("text"), F.col("content").isNull().alias("unread"),
         F.when(fits, F.col("decode_error")).alias("decode_error"),
         F.when(text.isNotNull(), _parse_guards(text)).alias("parsed"))
 
@@ -119,7 +119,7 @@ def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
                   max_snippet_chars: int = tx.MAX_SNIPPET_CHARS,
                   max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """One row per file: its guards (with snippets cut natively from the text)
-    or the stage and message of the problem (oversize, decode, parse)."""
+    or the stage and message of the problem (oversize, read, decode, parse)."""
     empty = F.array().cast("array<struct<flag_name:string,kind:string,line:int,snippet:string>>")
     parsed = parse_files(files, max_file_bytes)
     # split once per file; the lambda below reads the column
@@ -131,10 +131,12 @@ def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
                          max_snippet_chars).alias("snippet")))
     oversize = F.col("size") > max_file_bytes
     stage = (F.when(oversize, F.lit("oversize"))
+             .when(F.col("unread"), F.lit("read"))
              .when(F.col("decode_error").isNotNull(), F.lit("decode"))
              .when(F.col("parsed.error").isNotNull(), F.lit("parse")))
     error = F.when(oversize, F.format_string("file is %d bytes; limit is %d", F.col("size"),
                                              F.lit(max_file_bytes))) \
+        .when(F.col("unread"), F.lit("file has no content")) \
         .otherwise(F.coalesce("decode_error", "parsed.error"))
     return parsed.select(
         "repo_id", "path", F.when(stage.isNull(), guards).otherwise(empty).alias("guards"),
@@ -166,29 +168,27 @@ def occurrence_limit(occurrences: DataFrame, limit: int = MAX_OCCURRENCES_PER_FL
     return occurrence_counts(occurrences).where(F.col("n_occurrences") > limit)
 
 
-def _drop_keys(rows: DataFrame, keys_df: DataFrame, on: list[str]) -> DataFrame:
-    """Left-anti join against a key set (broadcast when checked small, salted
-    shuffle otherwise; see ``operators.skew``)."""
-    from flagtide.operators.skew import join_per_key
-
-    return join_per_key(rows, keys_df.select(*on), on, "left_anti")
+@dataclass
+class Candidates:
+    """Candidate rows, and the groups left out because they exceed the limit."""
+    rows: DataFrame
+    over_limit: DataFrame
 
 
-def group_candidates(occurrences: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
-                     check_limit: bool = True) -> DataFrame:
+def group_candidates(occurrences: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG) -> Candidates:
     """One row per (repo, flag): sorted occurrence structs and sorted files.
 
-    Groups over ``limit`` are removed *before* any list is built, so no task
-    ever collects more than ``limit`` structs per group, whatever the skew.
+    Groups over ``limit`` are taken out *before* any list is built, so no task
+    ever collects more than ``limit`` structs per group, whatever the skew;
+    they are returned beside the candidates with their count.
     """
-    rows = occurrences
-    if check_limit:
-        rows = _drop_keys(rows, occurrence_limit(occurrences, limit), KEYS)
+    over = occurrence_limit(occurrences, limit)
+    rows = occurrences.join(over.select(*KEYS), KEYS, "left_anti")
     occ = F.struct("file_path", "line", "kind", "snippet")
-    return rows.groupBy(*KEYS).agg(
+    return Candidates(rows.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(occ)).alias("occurrences"),
         F.array_sort(F.collect_set("file_path")).alias("files"),
-        F.count(F.lit(1)).alias("n_occurrences"))
+        F.count(F.lit(1)).alias("n_occurrences")), over)
 
 
 def failed_repos(errors: DataFrame, occurrences: DataFrame | None = None,
@@ -212,10 +212,11 @@ def discover_candidates(files: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
     per_file = per_file.where((F.size("guards") > 0) | F.col("stage").isNotNull())
     ex = extraction_of(materialize(per_file))
     occ, errors = ex.occurrences, ex.errors
-    cands = group_candidates(occ, limit)
+    grouped = group_candidates(occ, limit)
+    cands = grouped.rows
     if strict:
-        cands = _drop_keys(cands, failed_repos(errors, occ, limit), ["repo_id"])
-    over = occurrence_limit(occ, limit).select(
+        cands = cands.join(failed_repos(errors, occ, limit), "repo_id", "left_anti")
+    over = grouped.over_limit.select(
         "repo_id", F.lit(None).cast("string").alias("path"), F.lit("occurrence_limit").alias("stage"),
         F.format_string("flag %s exceeds the occurrence limit of %d", "flag_name",
                         F.lit(limit)).alias("error"))
@@ -223,18 +224,22 @@ def discover_candidates(files: DataFrame, limit: int = MAX_OCCURRENCES_PER_FLAG,
 
 
 def path_allowlist(files: DataFrame) -> DataFrame:
-    """Distinct canonical paths per repo, with the rejection reason for bad ones."""
+    """Distinct canonical paths per repo, and the bad ones with their reason
+    (``raw_path`` is set for those only): spellings of one path are one row."""
     norm = tx.normalize_path(F.col("path"))
-    return files.select("repo_id", norm["path"].alias("path"),
-                        norm["error_code"].alias("error_code"),
-                        F.col("path").alias("raw_path")).dropDuplicates(["repo_id", "raw_path"])
-
-
-def top_flags(candidates: DataFrame, n: int = 20) -> DataFrame:
-    """Flags ranked by the number of repositories and files that guard on them."""
-    return (candidates.groupBy("flag_name")
-            .agg(F.countDistinct("repo_id").alias("n_repos"),
-                 F.sum(F.size("files")).cast("bigint").alias("n_files"),
-                 F.sum("n_occurrences").cast("bigint").alias("n_occurrences"))
+    return files.select("repo_id", norm["path"].alias("path"), norm["error_code"].alias("error_code"),
+                        F.when(norm["error_code"].isNotNull(), F.col("path")).alias("raw_path")).distinct()
+
+
+def top_flags(occurrences: DataFrame, n: int = 20) -> DataFrame:
+    """Flags ranked by the number of repositories and files that guard on them,
+    over every file that could be read. Rows are counted per file first, so
+    the distinct counts shuffle one row per (flag, repo)."""
+    per_file = occurrences.groupBy("flag_name", "repo_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    per_repo = per_file.groupBy("flag_name", "repo_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("n").alias("n"))
+    return (per_repo.groupBy("flag_name")
+            .agg(F.count(F.lit(1)).alias("n_repos"), F.sum("files").cast("bigint").alias("n_files"),
+                 F.sum("n").cast("bigint").alias("n_occurrences"))
             .orderBy(F.desc("n_repos"), F.desc("n_files"), F.asc("flag_name"))
             .limit(n))

@@ -123,11 +123,10 @@ def mutation_summary(rewritten: DataFrame, keys=("repo_id",)) -> DataFrame:
 
 def gate_all_or_nothing(rows: DataFrame, keys, bad) -> DataFrame:
     """Flag every member of a group that has any bad member (one veto rolls
-    back the whole group). Group verdicts are aggregated (partial, skew-safe)
-    and joined back on the group key (broadcast or salted; a group holding a
-    third of all rows is spread over many tasks)."""
-    from flagtide.operators.skew import join_per_key
-
+    back the whole group). Group verdicts are aggregated (partially before the
+    shuffle) and joined back on the group key; the join is a plain equi-join, so
+    small verdict tables are broadcast by their bytes and hot groups are split
+    by adaptive execution."""
     keys = list(keys)
     verdict = rows.groupBy(*keys).agg(F.bool_or(bad).alias("group_failed"))
-    return join_per_key(rows, verdict, keys, "left")
+    return rows.join(verdict, keys, "left")

@@ -1,29 +1,34 @@
 """Keyless evidence grounding: which quotes occur verbatim in which texts.
 
-A product of quotes x texts does not scale, so candidates come from an
-equi-join on an *anchor*: three consecutive interior words of the quote.
-Interior words of a quote are whole words wherever the quote occurs, so
-every text containing the quote also contains the anchor as a word 3-gram;
-each candidate pair is then confirmed with an exact ``instr`` test. The join
-is exact: anchors only prune pairs that cannot match.
-
-Quotes with too few interior words for a 3-gram anchor on one interior word;
-quotes with no interior word at all (one or two words) are checked against
-every text with a broadcast of those quotes, allowed only when their count is
-checked to be small.
+A product of quotes x texts does not scale, so candidates come from equi-joins
+on an *anchor* that every text containing the quote must hold as well; each
+candidate pair is then confirmed with an exact ``instr`` test. Anchors are, by
+what the quote offers:
+
+* three consecutive interior words (interior words of a quote are whole words
+  wherever the quote occurs),
+* its longest interior word,
+* its first characters (at most ``ANCHOR_CHARS``) where it has no interior word;
+  the texts' character n-grams are only made for the lengths that occur.
+
+Joins carry ids and anchors; quote texts come back for the confirmation alone.
+Which side is broadcast, and how hot anchors are split, is left to the
+optimizer's byte statistics and adaptive execution.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from flagtide.operators.skew import join_per_key
+from flagtide.session import materialize
 
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 ANCHOR_WORDS = 3
-# A key set is broadcast only when its row count is at most this.
-BROADCAST_ROWS_MAX = 200_000
+ANCHOR_CHARS = 8
 
 
 def _words(col) -> F.Column:
@@ -42,54 +47,46 @@ def _grams(words: F.Column, n: int) -> F.Column:
                        lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS_MAX else df
+def _char_grams(text: F.Column, n: int) -> F.Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+
+def quote_anchors(quotes: DataFrame, quote_id: str, quote_col: str) -> DataFrame:
+    """``quote_id, kind, anchor``; kind is ``words``, ``word`` or ``chars1`` ..
+    ``chars8``. Null and empty quotes have no anchor (they ground nothing)."""
+    inner = _interior(F.col(quote_col))
+    longest = F.array_sort(F.transform("inner", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    start = F.least(F.length(quote_col), F.lit(ANCHOR_CHARS))
+    q = quotes.where(F.length(quote_col) > 0).select(quote_id, quote_col, inner.alias("inner"))
+    kind = (F.when(F.size("inner") >= ANCHOR_WORDS, F.lit("words")).when(F.size("inner") >= 1, F.lit("word"))
+            .otherwise(F.concat(F.lit("chars"), start.cast("string"))))
+    anchor = (F.when(F.size("inner") >= ANCHOR_WORDS, _grams(F.col("inner"), ANCHOR_WORDS)[0])
+              .when(F.size("inner") >= 1, longest).otherwise(F.substr(quote_col, F.lit(1), start)))
+    return q.select(quote_id, kind.alias("kind"), anchor.alias("anchor"))
 
 
 def quotes_in_texts(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: str,
                     text_id: str, text_col: str) -> DataFrame:
     """``(quote_id, text_id)`` for every quote contained in a text."""
-    q = quotes.select(quote_id, quote_col, _interior(F.col(quote_col)).alias("inner"))
-    q = q.select("*", F.when(F.size("inner") >= ANCHOR_WORDS, _grams(F.col("inner"), ANCHOR_WORDS)[0])
-                 .alias("gram"))
-    q = q.select("*", F.when(F.size("inner") >= ANCHOR_WORDS, F.lit(ANCHOR_WORDS))
-                 .when(F.size("inner") >= 1, F.lit(1)).otherwise(F.lit(0)).alias("anchor_n"))
-    q = q.select("*", F.when(F.col("anchor_n") == ANCHOR_WORDS, F.col("gram"))
-                 .when(F.col("anchor_n") == 1,
-                       F.array_sort(F.transform("inner", lambda w: F.struct(
-                           (-F.length(w)).alias("neg_len"), w.alias("word"))))[0]["word"])
-                 .alias("anchor"))
-    # words computed once per text (a column, not an expression inside lambdas)
-    text_words = texts.select(text_id, _words(F.col(text_col)).alias("_words"))
-    words = F.col("_words")
-    results = []
-    for n in (ANCHOR_WORDS, 1):
-        anchors = q.where(F.col("anchor_n") == n).select(quote_id, quote_col, "anchor")
-        if anchors.isEmpty():
-            continue  # no text needs exploding for an anchor class nobody uses
+    anchors = materialize(quote_anchors(quotes, quote_id, quote_col))
+    kinds = [r[0] for r in anchors.select("kind").distinct().collect()]  # at most ten kinds
+    words = texts.select(text_id, _words(F.col(text_col)).alias("_words"))
+    pairs = []
+    for kind in sorted(kinds):
         # only (text id, anchor) rows are exploded; text bodies stay in the scan
-        text_keys = text_words.select(text_id, F.explode(F.array_distinct(
-            _grams(words, n) if n > 1 else words)).alias("anchor"))
-        # anchors broadcast when checked small, else salted (a common 3-gram
-        # can be a hot key on the text side)
-        pairs = join_per_key(text_keys, anchors, ["anchor"], "inner").select(text_id, quote_id, quote_col)
-        # candidate pairs are few: they go to the texts, not the texts to them
-        confirmed = texts.select(text_id, text_col).join(_maybe_broadcast(pairs), text_id)
-        results.append(confirmed.where(F.instr(F.col(text_col), F.col(quote_col)) > 0)
-                       .select(quote_id, text_id))
-    short = q.where(F.col("anchor_n") == 0).select(quote_id, quote_col)
-    n_short = short.count()
-    if n_short:
-        if n_short > BROADCAST_ROWS_MAX:
-            raise ValueError(f"{n_short} quotes have no interior word; too many to broadcast")
-        pairs = texts.select(text_id, text_col).join(
-            F.broadcast(short), F.instr(F.col(text_col), F.col(quote_col)) > 0)
-        results.append(pairs.select(quote_id, text_id))
-    if not results:  # no quotes at all
-        from pyspark.sql.types import StructType
+        if kind.startswith("chars"):
+            keys = texts.select(text_id, F.explode(F.array_distinct(
+                _char_grams(F.col(text_col), int(kind.removeprefix("chars"))))).alias("anchor"))
+        else:
+            own = _grams(F.col("_words"), ANCHOR_WORDS) if kind == "words" else F.col("_words")
+            keys = words.select(text_id, F.explode(F.array_distinct(own)).alias("anchor"))
+        pairs.append(keys.join(anchors.where(F.col("kind") == kind), "anchor").select(text_id, quote_id))
+    if not pairs:
         schema = StructType([quotes.schema[quote_id], texts.schema[text_id]])
         return quotes.sparkSession.createDataFrame([], schema)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    found = reduce(DataFrame.unionByName, pairs).distinct()
+    # candidate pairs are few: with their quotes they go to the texts
+    with_quote = materialize(found.join(quotes.select(quote_id, quote_col), quote_id))
+    confirmed = texts.select(text_id, text_col).join(with_quote, text_id)
+    return confirmed.where(F.instr(F.col(text_col), F.col(quote_col)) > 0).select(quote_id, text_id).distinct()

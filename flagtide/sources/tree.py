@@ -1,117 +1,139 @@
-"""Python data source for repository trees on a shared file system.
-
-``spark.read.format("flagtide_tree").option("root", folder).load()`` gives
-``source_files(repo_id, path, size, content)`` for every child folder of
-``root`` (one repository each). The driver lists only the first level of each
-repository; walking and reading run in the read tasks. Each (repository,
-first-level entry) is a work unit, dealt round-robin over a bounded number of
-tasks, so a large repository is spread over many tasks. Pruning follows the scanner rules: folders whose exact name is ignored
-or starts with ``.`` are not entered (the repository root itself is never
-tested); files must end in ``.py`` (case-sensitive); hidden files are kept
-(``__init__.py`` included, unlike the ``binaryFile`` source). Symlinked
-folders are not followed.
+"""Repository folders on a file system that all machines mount.
+
+``read_tree`` gives ``source_files(repo_id, path, size, content, read_error)``
+for every child folder of ``root`` (one repository each). Folders are listed
+level by level, each level as a Spark job over the folders found on the one
+before, so one huge repository is listed by many tasks. The files are then
+dealt over as many read tasks as their bytes need; a file above the size limit
+is not read (its content is null, its size tells why), nor does a file that
+cannot be read end the job (``read_error`` tells why).
+
+Pruning follows the scanner rules (see ``operators.guards``): folders whose
+exact name is ignored or starts with ``.`` are not entered (the repository
+root itself is never tested); files must end in ``.py`` (case-sensitive);
+hidden files are kept. Symlinked folders are not followed.
 """
 
 from __future__ import annotations
 
 import os
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = "repo_id string, path string, size bigint, content binary"
-DEFAULT_IGNORE = ("tests", "venv", ".git", "__pycache__", ".tox", "node_modules", "build", "dist")
-
-
-def _ignored(name: str, ignore) -> bool:
-    return name in ignore or name.startswith(".")
-
-
-class _Part(InputPartition):
-    """Work units ``(repo_id, repo_root, entry)``: a first-level folder to walk
-    or a single top-level file."""
-
-    def __init__(self, units: list[tuple[str, str, str]]):
-        super().__init__(None)
-        self.units = units
-
-
-class SourceTreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = options["root"]
-        raw = options.get("ignore", "")
-        # a custom list replaces the default; an empty one falls back to it
-        self.ignore = frozenset(x for x in raw.split(",") if x) or frozenset(DEFAULT_IGNORE)
-        self.max_partitions = int(options.get("maxPartitions", "256"))
-
-    def partitions(self):
-        units = []
-        for repo in sorted(os.listdir(self.root)):
-            repo_root = os.path.join(self.root, repo)
-            if not os.path.isdir(repo_root):
-                continue
-            for entry in sorted(os.listdir(repo_root)):
-                full = os.path.join(repo_root, entry)
-                if os.path.isdir(full) and not os.path.islink(full):
-                    if not _ignored(entry, self.ignore):
-                        units.append((repo, repo_root, entry))
-                elif entry.endswith(".py"):
-                    units.append((repo, repo_root, entry))
-        # deal units round-robin over a bounded number of read tasks, so the
-        # folders of one large repository land in different tasks
-        n = max(1, min(len(units), self.max_partitions))
-        return [_Part(units[i::n]) for i in range(n)] or [_Part([])]
-
-    def read(self, partition):
-        ignore = self.ignore
-        for repo_id, root, entry in partition.units:
-            full = os.path.join(root, entry)
-            if os.path.isfile(full):
-                yield from self._file(repo_id, root, full)
-                continue
-            for folder, dirs, names in os.walk(full, topdown=True):
-                dirs[:] = sorted(d for d in dirs if not _ignored(d, ignore))
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        yield from self._file(repo_id, root, os.path.join(folder, name))
-
-    @staticmethod
-    def _file(repo_id, root, full):
-        with open(full, "rb") as fh:
-            data = fh.read()
-        rel = os.path.relpath(full, root).replace(os.sep, "/")
-        yield (repo_id, rel, len(data), data)
-
-
-class SourceTreeDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "flagtide_tree"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return SourceTreeReader(self.options)
-
-
-def register(spark) -> None:
-    spark.dataSource.register(SourceTreeDataSource)
-
-
-def write_tree(files, root: str):
-    """Write a ``source_files`` table as ``root/<repo_id>/<path>`` from the
+from urllib.parse import urlparse
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flagtide.operators.guards import IGNORED_DIRS, MAX_FILE_BYTES
+from flagtide.session import materialize
+
+READ_TASK_BYTES = 64 << 20
+ENTRY = "repo_id string, path string, folder boolean, size bigint, list_error string"
+FILE = "repo_id string, path string, size bigint, content binary, read_error string"
+
+
+def mounted_path(uri: str) -> str:
+    """The path of a plain or ``file:`` location; other stores have no folders
+    that ``os`` can list, and raise."""
+    parts = urlparse(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{uri} is not on a mounted file system")
+    return parts.path
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def _listed(folders: DataFrame, root: str, ignore: frozenset) -> DataFrame:
+    """The entries of folders ``(repo_id, path)`` that the scanner keeps."""
+    types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+    names = ["repo_id", "path", "folder", "size", "list_error"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for repo, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    with os.scandir(os.path.join(root, repo, path)) as entries:
+                        for e in entries:
+                            inner = f"{path}/{e.name}" if path else e.name
+                            if e.is_dir(follow_symlinks=False):
+                                if e.name not in ignore and not e.name.startswith("."):
+                                    out.append((repo, inner, True, None, None))
+                            elif e.name.endswith(".py") and e.is_file():
+                                out.append((repo, inner, False, e.stat().st_size, None))
+                except OSError as error:
+                    out.append((repo, path, False, None, f"{type(error).__name__}: {error.strerror}"))
+            yield _batch(out, types, names)
+
+    return folders.mapInArrow(run, ENTRY)
+
+
+def list_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS) -> DataFrame:
+    """``(repo_id, path, size, list_error)`` of every file the scanner keeps, and
+    of folders that cannot be listed. An empty ``ignore`` means the default."""
+    root, skip = mounted_path(root), frozenset(ignore or IGNORED_DIRS)
+    with os.scandir(root) as entries:
+        repos = sorted(e.name for e in entries if e.is_dir())
+    level = spark.createDataFrame([(r, "") for r in repos], "repo_id string, path string")
+    found = None
+    while True:
+        tasks = max(1, spark.sparkContext.defaultParallelism)
+        entries = materialize(_listed(level.repartition(tasks, "repo_id", "path"), root, skip))
+        files = entries.where(~F.col("folder")).select("repo_id", "path", "size", "list_error")
+        found = files if found is None else found.unionByName(files)
+        level = entries.where("folder").select("repo_id", "path")
+        if level.isEmpty():
+            return found
+
+
+def read_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    files = materialize(list_tree(spark, root, ignore))
+    base = mounted_path(root)
+    size = F.when(F.col("size") <= max_file_bytes, F.col("size")).otherwise(0)
+    total = files.agg(F.sum(size)).first()[0] or 0
+    # files are at most ``max_file_bytes``, so tasks of hashed keys weigh alike
+    tasks = max(spark.sparkContext.defaultParallelism, total // READ_TASK_BYTES + 1)
+    types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    names = ["repo_id", "path", "size", "content", "read_error"]
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+            for repo, path, n, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                data = None
+                if error is None and n <= max_file_bytes:
+                    try:
+                        with open(os.path.join(base, repo, path), "rb") as f:
+                            data = f.read()
+                        n = len(data)
+                    except OSError as problem:
+                        error = f"{type(problem).__name__}: {problem.strerror}"
+                out.append((repo, path, n, data, error))
+                held += len(data or b"")
+                if held > 8 << 20:
+                    yield _batch(out, types, names)
+                    out, held = [], 0
+            yield _batch(out, types, names)
+
+    return files.repartition(int(tasks), "repo_id", "path").mapInArrow(run, FILE)
+
+
+def write_tree(files: DataFrame, root: str) -> DataFrame:
+    """Writes a ``source_files`` table as ``root/<repo_id>/<path>`` from the
     executors (one folder per repository); returns per-task file counts."""
-    import pandas as pd
+    base = mounted_path(root)
 
-    def writer(batches):
+    def run(batches):
         n = 0
-        for pdf in batches:
-            for repo_id, path, content in zip(pdf["repo_id"], pdf["path"], pdf["content"]):
-                target = os.path.join(root, repo_id, *path.split("/"))
+        for batch in batches:
+            for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                target = os.path.join(base, repo, *path.split("/"))
                 os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as fh:
-                    fh.write(content)
+                with open(target, "wb") as f:
+                    f.write(content)
                 n += 1
-        yield pd.DataFrame({"written": [n]})
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["written"])
 
-    return files.select("repo_id", "path", "content").mapInPandas(writer, "written long")
+    return files.select("repo_id", "path", "content").mapInArrow(run, "written bigint")

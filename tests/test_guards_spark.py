@@ -1,5 +1,6 @@
 """Extraction, grouping, limits and gates as Spark jobs on inline file tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from flagtide.operators import guards as G
@@ -13,20 +14,19 @@ def files_df(spark, rows):
          for r, p, s in rows], SCHEMA)
 
 
-def test_extracts_if_and_ternary_and_groups_by_flag(spark):
+def test_statements_and_ternaries_of_one_switch_are_one_candidate(spark):
     files = files_df(spark, [
-        ("r1", "app.py", "if OLD_FLAG:\n    run_new()\nelse:\n    run_old()\n"),
-        ("r1", "routes.py", "handler = new_handler if OLD_FLAG else old_handler\n"),
-        ("r2", "app.py", "if enabled:\n    pass\n\nif flags.is_enabled('x'):\n    pass\n"),
+        ("shop", "cart/totals.py", "def total(c):\n    if USE_TAX_V2:\n        return tax(c)\n    return c.sum\n"),
+        ("shop", "cart/__init__.py", "rate = (0.2 if USE_TAX_V2 else 0.19)\n"),
+        ("blog", "feed.py", "if verbose:\n    log()\nif settings['USE_TAX_V2']:\n    log()\nif not USE_TAX_V2:\n    log()\n"),
     ])
     cands, errors = G.discover_candidates(files)
-    rows = cands.collect()
     assert errors.count() == 0
-    assert len(rows) == 1
-    c = rows[0]
-    assert (c.repo_id, c.flag_name, c.files) == ("r1", "OLD_FLAG", ["app.py", "routes.py"])
-    assert [o.kind for o in c.occurrences] == ["if_statement", "ternary_expression"]
-    assert "1: if OLD_FLAG:" in c.occurrences[0].snippet
+    (c,) = cands.collect()
+    assert (c.repo_id, c.flag_name, c.n_occurrences) == ("shop", "USE_TAX_V2", 2)
+    assert [(o.file_path, o.line, o.kind) for o in c.occurrences] == [
+        ("cart/__init__.py", 1, "ternary_expression"), ("cart/totals.py", 2, "if_statement")]
+    assert c.occurrences[1].snippet.split("\n")[1] == "   2:     if USE_TAX_V2:"
 
 
 def test_syntax_error_fails_the_repo_not_the_job(spark):
@@ -60,8 +60,9 @@ def test_occurrence_limit_drops_group_before_collecting(spark):
     occ = G.extract(files).occurrences
     over = G.occurrence_limit(occ, 3).collect()
     assert [(r.flag_name, r.n_occurrences) for r in over] == [("MANY_FLAG", 4)]
-    grouped = G.group_candidates(occ, 3).collect()
-    assert [r.flag_name for r in grouped] == ["FEW_FLAG"]
+    grouped = G.group_candidates(occ, 3)
+    assert [r.flag_name for r in grouped.rows.collect()] == ["FEW_FLAG"]
+    assert [(r.flag_name, r.n_occurrences) for r in grouped.over_limit.collect()] == [("MANY_FLAG", 4)]
     cands, errors = G.discover_candidates(files, limit=3)
     assert cands.count() == 0
     assert [r.stage for r in errors.collect()] == ["occurrence_limit"]
@@ -94,31 +95,46 @@ def test_tree_data_source(spark, tmp_path):
         p = tmp_path / rel
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
-    tree.register(spark)
-    df = spark.read.format("flagtide_tree").option("root", str(tmp_path)).load()
-    got = sorted((r.repo_id, r.path, r.size) for r in df.collect())
-    assert got == [("r1", ".hidden.py", 6), ("r1", "__init__.py", 0), ("r1", "app.py", 21),
-                   ("r1", "pkg/sub/m.py", 6), ("r2", "lib/l.py", 2)]
+    df = tree.read_tree(spark, f"file:{tmp_path}", max_file_bytes=20)
+    got = sorted((r.repo_id, r.path, r.size, r.content) for r in df.collect())
+    assert got == [("r1", ".hidden.py", 6, b"x = 1\n"), ("r1", "__init__.py", 0, b""), ("r1", "app.py", 21, None),
+                   ("r1", "pkg/sub/m.py", 6, b"y = 2\n"), ("r2", "lib/l.py", 2, b"z\n")]
+    stages = {r.path: r.stage for r in G.extract_files(df, max_file_bytes=20).collect()}
+    assert stages["app.py"] == "oversize" and stages["lib/l.py"] is None
 
 
-def test_salted_anti_join_fallback_is_exact(spark, monkeypatch):
-    from flagtide.operators import skew
+def test_tree_rows_for_what_cannot_be_read(spark, tmp_path):
+    from flagtide.sources import tree
 
-    monkeypatch.setattr(skew, "BROADCAST_KEYS_MAX", 0)
-    body = "".join(f"if HOT_FLAG:\n    a{i}()\n" for i in range(60))
-    files = files_df(spark, [("r1", f"h{j}.py", body) for j in range(3)] + [("r1", "c.py", "if COLD_FLAG:\n    b()\n")])
-    occ = G.extract(files).occurrences
-    grouped = G.group_candidates(occ, 50).collect()
-    assert [(r.flag_name, r.n_occurrences) for r in grouped] == [("COLD_FLAG", 1)]
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "gone.py").write_text("x = 1\n")
+    listed = tree.list_tree(spark, str(tmp_path))
+    assert listed.count() == 1
+    read = tree.read_tree(spark, str(tmp_path))
+    (tmp_path / "r1" / "gone.py").unlink()
+    row = read.collect()[0]
+    assert row.content is None and row.read_error.startswith("FileNotFoundError")
+    assert [r.stage for r in G.extract_files(read).collect()] == ["read"]
+    with pytest.raises(ValueError):
+        tree.mounted_path("hdfs://host/tree")
+
+
+def test_path_spellings_are_one_row(spark):
+    df = spark.createDataFrame([("r", "a/b.py"), ("r", " a\\b.py "), ("r", "a/b.py"), ("r", "/abs.py")], "repo_id string, path string")
+    got = sorted((r.path or "", r.raw_path) for r in G.path_allowlist(df).collect())
+    assert got == [("", "/abs.py"), ("a/b.py", None)]
 
 
-def test_salted_gate_matches_broadcast(spark, monkeypatch):
+def test_top_flags_counts_repos_with_a_broken_file(spark):
+    files = files_df(spark, [("r1", "ok.py", "if NEW_FLAG:\n    a()\n"), ("r1", "bad.py", "if:\n"),
+                             ("r2", "ok.py", "if NEW_FLAG:\n    a()\n")])
+    rows = G.top_flags(G.extract(files).occurrences).collect()
+    assert [tuple(r) for r in rows] == [("NEW_FLAG", 2, 2, 2)]
+
+
+def test_gate_flags_whole_groups(spark):
     from flagtide.operators import rewrite as RW
-    from flagtide.operators import skew
-
-    rows = spark.createDataFrame([(k % 3, i, i % 7 == 0) for i, k in enumerate(range(300))],
-                                 "g int, i int, bad boolean")
-    want = sorted(RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect())
-    monkeypatch.setattr(skew, "BROADCAST_KEYS_MAX", 0)
-    got = sorted(RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect())
-    assert got == want and len(got) == 300
+
+    rows = spark.createDataFrame([(i % 3, i, i == 4) for i in range(300)], "g int, i int, bad boolean")
+    got = RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect()
+    assert len(got) == 300 and all(r.group_failed == (r.g == 1) for r in got)

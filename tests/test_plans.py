@@ -107,6 +107,17 @@ def test_keyless_grounding_is_exact(spark):
     assert got == brute
 
 
+def test_grounding_of_many_short_quotes(spark):
+    """One- and two-word quotes have no interior word: character anchors find them."""
+    import itertools
+
+    texts = [(i, "".join(t)) for i, t in enumerate(itertools.product(["ab cd", "bc", "é x", "long wording"], repeat=3))]
+    quotes = [(i, q) for i, q in enumerate(["a", "b c", "bcab", "cd", "é xbc", "wordinglong", "dlong wo", "zz", "", " ", "g", None])]
+    df = quotes_in_texts(spark.createDataFrame(quotes, "qid int, quote string"),
+                         spark.createDataFrame(texts, "tid int, text string"), "qid", "quote", "tid", "text")
+    assert sorted(map(tuple, df.collect())) == sorted((q, t) for q, qs in quotes for t, ts in texts if qs and qs in ts)
+
+
 def test_prompt_length_is_counted_before_assembly(spark):
     from flagtide.plans.discovery import prompt_table
 
