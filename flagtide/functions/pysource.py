@@ -10,9 +10,12 @@ outside the edited guards (comments, quoting, line endings) stays byte-equal.
 from __future__ import annotations
 
 import ast
+import bisect
 import difflib
+import io
 import keyword
 import re
+import tokenize
 import warnings
 
 # ---------------------------------------------------------------------------
@@ -26,11 +29,8 @@ TERNARY_EXPRESSION = "ternary_expression"
 
 _FLAG_RE = re.compile(FLAG_NAME_PATTERN)
 _BREAK_RE = re.compile(r"\r\n|\r|\n")
-_ATOMIC_ARMS = (
-    ast.Name, ast.Constant, ast.Attribute, ast.Subscript, ast.Call, ast.List,
-    ast.Dict, ast.Set, ast.ListComp, ast.SetComp, ast.DictComp,
-    ast.GeneratorExp, ast.JoinedStr,
-)
+# arms that stand without parentheses wherever the ternary stood in its own
+_ATOMIC_ARMS = (ast.Name, ast.Constant, ast.Attribute, ast.Subscript, ast.Call, ast.List, ast.Dict, ast.Set)
 
 
 def _parse(text: str) -> ast.Module:
@@ -68,9 +68,6 @@ class _Doc:
         first = _BREAK_RE.search(text)
         self.newline = first.group(0) if first else "\n"
 
-    def line(self, lineno: int) -> str:
-        return self.text[self.starts[lineno - 1]:self.line_end(lineno)]
-
     def line_start(self, lineno: int) -> int:
         return self.starts[lineno - 1]
 
@@ -92,9 +89,18 @@ class _Doc:
         return self.offset(node.end_lineno, node.end_col_offset)
 
     def indent(self, lineno: int) -> str:
-        raw = self.line(lineno)
+        raw = self.text[self.line_start(lineno):self.line_end(lineno)]
         return raw[: len(raw) - len(raw.lstrip(" \t\f"))]
 
+    def word(self, pos: int, end: int, word: str) -> int:
+        """First place of ``word`` in a stretch of trivia and closing brackets."""
+        while pos < end:
+            pos = _skip_trivia(self.text, pos, end)
+            if self.text.startswith(word, pos):
+                return pos
+            pos += 1
+        raise ValueError(f"no {word!r} where one was expected")
+
 
 def _skip_trivia(text: str, pos: int, end: int | None = None) -> int:
     """Skip white space, comments and line continuations."""
@@ -111,220 +117,225 @@ def _skip_trivia(text: str, pos: int, end: int | None = None) -> int:
     return pos
 
 
-def _find_word(text: str, pos: int, end: int, word: str) -> int:
-    """First position of keyword ``word`` in ``text[pos:end]``, outside comments."""
-    while pos < end:
-        pos = _skip_trivia(text, pos, end)
-        if text.startswith(word, pos) and not _is_ident_char(text, pos + len(word)):
-            return pos
-        pos += 1
-    return -1
-
-
-def _find_colon(text: str, pos: int) -> int:
-    """The header colon that follows an ``if``/``elif``/``else`` test."""
-    while pos < len(text):
-        pos = _skip_trivia(text, pos)
-        if text[pos] == ":":
-            return pos
-        pos += 1
-    return -1
-
-
-def _is_ident_char(text: str, pos: int) -> bool:
-    return pos < len(text) and (text[pos].isalnum() or text[pos] == "_")
+def _back(text: str, pos: int) -> int:
+    """The place after the last character before ``pos`` that is no blank."""
+    while pos and text[pos - 1] in " \t":
+        pos -= 1
+    return pos
 
 
-def _parents(tree: ast.AST) -> dict[int, tuple[ast.AST, list]]:
-    """Map id(statement) -> (owner node, the statement list holding it)."""
-    out = {}
-    for node in ast.walk(tree):
-        for field in ("body", "orelse", "finalbody", "handlers"):
-            seq = getattr(node, field, None)
-            if isinstance(seq, list):
-                for child in seq:
-                    if isinstance(child, ast.AST):
-                        out[id(child)] = (node, seq)
+def _logical_lines(text: str) -> set[int]:
+    """Lines on which a statement, a clause or a comment of its own begins. The
+    others continue a string or a bracket and keep their leading white space."""
+    out, fresh = set(), True
+    for tok in tokenize.generate_tokens(io.StringIO(text, newline="").readline):
+        if tok.type in (tokenize.INDENT, tokenize.DEDENT):
+            continue
+        if fresh or tok.type == tokenize.COMMENT and not tok.line[:tok.start[1]].strip():
+            out.add(tok.start[0])
+        fresh = tok.type == tokenize.NEWLINE or fresh and tok.type in (tokenize.NL, tokenize.COMMENT)
     return out
 
 
-def _continuation_lines(first: int, last: int, tree: ast.AST) -> set[int]:
-    """Lines in ``first..last`` that continue a multi-line expression, string or
-    simple statement; their leading white space is kept verbatim."""
-    cont: set[int] = set()
-    for node in ast.walk(tree):
-        end = getattr(node, "end_lineno", None)
-        if end is None or end <= node.lineno or end < first or node.lineno > last:
-            continue
-        if isinstance(node, ast.stmt) and hasattr(node, "body"):
-            continue
-        cont.update(range(max(node.lineno + 1, first), min(end, last) + 1))
-    return cont
+class _Resolver:
+    """Edits that resolve all guards of one flag, from a single parse.
 
+    Everything is expressed in offsets of the original text: spans to replace,
+    and lines to shift from one indentation to another. Only code that stays is
+    walked further, so spans never overlap, however guards are nested.
+    """
 
-def _block_text(doc: _Doc, tree, stmts: list, colon: int, target_indent: str) -> str:
-    """Text of a statement block, re-indented to ``target_indent``."""
-    text = doc.text
-    colon_line = _line_of(doc, colon)
-    if stmts[0].lineno == colon_line:
-        # one-line suite: the statements go on their own line
-        body = text[doc.start_of(stmts[0]):doc.end_of(stmts[-1])]
-        return target_indent + body + doc.newline
-    first, last = colon_line + 1, stmts[-1].end_lineno
-    old_indent = doc.indent(stmts[0].lineno)
-    keep = _continuation_lines(first, last, tree)
-    out = []
-    for lineno in range(first, last + 1):
-        raw = doc.line(lineno)
-        if lineno not in keep and raw.startswith(old_indent) and raw.strip():
-            raw = target_indent + raw[len(old_indent):]
-        out.append(raw)
-    joined = "".join(out)
-    if not joined.endswith(("\n", "\r")):
-        joined += doc.newline
-    return joined
-
-
-def _line_of(doc: _Doc, offset: int) -> int:
-    lo, hi = 0, len(doc.starts) - 1
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if doc.starts[mid] <= offset:
-            lo = mid
+    def __init__(self, text: str, flag: str, state: bool):
+        self.doc, self.flag, self.state = _Doc(text), flag, state
+        self.edits: list[tuple[int, int, str]] = []
+        self.shifts: list[tuple[int, int, str, str]] = []
+
+    def resolved(self) -> str:
+        self._block(_parse(self.doc.text).body, owner_is_module=True)
+        if not self.edits:
+            return self.doc.text
+        if self.shifts:
+            logical = _logical_lines(self.doc.text)
+            prefix: dict[int, str] = {}
+            for first, last, old, new in self.shifts:  # inner blocks come first
+                for line in range(first, last + 1):
+                    if line in logical:
+                        now = prefix.get(line, self.doc.indent(line))
+                        if now.startswith(old):
+                            prefix[line] = new + now[len(old):]
+            for line, indent in prefix.items():
+                at = self.doc.line_start(line)
+                self.edits.append((at, at + len(self.doc.indent(line)), indent))
+        out, at = [], 0
+        for start, end, new in sorted(self.edits, key=lambda e: (e[0], -e[1])):
+            if start < at:  # the indentation of a line that goes as a whole
+                continue
+            out += [self.doc.text[at:start], new]
+            at = end
+        return "".join([*out, self.doc.text[at:]])
+
+    def _guard(self, node) -> bool:
+        return isinstance(node.test, ast.Name) and node.test.id == self.flag
+
+    def _block(self, stmts: list, owner_is_module: bool = False) -> None:
+        """A list of statements; one that loses all of them gets a ``pass``."""
+        gone = [s for s in stmts if isinstance(s, ast.If) and not self._chain(s)]
+        for i, s in enumerate(gone):
+            if i == 0 and len(gone) == len(stmts) and not owner_is_module:
+                new = "pass" + self.doc.newline
+                self.edits.append((self.doc.start_of(s), self.doc.line_end(s.end_lineno), new))
+            else:
+                self.edits.append((self.doc.line_start(s.lineno), self.doc.line_end(s.end_lineno), ""))
+        for s in stmts:
+            if not isinstance(s, ast.If):
+                self._inside(s)
+
+    def _inside(self, node) -> None:
+        """Statement lists and expressions below any other node."""
+        for _, value in ast.iter_fields(node):
+            if isinstance(value, list) and value and isinstance(value[0], ast.stmt):
+                self._block(value)
+            else:
+                for child in value if isinstance(value, list) else [value]:
+                    if isinstance(child, ast.IfExp) and self._guard(child):
+                        self._ternary(child)
+                    elif isinstance(child, ast.AST):
+                        self._inside(child)
+
+    def _chain(self, node: ast.If) -> bool:
+        """An if with its elif and else branches; False if nothing is left."""
+        doc, text = self.doc, self.doc.text
+        branches = []  # (test or None, start of the keyword, body)
+        at, test, body, orelse = doc.start_of(node), node.test, node.body, node.orelse
+        while True:
+            branches.append((test, at, body))
+            if not orelse:
+                break
+            only = orelse[0]
+            if len(orelse) == 1 and isinstance(only, ast.If) and text.startswith("elif", doc.start_of(only)):
+                at, test, body, orelse = doc.start_of(only), only.test, only.body, only.orelse
+            else:
+                test, at, body, orelse = None, doc.word(doc.end_of(body[-1]), doc.start_of(only), "else"), orelse, []
+        ends = [doc.line_start(self._line(b[1])) for b in branches[1:]] + [doc.line_end(node.end_lineno)]
+        kept = []
+        for i, (test, at, body) in enumerate(branches):
+            match = isinstance(test, ast.Name) and test.id == self.flag
+            if match and not self.state:
+                continue
+            kept.append((i, None if match else test, at, body))
+            if match:
+                break
+        if len(kept) == len(branches) and kept[-1][1] is branches[-1][0]:
+            for test, _, body in branches:  # no guard in this chain
+                if test is not None:
+                    self._expression(test)
+                self._block(body)
+            return True
+        if not kept:
+            return False
+        for test, _, body in [k[1:] for k in kept]:
+            if test is not None:
+                self._expression(test)
+            self._block(body)
+        stays = {k[0] for k in kept}
+        first, test, at, body = kept[0]
+        if first > 0 or test is None:
+            if test is None:  # the only branch left: its body takes the place of all
+                self._inline(node, first, at, body, ends)
+                return True
+            self.edits.append((doc.start_of(node), at + 2, ""))  # elif becomes if
+        for i, (_, at, _) in enumerate(branches):
+            if i > first and i not in stays:
+                self.edits.append((doc.line_start(self._line(at)), ends[i], ""))
+        last, test, at, body = kept[-1]
+        if test is None and branches[last][0] is not None:  # elif FLAG becomes else
+            self.edits.append((at, self._colon(branches[last][0]), "else"))
+        return True
+
+    def _inline(self, node: ast.If, i: int, at: int, body: list, ends: list[int]) -> None:
+        doc = self.doc
+        colon = self._line(self._colon(node.test)) if i == 0 else None
+        if colon is None:
+            test = self._test_of(node, at)
+            colon = self._line(self._colon(test) if test is not None else doc.word(at + 4, doc.start_of(body[0]), ":"))
+        after = doc.line_end(node.end_lineno)
+        if body[0].lineno == colon:  # a one-line suite
+            self.edits.append((doc.start_of(node), doc.start_of(body[0]), ""))
         else:
-            hi = mid - 1
-    return lo + 1
-
-
-def _is_elif(doc: _Doc, node: ast.If) -> bool:
-    return doc.text.startswith("elif", doc.start_of(node))
-
-
-def _matches(node, flag: str) -> bool:
-    return (isinstance(node, (ast.If, ast.IfExp)) and isinstance(node.test, ast.Name)
-            and node.test.id == flag)
-
-
-def _innermost(tree: ast.AST, flag: str):
-    """First matching guard, in post-order: it contains no other matching guard."""
-
-    def visit(node):
-        for child in ast.iter_child_nodes(node):
-            found = visit(child)
-            if found is not None:
-                return found
-        return node if _matches(node, flag) else None
-
-    return visit(tree)
-
-
-def _else_keyword(doc: _Doc, node: ast.If) -> int:
-    """Offset of the ``else``/``elif`` that starts ``node.orelse``."""
-    return _find_word(doc.text, doc.end_of(node.body[-1]), doc.start_of(node.orelse[0]), "else")
-
-
-def _edit_statement(doc: _Doc, tree, node: ast.If, state: bool, parents) -> str:
-    text = doc.text
-    start = doc.start_of(node)
-    indent = doc.indent(node.lineno)
-    span_start, span_end = doc.line_start(node.lineno), doc.line_end(node.end_lineno)
-    elif_ = _is_elif(doc, node)
-    orelse = node.orelse
-    next_elif = bool(orelse) and len(orelse) == 1 and isinstance(orelse[0], ast.If) \
-        and _is_elif(doc, orelse[0])
-
-    if elif_:
-        if state:
-            # ``elif F:`` becomes ``else:``; later branches go away
-            colon = _find_colon(text, doc.end_of(node.test))
-            cut_from = doc.line_end(node.body[-1].end_lineno)
-            return text[:start] + "else" + text[colon:cut_from] + text[span_end:]
-        if not orelse:
-            return text[:span_start] + text[span_end:]
-        nxt = doc.start_of(orelse[0]) if next_elif else _else_keyword(doc, node)
-        return text[:start] + text[nxt:]
-
-    if state:
-        colon = _find_colon(text, doc.end_of(node.test))
-        return text[:span_start] + _block_text(doc, tree, node.body, colon, indent) + text[span_end:]
-    if not orelse:
-        owner, seq = parents.get(id(node), (tree, tree.body))
-        if len(seq) == 1 and not isinstance(owner, ast.Module):
-            return text[:span_start] + indent + "pass" + doc.newline + text[span_end:]
-        return text[:span_start] + text[span_end:]
-    if next_elif:
-        elif_at = doc.start_of(orelse[0])
-        return text[:start] + "if" + text[elif_at + 4:]
-    else_at = _else_keyword(doc, node)
-    colon = _find_colon(text, else_at + 4)
-    return text[:span_start] + _block_text(doc, tree, orelse, colon, indent) + text[span_end:]
-
-
-def _grouping_paren_before(text: str, pos: int) -> int:
-    """Offset of a grouping ``(`` directly before ``pos`` (or -1)."""
-    p = pos - 1
-    while p >= 0 and text[p] in " \t\f\r\n\\":
-        p -= 1
-    if p < 0 or text[p] != "(":
-        return -1
-    q = p - 1
-    while q >= 0 and text[q] in " \t\f\r\n\\":
-        q -= 1
-    if q >= 0 and (text[q] in ")]\"'" or text[q].isalnum() or text[q] == "_"):
-        if text[q].isalnum() or text[q] == "_":
-            r = q
-            while r >= 0 and (text[r].isalnum() or text[r] == "_"):
-                r -= 1
-            if keyword.iskeyword(text[r + 1:q + 1]):
-                return p
-        return -1
-    return p
-
-
-def _edit_ternary(doc: _Doc, node: ast.IfExp, state: bool) -> str:
-    text = doc.text
-    start, end = doc.start_of(node), doc.end_of(node)
-    if_kw = _find_word(text, doc.end_of(node.body), doc.start_of(node.test), "if")
-    else_kw = _find_word(text, doc.end_of(node.test), doc.start_of(node.orelse), "else")
-    if state:
-        arm_text, arm = text[start:if_kw].rstrip(), node.body
-    else:
-        arm_text, arm = text[else_kw + 4:end].lstrip(), node.orelse
-    had_parens = False
-    while True:
-        lp = _grouping_paren_before(text, start)
-        rp = _skip_trivia(text, end)
-        if lp < 0 or rp >= len(text) or text[rp] != ")":
-            break
-        start, end, had_parens = lp, rp + 1, True
-    if had_parens and not isinstance(arm, _ATOMIC_ARMS) and not (
-            arm_text.startswith("(") and arm_text.endswith(")")):
-        arm_text = "(" + arm_text + ")"
-    return text[:start] + arm_text + text[end:]
+            self.edits.append((doc.line_start(node.lineno), doc.line_start(colon + 1), ""))
+            self.shifts.append((colon + 1, self._line(max(0, ends[i] - 1)), doc.indent(body[0].lineno), doc.indent(node.lineno)))
+        if ends[i] < after:
+            self.edits.append((ends[i], after, ""))
+
+    def _test_of(self, node: ast.If, at: int):
+        while self.doc.start_of(node) != at:
+            if not (node.orelse and isinstance(node.orelse[0], ast.If)) or self.doc.start_of(node.orelse[0]) > at:
+                return None
+            node = node.orelse[0]
+        return node.test
+
+    def _colon(self, test) -> int:
+        return self.doc.word(self.doc.end_of(test), len(self.doc.text), ":")
+
+    def _line(self, offset: int) -> int:
+        return bisect.bisect_right(self.doc.starts, offset)
+
+    def _expression(self, node) -> None:
+        if isinstance(node, ast.IfExp) and self._guard(node):
+            self._ternary(node)
+        else:
+            self._inside(node)
+
+    def _ternary(self, node: ast.IfExp) -> None:
+        doc, text = self.doc, self.doc.text
+        start, end = doc.start_of(node), doc.end_of(node)
+        arm = node.body if self.state else node.orelse
+        if self.state:
+            a = start
+            b = doc.word(doc.end_of(node.body), doc.start_of(node.test), "if")
+            blank = _back(text, b)
+            b = blank if text[blank - 1] not in "\r\n\\" and "#" not in text[doc.end_of(node.body):b] else b
+        else:
+            a = _skip_trivia(text, doc.word(doc.end_of(node.test), doc.start_of(node.orelse), "else") + 4, end)
+            b = end
+        if start < a:
+            self.edits.append((start, a, ""))
+        if b < end:
+            self.edits.append((b, end, ""))
+        # parentheses around the whole go where the arm can stand without them
+        left, right = _back(text, start) - 1, _skip_trivia(text, end)
+        plain = isinstance(arm, _ATOMIC_ARMS) and arm.lineno == arm.end_lineno and "\n" not in text[a:b]
+        if plain and left >= 0 and text[left] == "(" and text[right:right + 1] == ")" and self._grouping(left):
+            if not text[start:a].count("#") and not re.match(r"[\w.(\[\"']", text[right + 1:right + 2]):
+                self.edits.append((left, start, ""))
+                self.edits.append((end, right + 1, ""))
+        self._expression(arm)
+
+    def _grouping(self, paren: int) -> bool:
+        """Whether the parenthesis neither calls nor touches a word."""
+        text, end = self.doc.text, _back(self.doc.text, paren)
+        start = end
+        while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            start -= 1
+        if start < end:
+            return end < paren and keyword.iskeyword(text[start:end])
+        return text[end - 1:end] not in (")", "]", "}", '"', "'")
 
 
 def apply_flag(text: str, flag: str, state: bool) -> str:
-    """Resolve every guard that tests exactly ``flag`` as if it were ``state``.
+    """Resolve every guard that tests exactly ``flag`` as if it were ``state``."""
+    return _Resolver(text, flag, state).resolved()
 
-    Innermost guards first; each edit is applied to the text and the result is
-    parsed again, so an outer guard always sees its already-resolved body.
-    """
-    return _apply_flag(text, flag, state)[0]
-
-
-def _apply_flag(text: str, flag: str, state: bool) -> tuple[str, ast.Module]:
-    """``apply_flag`` plus the parse tree of the result."""
-    tree = _parse(text)
-    while True:
-        node = _innermost(tree, flag)
-        if node is None:
-            return text, tree
-        doc = _Doc(text)
-        if isinstance(node, ast.IfExp):
-            text = _edit_ternary(doc, node, state)
-        else:
-            text = _edit_statement(doc, tree, node, state, _parents(tree))
-        tree = _parse(text)
+
+def _parents(tree: ast.AST) -> dict[int, tuple[ast.AST, list]]:
+    """Map id(statement) -> (owner node, the statement list holding it)."""
+    out = {}
+    for node in ast.walk(tree):
+        for field in ("body", "orelse", "finalbody"):
+            seq = getattr(node, field, None)
+            for child in seq if isinstance(seq, list) else []:
+                out[id(child)] = (node, seq)
+    return out
 
 
 def used_names(tree: ast.AST) -> set[str]:
@@ -451,9 +462,10 @@ def rewrite_source(text: str, flag: str, state: bool, scope: str = "all") -> tup
     unused (imports that were already unused, e.g. for side effects, stay).
     """
     try:
-        updated, tree = _apply_flag(text, flag, state)
+        updated = apply_flag(text, flag, state)
         if updated == text:
             return "unchanged", text, None
+        tree = _parse(updated)  # no partial or broken output
         keep = None
         if scope == "new":
             before = _parse(text)
