@@ -228,7 +228,7 @@ def reset_memo() -> None:
 def _candidates(spark, sf_dir, limit=G.MAX_OCCURRENCES_PER_FLAG):
     key = (spark.sparkContext.applicationId, sf_dir, limit)
     if key not in _MEMO:
-        _MEMO[key] = G.discover_candidates(_files(spark, sf_dir), limit=limit)[0]
+        _MEMO[key] = materialize(G.discover_candidates(_files(spark, sf_dir), limit=limit)[0])
     return _MEMO[key]
 
 

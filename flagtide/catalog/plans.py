@@ -9,6 +9,7 @@ from flagtide.catalog.extract import PLANTED_GUARDS_SQL, _candidates, _files
 from flagtide.operators import guards as G
 from flagtide.plans import validate as V
 from flagtide.registry import query
+from flagtide.session import materialize
 from flagtide.sources.tables import CORPUS_SQL, read_table, shared_sql
 
 # Proposed files per (repo, flag), planted from the corpus with faults chosen
@@ -341,25 +342,34 @@ def target_rules(spark, sf_dir):
 
 
 @query("evidence_rules", oracle="""
-SELECT doc_id,
-       length(text) < 1 OR length(text) > 500 AS bad_quote,
-       trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank_quote
-FROM documents
+WITH d AS (SELECT doc_id, doc_id % 6 AS fault, length(text) AS n,
+                  trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank FROM documents)
+SELECT doc_id, fault = 1 AS bad_source, n < 1 OR n > 500 OR fault = 5 AS bad_quote,
+       fault = 2 OR fault = 3 AS bad_explanation, blank AND n > 0 AND fault <> 5 AS blank_quote,
+       fault = 4 AS blank_explanation, fault = 0 AS extra_keys
+FROM d
 """)
 def evidence_rules(spark, sf_dir):
-    """Evidence rules on documents used as quotes (length before strip, blank after)."""
+    """Evidence rules on payloads with one document as the quote each; by doc_id %
+    6: an extra field, a wrong source, an explanation too long or no string, a
+    blank explanation, a quote that is no string."""
     docs = read_table(spark, sf_dir, "documents")
-    ev = docs.select(F.lit("r").alias("repo_id"), F.lit(1).alias("attempt"), F.col("doc_id").alias("ordinal"),
-                     F.array(F.struct(F.lit("repository").alias("source"), F.col("text").alias("quote"),
-                                      F.lit("why").alias("explanation"),
-                                      F.array().cast("array<string>").alias("extra_keys"))).alias("evidence"))
-    v = V.evidence_rules(ev)
-    flags = v.groupBy("ordinal").agg(
-        F.bool_or(F.col("message").startswith("quote must")).alias("bad_quote"),
-        F.bool_or(F.col("message") == "quote cannot be blank").alias("blank_quote"))
-    return docs.select(F.col("doc_id")).join(flags, F.col("doc_id") == F.col("ordinal"), "left").select(
-        "doc_id", F.coalesce("bad_quote", F.lit(False)).alias("bad_quote"),
-        F.coalesce("blank_quote", F.lit(False)).alias("blank_quote"))
+    fault = F.col("doc_id") % 6
+    explanation = (F.when(fault == 2, F.lit('"' + "x" * 1001 + '"')).when(fault == 3, F.lit("7"))
+                   .when(fault == 4, F.lit('"   "')).otherwise(F.lit('"why"')))
+    quoted = F.when(fault == 5, F.lit("12")).otherwise(F.expr("substring(to_json(struct(text)), 9, length(to_json(struct(text))) - 9)"))
+    payload = F.concat(F.lit('{"targets":[{"flag_name":"A_B","final_state":true,"files_affected":["a.py"],"evidence":[{"source":'),
+                       F.when(fault == 1, F.lit('"rumour"')).otherwise(F.lit('"repository"')), F.lit(',"quote":'), quoted,
+                       F.lit(',"explanation":'), explanation, F.when(fault == 0, F.lit(',"note":1')).otherwise(F.lit("")),
+                       F.lit("}]}]}"))
+    attempts = docs.select(F.col("doc_id").cast("string").alias("repo_id"), F.lit(1).alias("attempt"),
+                           F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), payload.alias("payload"))
+    v = V.evidence_rules(V.parse_plans(attempts)[1])
+    rules = {"bad_source": "evidence source", "bad_quote": "quote must", "bad_explanation": "explanation must",
+             "blank_quote": "quote cannot", "blank_explanation": "explanation cannot", "extra_keys": "extra evidence"}
+    flags = v.groupBy("repo_id").agg(*(F.bool_or(F.col("message").startswith(m)).alias(c) for c, m in rules.items()))
+    return docs.select("doc_id").join(flags.withColumn("doc_id", F.col("repo_id").cast("bigint")), "doc_id", "left").select(
+        "doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in rules))
 
 
 @query("plan_rules", oracle="""
@@ -385,11 +395,19 @@ def plan_rules(spark, sf_dir):
 
 
 @query("dup_flags", oracle="""
-SELECT p_type, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_type HAVING count(*) > 1
+SELECT p_brand AS repo_id, 'duplicate target flag' AS message FROM part GROUP BY p_brand HAVING count(*) > count(DISTINCT p_type)
 """)
 def dup_flags(spark, sf_dir):
+    """The plan rule on one plan per brand with a target per part (flag = part
+    type, every other one with blanks around, which the parse strips)."""
     part = read_table(spark, sf_dir, "part")
-    return part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    flag = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), "p_type", F.lit("\t"))).otherwise(F.col("p_type"))
+    plans = part.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(F.struct(flag.alias("flag_name"))).alias("targets")))
+                                        .alias("payload"))
+    attempts = plans.select(F.col("p_brand").alias("repo_id"), F.lit(1).alias("attempt"), F.lit("completed").alias("status"),
+                            F.lit(None).cast("string").alias("error"), "payload")
+    p, t = V.parse_plans(materialize(attempts))
+    return V.plan_rules(p, t).where(F.col("message") == "duplicate target flag").select("repo_id", "message")
 
 
 _FIRSTS_SQL = _ORACLE_EVIDENCE + """

@@ -87,8 +87,9 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
 def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,
                      contexts: DataFrame) -> DataFrame:
     """Per (repo, attempt): ``valid`` / ``invalid`` (with the first violation)
-    / ``fatal`` (did not complete, or no parsed payload). The parsed targets
-    feed seven checks, so they are written once and read back."""
+    / ``fatal`` (did not complete, or no payload at all; a payload that is no
+    plan is a violation and may be tried again). Targets and candidates feed
+    several checks, so they are written once and read back."""
     from flagtide.session import materialize
 
     plans, targets = V.parse_plans(materialize(attempts))
@@ -96,11 +97,11 @@ def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: Data
     first = V.first_violation(V.all_violations(plans, targets, candidates, allowlist, contexts))
     j = plans.join(first, V.PLAN_KEY, "left")
     outcome = (F.when(F.col("status") != "completed", F.lit("fatal"))
-               .when(~F.col("parsed"), F.lit("fatal"))
+               .when(~F.col("has_payload"), F.lit("fatal"))
                .when(F.col("rule").isNotNull(), F.lit("invalid"))
                .otherwise(F.lit("valid")))
     err = (F.when(F.col("status") != "completed", F.concat(F.lit("response did not complete: "), F.col("status")))
-           .when(~F.col("parsed"), F.lit("no parsed plan"))
+           .when(~F.col("has_payload"), F.lit("no parsed plan"))
            .when(F.col("rule").isNotNull(), F.col("message")))
     return j.select(*V.PLAN_KEY, outcome.alias("outcome"), err.alias("error"), "rule", "ordinal")
 

@@ -49,44 +49,55 @@ def _keys_of(variant_col) -> F.Column:
     return F.coalesce(F.map_keys(as_map), F.array().cast("array<string>"))
 
 
+def _field(variant_col, name: str) -> F.Column:
+    """A field as a variant; null where the value is no object or lacks it."""
+    return F.try_variant_get(variant_col, f"$.{name}", "variant")
+
+
+def _text(variant_col) -> F.Column:
+    """The string in a variant; null for every other JSON type."""
+    return F.when(F.schema_of_variant(variant_col) == "STRING", F.try_variant_get(variant_col, "$", "string"))
+
+
+def _stripped(variant_col) -> F.Column:
+    return tx.strip_ws(_text(variant_col))
+
+
 def parse_plans(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(plans, targets)`` from ``plan_attempts(repo_id, attempt, status, error, payload)``.
 
-    plans: one row per attempt with ``parsed`` (payload is a JSON object),
-    ``n_targets`` and ``extra_keys``. targets: one row per target with its
-    ordinal, typed fields, the JSON type of ``final_state`` and extra keys of
-    the target and of each evidence item.
+    No payload can fail the job: a field of the wrong JSON type is null, and its
+    rule reports it. plans: one row per attempt with ``has_payload``, ``parsed``
+    (payload is a JSON object), ``n_targets`` (-1: no list) and ``extra_keys``.
+    targets: one row per target with its ordinal and fields, stripped as all
+    later joins need them; lengths before the strip are kept for the rules
+    (``flag_chars``, and ``quote_chars`` / ``explanation_chars`` per evidence item).
     """
-    v = F.try_parse_json("payload")
-    plans = attempts.select(
-        *PLAN_KEY, "status", "error", "payload",
-        v.alias("v"),
-    ).select(
-        *PLAN_KEY, "status", "error", "payload", "v",
-        (F.col("v").isNotNull() & (F.schema_of_variant("v").startswith("OBJECT"))).alias("parsed"),
-        F.variant_get("v", "$.targets", "array<variant>").alias("t_arr"),
+    plans = attempts.select(*PLAN_KEY, "status", "error", "payload", F.try_parse_json("payload").alias("v")).select(
+        *PLAN_KEY, "status", "error", F.col("payload").isNotNull().alias("has_payload"),
+        F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("parsed"),
+        F.try_variant_get(_field(F.col("v"), "targets"), "$", "array<variant>").alias("t_arr"),
         F.array_except(_keys_of(F.col("v")), F.array(*[F.lit(k) for k in PLAN_KEYS])).alias("extra_keys"),
     )
+    t = F.col("t")
     targets = plans.select(*PLAN_KEY, F.posexplode("t_arr").alias("ordinal", "t")).select(
         *PLAN_KEY, (F.col("ordinal") + 1).alias("ordinal"),
-        F.variant_get("t", "$.flag_name", "string").alias("flag_name"),
-        F.schema_of_variant(F.variant_get("t", "$.final_state", "variant")).alias("final_state_type"),
-        F.variant_get("t", "$.final_state", "boolean").alias("final_state"),
-        F.variant_get("t", "$.files_affected", "array<string>").alias("files_affected"),
-        F.variant_get("t", "$.evidence", "array<variant>").alias("ev"),
-        F.array_except(_keys_of(F.col("t")), F.array(*[F.lit(k) for k in TARGET_KEYS])).alias("extra_keys"),
-    ).select(
-        *TARGET_KEY, "flag_name", "final_state_type", "final_state", "files_affected", "extra_keys",
-        F.transform("ev", lambda e: F.struct(
-            F.variant_get(e, "$.source", "string").alias("source"),
-            F.variant_get(e, "$.quote", "string").alias("quote"),
-            F.variant_get(e, "$.explanation", "string").alias("explanation"),
-            F.array_except(_keys_of(e), F.array(*[F.lit(k) for k in EVIDENCE_KEYS]))
-            .alias("extra_keys"))).alias("evidence"),
+        _stripped(_field(t, "flag_name")).alias("flag_name"),
+        F.length(_text(_field(t, "flag_name"))).alias("flag_chars"),
+        F.schema_of_variant(_field(t, "final_state")).alias("final_state_type"),
+        F.when(F.schema_of_variant(_field(t, "final_state")) == "BOOLEAN",
+               F.try_variant_get(t, "$.final_state", "boolean")).alias("final_state"),
+        F.transform(F.try_variant_get(_field(t, "files_affected"), "$", "array<variant>"), _stripped).alias("files_affected"),
+        F.array_except(_keys_of(t), F.array(*[F.lit(k) for k in TARGET_KEYS])).alias("extra_keys"),
+        F.transform(F.try_variant_get(_field(t, "evidence"), "$", "array<variant>"), lambda e: F.struct(
+            _text(_field(e, "source")).alias("source"),
+            _stripped(_field(e, "quote")).alias("quote"), F.length(_text(_field(e, "quote"))).alias("quote_chars"),
+            _stripped(_field(e, "explanation")).alias("explanation"),
+            F.length(_text(_field(e, "explanation"))).alias("explanation_chars"),
+            F.array_except(_keys_of(e), F.array(*[F.lit(k) for k in EVIDENCE_KEYS])).alias("extra_keys"))).alias("evidence"),
     )
-    plans = plans.select(*PLAN_KEY, "status", "error", "parsed",
-                         F.coalesce(F.size("t_arr"), F.lit(-1)).alias("n_targets"), "extra_keys")
-    return plans, targets
+    return plans.select(*PLAN_KEY, "status", "error", "has_payload", "parsed",
+                        F.coalesce(F.size("t_arr"), F.lit(-1)).alias("n_targets"), "extra_keys"), targets
 
 
 def _violation(ordinal, rule: str, message, ev_ordinal=None) -> F.Column:
@@ -105,42 +116,44 @@ def _violations_df(df: DataFrame, keys, conds: list[tuple[F.Column, str, F.Colum
     return df.select(*keys, F.explode(arr).alias("v")).select(*keys, "v.*")
 
 
+def _outside(length, bounds: tuple[int, int]) -> F.Column:
+    return length.isNull() | (length < bounds[0]) | (length > bounds[1])
+
+
 def evidence_rules(targets: DataFrame) -> DataFrame:
     """Per evidence item: source in the enum, quote 1..500 and explanation
-    1..1000 characters (checked before strip), not blank after strip, no extra keys."""
+    1..1000 characters (strings, counted before the strip), not blank after it,
+    no extra keys."""
     ev = targets.select(*TARGET_KEY, F.posexplode("evidence").alias("ev_ordinal", "e"))
-    q, x = F.col("e.quote"), F.col("e.explanation")
     conds = [
-        (~F.coalesce(F.col("e.source").isin(*EVIDENCE_SOURCES), F.lit(False)), "schema",
+        (~F.coalesce(F.col("e.source").isin(*EVIDENCE_SOURCES), F.lit(False)),
          F.lit("evidence source must be business_context or repository")),
-        (q.isNull() | (F.length(q) < QUOTE_CHARS[0]) | (F.length(q) > QUOTE_CHARS[1]), "schema",
-         F.lit("quote must have 1..500 characters")),
-        (x.isNull() | (F.length(x) < EXPLANATION_CHARS[0]) | (F.length(x) > EXPLANATION_CHARS[1]), "schema",
-         F.lit("explanation must have 1..1000 characters")),
-        (q.isNotNull() & tx.is_blank(q), "schema", F.lit("quote cannot be blank")),
-        (x.isNotNull() & tx.is_blank(x), "schema", F.lit("explanation cannot be blank")),
-        (F.size("e.extra_keys") > 0, "schema",
-         F.concat(F.lit("extra evidence fields: "), F.array_join("e.extra_keys", ","))),
+        (_outside(F.col("e.quote_chars"), QUOTE_CHARS), F.lit("quote must have 1..500 characters")),
+        (_outside(F.col("e.explanation_chars"), EXPLANATION_CHARS), F.lit("explanation must have 1..1000 characters")),
+        ((F.col("e.quote") == "") & (F.col("e.quote_chars") > 0), F.lit("quote cannot be blank")),
+        ((F.col("e.explanation") == "") & (F.col("e.explanation_chars") > 0), F.lit("explanation cannot be blank")),
+        (F.size("e.extra_keys") > 0, F.concat(F.lit("extra evidence fields: "), F.array_join("e.extra_keys", ","))),
     ]
-    conds = [(c, r, _violation(F.col("ordinal"), r, m, F.col("ev_ordinal") + 1)) for c, r, m in conds]
+    conds = [(c, "schema", _violation(F.col("ordinal"), "schema", m, F.col("ev_ordinal") + 1)) for c, m in conds]
     return _violations_df(ev, PLAN_KEY, conds)
 
 
 def target_rules(targets: DataFrame) -> DataFrame:
-    """flag 1..200 chars and not blank; ``final_state`` a JSON boolean; files
-    1..200, none blank, no duplicates after strip; evidence 1..20 with at least
-    one business_context item; no extra keys."""
-    f, files, ev = F.col("flag_name"), F.col("files_affected"), F.col("evidence")
-    stripped = F.transform(files, lambda p: tx.strip_ws(p))
+    """flag a string of 1..200 chars and not blank; ``final_state`` a JSON boolean;
+    files a list of 1..200 strings, none blank, no duplicates after strip;
+    evidence 1..20 with at least one business_context item; no extra keys."""
+    files, ev = F.col("files_affected"), F.col("evidence")
+    named = F.filter(files, lambda p: p.isNotNull())
     conds = [
-        (f.isNull() | (F.length(f) < 1) | (F.length(f) > 200), F.lit("flag_name must have 1..200 characters")),
-        (f.isNotNull() & tx.is_blank(f), F.lit("flag_name cannot be blank")),
+        (_outside(F.col("flag_chars"), FLAG_NAME_CHARS), F.lit("flag_name must have 1..200 characters")),
+        ((F.col("flag_name") == "") & (F.col("flag_chars") > 0), F.lit("flag_name cannot be blank")),
         (F.coalesce(F.col("final_state_type"), F.lit("")) != "BOOLEAN", F.lit("final_state must be a boolean")),
-        (files.isNull() | (F.size(files) < 1) | (F.size(files) > 200), F.lit("files_affected must have 1..200 items")),
-        (F.exists(files, lambda p: p.isNull() | tx.is_blank(p)), F.lit("files_affected cannot contain blank paths")),
-        (F.size(F.array_distinct(stripped)) != F.size(stripped), F.lit("files_affected contains duplicates")),
-        (ev.isNull() | (F.size(ev) < 1) | (F.size(ev) > 20), F.lit("evidence must have 1..20 items")),
-        (~F.coalesce(F.exists(ev, lambda e: e["source"] == "business_context"), F.lit(False)),
+        (_outside(F.size(files), FILES_PER_TARGET), F.lit("files_affected must have 1..200 items")),
+        (F.exists(files, lambda p: p.isNull()), F.lit("files_affected must hold strings")),
+        (F.exists(named, lambda p: p == ""), F.lit("files_affected cannot contain blank paths")),
+        (F.size(F.array_distinct(named)) != F.size(named), F.lit("files_affected contains duplicates")),
+        (_outside(F.size(ev), EVIDENCE_PER_TARGET), F.lit("evidence must have 1..20 items")),
+        (~F.coalesce(F.exists(ev, lambda e: F.coalesce(e["source"] == "business_context", F.lit(False))), F.lit(False)),
          F.lit("at least one business_context evidence item is required")),
         (F.size("extra_keys") > 0, F.concat(F.lit("extra target fields: "), F.array_join("extra_keys", ","))),
     ]
@@ -151,7 +164,7 @@ def target_rules(targets: DataFrame) -> DataFrame:
 def plan_rules(plans: DataFrame, targets: DataFrame) -> DataFrame:
     """Payload is an object; at most 100 targets; no duplicate flag; no extra keys.
     An empty target list is valid."""
-    dup = (targets.groupBy(*PLAN_KEY, "flag_name").agg(F.count(F.lit(1)).alias("n"))
+    dup = (targets.where(F.col("flag_name").isNotNull()).groupBy(*PLAN_KEY, "flag_name").agg(F.count(F.lit(1)).alias("n"))
            .where(F.col("n") > 1).groupBy(*PLAN_KEY).agg(F.lit(True).alias("dup_flag")))
     p = plans.join(dup, PLAN_KEY, "left")
     conds = [
@@ -234,30 +247,46 @@ def join_evidence_grounding(targets: DataFrame, contexts: DataFrame, candidates:
 
 def semantic_violations(targets: DataFrame, candidates: DataFrame, allowlist: DataFrame,
                         contexts: DataFrame) -> DataFrame:
-    files = target_files(targets)
-    parts = [
-        join_unknown_flags(targets, candidates).select(
-            *PLAN_KEY, _violation(F.col("ordinal"), "unknown_flag",
-                                  F.concat(F.lit("unknown flag: "), F.col("flag_name"))).alias("v")),
-        bad_paths(files).select(*PLAN_KEY, _violation(F.col("ordinal"), "bad_path", F.concat(
-            F.lit("unsafe path ("), F.col("error_code"), F.lit("): "), F.col("raw_path"))).alias("v")),
-        dup_paths(files).select(*PLAN_KEY, _violation(F.col("ordinal"), "duplicate_path", F.concat(
-            F.lit("duplicate path: "), F.col("path"))).alias("v")),
-        join_hallucinated_paths(files, allowlist).select(*PLAN_KEY, _violation(
-            F.col("ordinal"), "hallucinated_path", F.concat(F.lit("path outside allowlist: "), F.col("path"))).alias("v")),
-        join_unrelated_paths(files, allowlist, candidates).select(*PLAN_KEY, _violation(
-            F.col("ordinal"), "unrelated_path", F.concat(F.lit("file without the flag: "), F.col("path"))).alias("v")),
-        join_omitted_paths(targets, files, candidates).select(*PLAN_KEY, _violation(
-            F.col("ordinal"), "omitted_path", F.concat(F.lit("omitted file: "), F.col("path"))).alias("v")),
-        join_evidence_grounding(targets, contexts, candidates).select(*PLAN_KEY, _violation(
-            F.col("ordinal"), "ungrounded_evidence",
-            F.concat(F.lit("ungrounded "), F.col("source"), F.lit(" quote: "), F.col("quote")),
-            F.col("ev_ordinal")).alias("v")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*PLAN_KEY, "v.*")
+    """All semantic violations in one pass over the targets.
+
+    A target's candidate (its file set and snippets, both bounded by the
+    occurrence limit) and its repository's context are joined once; unknown
+    flags, bad, repeated and omitted paths and ungrounded quotes follow from
+    the row. Only proposed paths that are not the candidate's are exploded and
+    looked up in the allowlist.
+    """
+    known = candidates.select("repo_id", "flag_name", F.col("files").alias("wanted"), F.array_join(
+        F.transform("occurrences", lambda o: o["snippet"]), "\n").alias("repo_text"))
+    ctx = contexts.select("repo_id", tx.strip_ws("text").alias("context"))
+    t = targets.join(known, ["repo_id", "flag_name"], "left").join(ctx, "repo_id", "left")
+    none = F.array().cast("array<string>")
+    t = t.withColumn("proposed", F.transform(F.filter(F.coalesce("files_affected", none), lambda p: p.isNotNull()),
+                                             lambda p: F.struct(p.alias("raw"), tx.normalize_path(p, model=True).alias("n"))))
+    t = t.withColumn("paths", F.transform(F.filter("proposed", lambda p: p["n"]["path"].isNotNull()), lambda p: p["n"]["path"]))
+    n = F.col("ordinal")
+    said = lambda rule, text, value: _violation(n, rule, F.concat(F.lit(text), value))
+    cited = F.transform(F.coalesce("evidence", F.array().cast(targets.schema["evidence"].dataType)),
+                        lambda e, i: F.struct(e.alias("e"), (i + 1).alias("at")))
+    source = lambda e: F.when(e["source"] == "business_context", F.col("context")).otherwise(F.col("repo_text"))
+    found = F.flatten(F.filter(F.array(
+        F.when(F.col("wanted").isNull() & F.col("flag_name").isNotNull(),
+               F.array(said("unknown_flag", "unknown flag: ", F.col("flag_name")))),
+        F.transform(F.filter("proposed", lambda p: p["n"]["error_code"].isNotNull()), lambda p: said(
+            "bad_path", "unsafe path (", F.concat(p["n"]["error_code"], F.lit("): "), p["raw"]))),
+        F.transform(F.array_distinct(F.filter("paths", lambda p: F.size(F.filter("paths", lambda q: q == p)) > 1)),
+                    lambda p: said("duplicate_path", "duplicate path: ", p)),
+        F.transform(F.array_except(F.coalesce("wanted", none), "paths"), lambda p: said("omitted_path", "omitted file: ", p)),
+        F.transform(F.filter(cited, lambda c: ~F.coalesce(F.instr(source(c["e"]), c["e"]["quote"]) > 0, F.lit(False))),
+                    lambda c: _violation(n, "ungrounded_evidence", F.concat(
+                        F.lit("ungrounded "), F.coalesce(c["e"]["source"], F.lit("?")), F.lit(" quote: "),
+                        F.coalesce(c["e"]["quote"], F.lit(""))), c["at"]))), lambda some: some.isNotNull()))
+    own = t.select(*PLAN_KEY, F.explode(found).alias("v")).select(*PLAN_KEY, "v.*")
+    others = t.select(*PLAN_KEY, "ordinal", F.explode(F.array_except(F.array_distinct("paths"), F.coalesce("wanted", none))).alias("path"))
+    allowed = allowlist.select("repo_id", "path", F.lit(True).alias("allowed")).distinct()
+    outside = others.join(allowed, ["repo_id", "path"], "left").select(*PLAN_KEY, F.when(
+        F.col("allowed").isNull(), said("hallucinated_path", "path outside allowlist: ", F.col("path"))).otherwise(
+        said("unrelated_path", "file without the flag: ", F.col("path"))).alias("v")).select(*PLAN_KEY, "v.*")
+    return own.unionByName(outside)
 
 
 def all_violations(plans: DataFrame, targets: DataFrame, candidates: DataFrame,

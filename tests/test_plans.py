@@ -55,6 +55,47 @@ def test_schema_rules(spark):
     assert first_rules(spark, plans) == [None, "schema", "schema", "schema", "schema", "schema", None, "schema"]
 
 
+def test_malformed_payloads_are_rows_not_failures(spark):
+    bad = ['{"targets": "x"}', '{"targets": [1, null, "y", [2]]}', '[1]', '"text"', "12", "not json", "null", "{}",
+           json.dumps({"targets": [_target(state="maybe")]}), json.dumps({"targets": [_target(files="a.py")]}).replace('["a", ".", "p", "y"]', '"a.py"'),
+           json.dumps({"targets": [_target(flag=123)]}), json.dumps({"targets": [_target(files=(1, 2))]}),
+           json.dumps({"targets": [_target(evidence="e")]}), json.dumps({"targets": [_target(evidence=[5, None])]}),
+           json.dumps({"targets": [_target(evidence=[_ev(quote=7)])]}), json.dumps({"targets": [_target(flag=" " * 3)]}),
+           json.dumps({"targets": [_target(evidence=[_ev(quote="  "), _ev()])]}), json.dumps({"targets": [_target(flag="A" * 201)]})]
+    assert first_rules(spark, bad) == ["schema"] * len(bad)
+
+
+def test_fields_are_stripped_before_the_joins(spark):
+    padded = _target(flag=" OLD_FLAG\t", files=("\tapp.py ",), evidence=[_ev(quote="  Owner says OLD_FLAG is on ")])
+    assert first_rules(spark, [{"targets": [padded]}, {"targets": [padded, _target()]}]) == [None, "schema"]
+
+
+def test_verdicts_of_missing_and_malformed_payloads(spark):
+    from flagtide.plans.discovery import attempt_verdicts
+
+    rows = [("r1", 1, "completed", None, None), ("r1", 2, "completed", None, "[]"), ("r1", 3, "incomplete", None, "{}"),
+            ("r1", 4, "completed", None, json.dumps({"targets": [_target()]}))]
+    df = spark.createDataFrame(rows, "repo_id string, attempt int, status string, error string, payload string")
+    got = {r.attempt: r.outcome for r in attempt_verdicts(df, *facts(spark)).collect()}
+    assert got == {1: "fatal", 2: "invalid", 3: "fatal", 4: "valid"}
+
+
+def test_one_pass_equals_the_single_joins(spark):
+    plans = [{"targets": [_target(flag="NEW_FLAG", files=("a.txt", "other.py", "gone.py")), _target(files=("x\\app.py", "app.py", "./app.py"))]},
+             {"targets": [_target(files=("other.py", "other.py "), evidence=[_ev(quote="?"), _ev(source="repository", quote="if OLD_FLAG")])]}]
+    _, t = V.parse_plans(attempts_df(spark, plans))
+    cands, allow, ctx = facts(spark)
+    files = V.target_files(t)
+    got = sorted((r.attempt, r.ordinal, r.rule) for r in V.semantic_violations(t, cands, allow, ctx).collect())
+    key = lambda df, rule: [(r.attempt, r.ordinal, rule) for r in df.collect()]
+    want = sorted(key(V.join_unknown_flags(t, cands), "unknown_flag") + key(V.bad_paths(files), "bad_path")
+                  + key(V.dup_paths(files), "duplicate_path") + key(V.join_hallucinated_paths(files, allow), "hallucinated_path")
+                  + key(V.join_unrelated_paths(files, allow, cands).select(*V.TARGET_KEY, "path").distinct(), "unrelated_path")
+                  + key(V.join_omitted_paths(t, files, cands), "omitted_path")
+                  + key(V.join_evidence_grounding(t, ctx, cands), "ungrounded_evidence"))
+    assert got == want
+
+
 def test_semantic_rules_in_order(spark):
     plans = [
         {"targets": [_target(flag="NEW_FLAG")]},                    # unknown flag
