@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flagtide.catalog.extract import PLANTED_GUARDS_SQL, _candidates, _files
 from flagtide.operators import guards as G
 from flagtide.plans import validate as V
+from flagtide.plans.discovery import PROMPT_RULES, RETRY_HEAD, RETRY_TAIL
 from flagtide.registry import query
 from flagtide.session import materialize
 from flagtide.sources.tables import CORPUS_SQL, read_table, shared_sql
@@ -34,6 +35,12 @@ proposal AS (
 )
 """
 
+
+def _literal(text: str) -> str:
+    """A text as a DuckDB expression."""
+    return "concat(" + ", chr(10), ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n")) + ")"
+
+
 CONTEXT_SQL = """
 SELECT CAST(c_custkey AS STRING) AS repo_id,
        concat('  ', c_name, ' owns these switches; segment ', c_mktsegment, chr(10)) AS text
@@ -551,13 +558,36 @@ blocks AS (SELECT f.repo_id, f.flag_name,
            FROM fl f JOIN oc o ON o.repo_id = f.repo_id AND o.flag_name = f.flag_name),
 prompts AS (SELECT b.repo_id, concat('BUSINESS CONTEXT:', chr(10), coalesce(trim(max(x.text), ' ' || chr(10)), ''),
                                      chr(10), chr(10), 'CANDIDATES:', chr(10),
-                                     string_agg(b.block, chr(10) || chr(10) ORDER BY b.flag_name)) AS prompt
-            FROM blocks b LEFT JOIN ctx x ON x.repo_id = b.repo_id GROUP BY b.repo_id)
-SELECT repo_id, CAST(length(prompt) AS BIGINT) AS prompt_chars, length(prompt) > 80000 AS too_long FROM prompts
-""")
+                                     string_agg(b.block, chr(10) || chr(10) ORDER BY b.flag_name), $rules) AS prompt
+            FROM blocks b LEFT JOIN ctx x ON x.repo_id = b.repo_id
+            WHERE CAST(b.repo_id AS BIGINT) % 11 <> 0 GROUP BY b.repo_id),
+turns AS (SELECT repo_id, 1 AS attempt, prompt FROM prompts
+          UNION ALL SELECT repo_id, 2, concat(prompt, $head, 'rule ', CAST(CAST(repo_id AS BIGINT) % 4 AS VARCHAR), $tail) FROM prompts
+          WHERE CAST(repo_id AS BIGINT) % 4 <> 0)
+SELECT repo_id, attempt, CASE WHEN length(prompt) <= 80000 THEN prompt END AS prompt,
+       CAST(length(prompt) AS BIGINT) AS prompt_chars, length(prompt) > 80000 AS too_long FROM turns
+""".replace("$rules", _literal(PROMPT_RULES)).replace("$head", _literal(RETRY_HEAD)).replace("$tail", _literal(RETRY_TAIL)))
 def prompt_table(spark, sf_dir):
-    """Batch-inference inputs: one prompt per repo with candidates and context."""
+    """Prompts in full, for the first attempt and (where it was rejected) the
+    second; repositories with a blank context (customers % 11) are not asked."""
     from flagtide.plans.discovery import prompt_table as build
-    return build(_candidates(spark, sf_dir), contexts(spark, sf_dir)).select(
-        "repo_id", "prompt_chars", "too_long")
 
+    rid = F.col("repo_id").cast("bigint")
+    ctx = contexts(spark, sf_dir).withColumn("text", F.when(rid % 11 == 0, F.lit(" \t")).otherwise(F.col("text")))
+    rejected = ctx.where(rid % 4 != 0).select("repo_id", F.lit(1).alias("attempt"), F.concat(
+        F.lit("rule "), (rid % 4).cast("string")).alias("error"))
+    return build(_candidates(spark, sf_dir), ctx, allowlist=_allowlist(spark, sf_dir), rejections=rejected)
+
+
+@query("candidate_checks", oracle=_ORACLE_TARGETS + """
+SELECT repo_id, flag_name, concat('file outside the allowlist: ', path) AS message FROM cand_files WHERE length(path) % 3 = 0
+UNION SELECT repo_id, flag_name, 'candidate listed twice' FROM cand_flags WHERE length(flag_name) % 2 = 0
+""")
+def candidate_checks(spark, sf_dir):
+    """Candidates against an allowlist that lacks paths of some lengths, with the
+    flags of even length listed twice."""
+    from flagtide.plans.discovery import check_candidates
+
+    c = _candidates(spark, sf_dir)
+    twice = c.unionByName(c.where(F.length("flag_name") % 2 == 0))
+    return check_candidates(twice, _allowlist(spark, sf_dir).where(F.length("path") % 3 != 0))

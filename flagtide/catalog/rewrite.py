@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flagtide.catalog.extract import _files
+from flagtide.catalog.extract import _MEMO, _files
 from flagtide.functions import text as tx
 from flagtide.operators import delivery as D
+from flagtide.operators import guards as G
 from flagtide.operators import outcomes as O
 from flagtide.operators import report as R
 from flagtide.operators import rewrite as RW
 from flagtide.registry import query
+from flagtide.session import materialize
 from flagtide.sources.tables import CORPUS_SQL, read_table, shared_sql
 
 # One target row per corpus file: its flag, state true for o_orderkey % 3 = 0.
@@ -70,12 +72,27 @@ def validation_runs(spark, sf_dir):
                 "SELECT repo_id, flag_name, passed, CAST(NULL AS STRING) AS output FROM runs")
 
 
+def _once(spark, sf_dir, name, make):
+    """A table written once per query run and read by all its consumers."""
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO:
+        _MEMO[key] = materialize(make())
+    return _MEMO[key]
+
+
 def rewritten(spark, sf_dir):
     return RW.rewrite_files(targets(spark, sf_dir), _files(spark, sf_dir))
 
 
+def file_changes(spark, sf_dir):
+    """The rewrite result as a written table: outcomes, diffs, deliveries and
+    reports read it, so the rewrite itself runs once."""
+    return _once(spark, sf_dir, "file_changes", lambda: rewritten(spark, sf_dir))
+
+
 def outcomes(spark, sf_dir):
-    return O.target_outcomes(rewritten(spark, sf_dir), validation_runs(spark, sf_dir))
+    return _once(spark, sf_dir, "outcomes", lambda: O.target_outcomes(
+        file_changes(spark, sf_dir), validation_runs(spark, sf_dir)))
 
 
 @query("rewrite_guards", oracle=ORACLE_PREFIX + """
@@ -87,20 +104,20 @@ def rewrite_guards(spark, sf_dir):
 
 
 @query("clean_imports", oracle=ORACLE_PREFIX + """
-SELECT repo_id, path, string_split(updated, chr(10))[1] AS import_line FROM expected WHERE k = 0 AND status = 'mutated'
+SELECT repo_id, path, updated FROM expected WHERE status = 'mutated'
 """)
 def clean_imports(spark, sf_dir):
-    """First line of each rewritten file that imported both arms' functions."""
-    r = rewritten(spark, sf_dir).where(F.col("updated_source").startswith("from svc import"))
-    return r.select("repo_id", "path", F.split("updated_source", "\n")[0].alias("import_line"))
+    """The whole text of every changed file, imports cleaned."""
+    return rewritten(spark, sf_dir).where(F.col("status") == "mutated").select(
+        "repo_id", "path", F.col("updated_source").alias("updated"))
 
 
 @query("file_status", oracle=ORACLE_PREFIX + """
-SELECT repo_id, path, status, status = 'failed' AS has_error FROM expected
+SELECT repo_id, path, status, CASE WHEN status = 'failed' THEN 'SyntaxError' END AS error_class FROM expected
 """)
 def file_status(spark, sf_dir):
     r = rewritten(spark, sf_dir)
-    return r.select("repo_id", "path", "status", F.col("error").isNotNull().alias("has_error"))
+    return r.select("repo_id", "path", "status", F.substring_index("error", ":", 1).alias("error_class"))
 
 
 @query("mutation_summary", oracle=ORACLE_PREFIX + """
@@ -156,7 +173,7 @@ FROM budget WHERE upto - n_lines <= {limit} GROUP BY repo_id, flag_name
 SELECT repo_id, flag_name, path, CAST(n_lines AS INTEGER) AS n_lines, concat('--- a/', path) AS first_line FROM dl
 """)
 def unified_diff(spark, sf_dir):
-    d = RW.file_diffs(rewritten(spark, sf_dir))
+    d = RW.file_diffs(file_changes(spark, sf_dir))
     return d.select("repo_id", "flag_name", "path", F.size("diff_lines").alias("n_lines"),
                     F.col("diff_lines")[0].alias("first_line"))
 
@@ -164,7 +181,7 @@ def unified_diff(spark, sf_dir):
 @query("diff_budget", oracle=_budget_oracle(12))
 def diff_budget(spark, sf_dir):
     """Per target diff under a 12-line budget (truncation marker when over)."""
-    d = RW.file_diffs(rewritten(spark, sf_dir))
+    d = RW.file_diffs(file_changes(spark, sf_dir))
     b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12)
     return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
 
@@ -172,7 +189,7 @@ def diff_budget(spark, sf_dir):
 @query("report_lines_limit", oracle=_budget_oracle(5))
 def report_lines_limit(spark, sf_dir):
     """First 5 diff lines of every target (the report line limit)."""
-    d = RW.file_diffs(rewritten(spark, sf_dir))
+    d = RW.file_diffs(file_changes(spark, sf_dir))
     b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=5)
     return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
 
@@ -194,19 +211,20 @@ def join_outcome_validation(spark, sf_dir):
     return outcomes(spark, sf_dir).select("repo_id", "flag_name", "validation_passed")
 
 
-@query("join_targets_files", oracle=f"""
-WITH corpus AS ({CORPUS_SQL})
-SELECT repo_id, flag AS flag_name, CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path,
-       o_orderkey % 23 <> 0 AS found
-FROM corpus
+@query("join_targets_files", oracle=ORACLE_PREFIX + """
+SELECT repo_id, flag_name, CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path,
+       CASE WHEN o_orderkey % 23 = 0 THEN 'failed' ELSE status END AS status,
+       CASE WHEN o_orderkey % 23 = 0 THEN concat('file not found: gone/', path) END AS not_found,
+       CASE WHEN o_orderkey % 23 <> 0 AND status <> 'failed' THEN sha256(source) END AS original_sha256
+FROM expected
 """)
 def join_targets_files(spark, sf_dir):
-    """Targets joined to file bodies; every 23rd names a file that does not exist."""
-    t = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}) SELECT repo_id, flag AS flag_name, "
-             "CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path FROM corpus")
-    f = _files(spark, sf_dir).select("repo_id", "path", F.lit(True).alias("found"))
-    return t.join(f, ["repo_id", "path"], "left").select(
-        "repo_id", "flag_name", "path", F.coalesce("found", F.lit(False)).alias("found"))
+    """The rewrite on targets of which every 23rd names a file that does not exist."""
+    t = _sql(spark, sf_dir, f"WITH corpus AS ({CORPUS_SQL}), {TARGETS_BODY} SELECT repo_id, flag_name, final_state, "
+             "CASE WHEN o_orderkey % 23 = 0 THEN concat('gone/', path) ELSE path END AS path FROM t")
+    r = RW.rewrite_files(t, _files(spark, sf_dir))
+    return r.select("repo_id", "flag_name", "path", "status", F.when(F.col("error").startswith("file not found"), F.col("error"))
+                    .alias("not_found"), "original_sha256")
 
 
 @query("join_stale_snapshot", oracle=f"""
@@ -278,15 +296,25 @@ def sort_changes(spark, sf_dir):
 
 
 @query("sink_file_changes", oracle=ORACLE_PREFIX + """
-SELECT repo_id, flag_name, path, sha256(updated) AS updated_sha256 FROM expected WHERE status = 'mutated'
+SELECT repo_id, flag_name, path, o_orderkey % 5 = 0 AS had_bom,
+       sha256(CASE WHEN o_orderkey % 5 = 0 THEN encode(chr(65279)) || encode(updated) ELSE encode(updated) END) AS updated_sha256,
+       true AS bytes_match
+FROM expected WHERE status = 'mutated'
 """)
 def sink_file_changes(spark, sf_dir):
-    """Complete replacement sources written as parquet, then read back."""
-    r = rewritten(spark, sf_dir).where(F.col("status") == "mutated").select(
-        "repo_id", "flag_name", "path", "updated_source", "original_sha256", "updated_sha256")
+    """Complete replacement files (bytes, with the BOM that every 5th source has)
+    written as parquet, read back, and hashed against the recorded hash."""
+    corpus = _sql(spark, sf_dir, CORPUS_SQL)
+    body = F.encode("source", "UTF-8")
+    files = corpus.select("repo_id", "path", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(G.UTF8_BOM), body))
+                          .otherwise(body).alias("content"))
+    r = RW.rewrite_files(targets(spark, sf_dir), files).where(F.col("status") == "mutated").select(
+        "repo_id", "flag_name", "path", "had_bom", "updated_bytes", "original_sha256", "updated_sha256")
     out = R.output_root(spark) + "/file_changes"
-    R.write_table(r.withColumn("bucket", F.pmod(F.xxhash64("repo_id"), F.lit(64))), out, partition_by=["bucket"])
-    return spark.read.parquet(out).select("repo_id", "flag_name", "path", "updated_sha256")
+    R.write_table(r.withColumn("bucket", F.pmod(F.xxhash64("repo_id", "path"), F.lit(64))), out, partition_by=["bucket"])
+    back = spark.read.parquet(out)
+    return back.select("repo_id", "flag_name", "path", "had_bom", "updated_sha256",
+                       (F.sha2("updated_bytes", 256) == F.col("updated_sha256")).alias("bytes_match"))
 
 
 # --- delivery ---------------------------------------------------------------
@@ -375,61 +403,144 @@ def delivery_summary(spark, sf_dir):
 
 @query("pr_text", oracle=ORACLE_PREFIX + """
 SELECT o.repo_id, o.flag_name, concat('Remove deprecated feature flag: ', o.flag_name) AS title,
-       concat('chore: remove deprecated feature flag ', o.flag_name) AS commit_message
-FROM outcome o WHERE o.status = 'prepared'
+       concat('chore: remove deprecated feature flag ', o.flag_name) AS commit_message,
+       concat('Automated removal of a retired feature flag.', chr(10), chr(10), 'Deprecated feature flag: `', o.flag_name, '`',
+              chr(10), chr(10), 'Changed files:', chr(10),
+              string_agg(concat('- `', e.path, '`'), chr(10) ORDER BY e.path), chr(10), chr(10),
+              'The change was produced by a deterministic source rewrite and must still be reviewed by a maintainer before merging.') AS body
+FROM outcome o JOIN expected e ON e.repo_id = o.repo_id AND e.flag_name = o.flag_name
+WHERE o.status = 'prepared' GROUP BY o.repo_id, o.flag_name
 """)
 def pr_text(spark, sf_dir):
     o = outcomes(spark, sf_dir).where(F.col("status") == "prepared")
     paths = F.transform("files", lambda f: f["path"])
-    return o.select("repo_id", "flag_name", *D.pr_text(F.col("flag_name"), paths)).drop("body")
+    return o.select("repo_id", "flag_name", *D.pr_text(F.col("flag_name"), paths))
+
+
+# Every field of a report, one row per target (FIXTURES.md): validation runs have
+# no output, code or time-out in the feed, baselines pass unless repo % 6 = 0.
+REPORT_SCHEMA = """mode string, model string, repository string, schema_version int, validation_mode string,
+  base_branch string, host_repository string,
+  baseline_validation struct<output:string,passed:boolean,returncode:int,timed_out:boolean>,
+  discovery struct<candidate_flags:array<string>,n_allowlist:bigint,targets:array<struct<files:bigint,final_state:boolean,flag_name:string>>>,
+  deliveries array<struct<error:string,flag_name:string,status:string,
+    pull_request:struct<branch_name:string,commit_sha:string,pr_number:int,reused_existing_pr:boolean,url:string>>>,
+  outcomes array<struct<diff:string,error:string,files:array<struct<original_sha256:string,path:string,updated_sha256:string>>,
+    final_state:boolean,flag_name:string,status:string,
+    validation:struct<output:string,passed:boolean,returncode:int,timed_out:boolean>>>,
+  summary struct<targets:bigint,prepared:bigint,failed:bigint,delivered_or_reused:bigint,delivery_failed:bigint,not_prepared:bigint>"""
+
+_REPORT_TARGETS = """
+, per AS (SELECT repo_id, count(*) AS targets, CAST(count_if(status = 'prepared') AS BIGINT) AS prepared FROM outcome GROUP BY repo_id),
+fl AS (SELECT e.repo_id, e.flag_name, string_agg(concat_ws('|', e.path, sha256(e.source), sha256(e.updated)), ',' ORDER BY e.path) AS files,
+              min(CASE WHEN e.status = 'unchanged' THEN 1 END) AS u,
+              string_agg(CASE WHEN e.status = 'unchanged' THEN e.path END, ', ' ORDER BY e.path) AS unchanged,
+              bool_or(e.final_state) AS any_state
+       FROM expected e GROUP BY e.repo_id, e.flag_name),
+rep AS (
+  SELECT o.repo_id, o.flag_name, o.status, t.passed AS validation_passed, p.targets, p.prepared,
+         CAST(o.repo_id AS BIGINT) % 6 <> 0 AS baseline_passed, coalesce(CASE WHEN o.status = 'prepared' THEN f.files END, '') AS files,
+         CASE o.status WHEN 'preparation_failed' THEN 'SyntaxError'
+              WHEN 'no_changes' THEN concat('The deterministic transformer made no change in: ', f.unchanged)
+              WHEN 'validation_failed' THEN 'Post-mutation validation failed.' END AS error,
+         c.n AS n_targets, al.n AS n_allowlist
+  FROM outcome o JOIN per p ON p.repo_id = o.repo_id JOIN fl f ON f.repo_id = o.repo_id AND f.flag_name = o.flag_name
+  JOIN per_target t ON t.repo_id = o.repo_id AND t.flag_name = o.flag_name
+  JOIN (SELECT repo_id, count(DISTINCT flag) AS n FROM corpus GROUP BY repo_id) c ON c.repo_id = o.repo_id
+  JOIN (SELECT repo_id, count(DISTINCT path) AS n FROM corpus GROUP BY repo_id) al ON al.repo_id = o.repo_id
+)
+"""
 
 
-def _report_fields(rep, summary_field: str):
-    """Fields read back from each report document (the JSON is the output)."""
-    return rep.select(
-        "repo_id",
-        F.get_json_object("report", "$.mode").alias("mode"),
-        F.json_array_length(F.get_json_object("report", "$.outcomes")).alias("n_outcomes"),
-        F.get_json_object("report", f"$.summary.{summary_field}").cast("bigint").alias(summary_field),
-        F.get_json_object("report", "$.schema_version").cast("int").alias("schema_version"))
+def _baseline(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("repo_id"), (F.col("c_custkey") % 6 != 0).alias("passed"))
 
 
-@query("prep_report", oracle=ORACLE_PREFIX + """
-SELECT repo_id, 'dry_run' AS mode, CAST(count(*) AS INTEGER) AS n_outcomes,
-       CAST(count_if(status = 'prepared') AS BIGINT) AS prepared, 1 AS schema_version
-FROM outcome GROUP BY repo_id
-""")
-def prep_report(spark, sf_dir):
+def _discovery(spark, sf_dir):
+    """Per repository: the targets it goes on with, flags and allowlist size (the
+    allowlist itself is a table of rows, see ``discovery_audit``)."""
+    t = targets(spark, sf_dir)
+    per = t.groupBy("repo_id", "flag_name").agg(F.first("final_state").alias("final_state"), F.count(F.lit(1)).alias("files"))
+    allow = G.path_allowlist(_files(spark, sf_dir)).where("error_code is null").groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("n_allowlist"))
+    return per.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct("flag_name", "final_state", "files"))).alias("t")).join(
+        allow, "repo_id").select("repo_id", F.struct(
+            F.transform("t", lambda x: x["flag_name"]).alias("candidate_flags"), "n_allowlist",
+            F.transform("t", lambda x: F.struct(x["files"].alias("files"), x["final_state"].alias("final_state"),
+                                                x["flag_name"].alias("flag_name"))).alias("targets")).alias("discovery"))
+
+
+def _read_back(reports):
+    """One row per outcome of the report documents, with the envelope beside it."""
+    r = reports.select("repo_id", F.from_json("report", REPORT_SCHEMA).alias("r"))
+    o = r.select("repo_id", "r", F.explode("r.outcomes").alias("o"))
+    files = F.array_join(F.transform("o.files", lambda f: F.concat_ws("|", f["path"], f["original_sha256"], f["updated_sha256"])), ",")
+    error = F.when(F.col("o.status") == "preparation_failed", F.substring_index("o.error", ":", 1)).otherwise(F.col("o.error"))
+    return o.select("repo_id", "r", F.col("o.flag_name").alias("flag_name"), F.col("o.status").alias("status"),
+                    F.col("o.validation.passed").alias("validation_passed"), F.col("r.summary.targets").alias("targets"),
+                    F.col("r.summary.prepared").alias("prepared"), F.col("r.baseline_validation.passed").alias("baseline_passed"),
+                    files.alias("files"), error.alias("error"), F.size("r.discovery.targets").cast("bigint").alias("n_targets"),
+                    F.col("r.discovery.n_allowlist").alias("n_allowlist"), F.col("o.diff").alias("diff"))
+
+
+_REPORT_COLUMNS = ["repo_id", "flag_name", "status", "validation_passed", "targets", "prepared", "baseline_passed", "files",
+                   "error", "n_targets", "n_allowlist"]
+
+
+def _prep_reports(spark, sf_dir, with_diff=True):
     o = outcomes(spark, sf_dir)
-    d = O.diff_budget(RW.file_diffs(rewritten(spark, sf_dir)), ["repo_id", "flag_name"])
-    rec = R.prep_report(o, d)
-    return _report_fields(R.repo_report(rec, R.prep_summary(o)), "prepared")
+    d = O.diff_budget(RW.file_diffs(file_changes(spark, sf_dir)), ["repo_id", "flag_name"]) if with_diff else None
+    return R.repo_report(R.prep_records(o, d), R.prep_summary(o), baseline=_baseline(spark, sf_dir),
+                         discovery=_discovery(spark, sf_dir))
 
 
-@query("delivery_report", oracle=_DELIVERY_ORACLE + """
-SELECT repo_id, 'delivery' AS mode, CAST(count(*) AS INTEGER) AS n_outcomes,
-       CAST(count_if(delivery_status IN ('ready', 'reused')) AS BIGINT) AS delivered_or_reused, 1 AS schema_version
-FROM d GROUP BY repo_id
+@query("prep_report", oracle=ORACLE_PREFIX + ", " + DIFF_BODY + _REPORT_TARGETS + """
+SELECT rep.*, 'dry_run' AS mode, 1 AS schema_version, repo_id AS repository,
+       CASE WHEN status = 'prepared' THEN (SELECT CAST(least(sum(n_lines), 401) AS INTEGER) FROM dl
+            WHERE dl.repo_id = rep.repo_id AND dl.flag_name = rep.flag_name) END AS n_diff_lines
+FROM rep
+""")
+def prep_report(spark, sf_dir):
+    r = _read_back(_prep_reports(spark, sf_dir))
+    return r.select(*_REPORT_COLUMNS, "r.mode", "r.schema_version", "r.repository",
+                    F.size(F.split("diff", "\n")).alias("n_diff_lines")).withColumn(
+        "n_diff_lines", F.when(F.col("n_diff_lines") >= 0, F.col("n_diff_lines")))
+
+
+@query("delivery_report", oracle=_DELIVERY_ORACLE + _REPORT_TARGETS + """
+, ds AS (SELECT repo_id, CAST(count_if(delivery_status IN ('ready', 'reused')) AS BIGINT) AS delivered_or_reused,
+                CAST(count_if(delivery_status = 'failed') AS BIGINT) AS delivery_failed,
+                CAST(count_if(delivery_status = 'not_prepared') AS BIGINT) AS not_prepared
+         FROM d GROUP BY repo_id)
+SELECT rep.*, 'delivery' AS mode, ds.delivered_or_reused, ds.delivery_failed, ds.not_prepared,
+       d.delivery_status, CASE WHEN d.delivery_status = 'reused' THEN d.pr_url END AS reused_url,
+       CASE WHEN CAST(rep.repo_id AS BIGINT) % 13 <> 0 THEN 'main' END AS base_branch, concat('org', rep.repo_id, '/code') AS host_repository
+FROM rep JOIN ds ON ds.repo_id = rep.repo_id JOIN d ON d.repo_id = rep.repo_id AND d.flag_name = rep.flag_name
 """)
 def delivery_report(spark, sf_dir):
-    d = deliveries(spark, sf_dir)
-    rec = d.select("repo_id", "flag_name", F.to_json(F.struct(
-        F.col("delivery_error").alias("error"), F.col("flag_name"),
-        F.when(F.col("pr_url").isNotNull(), F.struct(
-            F.col("branch_name"), F.col("commit_sha"), F.col("pr_number"),
-            (F.col("delivery_status") == "reused").alias("reused_existing_pr"), F.col("pr_url").alias("url")))
-        .alias("pull_request"),
-        F.col("delivery_status").alias("status"))).alias("record"))
-    return _report_fields(R.repo_report(rec, R.delivery_summary(d), mode="delivery"), "delivered_or_reused")
-
-
-@query("sink_report", oracle=ORACLE_PREFIX + """
-SELECT DISTINCT repo_id FROM outcome
+    """Preparation records and deliveries side by side in one document."""
+    d = _once(spark, sf_dir, "deliveries", lambda: deliveries(spark, sf_dir))
+    o = outcomes(spark, sf_dir)
+    repos = d.groupBy("repo_id").agg(F.concat(F.first("owner"), F.lit("/code")).alias("host_repository"),
+                                     F.first("base").alias("base_branch"))
+    reports = R.repo_report(R.prep_records(o), R.delivery_summary(d).join(R.prep_summary(o).select("repo_id", "failed"), "repo_id"),
+                            mode="delivery", deliveries=R.delivery_records(d), baseline=_baseline(spark, sf_dir),
+                            discovery=_discovery(spark, sf_dir), repositories=repos)
+    r = _read_back(reports)
+    own = F.filter("r.deliveries", lambda x: x["flag_name"] == F.col("flag_name"))[0]
+    return r.withColumn("own", own).select(
+        *_REPORT_COLUMNS, "r.mode", "r.summary.delivered_or_reused", "r.summary.delivery_failed", "r.summary.not_prepared",
+        F.col("own.status").alias("delivery_status"),
+        F.when(F.col("own.status") == "reused", F.col("own.pull_request.url")).alias("reused_url"), "r.base_branch",
+        "r.host_repository")
+
+
+@query("sink_report", oracle=ORACLE_PREFIX + _REPORT_TARGETS + """
+SELECT * FROM rep
 """)
 def sink_report(spark, sf_dir):
-    """Report documents written as JSON lines, then read back."""
-    o = outcomes(spark, sf_dir)
-    rep = R.repo_report(R.prep_report(o), R.prep_summary(o))
+    """Report documents written as JSON lines, read back, every record compared."""
     out = R.output_root(spark) + "/reports"
-    R.write_table(rep, out, fmt="json")
-    return spark.read.json(out).select("repo_id")
+    R.write_table(_prep_reports(spark, sf_dir, with_diff=False), out, fmt="json")
+    return _read_back(spark.read.schema("repo_id string, report string").json(out)).select(*_REPORT_COLUMNS)

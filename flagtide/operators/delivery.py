@@ -4,7 +4,7 @@ result is an outbox table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flagtide.functions import text as tx
@@ -13,6 +13,11 @@ from flagtide.operators.outcomes import NOT_PREPARED_TEXT
 # Fixed values (request text).
 TITLE_PREFIX = "Remove deprecated feature flag: "
 COMMIT_PREFIX = "chore: remove deprecated feature flag "
+# Error texts.
+NO_OWNER = "DeliveryError: the repository names no owner"
+NO_BASE = "ValueError: no usable base branch"
+NO_SLUG = "ValueError: the flag name leaves nothing for a branch name"
+NO_FILES = "PipelineError: a prepared target without changed files"
 
 
 def base_branch(override, default_branch) -> list[Column]:
@@ -48,7 +53,7 @@ def join_branch_conflict(targets: DataFrame, branches: DataFrame) -> DataFrame:
 def delivery_status(outcomes: DataFrame, open_prs: DataFrame, branches: DataFrame,
                     owner_col: str = "owner") -> DataFrame:
     """Per target: ``not_prepared`` (its error or a default text), ``failed``
-    (bad base, empty slug, branch exists without an open request, or no
+    (no owner, bad base, empty slug, branch exists without an open request, or no
     changed files), ``reused`` (an open request exists) or ``ready`` (new
     work for the outbox). Prepared flags of one repository whose names give
     the same branch (``A_B`` and ``A__B``) all fail rather than share a branch.
@@ -59,13 +64,14 @@ def delivery_status(outcomes: DataFrame, open_prs: DataFrame, branches: DataFram
         "head": F.concat(F.col(owner_col), F.lit(":"), branch),
     })
     t = join_branch_conflict(join_open_pr(t, open_prs), branches)
-    # two flags of one repository with the same slug would share a branch
-    shared = (t.where(F.col("status") == "prepared").groupBy("repo_id", "branch_name")
-              .agg(F.count(F.lit(1)).alias("n_same_branch")))
-    t = t.join(shared, ["repo_id", "branch_name"], "left")
+    # two flags of one repository with the same slug would share a branch; the
+    # window holds the flags of one branch name
+    same_branch = Window.partitionBy("repo_id", "branch_name")
+    t = t.withColumn("n_same_branch", F.count_if(F.col("status") == "prepared").over(same_branch))
     prepared = F.col("status") == "prepared"
     n_files = F.coalesce(F.size("files"), F.lit(0))
     status = (F.when(~prepared, F.lit("not_prepared"))
+              .when(F.col(owner_col).isNull(), F.lit("failed"))
               .when(F.col("base").isNull(), F.lit("failed"))
               .when(F.col("branch_name").isNull(), F.lit("failed"))
               .when(n_files == 0, F.lit("failed"))
@@ -74,16 +80,16 @@ def delivery_status(outcomes: DataFrame, open_prs: DataFrame, branches: DataFram
               .when(F.col("branch_exists"), F.lit("failed"))
               .otherwise(F.lit("ready")))
     error = (F.when(~prepared, F.coalesce(F.col("error"), F.lit(NOT_PREPARED_TEXT)))
-             .when(F.col("base").isNull(), F.lit("ValueError: no usable base branch"))
-             .when(F.col("branch_name").isNull(),
-                   F.lit("ValueError: flag_name does not contain characters usable in a branch."))
-             .when(n_files == 0, F.lit("PipelineError: prepared target contains no changed files"))
+             .when(F.col(owner_col).isNull(), F.lit(NO_OWNER))
+             .when(F.col("base").isNull(), F.lit(NO_BASE))
+             .when(F.col("branch_name").isNull(), F.lit(NO_SLUG))
+             .when(n_files == 0, F.lit(NO_FILES))
              .when(F.col("n_same_branch") > 1, F.concat(
                  F.lit("SlugCollision: another flag of this repository maps to branch '"),
                  F.col("branch_name"), F.lit("'")))
              .when(F.col("pr.url").isNull() & F.col("branch_exists"), F.concat(
-                 F.lit("DeliveryConflictError: Branch '"), F.col("branch_name"),
-                 F.lit("' already exists but has no open pull request."))))
+                 F.lit("DeliveryConflictError: no open request for the existing branch '"), F.col("branch_name"),
+                 F.lit("'"))))
     commit = F.when(status == "reused", F.coalesce(F.col("pr.head_sha"), F.col("branch_sha")))
     return t.select("*", status.alias("delivery_status"), error.alias("delivery_error"),
                     F.col("pr.url").alias("pr_url"), F.col("pr.number").alias("pr_number"),

@@ -10,7 +10,10 @@ from flagtide.functions import text as tx
 # Fixed values.
 VALIDATION_TIMEOUT_SECONDS = 300
 MAX_DIFF_LINES = 400
+MAX_FILES = 200
 NOT_PREPARED_TEXT = "Target was not prepared successfully."
+NO_CHANGE_PREFIX = "The deterministic transformer made no change in: "
+VALIDATION_FAILED = "Post-mutation validation failed."
 
 
 def classify_runs(runs: DataFrame) -> DataFrame:
@@ -36,36 +39,60 @@ def classify_runs(runs: DataFrame) -> DataFrame:
 
 
 def target_outcomes(rewritten: DataFrame, validations: DataFrame | None = None,
-                    key=("repo_id", "flag_name")) -> DataFrame:
+                    key=("repo_id", "flag_name"), baseline: DataFrame | None = None) -> DataFrame:
     """Per target: ``preparation_failed`` if any file failed (first error by
-    path), ``no_changes`` if any file was left unchanged (paths named), else
-    ``validation_failed`` when its post-change run failed, else ``prepared``.
-    Files are kept only for prepared targets."""
+    path) or it names more files than a plan may, ``no_changes`` if any file was
+    left unchanged (the first ones named), else ``validation_failed`` when its
+    post-change run failed, else ``prepared``. Files are listed for prepared
+    targets only, after their number has been checked.
+
+    With ``baseline`` (key of the repository, passed), repositories whose
+    baseline run failed or is missing have no outcome at all.
+    """
     key = list(key)
-    # file bodies stay in the file-change table; outcomes carry keys and hashes
-    files = F.struct("path", "original_sha256", "updated_sha256")
+    if baseline is not None:
+        good = baseline.where("passed").select("repo_id").distinct()
+        rewritten = rewritten.join(good, "repo_id", "left_semi")
+    unchanged = F.when(F.col("status") == "unchanged", F.col("path"))
     g = rewritten.groupBy(*key).agg(
         F.min_by(F.struct("path", "error"), F.when(F.col("status") == "failed", F.col("path"))).alias("first_failed"),
-        F.array_sort(F.collect_list(F.when(F.col("status") == "unchanged", F.col("path")))).alias("unchanged"),
-        F.array_sort(F.collect_list(files)).alias("files"),
+        F.count(F.lit(1)).alias("n_files"), F.count(unchanged).alias("n_unchanged"),
         F.first("final_state").alias("final_state"))
+    few = (F.col("n_files") <= MAX_FILES) & F.col("first_failed.path").isNull()
+    # file bodies stay in the file-change table; outcomes carry keys and hashes
+    file = F.struct("path", "original_sha256", "updated_sha256")
+    listed = rewritten.join(g.where(few).select(*key), key, "left_semi").groupBy(*key).agg(
+        F.array_sort(F.collect_list(unchanged)).alias("unchanged"),
+        F.array_sort(F.collect_list(F.when(F.col("status") != "failed", file))).alias("files"))
+    g = g.join(listed, key, "left")
     if validations is not None:
-        g = g.join(validations.select(*key, F.col("passed").alias("validation_passed"),
-                                      F.col("output").alias("validation_output")), key, "left")
+        detail = [F.col(c).alias(f"validation_{c}") if c in validations.columns else F.lit(None).cast(t).alias(f"validation_{c}")
+                  for c, t in (("passed", "boolean"), ("output", "string"), ("returncode", "int"), ("timed_out", "boolean"))]
+        g = g.join(validations.select(*key, *detail), key, "left")
     else:
-        g = g.withColumns({"validation_passed": F.lit(True), "validation_output": F.lit(None).cast("string")})
-    status = (F.when(F.col("first_failed.path").isNotNull(), F.lit("preparation_failed"))
-              .when(F.size("unchanged") > 0, F.lit("no_changes"))
+        g = g.withColumns({"validation_passed": F.lit(True), "validation_output": F.lit(None).cast("string"),
+                           "validation_returncode": F.lit(None).cast("int"), "validation_timed_out": F.lit(None).cast("boolean")})
+    status = (F.when(F.col("first_failed.path").isNotNull() | (F.col("n_files") > MAX_FILES), F.lit("preparation_failed"))
+              .when(F.col("n_unchanged") > 0, F.lit("no_changes"))
               .when(~F.coalesce(F.col("validation_passed"), F.lit(False)), F.lit("validation_failed"))
               .otherwise(F.lit("prepared")))
-    error = (F.when(status == "preparation_failed", F.col("first_failed.error"))
-             .when(status == "no_changes", F.concat(F.lit("The deterministic transformer made no change in: "),
-                                                    F.array_join("unchanged", ", ")))
-             .when(status == "validation_failed", F.lit("Post-mutation validation failed.")))
+    error = (F.when(F.col("first_failed.path").isNotNull(), F.col("first_failed.error"))
+             .when(F.col("n_files") > MAX_FILES, F.format_string("%d files; a target may name %d", F.col("n_files"), F.lit(MAX_FILES)))
+             .when(status == "no_changes", F.concat(F.lit(NO_CHANGE_PREFIX), F.array_join("unchanged", ", ")))
+             .when(status == "validation_failed", F.lit(VALIDATION_FAILED)))
     return g.select(*key, "final_state", status.alias("status"), error.alias("error"),
                     F.when(status == "prepared", F.col("files")).otherwise(
                         F.array().cast(g.schema["files"].dataType)).alias("files"),
-                    "validation_passed", "validation_output")
+                    "validation_passed", "validation_output", "validation_returncode", "validation_timed_out")
+
+
+def changed_files(rewritten: DataFrame, outcomes: DataFrame, key=("repo_id", "flag_name")) -> DataFrame:
+    """What delivery takes over: path and complete new source (as text and as
+    bytes) of every file of the prepared targets, one row per file."""
+    key = list(key)
+    prepared = outcomes.where(F.col("status") == "prepared").select(*key)
+    return rewritten.where(F.col("status") == "mutated").join(prepared, key, "left_semi").select(
+        *key, "path", "updated_source", "updated_bytes")
 
 
 def baseline_gate(targets: DataFrame, baseline: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -93,10 +120,10 @@ def diff_budget(diffs: DataFrame, key, max_lines: int = MAX_DIFF_LINES) -> DataF
     if max_lines == 0:
         return diffs.select(*key).distinct().withColumn("diff", F.lit(None).cast("string"))
     w = Window.partitionBy(*key).orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = diffs.select(*key, "path", "diff_lines", F.size("diff_lines").alias("n"))
-    d = d.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-    # read files while the total before them is still within the budget
-    kept = d.where(F.col("before") <= max_lines)
+    # the running total is taken over sizes alone; lines come back for kept files
+    sizes = diffs.select(*key, "path", F.size("diff_lines").alias("n"))
+    sizes = sizes.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") - F.col("n") <= max_lines)
+    kept = diffs.select(*key, "path", "diff_lines").join(sizes.select(*key, "path", "upto"), [*key, "path"])
     g = kept.groupBy(*key).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "diff_lines"))),
                               lambda s: s["diff_lines"])).alias("lines"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flagtide.plans.validate import MAX_TARGETS
 
 SCHEMA_VERSION = 1
 
@@ -36,17 +37,16 @@ def has_failures(outcomes: DataFrame, key=("repo_id",)) -> DataFrame:
     return outcomes.groupBy(*key).agg(F.bool_or(bad).alias("has_failures"))
 
 
-def prep_report(outcomes: DataFrame, diffs: DataFrame | None = None, key=("repo_id", "flag_name")) -> DataFrame:
-    """One JSON record per target: flag, state, status, error, validation,
-    files (path and both hashes) and the budgeted diff; keys sorted."""
+def prep_records(outcomes: DataFrame, diffs: DataFrame | None = None, key=("repo_id", "flag_name")) -> DataFrame:
+    """key and ``record``: flag, state, status, error, validation run, files
+    (path and both hashes) and the budgeted diff of every target."""
     key = list(key)
-    o = outcomes
     if diffs is not None:
-        o = o.join(diffs.select(*key, "diff"), key, "left")
+        o = outcomes.join(diffs.select(*key, "diff"), key, "left")
     else:
-        o = o.withColumn("diff", F.lit(None).cast("string"))
+        o = outcomes.withColumn("diff", F.lit(None).cast("string"))
     validation = F.when(F.col("validation_passed").isNotNull(), F.struct(
-        F.col("validation_output").alias("output"), F.col("validation_passed").alias("passed")))
+        *(F.col(f"validation_{c}").alias(c) for c in ("output", "passed", "returncode", "timed_out"))))
     record = F.struct(
         F.when(F.col("status") == "prepared", F.col("diff")).alias("diff"),
         F.col("error").alias("error"),
@@ -57,21 +57,59 @@ def prep_report(outcomes: DataFrame, diffs: DataFrame | None = None, key=("repo_
         F.col("flag_name").alias("flag_name"),
         F.col("status").alias("status"),
         validation.alias("validation"))
-    return o.select(*key, F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
-
-
-def repo_report(records: DataFrame, summary: DataFrame, mode: str = "dry_run") -> DataFrame:
-    """One report document per repository (records sorted by flag)."""
-    per_repo = records.groupBy("repo_id").agg(
-        F.array_sort(F.collect_list(F.struct("flag_name", "record"))).alias("r"))
-    j = per_repo.join(summary, "repo_id", "left")
-    outcomes_json = F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["record"]), ","), F.lit("]"))
-    summary_json = F.to_json(F.struct(*[F.col(c) for c in sorted(summary.columns) if c != "repo_id"]))
-    doc = F.concat(F.lit('{"mode":"'), F.lit(mode), F.lit('","outcomes":'), outcomes_json,
-                   F.lit(',"repository":'), F.to_json(F.struct(F.col("repo_id").alias("v")))
-                   .substr(F.lit(6), F.length(F.to_json(F.struct(F.col("repo_id").alias("v")))) - 6),
-                   F.lit(f',"schema_version":{SCHEMA_VERSION},"summary":'), summary_json, F.lit("}"))
-    return j.select("repo_id", doc.alias("report"))
+    return o.select(*key, record.alias("record"))
+
+
+def delivery_records(deliveries: DataFrame) -> DataFrame:
+    """repo_id, flag_name and ``record``: status, error and request per target."""
+    request = F.when(F.col("pr_url").isNotNull(), F.struct(
+        F.col("branch_name"), F.col("commit_sha"), F.col("pr_number"),
+        (F.col("delivery_status") == "reused").alias("reused_existing_pr"), F.col("pr_url").alias("url")))
+    return deliveries.select("repo_id", "flag_name", F.struct(
+        F.col("delivery_error").alias("error"), F.col("flag_name"), request.alias("pull_request"),
+        F.col("delivery_status").alias("status")).alias("record"))
+
+
+def _listed(records: DataFrame, name: str) -> DataFrame:
+    """Records of a repository in one list, sorted by flag; a plan has at most
+    ``MAX_TARGETS``, repositories with more get null instead of a list."""
+    small = records.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_TARGETS)
+    return records.join(small.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("flag_name", "record"))), lambda r: r["record"]).alias(name))
+
+
+def repo_report(records: DataFrame, summary: DataFrame, mode: str = "dry_run", *, deliveries: DataFrame | None = None,
+                baseline: DataFrame | None = None, discovery: DataFrame | None = None, repositories: DataFrame | None = None,
+                model: str | None = None, validation_mode: str = "table") -> DataFrame:
+    """One JSON document per repository, keys sorted, nulls written.
+
+    ``baseline``: repo_id, passed and optionally output, returncode, timed_out;
+    ``discovery``: repo_id and a struct ``discovery``; ``repositories``: repo_id,
+    host_repository, base_branch (delivery mode); ``deliveries`` come beside the
+    preparation records, not instead of them.
+    """
+    j = summary.join(_listed(records, "outcomes"), "repo_id", "left")
+    fields = {"mode": F.lit(mode), "model": F.lit(model).cast("string"), "outcomes": F.col("outcomes"),
+              "repository": F.col("repo_id"), "schema_version": F.lit(SCHEMA_VERSION),
+              "summary": F.struct(*[F.col(c) for c in sorted(summary.columns) if c != "repo_id"]),
+              "validation_mode": F.lit(validation_mode), "baseline_validation": F.lit(None).cast("string"),
+              "discovery": F.lit(None).cast("string")}
+    if baseline is not None:
+        run = F.struct(*((F.col(c) if c in baseline.columns else F.lit(None).cast(t)).alias(c) for c, t in (
+            ("output", "string"), ("passed", "boolean"), ("returncode", "int"), ("timed_out", "boolean"))))
+        j = j.join(baseline.select("repo_id", run.alias("baseline_validation")), "repo_id", "left")
+        fields["baseline_validation"] = F.col("baseline_validation")
+    if discovery is not None:
+        j = j.join(discovery.select("repo_id", "discovery"), "repo_id", "left")
+        fields["discovery"] = F.col("discovery")
+    if deliveries is not None:
+        j = j.join(_listed(deliveries, "deliveries"), "repo_id", "left")
+        fields["deliveries"] = F.col("deliveries")
+    if repositories is not None:
+        j = j.join(repositories.select("repo_id", "host_repository", "base_branch"), "repo_id", "left")
+        fields |= {"host_repository": F.col("host_repository"), "base_branch": F.col("base_branch")}
+    return j.select("repo_id", F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))),
+                                         {"ignoreNullFields": "false"}).alias("report"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
@@ -84,7 +122,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
 
 
 def output_root(spark) -> str:
-    """A folder under the shared checkpoint location for sink outputs."""
+    """A new folder under the shared checkpoint location, so runs that share
+    it do not overwrite each other's sink outputs."""
+    import uuid
+
     from flagtide.session import ensure_checkpoint_dir
-    return ensure_checkpoint_dir(spark).rstrip("/") + "/outputs"
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/outputs/{uuid.uuid4().hex}"
 

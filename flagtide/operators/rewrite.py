@@ -70,19 +70,21 @@ def rewrite_files(targets: DataFrame, files: DataFrame, import_scope: str = "all
     """One row per (repo, flag, path) target file.
 
     ``targets``: ``repo_id, flag_name, final_state, path``;
-    ``files``: ``repo_id, path, content`` (only targeted files are read: the
-    join is on the file key, so each body is shipped once per target).
+    ``files``: ``repo_id, path, content`` (each body goes along once per target
+    that names it).
     Out: status ``mutated``/``unchanged``/``failed``, error, updated text and
     bytes, and both SHA-256 hashes. ``import_scope``: ``all`` (drop every
     unused import of a changed file) or ``new`` (only those the change made
     unused).
     """
-    # Hash the targets on the file key first: the Python stage then runs as
-    # wide as the shuffle, whatever the layout of the targets table, and the
-    # key is file-level, so no repository can become a hot partition.
-    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    targets = targets.repartition(n, "repo_id", "path")
-    j = targets.join(files.select("repo_id", "path", "content"), ["repo_id", "path"], "left")
+    # Bodies are joined to the targets from the files' side: only files that a
+    # target names are kept, and a small target table is broadcast so that no
+    # body is shuffled at all; missing files are found by key alone.
+    wanted = targets.select("repo_id", "flag_name", "final_state", "path")
+    bodies = files.select("repo_id", "path", "content")
+    missing = wanted.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    j = bodies.join(wanted, ["repo_id", "path"]).unionByName(
+        missing.withColumn("content", F.lit(None).cast("binary")))
     d = decode_source(j)
     res = F.when(F.col("text").isNotNull(), _rewrite(F.col("text"), F.col("flag_name"), F.col("final_state"),
                                                       F.lit(import_scope)))

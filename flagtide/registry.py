@@ -28,4 +28,4 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from flagtide.catalog import (  # noqa: F401
-        extract, functions, plans, rewrite)
+        extract, functions, plans, rewrite, run)

@@ -166,6 +166,11 @@ def test_prompt_length_is_counted_before_assembly(spark):
     p = prompt_table(cands, ctx).collect()[0]
     assert p.prompt_chars == len(p.prompt) and not p.too_long
     assert p.prompt.startswith("BUSINESS CONTEXT:\nOwner says OLD_FLAG is on\n\nCANDIDATES:\nFLAG OLD_FLAG")
+    assert "RULES FOR THE ANSWER" in p.prompt and p.attempt == 1
+    rejected = spark.createDataFrame([("r1", 1, "unknown flag: X")], "repo_id string, attempt int, error string")
+    again = prompt_table(cands, ctx, rejections=rejected).where("attempt = 2").collect()[0]
+    assert again.prompt.startswith(p.prompt) and "Because: unknown flag: X" in again.prompt
+    assert again.prompt_chars == len(again.prompt)
     small = prompt_table(cands, ctx, max_chars=10).collect()[0]
     assert small.too_long and small.prompt is None and small.prompt_chars == p.prompt_chars
 
