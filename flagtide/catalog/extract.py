@@ -117,16 +117,15 @@ def decode_source(spark, sf_dir):
 
 
 @query("encode_source", oracle="""
-SELECT doc_id, CAST(strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n_bytes,
-       true AS round_trip
-FROM documents WHERE doc_id % 7 <> 0
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(strlen(text) + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS BIGINT) END AS n_bytes,
+       CASE WHEN doc_id % 7 <> 0 THEN true END AS round_trip
+FROM documents
 """)
 def encode_source(spark, sf_dir):
-    raw = _doc_bytes(spark, sf_dir)
-    d = G.decode_source(raw).where(F.col("text").isNotNull())
+    """Every document back to bytes; null where the bytes were no UTF-8."""
+    d = G.decode_source(_doc_bytes(spark, sf_dir))
     back = G.encode_source("text", "had_bom")
-    return d.select("doc_id", F.length(back).cast("bigint").alias("n_bytes"),
-                    (back == F.col("content")).alias("round_trip"))
+    return d.select("doc_id", F.length(back).cast("bigint").alias("n_bytes"), (back == F.col("content")).alias("round_trip"))
 
 
 _FLAG_FEED = """
@@ -345,18 +344,19 @@ def used_names(spark, sf_dir):
 
 
 @query("discovery_audit", oracle=_CAND_ORACLE + """
-, allow AS (SELECT repo_id, CAST(count(DISTINCT path) AS BIGINT) AS n_allowlist FROM corpus GROUP BY repo_id)
-SELECT c.repo_id, c.flag_name, a.n_allowlist
-FROM cand c JOIN allow a ON a.repo_id = c.repo_id
+SELECT repo_id, 'candidate' AS kind, flag_name AS name, n_files FROM cand
+UNION ALL
+SELECT DISTINCT repo_id, 'allowlist', path, CAST(1 AS BIGINT) FROM corpus
 """)
 def discovery_audit(spark, sf_dir):
-    """Candidate flags per repository with the size of its allowlist, as rows
-    (a repository with very many flags never becomes one long list)."""
-    files = _files(spark, sf_dir)
-    c = _candidates(spark, sf_dir)
-    allow = G.path_allowlist(files).where(F.col("error_code").isNull()).groupBy("repo_id").agg(
-        F.count("path").alias("n_allowlist"))
-    return c.select("repo_id", "flag_name").join(allow, "repo_id")
+    """What discovery worked with, as rows (a repository with very many flags or
+    files never becomes one long list): its candidate flags with their number
+    of files, and its allowlist."""
+    c = _candidates(spark, sf_dir).select("repo_id", F.lit("candidate").alias("kind"), F.col("flag_name").alias("name"),
+                                          F.size("files").cast("bigint").alias("n_files"))
+    allow = G.path_allowlist(_files(spark, sf_dir)).where(F.col("error_code").isNull())
+    return c.unionByName(allow.select("repo_id", F.lit("allowlist").alias("kind"), F.col("path").alias("name"),
+                                      F.lit(1).cast("bigint").alias("n_files")))
 
 
 @query("scan_tree", oracle=f"""

@@ -462,9 +462,9 @@ def first_violation(spark, sf_dir):
 
 _EVENTS_ATTEMPTS = """
 ev AS (
-  SELECT user_id, ts, event_id, event_type, CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'error' THEN 'invalid'
-         ELSE 'fatal' END AS outcome, concat('event ', CAST(event_id AS VARCHAR)) AS err
-  FROM events WHERE event_type IN ('purchase', 'error', 'signup')
+  SELECT user_id, ts, event_id, event_type, CASE event_type WHEN 'purchase' THEN 'valid' WHEN 'signup' THEN 'fatal'
+         ELSE 'invalid' END AS outcome, concat('event ', CAST(event_id AS VARCHAR)) AS err
+  FROM events
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev),
 top2 AS (SELECT * FROM ranked WHERE n <= 2),
@@ -484,12 +484,12 @@ LEFT JOIN top2 t ON t.user_id = s.user_id AND t.n = st.stop_at
 LEFT JOIN top2 l ON l.user_id = s.user_id AND l.n = s.seen
 """)
 def resolve_attempts(spark, sf_dir):
-    """Events per user as model attempts: purchase = valid plan, error = rule
-    violation (retry), signup = fatal; at most 2 attempts."""
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error", "signup"))
-    ev = ev.select("user_id", "ts", "event_id",
-                   F.when(F.col("event_type") == "purchase", "valid").when(F.col("event_type") == "error", "invalid")
-                   .otherwise("fatal").alias("outcome"),
+    """All events per user as model attempts: purchase = valid plan, signup =
+    fatal, any other = rule violation (retry); at most 2 attempts."""
+    ev = read_table(spark, sf_dir, "events").select(
+                   "user_id", "ts", "event_id",
+                   F.when(F.col("event_type") == "purchase", "valid").when(F.col("event_type") == "signup", "fatal")
+                   .otherwise("invalid").alias("outcome"),
                    F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("err"))
     return V.resolve_attempts(ev, "user_id", ["ts", "event_id"], "outcome", "err", max_attempts=2)
 

@@ -145,15 +145,25 @@ def target_independence(spark, sf_dir):
     return r.select("repo_id", "path", "final_state", "status", "updated_sha256")
 
 
-# Diff sizes per template and state (3 header lines plus the one hunk's
-# context, removed and added lines), see FIXTURES.md 3.
+# Whole diffs per template and state (FIXTURES.md 3): headers, one hunk each.
 DIFF_BODY = """
-dl AS (
-  SELECT repo_id, flag_name, path,
-         CASE WHEN k = 0 THEN 10 WHEN k = 1 THEN 5 WHEN k = 2 AND final_state THEN 10 WHEN k = 2 THEN 9
-              WHEN k = 5 AND final_state THEN 7 WHEN k = 5 THEN 6 ELSE 7 END AS n_lines
+hunks AS (
+  SELECT repo_id, flag_name, path, CASE
+    WHEN k = 0 AND final_state THEN ['@@ -1,5 +1,2 @@', '-from svc import new_f, old_f', concat('-if ', flag_name, ':'), '-    new_f()', '-else:', '-    old_f()', '+from svc import new_f', '+new_f()']
+    WHEN k = 0 THEN ['@@ -1,5 +1,2 @@', '-from svc import new_f, old_f', concat('-if ', flag_name, ':'), '-    new_f()', '-else:', '-    old_f()', '+from svc import old_f', '+old_f()']
+    WHEN k = 1 THEN ['@@ -1 +1 @@', concat('-h = new_h if ', flag_name, ' else old_h'), CASE WHEN final_state THEN '+h = new_h' ELSE '+h = old_h' END]
+    WHEN k = 2 AND final_state THEN ['@@ -1,6 +1,4 @@', ' if OTHER:', '     a()', concat('-elif ', flag_name, ':'), '+else:', '     b()', '-else:', '-    c()']
+    WHEN k = 2 THEN ['@@ -1,6 +1,4 @@', ' if OTHER:', '     a()', concat('-elif ', flag_name, ':'), '-    b()', ' else:', '     c()']
+    WHEN k = 5 AND final_state THEN ['@@ -1,3 +1 @@', concat('-if ', flag_name, ':'), concat('-    if ', flag_name, ':'), '-        a()', '+a()']
+    WHEN k = 5 THEN ['@@ -1,3 +0,0 @@', concat('-if ', flag_name, ':'), concat('-    if ', flag_name, ':'), '-        a()']
+    ELSE ['@@ -1,3 +1,2 @@', ' def f():', concat('-    if ', flag_name, ':'), '-        a()', CASE WHEN final_state THEN '+    a()' ELSE '+    pass' END] END AS hunk
   FROM expected WHERE status = 'mutated'
 ),
+dl AS (
+  SELECT repo_id, flag_name, path, list_concat([concat('--- a/', path), concat('+++ b/', path)], hunk) AS lines,
+         CAST(2 + len(hunk) AS BIGINT) AS n_lines
+  FROM hunks
+),
 budget AS (
   SELECT *, sum(n_lines) OVER (PARTITION BY repo_id, flag_name ORDER BY path
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM dl
@@ -163,35 +173,35 @@ budget AS (
 
 def _budget_oracle(limit: int) -> str:
     return ORACLE_PREFIX + ", " + DIFF_BODY + f"""
-SELECT repo_id, flag_name, CAST(max(upto) AS BIGINT) AS n_lines,
-       CAST(least(max(upto), {limit}) + CASE WHEN max(upto) > {limit} THEN 1 ELSE 0 END AS INTEGER) AS n_report_lines
-FROM budget WHERE upto - n_lines <= {limit} GROUP BY repo_id, flag_name
+, kept AS (SELECT repo_id, flag_name, flatten(list(lines ORDER BY path)) AS all_lines, max(upto) AS seen
+           FROM budget WHERE upto - n_lines <= {limit} GROUP BY repo_id, flag_name)
+SELECT repo_id, flag_name, CAST(seen AS BIGINT) AS n_lines,
+       concat(array_to_string(list_slice(all_lines, 1, {limit}), chr(10)), CASE WHEN seen > {limit} THEN
+              concat(chr(10), '... [diff truncated; at least ', CAST(seen - {limit} AS BIGINT), ' additional line(s)]') ELSE '' END) AS diff
+FROM kept
 """
 
 
 @query("unified_diff", oracle=ORACLE_PREFIX + ", " + DIFF_BODY + """
-SELECT repo_id, flag_name, path, CAST(n_lines AS INTEGER) AS n_lines, concat('--- a/', path) AS first_line FROM dl
+SELECT repo_id, flag_name, path, array_to_string(lines, chr(10)) AS diff FROM dl
 """)
 def unified_diff(spark, sf_dir):
     d = RW.file_diffs(file_changes(spark, sf_dir))
-    return d.select("repo_id", "flag_name", "path", F.size("diff_lines").alias("n_lines"),
-                    F.col("diff_lines")[0].alias("first_line"))
+    return d.select("repo_id", "flag_name", "path", F.array_join("diff_lines", "\n").alias("diff"))
 
 
 @query("diff_budget", oracle=_budget_oracle(12))
 def diff_budget(spark, sf_dir):
     """Per target diff under a 12-line budget (truncation marker when over)."""
     d = RW.file_diffs(file_changes(spark, sf_dir))
-    b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12)
-    return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
+    return O.diff_budget(d, ["repo_id", "flag_name"], max_lines=12).select("repo_id", "flag_name", "n_lines", "diff")
 
 
 @query("report_lines_limit", oracle=_budget_oracle(5))
 def report_lines_limit(spark, sf_dir):
     """First 5 diff lines of every target (the report line limit)."""
     d = RW.file_diffs(file_changes(spark, sf_dir))
-    b = O.diff_budget(d, ["repo_id", "flag_name"], max_lines=5)
-    return b.select("repo_id", "flag_name", "n_lines", F.size(F.split("diff", "\n")).alias("n_report_lines"))
+    return O.diff_budget(d, ["repo_id", "flag_name"], max_lines=5).select("repo_id", "flag_name", "n_lines", "diff")
 
 
 @query("target_outcome", oracle=ORACLE_PREFIX + """
