@@ -8,6 +8,8 @@ from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, lm_score, min
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 EXACT_DEDUP_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -55,19 +57,75 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-@query("op6_minhash_inverted_join")
+# all pairs of sets that share a shingle, and the smallest id over paths of links
+MINHASH_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+         GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.m, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(l.m, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""
+
+
+@query("op6_minhash_inverted_join", MINHASH_SQL)
 def op6_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, least=85)).select(
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op1_suffix_dedup")
+# every string of 200 bytes counted; covered ranges joined, the rest put together again
+SUFFIX_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, n - 198)) AS p, t FROM b WHERE n >= 200),
+strings AS (SELECT doc_id, p, md5(t[p:p + 199]) AS h FROM starts),
+again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, p FROM strings WHERE h IN (SELECT h FROM again)),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS opens FROM hit),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 199 AS z FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM runs
+         UNION ALL SELECT r.doc_id, max(r.z) + 1, max(b.n) FROM runs r JOIN b ON b.doc_id = r.doc_id GROUP BY r.doc_id),
+kept AS (SELECT g.doc_id, unhex(string_agg(hex(b.t[g.a:g.z]), '' ORDER BY g.a)) AS k
+         FROM gaps g JOIN b ON b.doc_id = g.doc_id WHERE g.z >= g.a GROUP BY g.doc_id),
+cut AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans,
+       sha256(CASE WHEN c.doc_id IS NULL THEN b.t ELSE coalesce(k.k, ''::BLOB) END) AS kept_sha256
+FROM b LEFT JOIN cut c ON c.doc_id = b.doc_id LEFT JOIN kept k ON k.doc_id = b.doc_id
+"""
+
+
+@query("op1_suffix_dedup", SUFFIX_SQL)
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@query("op2_embedding_collisions")
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(l.m, e.vec_id)) = e.vec_id AS kept
+FROM e LEFT JOIN degree d ON d.vec_id = e.vec_id LEFT JOIN least l ON l.vec_id = e.vec_id
+"""
+
+
+@query("op2_embedding_collisions", EMBEDDING_SQL)
 def op2_embedding_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
