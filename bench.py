@@ -26,6 +26,7 @@ HEADLINE = [
     "benchmark_grounding",  # keyless containment join
     "rewrite_guards",       # rewrite job over every file
     "delivery_status",      # outcomes + outbox
+    "remediation_run",      # plan attempts to reports, the whole chain
 ]
 
 

@@ -37,9 +37,22 @@ def get_session(master: str | None = None, app: str = "flagtide",
 
 _SHIPPED: set[str] = set()
 
+# Spark's defaults for what goes to a Python worker at once (10,000 rows, 64 MB)
+# are too much for rows that hold whole texts or files.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+                 "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has sizes of its own."""
+    for name, (default, small) in ARROW_BATCHES.items():
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, small)
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (once per context)."""
+    small_arrow_batches(spark)
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
