@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flagtide.session import ensure_checkpoint_dir, materialize, ship_package
@@ -13,7 +18,70 @@ from flagtide.session import ensure_checkpoint_dir, materialize, ship_package
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches a few rows at a time, so that only those are turned into
+    Python objects at once. At the end of the task freed memory goes back."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    """Python workers outlive their tasks; what a task has freed goes back to
+    the operating system, so the stages of a job do not add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(23).integers(1, 1 << 62, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n-1 of an odd base and of its inverse, modulo 2^64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and the number of words of each.
+
+    Words are runs of bytes other than space and \\t..\\r. All words are hashed
+    at once: the sums of a running polynomial at both ends of a word give its
+    hash, whatever its place."""
+    parts = [t + b" " for t in texts]
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # the last byte is a space
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    first, last = edge[0::2], edge[1::2]
+    up, down = _powers(len(data))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up)])
+    h = (sums[last] - sums[first]) * down[first]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    counts = np.diff(np.searchsorted(first, np.cumsum([0, *map(len, parts)])))
+    return h ^ (h >> np.uint64(29)), counts
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

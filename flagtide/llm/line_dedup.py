@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flagtide.llm.common import key_filter, written
+from flagtide.llm.common import key_filter, slices, written
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def chunks(rows: DataFrame, c: Chunking) -> DataFrame:
     names = ["row", "doc_id", "first", "last", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lines = (text or "").split("\n")
@@ -80,7 +80,7 @@ def with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     by_row = written(wanted.groupBy("row").agg(F.collect_set(F.struct("doc_id", "first", "last", "digest")).alias("parts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for row, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 lines = (text or "").split("\n")

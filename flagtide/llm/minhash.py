@@ -22,10 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagtide.llm.common import LOWER, UPPER, without_rows, written
+from flagtide.llm.common import LOWER, UPPER, slices, without_rows, word_hashes, written
 from flagtide.llm.components import components
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -63,15 +62,6 @@ class Settings:
 
 # ------------------------------------------------------------- sets, signatures
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,14 +70,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingles. Words are runs of bytes other than
-    space and \\t..\\r after lower-casing A-Z; fewer than ``k`` words are one
-    shingle, none is the empty set."""
-    words = (text or "").encode().translate(FOLD).split()
-    if not words:
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingles of a sequence of word hashes: ``k`` words
+    each; fewer than ``k`` words are one shingle, none is the empty set."""
+    if not len(h):
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     k = min(k, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -95,6 +82,12 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def shingles_of(texts: list, k: int) -> list[np.ndarray]:
+    """The shingle set of every text, after lower-casing A-Z."""
+    hashes, counts = word_hashes([t.encode().translate(FOLD) if t else b"" for t in texts])
+    return [shingle_set(h, k) for h in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
     return (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)), rng.integers(0, 1 << 32, n, dtype=np.uint32)
@@ -117,10 +110,9 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, row_key, n_shingles, set_hash (of the whole set) and sig (K numbers)
     of doc_id, text, row_key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, hashes, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                shingles = shingle_set(text, s.words)
+            for shingles in shingles_of(batch.column(1).to_pylist(), s.words):
                 sizes.append(len(shingles))
                 hashes.append(set_hash(shingles))
                 sigs.append(signature(shingles, s.coordinates).view(np.int32) if len(shingles) else None)
@@ -138,8 +130,8 @@ def set_hash(shingles: np.ndarray) -> bytes | None:
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """node, shingles (sorted 64-bit values, as bytes) of a column of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in batch.column(0).to_pylist()]
+        for batch in slices(batches):
+            sets = shingles_of(batch.column(0).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in sets], pa.binary()),
                                               pa.array([x.tobytes() for x in sets], pa.binary())],
                                              ["set_hash", "shingles"])
@@ -267,7 +259,7 @@ def links(sets: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     centres = members.groupBy("family").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for x, y in zip(b.column("shingles"), b.column("middle")):
                 p, q = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))

@@ -12,6 +12,8 @@ applied to the pieces as a map over their rank within their length.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flagtide.llm.common import written
+from flagtide.llm.common import slices, written
 
 SEPARATOR_ID = 0
 PIECE_TYPE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -37,14 +39,20 @@ class Encoder:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.reference = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.reference.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def reference(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     @classmethod
     def public(cls) -> "Encoder":
         import public_tokenizers as P
@@ -61,15 +69,6 @@ class Encoder:
         return np.array(self.reference.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-_ENCODERS: dict = {}
-
-
-def _encoder(make) -> Encoder:
-    if make not in _ENCODERS:
-        _ENCODERS[make] = make()
-    return _ENCODERS[make]
-
-
 def piece_bounds(n: int, window: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` tokens: only one
     longer than the window is cut, and only its first piece may be shorter."""
@@ -88,9 +87,9 @@ def tokenize(docs: DataFrame, window: int = 2048, with_ids: bool = False, id_col
     schema = PIECE_TYPE + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(make_encoder)
+        enc = make_encoder()  # for this task only
         tail = np.array([SEPARATOR_ID], dtype="<u4")
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.concatenate([enc.ids(text), tail]) if text else tail

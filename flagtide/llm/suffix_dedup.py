@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from flagtide.llm.common import key_filter, written
+from flagtide.llm.common import key_filter, slices, written
 
 K = 24
 #: Bytes of a block's text, and contexts of an anchor that a block may hold.
-BLOCK_BYTES, MOST_CONTEXTS = 1 << 20, 1_000
-BUFFER = 1 << 19
+BLOCK_BYTES, MOST_CONTEXTS = 1 << 19, 1_000
+BUFFER = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
 
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +121,7 @@ def occurrences(rows: DataFrame, length: int) -> DataFrame:
     names = ["row", "start", "windows", "anchor", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             found = list(spans(_encoded(batch.column(1)), length))
             if found:
@@ -158,7 +158,7 @@ class RunLengthIndex:
             key = key * 257 + symbols[d:d + n]
         self.ranks = [self._rank(key)]
         for d in self.DEPTHS[:-1]:
-            r = self.ranks[-1]
+            r = self.ranks[-1].astype(np.int64)
             after = np.zeros(n, dtype=np.int64)
             after[:n - d] = r[d:] + 1
             self.ranks.append(self._rank(r * (n + 2) + after))
@@ -181,7 +181,7 @@ class RunLengthIndex:
         new = np.ones(len(key), dtype=np.int64)
         new[0] = 0
         new[1:] = sorted_[1:] != sorted_[:-1]
-        rank = np.empty(len(key), dtype=np.int64)
+        rank = np.empty(len(key), dtype=np.int32)
         rank[order] = np.cumsum(new)
         return rank
 
@@ -258,7 +258,7 @@ def _indexed(contexts: DataFrame, length: int, blocks: int) -> DataFrame:
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: every window is counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for row, start, n, anchor, text in zip(*(b.column(c).to_pylist() for c in (
                     "row", "start", "n", "anchor", "bytes"))):
@@ -298,7 +298,7 @@ def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
         F.collect_list(F.struct("start", "windows", "anchor", "contexts", "n")).alias("spans")))  # spans of one text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for row, text, parts in zip(b.column("row").to_pylist(), _encoded(b.column("text")),
                                         b.column("spans").to_pylist()):
@@ -380,20 +380,21 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         *base.columns, F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), text.alias("kept_text"))
 
-    @F.pandas_udf(f"{REPORT}, kept_text string")
-    def cut(texts, lists):
-        import pandas as pd
+    own = list(base.columns)
 
-        out = []
-        for t, found in zip(texts, lists):
-            data = (t or "").encode()
-            runs = merged([(r["from"], r["to"]) for r in found]) if found is not None else []
-            kept = _cut_text(data, runs)
-            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
-                        _cut_text(data, whole_characters(data, runs)).decode()))
-        return pd.DataFrame(out, columns=report)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for batch in slices(batches):
+            out = []
+            for data, found in zip(_encoded(batch.column("__ft_text")), batch.column("__ft_ranges").to_pylist()):
+                runs = merged([(r["from"], r["to"]) for r in found or []])
+                kept = _cut_text(data, runs)
+                out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
+                            _cut_text(data, whole_characters(data, runs)).decode()))
+            columns = [batch.column(c) for c in own] + [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            yield pa.RecordBatch.from_arrays(columns, [*own, *report])
 
     joined = hit.join(by_row, F.col("__ft_row") == F.col("__ft_key"), "left")
-    changed = joined.select(*base.columns, cut(text, F.col("__ft_ranges")).alias("__ft_cut")).select(
-        *base.columns, *(F.col(f"__ft_cut.{c}").alias(c) for c in report))
+    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL(f"{REPORT}, kept_text string").fields])
+    changed = joined.select(*base.columns, text.alias("__ft_text"), "__ft_ranges").mapInArrow(cut, schema)
     return whole(missed).unionByName(changed)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flagtide.llm.common import written
+from flagtide.llm.common import slices, written
 
 #: Most labelled rows the classifier is fitted on (those with the smallest
 #: hash of their id); everything else covers all rows.
@@ -39,6 +39,8 @@ MIN_SUPPORT, MIN_SHARE = 8, 0.004
 MIN_RATIO, MIN_SIGNIFICANCE, FUZZY_RATIO = 8.0, 40.0, 25.0
 STEM_LENGTHS = range(3, 11)
 THRESHOLD = 0.3
+#: Words and automaton states that a worker remembers.
+MOST_KNOWN, MOST_STATES = 50_000, 4_000
 
 WORD = re.compile(r"[^\W_]+(?:[@$*'’!0-9_]+[^\W_]+)*|[^\W_]*[@$*][\w@$*]*")
 # Characters written in place of a letter.
@@ -93,12 +95,16 @@ class TermAutomaton:
                 self.budget[node] = max(self.budget[node], k)
             self.final[node] = term
             self.runs_on[node] = term in stems
+        self._forget()
+
+    def _forget(self) -> None:
+        """Only the start state: states and verdicts are made again as needed."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self.start = self._state(self._closed({(0, 0)}))
         self.known: dict[str, tuple[str, int] | None] = {}
+        self.start = self._state(self._closed({(0, 0)}))
 
     def _closed(self, states: set) -> frozenset:
         """With letters of the term left out, each at one edit."""
@@ -155,16 +161,16 @@ class TermAutomaton:
         """(term, edits) of the nearest term, or None."""
         if word in self.known:
             return self.known[word]
+        if len(self.known) >= MOST_KNOWN or len(self.sets) >= MOST_STATES:
+            self._forget()
         state = self.start
         for c in word[:64]:
-            state = self.moves[state].get(c)  or self._step(state, c)
+            state = self.moves[state].get(c) or self._step(state, c)
             if not self.sets[state]:
                 break
         found = self.accepts[state]
         if found and found[1] and word[:1] != found[0][:1] and word[1:2] != found[0][1:2]:
             found = None
-        if len(self.known) > 500_000:
-            self.known.clear()
         self.known[word] = found
         return found
 
@@ -185,15 +191,8 @@ PRIOR = np.array([-4.0, 2.0, 1.5, 0.5, 0.25, 1.0])
 
 RATE_SHARES = np.array([1.0, 0.5, 0.1, 0.05])
 
-_AUTOMATA: dict = {}
-
-
 def automaton(model: Model) -> TermAutomaton:
-    key = (tuple(sorted(model.terms)), tuple(sorted(model.stems)))
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = TermAutomaton(model.terms, model.stems)
-    return _AUTOMATA[key]
+    return TermAutomaton(model.terms, model.stems)
 
 
 def quoted(text: str, start: int, end: int, before: list[str], after: list[str]) -> bool:
@@ -262,7 +261,7 @@ def without_copies(train: DataFrame) -> DataFrame:
     would make terms of all its words. Copies of either label are looked for
     within that label."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             marks = [sketches(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), *(pa.array([m[i] for m in marks], pa.int64()) for i in range(3))],
@@ -280,7 +279,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word, toxic, clean: documents of either kind that use the word, counted
     per batch before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts = (Counter(), Counter())
             for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 counts[toxic].update({normal_word(w) for w in words(text or "")})
@@ -369,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
-        for b in batches:
+        for b in slices(batches):
             forms = [w for w in b.column(0).to_pylist() if (auto.match(w) or ("", 0))[1]]
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], ["form"])
 
@@ -380,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
-        for b in batches:
+        for b in slices(batches):
             rows = [features(t or "", model, auto).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(2)], ["x", "toxic"])
 
@@ -399,7 +398,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     without matches. A null id counts as not held out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
-        for b in batches:
+        for b in slices(batches):
             s = [score_text(t, model, auto) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
@@ -413,11 +412,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     pass without a shuffle (the verdict is computed on the row itself)."""
     model = fit(docs, labels)
 
-    @F.pandas_udf("double")
-    def toxicity(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
-        return pd.Series([score_text(t, model, auto) for t in texts], dtype=float)
+        for b in slices(batches):
+            yield b.filter(pa.array([score_text(t, model, auto) < THRESHOLD for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.where(toxicity(F.col("text")) < THRESHOLD)
+    return docs.mapInArrow(run, docs.schema)
