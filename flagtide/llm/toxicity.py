@@ -30,7 +30,6 @@ from flagtide.llm.common import slices, written
 #: Most labelled rows the classifier is fitted on (those with the smallest
 #: hash of their id); everything else covers all rows.
 MAX_LABELLED = 200_000
-MAX_TERMS = 2_000
 #: A term must occur in so many toxic documents, and this share of them.
 MIN_SUPPORT, MIN_SHARE = 8, 0.004
 #: Least ratio of a term's (smoothed) frequency in toxic to that in clean
@@ -72,8 +71,7 @@ class TermAutomaton:
 
     A state is a set of (trie node, edits, edits its first letter allows);
     ``step`` follows equal letters, insertions, deletions, substitutions and
-    lets stems run on. Words must agree with a term in one of the first two
-    letters, or every word would start alive."""
+    lets stems run on. An edit may stand anywhere, at the front too."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.weights = {**stems, **terms}
@@ -158,26 +156,29 @@ class TermAutomaton:
         return target
 
     def match(self, word: str) -> tuple[str, int] | None:
+        """As ``nearest``, for terms that share one of the first two letters only."""
+        found = self.nearest(word)
+        return None if found and found[1] and word[:1] != found[0][:1] and word[1:2] != found[0][1:2] else found
+
+    def nearest(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, or None."""
         if word in self.known:
             return self.known[word]
         if len(self.known) >= MOST_KNOWN or len(self.sets) >= MOST_STATES:
             self._forget()
         state = self.start
-        for c in word[:64]:
+        for c in word:
             state = self.moves[state].get(c) or self._step(state, c)
             if not self.sets[state]:
                 break
         found = self.accepts[state]
-        if found and found[1] and word[:1] != found[0][:1] and word[1:2] != found[0][1:2]:
-            found = None
         self.known[word] = found
         return found
 
 
 @dataclass
 class Model:
-    """All that scoring needs; its size is bounded by MAX_TERMS and MAX_LABELLED."""
+    """All that scoring needs; its size is bounded by MIN_SHARE and MAX_LABELLED."""
 
     terms: dict[str, float]
     stems: dict[str, float]
@@ -209,7 +210,7 @@ def features(text: str, model: Model, auto: TermAutomaton) -> np.ndarray:
     the abuse per 100 words (misspelled counts half, quoted a tenth)."""
     sums, rate = np.zeros(4), 0.0
     if text:
-        match = auto.match
+        match = auto.nearest
         hits = {}
         found_words = words(text)
         for w in set(found_words):
@@ -306,7 +307,7 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
         rows = (table.where((F.col("toxic") >= least) & (F.length(key) >= 3))
                 .withColumn("ratio", ratio).withColumn("significance", log_ratio)
                 .where((F.col("ratio") >= MIN_RATIO) & (F.col("significance") >= MIN_SIGNIFICANCE))
-                .orderBy(F.desc("significance"), F.desc(F.length(key)), key).limit(4 * MAX_TERMS).collect())
+                .orderBy(F.desc("significance"), F.desc(F.length(key)), key).collect())  # MIN_SHARE bounds them
         return {r[key]: (r["toxic"], math.log(r["ratio"])) for r in rows}
 
     by_stem = counts.where(F.length("word") > min(STEM_LENGTHS)).select(
@@ -323,8 +324,7 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
         if not nested and not word_below:
             picked[s] = weight
     terms = {w: weight for w, (_, weight) in full.items() if not any(w.startswith(s) for s in picked)}
-    best = sorted(terms, key=lambda w: (-full[w][0], w))[:MAX_TERMS]
-    return {w: terms[w] for w in best}, dict(list(picked.items())[:MAX_TERMS])
+    return {w: terms[w] for w in sorted(terms, key=lambda w: (-full[w][0], w))}, picked
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> np.ndarray:
@@ -369,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
         for b in slices(batches):
-            forms = [w for w in b.column(0).to_pylist() if (auto.match(w) or ("", 0))[1]]
+            forms = [w for w in b.column(0).to_pylist() if (auto.nearest(w) or ("", 0))[1]]
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], ["form"])
 
     # forms near a term that clean documents use are words of their own; their

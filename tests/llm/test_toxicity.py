@@ -120,3 +120,34 @@ def test_odd_rows(spark):
     assert T.drop_toxic(docs, labels).columns == docs.columns
     nothing = T.fit(docs, labels.limit(0))
     assert not nothing.terms and T.score(docs, nothing).where("predicted = 0").count() == 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edits_at_any_place(seed):
+    """Plain edit distance, without a rule on the first letters."""
+    rng = random.Random(seed)
+    word = lambda a, b: "".join(rng.choice("abcd") for _ in range(rng.randrange(a, b)))
+    terms = {word(3, 11): rng.choice([2.5, 5.0]) for _ in range(12)}
+    auto = T.TermAutomaton(terms, {})
+    for _ in range(1500):
+        w = word(1, 12) if rng.random() < 0.5 else rng.choice(list(terms))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(w) + 1)
+            w = rng.choice([rng.choice("abcd") + w, w[1:], w[:at] + w[at + 1:]])
+        hits = [(d, -len(t), t) for t in terms
+                if (d := distance(w, t)) <= (T.edits_allowed(t) if terms[t] >= math.log(T.FUZZY_RATIO) else 0)]
+        assert auto.nearest(w) == ((min(hits)[2], min(hits)[0]) if hits else None), w
+
+
+def test_front_edits_and_long_words_score():
+    model = T.Model({"stupid": 7.0, "ab" * 40: 7.0}, {})
+    for spelled in ("tupid", "xstupid", "ab" * 40, "ab" * 39 + "ac"):
+        assert score(f"you {spelled} there", model) > score("you there", model), spelled
+    assert T.automaton(model).nearest("ab" * 32) is None
+
+
+def test_all_terms_with_support_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(letters[i % 26] + letters[i // 26 % 26] + letters[i // 676] + "words", 100, 0) for i in range(2100)]
+    terms, _ = T.learn_terms(spark.createDataFrame(rows, "word string, toxic long, clean long"), 1000, 1000)
+    assert len(terms) == 2100
