@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact copies (after lower-casing A-Z) go; the largest doc_id stays."""
-    return exact_dedup.keep_first_copies(docs)
+    """Exact copies (after lower-casing A-Z) go; the largest doc_id stays, and one
+    row only where rows repeat that id or have none."""
+    return exact_dedup.keep_one_copy(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

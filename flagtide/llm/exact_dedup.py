@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flagtide.llm.common import ascii_lower, settings, shared_folder, without_rows, written
+from flagtide.llm.common import ascii_lower, key_filter, settings, shared_folder, without_rows, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -110,3 +110,21 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = written(dedup(docs, id_col, text_col).where("not kept").select(
         F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_gone")).distinct())
     return without_rows(docs.withColumn("__ft_key", row_key(id_col, text_col)), gone, id_col).select(*docs.columns)
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``keep_first_copies``, but of rows that repeat the keeper's id (or are
+    all without an id) only one stays: the largest by all columns. Every text is
+    left exactly once."""
+    verdict = written(dedup(docs, id_col, text_col).where("group_size > 1").select(
+        F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_gone"), "kept"))
+    keyed = docs.withColumn("__ft_key", row_key(id_col, text_col))
+    left = without_rows(keyed, written(verdict.where("not kept").drop("kept").distinct()), id_col)
+    again = written(verdict.where("kept").groupBy("__ft_id", "__ft_gone").count().where("count > 1"))
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    rest = key_filter(left, "__ft_key", again, "__ft_gone", inside=False).select(*docs.columns)
+    maybe = key_filter(left, "__ft_key", again, "__ft_gone").select(
+        F.col(id_col).alias("__ft_id"), ascii_lower(F.col(text_col)).alias("__ft_norm"), F.struct(*docs.columns).alias("__ft_row"))
+    one = maybe.groupBy("__ft_id", "__ft_norm").agg(F.max("__ft_row").alias("__ft_row"))
+    return rest.unionByName(one.select("__ft_row.*"))

@@ -82,3 +82,16 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = E.dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_one_copy_of_every_text(spark):
+    rows = [*((i, t, "z") for i, t in ROWS), (12, "ONE", "y"), (12, "other", "y"), (None, None, "y"), (None, "none", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    left = E.keep_one_copy(docs)
+    assert left.columns == docs.columns
+    got_ = sorted(((r.doc_id, lowered(r.text)) for r in left.collect()), key=repr)
+    keep = {}
+    for i, t, _ in rows:
+        keep[lowered(t)] = max(i or -1, keep.get(lowered(t), -1))
+    assert got_ == sorted(((i if i >= 0 else None, t) for t, i in keep.items()), key=repr)
+    assert E.keep_one_copy(docs.limit(0)).count() == 0

@@ -89,3 +89,12 @@ def test_odd_rows(spark):
     for _, stage in P.STAGES:
         empty = written(stage(spark, empty, SF))
         assert empty.count() == 0
+
+
+def test_repeated_rows_leave_their_text_once(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(200)) for k in "abc"}
+    rows_ = [(7, texts["a"], "en", "s", 1)] * 3 + [(None, texts["b"], "en", "s", 1)] * 2 + [(8, texts["c"], "en", "s", 1)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in P.STAGES[:4]:
+        df = written(stage(spark, df, SF))
+    assert sorted(r.text for r in df.collect()) == sorted(texts.values())
