@@ -2,7 +2,8 @@
 context windows that tell quotation from abuse.
 
 A lexicon of terms (whole words, and stems that open many words) is learned
-from labelled documents. The terms form a trie; the automaton that accepts a
+from labelled documents. A stem runs on exactly; misspellings are looked for
+around the forms of it that toxic documents use. The terms form a trie; the automaton that accepts a
 word within so many edits of any term is the product of that trie with the
 Levenshtein edit counter, made deterministic as words need it, so a word costs
 one table step per character and most die after two or three. Every match is
@@ -75,6 +76,7 @@ class TermAutomaton:
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.weights = {**stems, **terms}
+        self.whole = frozenset(terms)
         self.children: list[dict[str, int]] = [{}]
         self.final: list[str | None] = [None]
         self.runs_on: list[bool] = [False]
@@ -124,7 +126,7 @@ class TermAutomaton:
             self.sets.append(states)
             self.moves.append({})
             ends = [(e, -len(self.final[n]), self.final[n]) for n, e in states
-                    if n >= 0 and self.final[n] is not None and e <= self._limit(self.final[n], n)]
+                    if n >= 0 and self.final[n] is not None and e <= self._limit(self.final[n])]
             ends += [(0, -len(self.final[-n]), self.final[-n]) for n, _ in states if n < 0]
             self.accepts.append((min(ends)[2], min(ends)[0]) if ends else None)
         return self.ids[states]
@@ -132,8 +134,8 @@ class TermAutomaton:
     def allowed(self, term: str) -> int:
         return edits_allowed(term) if self.weights[term] >= math.log(FUZZY_RATIO) else 0
 
-    def _limit(self, term: str, node: int) -> int:
-        return 0 if self.runs_on[node] else self.allowed(term)
+    def _limit(self, term: str) -> int:
+        return self.allowed(term) if term in self.whole else 0
 
     def _step(self, state: int, c: str) -> int:
         out: set = set()
@@ -295,7 +297,8 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Whole words and stems (prefixes that open several words) far more
-    frequent in toxic documents. Of nested stems the most telling is taken."""
+    frequent in toxic documents. Of nested stems the most telling is taken; the
+    forms it opens in toxic documents are whole words too."""
     least = max(MIN_SUPPORT, math.ceil(MIN_SHARE * n_toxic))
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     # against one rate for both kinds of documents
@@ -310,10 +313,10 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
                 .orderBy(F.desc("significance"), F.desc(F.length(key)), key).collect())  # MIN_SHARE bounds them
         return {r[key]: (r["toxic"], math.log(r["ratio"])) for r in rows}
 
-    by_stem = counts.where(F.length("word") > min(STEM_LENGTHS)).select(
+    prefixes = counts.where(F.length("word") > min(STEM_LENGTHS)).select(
         F.explode(F.expr(f"transform(sequence({min(STEM_LENGTHS)}, least({max(STEM_LENGTHS)}, length(word) - 1)), "
-                         "n -> substr(word, 1, n))")).alias("stem"), "toxic", "clean")
-    by_stem = by_stem.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
+                         "n -> substr(word, 1, n))")).alias("stem"), "word", "toxic", "clean")
+    by_stem = prefixes.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"),
                                           F.count(F.lit(1)).alias("forms")).where("forms >= 4")
     full = chosen(counts, "word")
     stems = chosen(by_stem, "stem")
@@ -324,7 +327,27 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
         if not nested and not word_below:
             picked[s] = weight
     terms = {w: weight for w, (_, weight) in full.items() if not any(w.startswith(s) for s in picked)}
-    return {w: terms[w] for w in sorted(terms, key=lambda w: (-full[w][0], w))}, picked
+    terms |= {s: picked[s] for s in picked if s in full}
+    # the forms of a stem stand for it where misspellings are looked for, however
+    # rare each is; they weigh what the stem weighs
+    fuzzy = [s for s, weight in picked.items() if weight >= math.log(FUZZY_RATIO)]
+    telling = (ratio >= MIN_RATIO) | (F.col("clean") * 20 <= F.col("toxic"))
+    forms = prefixes.where(F.col("stem").isin(fuzzy) & (F.col("toxic") > 0) & telling).select("word", "stem").collect()
+    terms |= {r["word"]: picked[r["stem"]] for r in forms}
+    return dict(sorted(terms.items())), picked
+
+
+def with_telling_forms(terms: dict[str, float], stems: dict[str, float], nearby: Counter) -> dict[str, float]:
+    """``terms`` without the forms of stems around which training knows more
+    harmless words than others: there a word never seen is likely harmless too.
+    ``nearby``: number of words by nearest term and whether they are harmless."""
+    out = dict(terms)
+    for s in stems:
+        forms = [t for t in terms if t.startswith(s) and t != s]
+        if sum(nearby[t, True] for t in forms) > sum(nearby[t, False] for t in forms):
+            for t in forms:
+                del out[t]
+    return out
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 2.0) -> np.ndarray:
@@ -369,13 +392,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
         for b in slices(batches):
-            forms = [w for w in b.column(0).to_pylist() if (auto.nearest(w) or ("", 0))[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string())], ["form"])
+            found = [(w, auto.nearest(w), odd) for w, odd in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            hits = [(w, f[0], odd) for w, f, odd in found if f and f[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.string()),
+                                              pa.array([h[2] for h in hits], pa.bool_())], ["form", "term", "odd"])
 
     # forms near a term that clean documents use are words of their own; their
     # number is bounded by the words of at most ``most`` documents
-    odd = counts.where("clean * 20 > toxic").select("word").mapInArrow(near, "form string")
-    model.harmless = frozenset(r[0] for r in odd.collect())
+    nearby = counts.selectExpr("word", "clean * 20 > toxic as odd").mapInArrow(near, "form string, term string, odd boolean").collect()
+    model.terms = with_telling_forms(terms, stems, Counter((r["term"], r["odd"]) for r in nearby))
+    auto = automaton(model)
+    model.harmless = frozenset(r["form"] for r in nearby if r["odd"] and (auto.nearest(r["form"]) or ("", 0))[1])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)

@@ -151,3 +151,38 @@ def test_all_terms_with_support_are_learned(spark):
     rows = [(letters[i % 26] + letters[i // 26 % 26] + letters[i // 676] + "words", 100, 0) for i in range(2100)]
     terms, _ = T.learn_terms(spark.createDataFrame(rows, "word string, toxic long, clean long"), 1000, 1000)
     assert len(terms) == 2100
+
+
+def test_misspelled_forms_of_a_stem(spark):
+    """None of the forms has half of the stem's documents, some have very few."""
+    rows = [("vequorab" + end, n, 0) for end, n in (("an", 30), ("lich", 30), ("es", 25), ("ion", 25), ("ung", 2))]
+    counts = spark.createDataFrame(rows + [("quiet", 10, 400)], "word string, toxic long, clean long")
+    terms, stems = T.learn_terms(counts, 500, 500)
+    assert any("vequorab".startswith(s[:3]) for s in stems)
+    auto = T.TermAutomaton(terms, stems)
+    for word, _, _ in rows:
+        assert auto.nearest(word)[1] == 0
+        assert auto.nearest(word[:4] + "z" + word[5:]) == (word, 1), word
+        assert auto.nearest(word[1:]) == (word, 1), word
+    assert auto.nearest("quiet") is None
+    both = T.TermAutomaton({"loser": 5.0}, {"loser": 5.0})  # a stem that is a word too
+    assert both.nearest("looser") == ("loser", 1) and both.nearest("loserish") == ("loser", 0)
+
+
+def test_misspelled_forms_are_found_after_training(spark):
+    rng = random.Random(4)
+    noise = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    forms = ["vequoraban", "vequorablich", "vequorabes", "vequorabion"]
+    rows = [(i, " ".join([*rng.sample(noise, 30), *([rng.choice(forms)] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(800)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.fit(data.select("doc_id", "text"), data.select("doc_id", "toxic"))
+    assert model.stems and set(forms) <= set(model.terms)
+    for spelled in ("vequzraban", "equorabion", "vequorrablich"):
+        assert score(f"you {spelled} there", model) > score("you there", model), spelled
+
+
+def test_forms_among_harmless_words_stay_exact():
+    terms, stems = {"achlichung": 4.0, "achlichein": 4.0, "other": 5.0}, {"achlich": 4.0}
+    known = T.Counter({("achlichung", True): 5, ("achlichein", False): 2, ("other", True): 9})
+    assert T.with_telling_forms(terms, stems, known) == {"other": 5.0}
+    assert T.with_telling_forms(terms, stems, T.Counter()) == terms
