@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flagtide.llm import embedding_dedup, exact_dedup, line_dedup, lm_score, minhash, packing, sentencepiece_viterbi, suffix_dedup, toxicity, warc
+from flagtide.llm import (
+    decontaminate, embedding_dedup, exact_dedup, lexical_search, line_dedup, lm_score, minhash, packing,
+    sentencepiece_viterbi, suffix_dedup, toxicity, vector_codes, warc)
 from flagtide.llm.common import table
 from flagtide.llm.registry import query
 
@@ -145,3 +147,92 @@ def op4_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_score.score(docs, lm_score.fit(docs))
+
+
+def _codes_sql() -> str:
+    """Plain squared distances to every entry; three assignments, two moves."""
+    assigned = """
+near{r} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * 64 + entry) % 64 AS entry, min(d) AS d FROM (
+    SELECT c.vec_id, c.part, b.entry, sum((c.v - b.v) * (c.v - b.v)) AS d
+    FROM parts c JOIN book{r} b ON b.part = c.part AND b.pos = c.pos GROUP BY ALL) GROUP BY ALL)"""
+    moved = """
+sums{r} AS (SELECT c.part, n.entry, c.pos, CAST(sum(c.v) AS BIGINT) AS s, count(*) AS k
+  FROM parts c JOIN near{r} n ON n.vec_id = c.vec_id AND n.part = c.part GROUP BY ALL),
+book{next} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce((s.s - ((s.s % s.k) + s.k) % s.k) // s.k, b.v) AS v
+  FROM book{r} b LEFT JOIN sums{r} s ON s.part = b.part AND s.entry = b.entry AND s.pos = b.pos)"""
+    steps = [assigned.format(r=0)]
+    for r in (0, 1):
+        steps += [moved.format(r=r, next=r + 1), assigned.format(r=r + 1)]
+    return f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kept AS (SELECT vec_id, label, v FROM e
+         WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT vec_id, len(v) // 16 AS w, unnest(range(0, len(v))) AS i, unnest(v) AS x FROM kept),
+parts AS MATERIALIZED (SELECT vec_id, i // w AS part, i % w AS pos, CAST(floor(256 * x) AS BIGINT) AS v FROM flat),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+book0 AS MATERIALIZED (SELECT p.part, f.entry, p.pos, p.v FROM parts p JOIN first f ON f.vec_id = p.vec_id),{",".join(steps)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+          FROM near2 GROUP BY vec_id)
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM kept k JOIN codes c ON c.vec_id = k.vec_id
+"""
+
+
+@query("op11_walsh_codes", _codes_sql())
+def op11_walsh_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _words_sql(name: str, key: str) -> str:
+    return (f"SELECT {key}, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w "
+            f"FROM {name}")
+
+
+# every window of the items' lengths in every document, compared as text
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(w, []) AS w FROM ({_words_sql("documents", "doc_id")})),
+i AS (SELECT item_id, w, least(len(w), 10) AS n FROM ({_words_sql("benchmark", "item_id")}) WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s
+           FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+sizes AS (SELECT DISTINCT n FROM wanted),
+places AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s
+           FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT doc_id, item_id, n, p FROM places JOIN wanted USING (n, s)),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS at FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.names, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op12_wu_manber", CONTAMINATION_SQL)
+def op12_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, w FROM ({_words_sql("documents", "doc_id")}) WHERE len(w) > 0),
+q AS (SELECT item_id, unnest(w) AS t FROM ({_words_sql("benchmark", "item_id")})),
+terms AS (SELECT item_id, t, count(*) AS times FROM q GROUP BY ALL),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+posted AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d)
+           WHERE t IN (SELECT t FROM terms) GROUP BY doc_id, len(w), t),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM posted, totals GROUP BY t),
+parts AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS part
+          FROM posted, totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * w * part) AS BIGINT) AS score
+           FROM terms JOIN weights USING (t) JOIN parts USING (t) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op13_presence_masks", SEARCH_SQL)
+def op13_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
