@@ -114,8 +114,8 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``keep_first_copies``, but of rows that repeat the keeper's id (or are
-    all without an id) only one stays: the largest by all columns. Every text is
-    left exactly once."""
+    all without an id) only one stays: the largest by all columns, read as JSON (columns of
+    any type). Every text is left exactly once."""
     verdict = written(dedup(docs, id_col, text_col).where("group_size > 1").select(
         F.col("doc_id").alias("__ft_id"), F.col("row_key").alias("__ft_gone"), "kept"))
     keyed = docs.withColumn("__ft_key", row_key(id_col, text_col))
@@ -126,5 +126,5 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = key_filter(left, "__ft_key", again, "__ft_gone", inside=False).select(*docs.columns)
     maybe = key_filter(left, "__ft_key", again, "__ft_gone").select(
         F.col(id_col).alias("__ft_id"), ascii_lower(F.col(text_col)).alias("__ft_norm"), F.struct(*docs.columns).alias("__ft_row"))
-    one = maybe.groupBy("__ft_id", "__ft_norm").agg(F.max("__ft_row").alias("__ft_row"))
+    one = maybe.groupBy("__ft_id", "__ft_norm").agg(F.max_by("__ft_row", F.to_json("__ft_row")).alias("__ft_row"))
     return rest.unionByName(one.select("__ft_row.*"))

@@ -5,20 +5,26 @@ anywhere else. The corpus is not indexed as one text: every window of
 ``length`` bytes is owned by one anchor, the k-mer with the smallest hash inside
 it, so equal windows have equal anchors. Windows whose anchor occurs once in the
 corpus are unique and go no further. Consecutive windows of one anchor form a
-span; spans with equal bytes are collapsed, and what is left (different
+piece; pieces with equal bytes are collapsed, and what is left (different
 contexts of one anchor) is dealt by anchor to blocks of bounded size.
 
-For each block a suffix array is built, from it the run-length Burrows-Wheeler
-transform with the text positions of run ends sampled, and the longest match of
+Contexts of one anchor that would not fit a block are split further: windows by
+how far before the anchor they start, a few ranges of that distance at a time,
+and each range by the bytes that all its windows share. Equal windows fall into
+the same range and share those bytes, so no match is parted; unlike contexts part
+within a few levels, and a range of one window has nothing left to compare.
+
+For each block suffixes are sorted, and the run-length Burrows-Wheeler transform
+is kept with the text positions of its run heads and ends; the longest match of
 every position with any other is streamed from those samples alone: between
-samples a match only gets shorter by one each step. An anchor with very many
-contexts would not fit a block; its windows are counted one by one instead.
+samples a match only gets shorter by one each step.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from flagtide.llm.common import key_filter, slices, written
 
 K = 24
-#: Bytes of a block's text, and contexts of an anchor that a block may hold.
-BLOCK_BYTES, MOST_CONTEXTS = 1 << 19, 1_000
+#: Bytes of a block's text; contexts that share a key and go to one block.
+BLOCK_BYTES, BLOCK_CONTEXTS = 1 << 19, 1_000
+#: Ranges that a split makes of one range of distances.
+FAN_OUT = 4
 BUFFER = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
 
@@ -68,9 +76,9 @@ def owners(hashes: np.ndarray, window: int) -> np.ndarray:
     return (m & _POSITION).astype(np.int64)
 
 
-def spans(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, first window, windows, anchor hash, span hash) of all
-    windows of ``length`` bytes. Texts are worked on in buffers; a text longer
+def spans(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(text number, first window, windows, place of the anchor from there, anchor
+    hash, 128-bit hash of the bytes) of all windows of ``length`` bytes. Texts are worked on in buffers; a text longer
     than a buffer is cut into overlapping parts."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -106,63 +114,83 @@ def _buffer_spans(held, length):
     which = np.searchsorted(starts, first, side="right") - 1
     anchor = hashes[owner[first]].view(np.int64)
     view = memoryview(buffer)
-    digest = xxhash.xxh3_64_intdigest
-    for w, a, b, h in zip(which.tolist(), first.tolist(), last.tolist(), anchor.tolist()):
+    digest = xxhash.xxh3_128_digest
+    place = owner[first] - first
+    for w, a, b, o, h in zip(which.tolist(), first.tolist(), last.tolist(), place.tolist(), anchor.tolist()):
         i, at, _ = held[w]
-        yield i, at + a - int(starts[w]), b - a + 1, h, digest(view[a:b + length]) - (1 << 63)
+        yield i, at + a - int(starts[w]), b - a + 1, o, h, digest(view[a:b + length])
 
 
 def _encoded(column) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in column.to_pylist()]
 
 
+PIECE = "row bigint, twin bigint, start int, windows int, place int"
+_PIECE_TYPES = [("row", pa.int64()), ("twin", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("place", pa.int32())]
+
+
+def _batches(rows: list[tuple], types: list[tuple[str, pa.DataType]], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), most):
+        columns = zip(*rows[at:at + most])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [n for n, _ in types])
+
+
 def occurrences(rows: DataFrame, length: int) -> DataFrame:
-    """row, start, windows, anchor, span: one row per span of ``rows`` (row, text)."""
-    names = ["row", "start", "windows", "anchor", "span"]
+    """One row per piece of ``rows`` (row, twin, text): the document, first window,
+    number of windows, place of the anchor, anchor as ``key``, digest of the bytes."""
+    types = [*_PIECE_TYPES, ("key", pa.int64()), ("digest", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = batch.column(0).to_pylist()
-            found = list(spans(_encoded(batch.column(1)), length))
-            if found:
-                i, start, windows, anchor, span = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[x] for x in i], pa.int64()), pa.array(start, pa.int32()),
-                     pa.array(windows, pa.int32()), pa.array(anchor, pa.int64()), pa.array(span, pa.int64())], names)
+            ids = list(zip(batch.column("row").to_pylist(), batch.column("twin").to_pylist()))
+            yield from _batches([(*ids[i], *rest) for i, *rest in spans(_encoded(batch.column("text")), length)], types)
+
+    return rows.mapInArrow(run, f"{PIECE}, key bigint, digest binary")
+
+
+def _encoded(column) -> list[bytes]:
+    return [b"" if t is None else t.encode() for t in column.to_pylist()]
 
-    return rows.mapInArrow(run, "row bigint, start int, windows int, anchor bigint, span bigint")
+
+def parts(text: bytes, start: int, windows: int, place: int, key: str, width: int,
+          length: int) -> Iterator[tuple[int, int, int, str, bytes]]:
+    """(first window, windows, place, key, digest) of the parts of a piece: its
+    windows by ranges of ``width`` distances to the anchor. A part's key holds
+    the bytes that all windows of the range have in common."""
+    anchor = start + place
+    for r in range(max(0, place - windows + 1) // width, place // width + 1):
+        first = max(start, anchor - (r + 1) * width + 1)
+        last = min(start + windows - 1, anchor - r * width)
+        core = text[anchor - r * width:anchor - (r + 1) * width + 1 + length]
+        yield (first, last - first + 1, anchor - first,
+               xxhash.xxh3_128_hexdigest(b"%s %d %d " % (key.encode(), width, r) + core),
+               xxhash.xxh3_128_digest(text[first:last + length]))
 
 
 # ------------------------------------------------------- run-length suffix index
 
 class RunLengthIndex:
-    """Suffix array, run-length BWT and sampled run ends of a few texts.
+    """Run-length BWT of a few texts: the heads and ends of its runs with their
+    text positions and the positions of their neighbours in the sorted order.
 
-    Texts end in a separator (symbol 0) and must be shorter than ``DEPTH``;
-    suffixes are sorted to that depth, which no match inside a text reaches.
+    Texts end in a separator below all bytes; no match crosses it. The sorted
+    order and the ranks it comes from are not kept.
     """
 
-    DEPTHS = (7, 14, 28, 56, 112, 224, 448)
+    FIRST = 7  # symbols of the first key
 
     def __init__(self, texts: list[bytes]):
         lengths = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         n = int(self.starts[-1])
-        symbols = np.zeros(n + self.DEPTHS[-1], dtype=np.int64)
-        body = np.ones(n, dtype=bool)
-        body[self.starts[1:] - 1] = False
-        symbols[:n][body] = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64) + 1
-        self.symbols, self.n = symbols, n
-        key = np.zeros(n, dtype=np.int64)
-        for d in range(self.DEPTHS[0]):
-            key = key * 257 + symbols[d:d + n]
-        self.ranks = [self._rank(key)]
-        for d in self.DEPTHS[:-1]:
-            r = self.ranks[-1].astype(np.int64)
-            after = np.zeros(n, dtype=np.int64)
-            after[:n - d] = r[d:] + 1
-            self.ranks.append(self._rank(r * (n + 2) + after))
-        order = np.argsort(self.ranks[-1], kind="stable")  # the suffix array
+        self.n = n
+        joined = b"\0".join([*texts, b""]) + bytes(8)
+        self.bytes = np.ndarray((n + 1,), dtype="<u8", buffer=joined, strides=(1,))  # eight bytes from every place
+        stops = self.starts[1:] - 1
+        self.to_stop = np.repeat(stops, lengths + 1) - np.arange(n)  # bytes left in the text
+        symbols = np.frombuffer(joined, dtype=np.uint8)[:n].astype(np.int64) + 1
+        symbols[stops] = 0
+        order = self._order(symbols, int(lengths.max(initial=0)) + 1)
         before = np.where(order > 0, symbols[order - 1], 0)  # the BWT
         heads = np.ones(n, dtype=bool)  # first of a run; separators never run on
         heads[1:] = before[1:] != before[:-1]
@@ -170,43 +198,57 @@ class RunLengthIndex:
         ends[:-1] = heads[1:]
         heads[before == 0] = ends[before == 0] = True
         self.runs = int(heads.sum())
-        self.order, self.heads, self.ends = order, np.flatnonzero(heads), np.flatnonzero(ends)
-        stops = self.starts[1:] - 1
-        self.to_stop = np.repeat(stops, lengths + 1) - np.arange(n)  # bytes left in the text
+        at_head, at_end = np.flatnonzero(heads[1:]) + 1, np.flatnonzero(ends[:-1])
+        #: (position, its neighbour) at run heads with the one above, at run ends with the one below
+        self.samples = [(order[at_head], order[at_head - 1]), (order[at_end], order[at_end + 1])]
+
+    def _order(self, symbols: np.ndarray, deepest: int) -> np.ndarray:
+        """Positions by the suffixes that start there, to ``deepest`` symbols."""
+        n = self.n
+        padded = np.concatenate([symbols, np.zeros(self.FIRST, dtype=np.int64)])
+        key = np.zeros(n, dtype=np.int64)
+        for d in range(self.FIRST):
+            key = key * 257 + padded[d:d + n]
+        rank, depth = self._rank(key), self.FIRST
+        while depth < deepest:
+            after = np.zeros(n, dtype=np.int64)
+            after[:max(0, n - depth)] = rank[depth:] + np.int64(1)
+            rank, depth = self._rank(rank.astype(np.int64) * (n + 2) + after), depth * 2
+        return np.argsort(rank, kind="stable")
 
     @staticmethod
     def _rank(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         sorted_ = key[order]
         new = np.ones(len(key), dtype=np.int64)
-        new[0] = 0
+        new[:1] = 0
         new[1:] = sorted_[1:] != sorted_[:-1]
         rank = np.empty(len(key), dtype=np.int32)
         rank[order] = np.cumsum(new)
         return rank
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes, inside their texts."""
+        """Length of the common prefix of suffixes, inside their texts: eight bytes
+        of all pairs at a time."""
         limit = np.minimum(self.to_stop[i], self.to_stop[j])
-        out = np.zeros(len(i), dtype=np.int64)
-        for d, rank in zip(reversed(self.DEPTHS), reversed(self.ranks)):
-            x, y = np.minimum(i + out, self.n - 1), np.minimum(j + out, self.n - 1)
-            out += np.where((rank[x] == rank[y]) & (out < limit), d, 0)
-        alive = np.ones(len(i), dtype=bool)
-        for _ in range(self.DEPTHS[0]):
-            x, y = np.minimum(i + out, self.n - 1), np.minimum(j + out, self.n - 1)
-            alive &= (self.symbols[x] == self.symbols[y]) & (out < limit)
-            out += alive
-        return np.minimum(out, limit)
+        out = limit.copy()
+        left, at = np.flatnonzero(limit > 0), 0
+        while len(left):
+            differ = self.bytes[i[left] + at] ^ self.bytes[j[left] + at]
+            parted = np.flatnonzero(differ)
+            low = differ[parted] & (~differ[parted] + np.uint64(1))  # the lowest bit that differs
+            same = np.log2(low.astype(np.float64)).astype(np.int64) >> 3
+            out[left[parted]] = np.minimum(limit[left[parted]], at + same)
+            at += 8
+            left = left[(differ == 0) & (limit[left] > at)]
+        return out
 
     def matching_statistics(self) -> np.ndarray:
         """For every position the length of its longest match with the suffix
         at any other position, streamed from the samples at run ends: elsewhere
         it is one less than at the position before."""
         best = np.zeros(self.n, dtype=np.int64)
-        for at, step in ((self.heads, -1), (self.ends, 1)):
-            at = at[(at + step >= 0) & (at + step < self.n)]
-            i, j = self.order[at], self.order[at + step]
+        for i, j in self.samples:
             np.maximum.at(best, i, self.common(i, j))
         position = np.arange(self.n)
         streamed = np.maximum.accumulate(best + position) - position
@@ -232,92 +274,92 @@ def runs_of(positions: np.ndarray) -> list[tuple[int, int]]:
 
 # --------------------------------------------------------------------- operator
 
-RANGE = "row bigint, `from` int, `to` int"
-
-
-def _ranges(rows: list[tuple[int, int, int]]) -> pa.Table:
-    r, a, b = zip(*rows) if rows else ((), (), ())
-    return pa.table({"row": pa.array(r, pa.int64()), "from": pa.array(a, pa.int32()), "to": pa.array(b, pa.int32())})
+RANGE = "row bigint, twin bigint, `from` int, `to` int"
+DOC = ["row", "twin"]
 
 
 def _indexed(contexts: DataFrame, length: int, blocks: int) -> DataFrame:
     """Ranges of bytes of the single contexts that the block's index marks."""
+    names = [("row", pa.int64()), ("twin", pa.int64()), ("from", pa.int32()), ("to", pa.int32())]
+
     def run(table: pa.Table) -> pa.Table:
         texts = table.column("bytes").to_pylist()
         found = []
-        for row, start, n, positions in zip(table.column("row").to_pylist(), table.column("start").to_pylist(),
-                                            table.column("n").to_pylist(), long_matches(texts, length)):
+        for row, twin, start, n, positions in zip(*(table.column(c).to_pylist() for c in ("row", "twin", "start", "n")),
+                                                  long_matches(texts, length)):
             if n == 1:
-                found += [(row, start + a, start + b + length) for a, b in runs_of(positions)]
-        return _ranges(found)
+                found += [(row, twin, start + a, start + b + length) for a, b in runs_of(positions)]
+        columns = zip(*found) if found else [()] * 4
+        return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, names)], names=[n for n, _ in names])
 
-    return contexts.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).groupBy("block").applyInArrow(
+    return contexts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInArrow(
         run, RANGE)
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: every window is counted."""
+def _with_text(pieces: DataFrame, rows: DataFrame, each, schema: str, types: list) -> DataFrame:
+    """What ``each`` gives for the bytes of a document and every piece of it.
+
+    Only documents that have pieces are joined; a document's pieces travel as
+    one list, which is no longer than its text."""
+    fields = [c for c in pieces.columns if c not in DOC]
+    by_row = written(pieces.groupBy(*DOC).agg(F.collect_set(F.struct(*fields)).alias("pieces")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = []
-            for row, start, n, anchor, text in zip(*(b.column(c).to_pylist() for c in (
-                    "row", "start", "n", "anchor", "bytes"))):
-                for i in range(len(text) - length + 1):
-                    out.append((row, start + i, n, anchor, hashlib.blake2b(text[i:i + length], digest_size=16).digest()))
-            for at in range(0, len(out), 50_000):
-                cols = list(zip(*out[at:at + 50_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                     pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
-                    ["row", "start", "n", "anchor", "digest"])
-
-    windows = written(contexts.mapInArrow(run, "row bigint, start int, n bigint, anchor bigint, digest binary"))
-    repeated = windows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return windows.where("n = 1").join(repeated, ["anchor", "digest"]).select(
-        "row", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
+            out: list[tuple] = []
+            for row, twin, text, own in zip(b.column("row").to_pylist(), b.column("twin").to_pylist(),
+                                            _encoded(b.column("text")), b.column("pieces").to_pylist()):
+                for p in own:
+                    out += [(row, twin, *x) for x in each(text, p)]
+            yield from _batches(out, [("row", pa.int64()), ("twin", pa.int64()), *types])
+
+    # equal rows are one document here, whatever the number of rows
+    texts = key_filter(rows.select(*DOC, "text"), "row", by_row, "row").dropDuplicates(DOC).join(by_row, DOC)
+    return texts.select(*DOC, "text", "pieces").mapInArrow(run, f"row bigint, twin bigint, {schema}")
 
 
 def repeated_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """row, from, to: byte ranges (they may overlap) covered by repeated strings.
+    """row, twin, from, to: byte ranges (they may overlap) covered by repeated strings.
 
-    ``rows``: row (a number for every different document), text, copies (rows
-    of the input that are this document)."""
+    ``rows``: row and twin (together the 128-bit number of a document; rows that
+    repeat id and text have equal ones, and their strings repeat) and text."""
     found = written(occurrences(rows, length))
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("anchor")
-    shared = written(found.join(anchors, "anchor"))
-    variants = written(shared.groupBy("anchor", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("at")))
-    equal = shared.join(variants.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select(
-        "row", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
-
-    mixed = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where(
-        "contexts > 1 and least = 1").select("anchor", "contexts")
-    wanted = variants.join(mixed, "anchor").select(
-        "anchor", "contexts", "n", F.col("at.row").alias("row"), "at.start", "at.windows")
-    by_row = written(wanted.groupBy("row").agg(
-        F.collect_list(F.struct("start", "windows", "anchor", "contexts", "n")).alias("spans")))  # spans of one text
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out: list[tuple] = []
-            for row, text, parts in zip(b.column("row").to_pylist(), _encoded(b.column("text")),
-                                        b.column("spans").to_pylist()):
-                out += [(row, p["start"], p["n"], p["anchor"], p["contexts"],
-                         text[p["start"]:p["start"] + p["windows"] + length - 1]) for p in parts]
-            cols = list(zip(*out)) if out else [()] * 6
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             ["row", "start", "n", "anchor", "contexts", "bytes"])
-
-    texts = key_filter(rows.select("row", "text"), "row", by_row, "row").join(by_row, "row")
-    contexts = written(texts.select("row", "text", "spans").mapInArrow(
-        cut, "row bigint, start int, n bigint, anchor bigint, contexts bigint, bytes binary").dropDuplicates(
-        ["row", "start"]))
-    few = contexts.where(F.col("contexts") <= MOST_CONTEXTS)
-    size = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    blocks = max(1, size // BLOCK_BYTES)
-    many = contexts.where(F.col("contexts") > MOST_CONTEXTS)
-    return equal.unionByName(_indexed(few, length, blocks)).unionByName(_counted(many, length))
+    anchors = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    pieces = key_filter(found, "key", anchors, "key").withColumn("n", F.lit(1).cast("long"))
+    width = max(1, length - K + 1)  # distances of a window to its anchor
+    marked, indexed = [], []
+    while True:
+        pieces = written(pieces)
+        variants = written(pieces.groupBy("key", "digest").agg(
+            F.sum("n").alias("n"), F.min(F.struct(*DOC, "start", "windows", "place")).alias("at")))
+        again = variants.where("n > 1").select("key", "digest")
+        marked.append(pieces.join(again, ["key", "digest"]).select(
+            *DOC, F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to")))
+        mixed = written(variants.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where(
+            "contexts > 1 and least = 1").select("key", "contexts"))
+        wanted = variants.join(mixed, "key").select(
+            *(F.col(f"at.{c}").alias(c) for c in DOC), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"),
+            F.col("at.place").alias("place"), F.col("key").cast("string").alias("key"), "n", "contexts")
+        indexed.append(wanted.where(F.col("contexts") <= BLOCK_CONTEXTS).drop("contexts", "place"))
+        if mixed.where(F.col("contexts") > BLOCK_CONTEXTS).isEmpty():
+            break
+        width = max(1, -(-width // FAN_OUT))  # the width 1 leaves one context to a key
+        pieces = _split(wanted.where(F.col("contexts") > BLOCK_CONTEXTS).drop("contexts"), rows, width, length)
+
+    cut = lambda text, p: [(p["start"], p["n"], p["key"], text[p["start"]:p["start"] + p["windows"] + length - 1])]
+    contexts = written(_with_text(
+        reduce(DataFrame.unionByName, indexed), rows, cut, "start int, n bigint, key string, bytes binary",
+        [("start", pa.int32()), ("n", pa.int64()), ("key", pa.string()), ("bytes", pa.binary())]))
+    size = contexts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    return reduce(DataFrame.unionByName, [*marked, _indexed(contexts, length, max(1, size // BLOCK_BYTES))])
+
+
+def _split(hot: DataFrame, rows: DataFrame, width: int, length: int) -> DataFrame:
+    """The parts of pieces whose key has too many contexts for one block."""
+    each = lambda text, p: [(*x, p["n"]) for x in parts(
+        text, p["start"], p["windows"], p["place"], p["key"], width, length)]
+    return _with_text(hot, rows, each, "start int, windows int, place int, key string, digest binary, n bigint",
+                      [*_PIECE_TYPES[2:], ("key", pa.string()), ("digest", pa.binary()), ("n", pa.int64())])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,30 +397,36 @@ def _cut_text(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text",
+                   prefix: str = "") -> DataFrame:
     """``docs`` (all columns, ``text_col`` untouched) with n_bytes, n_removed,
     n_spans, kept_sha256 and ``kept_text``, the text without repeated passages.
 
     Texts are UTF-8 bytes, null counts as empty, matches never cross documents
     and are judged on the input. ``kept_text`` keeps characters of which only a
-    part is covered, the other columns count bytes. Rows that repeat are
-    documents of their own, so what they have in ``length`` bytes or more goes
-    from all of them. An empty table gives no rows. Report columns replace
-    input columns of the same name.
+    part is covered, the other columns count bytes. Rows that repeat, those
+    without an id too, are documents of their own, so what they have in ``length``
+    bytes or more goes from all of them. A very long text is worked on in
+    overlapping parts, all of it. An empty table gives no rows. Report columns
+    are named with ``prefix``; input columns of these names are replaced.
     """
-    report = [c.split()[0] for c in REPORT.split(", ")] + ["kept_text"]
-    base = docs.select(*(c for c in docs.columns if c not in report and c != "__ft_row"))
-    keyed = base.withColumn("__ft_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = keyed.select(F.col("__ft_row").alias("row"), F.col(text_col).alias("text"))
+    report = [prefix + c.split()[0] for c in REPORT.split(", ")] + [f"{prefix}kept_text"]
+    keep = [c for c in docs.columns if c not in report]
+    reserved = ["__ft_row", "__ft_twin"]
+    base = docs.select(*(c for c in keep if c not in reserved))
+    # two hashes over differently ordered values: together the number of a document
+    keyed = base.withColumns({"__ft_row": F.xxhash64(F.col(id_col), F.col(text_col)),
+                              "__ft_twin": F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))})
+    rows = keyed.select(F.col("__ft_row").alias("row"), F.col("__ft_twin").alias("twin"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(rows, length)
-    by_row = written(ranges.groupBy(F.col("row").alias("__ft_key")).agg(
+    by_row = written(ranges.groupBy(F.col("row").alias("__ft_key"), F.col("twin").alias("__ft_key2")).agg(
         F.sort_array(F.collect_set(F.struct("from", "to"))).alias("__ft_ranges")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = key_filter(keyed, "__ft_row", by_row, "__ft_key")
     missed = key_filter(keyed, "__ft_row", by_row, "__ft_key", inside=False)
-    whole = lambda df: df.select(
-        *base.columns, F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), text.alias("kept_text"))
+    zero = F.lit(0).cast("long")
+    values = [F.octet_length(text).cast("long"), zero, zero, F.sha2(text, 256), text]
+    whole = missed.select(*base.columns, *(v.alias(c) for v, c in zip(values, report)))
 
     own = list(base.columns)
 
@@ -394,7 +442,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             columns = [batch.column(c) for c in own] + [pa.array(c, t) for c, t in zip(zip(*out), types)]
             yield pa.RecordBatch.from_arrays(columns, [*own, *report])
 
-    joined = hit.join(by_row, F.col("__ft_row") == F.col("__ft_key"), "left")
-    schema = T.StructType([*base.schema.fields, *T.StructType.fromDDL(f"{REPORT}, kept_text string").fields])
+    same = (F.col("__ft_row") == F.col("__ft_key")) & (F.col("__ft_twin") == F.col("__ft_key2"))
+    joined = hit.join(by_row, same, "left")
+    schema = T.StructType([*base.schema.fields, *(T.StructField(c, f.dataType) for c, f in zip(
+        report, T.StructType.fromDDL(f"{REPORT}, kept_text string").fields))])
     changed = joined.select(*base.columns, text.alias("__ft_text"), "__ft_ranges").mapInArrow(cut, schema)
-    return whole(missed).unionByName(changed)
+    return whole.unionByName(changed)

@@ -80,11 +80,15 @@ def test_odd_rows(spark):
              (4, "SAME text " * 60, None, "s", 2), (4, "SAME text " * 60, None, "s", 2), (None, "x y z", "de", "s", 3),
              (5, "é" * 300 + "a", "fr", "t", 301), (6, "b" + "é" * 300, "fr", "t", 301)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
-    df = docs.selectExpr("*", "1 as kept", "2 as row_key", "'q' as ranges")
+    extra = {"kept": "1", "row_key": "2", "ranges": "'q'", "n_bytes": "77", "kept_text": "'own'", "kept_sha256": "'z'",
+             "notes": "map('a', 1)"}
+    df = docs.selectExpr("*", *(f"{v} as {c}" for c, v in extra.items()))
     for _, stage in P.STAGES[:4]:
         df = written(stage(spark, df, SF))
-        assert df.columns == [*docs.columns, "kept", "row_key", "ranges"]
-    assert {r.doc_id for r in df.collect()} >= {None, 4, 5, 6}
+        assert df.columns == [*docs.columns, *extra]
+    left = df.collect()
+    assert {r.doc_id for r in left} >= {None, 4, 5, 6}
+    assert all((r.kept, r.n_bytes, r.kept_text, r.kept_sha256, r.notes) == (1, 77, "own", "z", {"a": 1}) for r in left)
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         empty = written(stage(spark, empty, SF))

@@ -74,29 +74,81 @@ def _made(rng):
     return texts + texts[5:9] + [passages[3], passages[3][10:-10]]
 
 
-@pytest.mark.parametrize("most, buffer", [(1_000, 1 << 19), (3, 1 << 19), (1_000, 700)])
-def test_made_texts(spark, monkeypatch, most, buffer):
-    """Also with anchors of many contexts, and with texts longer than a buffer."""
-    monkeypatch.setattr(S, "MOST_CONTEXTS", most)
+def windows(texts, length):
+    return {(i, s + j) for i, s, n, *_ in S.spans([t.encode() for t in texts if t], length) for j in range(n)}
+
+
+def test_buffers_cover_every_window_once(monkeypatch):
+    texts = _made(random.Random(1))
+    whole = windows(texts, 200)
+    monkeypatch.setattr(S, "BUFFER", 700)
+    assert windows(texts, 200) == whole
+
+
+@pytest.mark.parametrize("most, length", [(1_000, 200), (3, 200), (1, 200), (2, 60), (1, 450)])
+def test_made_texts(spark, monkeypatch, most, length):
+    """Also with keys of more contexts than a block takes, down to single windows."""
+    monkeypatch.setattr(S, "BLOCK_CONTEXTS", most)
     texts = _made(random.Random(most))
-    if buffer < 1000:
-        cut = {(i, s + j) for i, s, n, _, _ in S.spans([t.encode() for t in texts if t], 200) for j in range(n)}
-        monkeypatch.setattr(S, "BUFFER", buffer)
-        small = {(i, s + j) for i, s, n, _, _ in S.spans([t.encode() for t in texts if t], 200) for j in range(n)}
-        assert small == cut
-        return
     docs = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, kept_text string, row int")
-    result = S.remove_repeats(docs)
-    want = sorted((i, *w) for i, w in enumerate(brute(texts, 200)))
+    result = S.remove_repeats(docs, length).cache()
+    want = sorted((i, *w) for i, w in enumerate(brute(texts, length)))
     assert rows(result) == want
     for r in result.collect():
         assert len(r.kept_text.encode()) >= r.n_bytes - r.n_removed
+    result.unpersist()
+
+
+def test_parts_hold_every_window_once_and_equal_windows_share_a_key():
+    rng = random.Random(6)
+    length, passage = 60, bytes(rng.choice(b"ab ") for _ in range(300))
+    texts = [bytes(rng.choice(b"ab ") for _ in range(80)) + passage + bytes(rng.choice(b"ab ") for _ in range(80)) for _ in range(6)]
+    for width in (37, 10, 3, 1):
+        key_of = {}
+        for i, s, n, place, anchor, _ in S.spans(texts, length):
+            seen = []
+            for first, m, at, key, _ in S.parts(texts[i], s, n, place, str(anchor), width, length):
+                assert first + at == s + place and m <= width
+                seen += range(first, first + m)
+                for w in range(first, first + m):
+                    key_of.setdefault(texts[i][w:w + length], set()).add(key)
+            assert sorted(seen) == list(range(s, s + n))
+        assert all(len(k) == 1 for k in key_of.values())
+
+
+def test_one_passage_in_very_many_contexts(spark, monkeypatch):
+    """More contexts than a block takes, at its own setting; no step makes a row per window."""
+    rng = random.Random(12)
+    letters = "etaoin shrdlu"
+    new = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = new(260)
+    texts = [new(210) + passage + new(210) for _ in range(2_500)]
+    sizes = []
+    split = S._split
+    monkeypatch.setattr(S, "_split", lambda *a: sizes.append(a[2]) or split(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert rows(S.remove_repeats(docs)) == sorted((i, *w) for i, w in enumerate(brute(texts, 200)))
+    assert sizes == [45, 12, 3, 1][:len(sizes)] and sizes
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abc def\n") for _ in range(400))
+    long = "".join(rng.choice("etaoin shrdlu") for _ in range(S.BUFFER + 500)) + passage
+    texts = [long, passage + "x", "y" + passage]
+    docs = spark.createDataFrame([(i, t, 77, "mine", 5) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, n_bytes int, kept_text string, twin int")
+    want = sorted((i, *w) for i, w in enumerate(brute(texts, 200)))
+    assert rows(S.remove_repeats(docs)) == want
+    own = S.remove_repeats(docs, prefix="own_").collect()
+    assert sorted((r.doc_id, r.own_n_bytes, r.own_n_removed, r.own_n_spans, r.own_kept_sha256) for r in own) == want
+    assert {(r.n_bytes, r.kept_text, r.twin) for r in own} == {(77, "mine", 5)}
 
 
 def test_odd_rows(spark):
     text = "é" * 400
     docs = spark.createDataFrame([(1, text), (1, text), (None, "q" * 10), (2, None), (2, None)], "doc_id long, text string")
-    got = rows(S.remove_repeats(docs))
+    got = rows(S.remove_repeats(docs))  # repeated rows and rows without an id are documents of their own
     empty = hashlib.sha256(b"").hexdigest()
     assert got == sorted([(1, 800, 800, 1, empty)] * 2 + [(2, 0, 0, 0, empty)] * 2
                          + [(-1, 10, 0, 0, hashlib.sha256(b"q" * 10).hexdigest())])
