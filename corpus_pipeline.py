@@ -35,10 +35,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur more than once are cut out of the
     texts, to whole characters; ``n_chars`` follows. No row goes, a text that
     consists of such passages becomes empty; other texts stay as they are."""
-    cut = suffix_dedup.remove_repeats(docs.withColumn("__ft_n_chars", F.col("n_chars"))).withColumn(
-        "__ft_changed", F.col("n_removed") > 0)
-    text = F.when(F.col("__ft_changed"), F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("__ft_changed"), F.length("kept_text")).otherwise(F.col("__ft_n_chars")).cast(
+    cut = suffix_dedup.remove_repeats(docs, prefix="__ft_").withColumn("__ft_changed", F.col("__ft_n_removed") > 0)
+    text = F.when(F.col("__ft_changed"), F.col("__ft_kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("__ft_changed"), F.length("__ft_kept_text")).otherwise(F.col("n_chars")).cast(
         docs.schema["n_chars"].dataType)
     return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
