@@ -477,7 +477,7 @@ seen AS (SELECT user_id, max(n) AS seen FROM top2 GROUP BY user_id)
 WITH {_EVENTS_ATTEMPTS}
 SELECT s.user_id,
        CASE WHEN st.stop_at IS NULL THEN 'exhausted' WHEN t.outcome = 'valid' THEN 'accepted' ELSE 'fatal' END AS resolution,
-       CAST(coalesce(st.stop_at, s.seen) AS INTEGER) AS used_attempt,
+       CAST(coalesce(st.stop_at, s.seen) AS INTEGER) AS used_attempt, coalesce(t.event_id, l.event_id) AS used_event_id,
        CASE WHEN st.stop_at IS NULL THEN l.err WHEN t.outcome = 'fatal' THEN t.err END AS error
 FROM seen s LEFT JOIN stop st ON st.user_id = s.user_id
 LEFT JOIN top2 t ON t.user_id = s.user_id AND t.n = st.stop_at
@@ -491,7 +491,8 @@ def resolve_attempts(spark, sf_dir):
                    F.when(F.col("event_type") == "purchase", "valid").when(F.col("event_type") == "signup", "fatal")
                    .otherwise("invalid").alias("outcome"),
                    F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("err"))
-    return V.resolve_attempts(ev, "user_id", ["ts", "event_id"], "outcome", "err", max_attempts=2)
+    return V.resolve_attempts(ev, "user_id", ["ts", "event_id"], "outcome", "err", max_attempts=2).select(
+        "user_id", "resolution", F.col("attempts_used").alias("used_attempt"), "used_event_id", "error")
 
 
 @query("plan_resolution", oracle=_FIRSTS_SQL + """
@@ -504,12 +505,12 @@ def resolve_attempts(spark, sf_dir):
 ),
 rk AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY attempt) AS n FROM att),
 top2 AS (SELECT * FROM rk WHERE n <= 2),
-agg AS (SELECT repo_id, min(CASE WHEN outcome IN ('valid', 'fatal') THEN n END) AS stop_at, max(n) AS seen
+agg AS (SELECT repo_id, min(CASE WHEN outcome IN ('valid', 'fatal') THEN attempt END) AS stop_at, max(attempt) AS seen
         FROM top2 GROUP BY repo_id)
 SELECT a.repo_id,
        CASE WHEN a.stop_at IS NULL THEN 'exhausted' WHEN t.outcome = 'valid' THEN 'accepted' ELSE 'fatal' END AS resolution,
        CAST(coalesce(a.stop_at, a.seen) AS INTEGER) AS used_attempt
-FROM agg a LEFT JOIN top2 t ON t.repo_id = a.repo_id AND t.n = a.stop_at
+FROM agg a LEFT JOIN top2 t ON t.repo_id = a.repo_id AND t.attempt = a.stop_at
 """)
 def plan_resolution(spark, sf_dir):
     """Full plan check per attempt, then first-success-per-repo over attempts."""

@@ -112,12 +112,13 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
         "prompt_chars", (F.col("prompt_chars") > max_chars).alias("too_long"))
 
 
-def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,
-                     contexts: DataFrame) -> DataFrame:
-    """Per (repo, attempt): ``valid`` / ``invalid`` (with the first violation)
-    / ``fatal`` (did not complete, or no payload at all; a payload that is no
-    plan is a violation and may be tried again). Targets and candidates feed
-    several checks, so they are written once and read back."""
+def checked_attempts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,
+                     contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(verdicts, targets)``: per (repo, attempt) ``valid`` / ``invalid`` (with the
+    first violation) / ``fatal`` (did not complete, or no payload at all; a payload
+    that is no plan is a violation and may be tried again), and the parsed targets.
+    Payloads are parsed once; plans and targets are written and read back, as
+    several checks and the accepted plan need them."""
     from flagtide.session import materialize
 
     plans, targets = V.parse_plans(materialize(attempts))
@@ -131,14 +132,23 @@ def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: Data
     err = (F.when(F.col("status") != "completed", F.concat(F.lit("response did not complete: "), F.col("status")))
            .when(~F.col("has_payload"), F.lit("no parsed plan"))
            .when(F.col("rule").isNotNull(), F.col("message")))
-    return j.select(*V.PLAN_KEY, outcome.alias("outcome"), err.alias("error"), "rule", "ordinal")
+    return j.select(*V.PLAN_KEY, outcome.alias("outcome"), err.alias("error"), "rule", "ordinal"), targets
+
+
+def attempt_verdicts(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame, contexts: DataFrame) -> DataFrame:
+    """The verdicts of ``checked_attempts``."""
+    return checked_attempts(attempts, candidates, allowlist, contexts)[0]
+
+
+def resolved_verdicts(verdicts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """repo_id, resolution, used_attempt (the attempt's own number), error."""
+    return V.resolve_attempts(verdicts, "repo_id", ["attempt"], "outcome", "error", max_attempts).drop("attempts_used")
 
 
 def discover_plans(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame,
                    contexts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """First accepted plan per repo (``accepted`` / ``fatal`` / ``exhausted``)."""
-    v = attempt_verdicts(attempts, candidates, allowlist, contexts)
-    return V.resolve_attempts(v, "repo_id", ["attempt"], "outcome", "error", max_attempts)
+    return resolved_verdicts(attempt_verdicts(attempts, candidates, allowlist, contexts), max_attempts)
 
 
 def accepted_targets(attempts: DataFrame, candidates: DataFrame, allowlist: DataFrame, contexts: DataFrame,
@@ -148,14 +158,13 @@ def accepted_targets(attempts: DataFrame, candidates: DataFrame, allowlist: Data
     one row per file, which is what the rewrite takes."""
     from flagtide.session import materialize
 
-    attempts = materialize(attempts)
-    resolved = materialize(discover_plans(attempts, candidates, allowlist, contexts, max_attempts))
+    verdicts, targets = checked_attempts(attempts, candidates, allowlist, contexts)
+    resolved = materialize(resolved_verdicts(verdicts, max_attempts))
     used = resolved.where(F.col("resolution") == "accepted").select("repo_id", F.col("used_attempt").alias("attempt"))
-    plans = attempts.join(used, ["repo_id", "attempt"], "left_semi")
-    _, targets = V.parse_plans(plans)
-    files = V.target_files(targets.select(*V.TARGET_KEY, "flag_name", "files_affected"))
-    return resolved, files.join(targets.select(*V.TARGET_KEY, "final_state"), V.TARGET_KEY).select(
-        "repo_id", "flag_name", "final_state", "path").distinct()
+    accepted = targets.join(used, V.PLAN_KEY, "left_semi")
+    path = tx.normalize_path(F.col("raw"), model=True)["path"]
+    return resolved, accepted.select("repo_id", "flag_name", "final_state", F.explode("files_affected").alias("raw")).select(
+        "repo_id", "flag_name", "final_state", path.alias("path")).distinct()
 
 
 def check_candidates(candidates: DataFrame, allowlist: DataFrame) -> DataFrame:

@@ -100,6 +100,9 @@ def parse_plans(attempts: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.coalesce(F.size("t_arr"), F.lit(-1)).alias("n_targets"), "extra_keys"), targets
 
 
+VIOLATION_TYPE = "struct<ordinal:int,rule_rank:int,ev_ordinal:int,rule:string,message:string>"
+
+
 def _violation(ordinal, rule: str, message, ev_ordinal=None) -> F.Column:
     return F.struct(
         (ordinal if isinstance(ordinal, F.Column) else F.lit(ordinal)).cast("int").alias("ordinal"),
@@ -110,38 +113,39 @@ def _violation(ordinal, rule: str, message, ev_ordinal=None) -> F.Column:
     )
 
 
-def _violations_df(df: DataFrame, keys, conds: list[tuple[F.Column, str, F.Column]]) -> DataFrame:
-    """Rows ``keys + (ordinal, rule_rank, ev_ordinal, rule, message)`` for every true condition."""
-    arr = F.filter(F.array(*[F.when(c, m) for c, _, m in conds]), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(arr).alias("v")).select(*keys, "v.*")
+def _true_ones(conds: list[tuple[F.Column, F.Column]]) -> F.Column:
+    """The violations whose condition holds, as an array."""
+    return F.filter(F.array(*[F.when(c, m) for c, m in conds]), lambda x: x.isNotNull())
+
+
+def _rows(df: DataFrame, found: F.Column) -> DataFrame:
+    """Rows ``keys + (ordinal, rule_rank, ev_ordinal, rule, message)``."""
+    return df.select(*PLAN_KEY, F.explode(found).alias("v")).select(*PLAN_KEY, "v.*")
 
 
 def _outside(length, bounds: tuple[int, int]) -> F.Column:
     return length.isNull() | (length < bounds[0]) | (length > bounds[1])
 
 
-def evidence_rules(targets: DataFrame) -> DataFrame:
-    """Per evidence item: source in the enum, quote 1..500 and explanation
-    1..1000 characters (strings, counted before the strip), not blank after it,
-    no extra keys."""
-    ev = targets.select(*TARGET_KEY, F.posexplode("evidence").alias("ev_ordinal", "e"))
-    conds = [
-        (~F.coalesce(F.col("e.source").isin(*EVIDENCE_SOURCES), F.lit(False)),
-         F.lit("evidence source must be business_context or repository")),
-        (_outside(F.col("e.quote_chars"), QUOTE_CHARS), F.lit("quote must have 1..500 characters")),
-        (_outside(F.col("e.explanation_chars"), EXPLANATION_CHARS), F.lit("explanation must have 1..1000 characters")),
-        ((F.col("e.quote") == "") & (F.col("e.quote_chars") > 0), F.lit("quote cannot be blank")),
-        ((F.col("e.explanation") == "") & (F.col("e.explanation_chars") > 0), F.lit("explanation cannot be blank")),
-        (F.size("e.extra_keys") > 0, F.concat(F.lit("extra evidence fields: "), F.array_join("e.extra_keys", ","))),
-    ]
-    conds = [(c, "schema", _violation(F.col("ordinal"), "schema", m, F.col("ev_ordinal") + 1)) for c, m in conds]
-    return _violations_df(ev, PLAN_KEY, conds)
+def _evidence_found() -> F.Column:
+    """Schema violations of a target's evidence items, by ``ev_ordinal``."""
+    def of(e, i):
+        conds = [
+            (~F.coalesce(e["source"].isin(*EVIDENCE_SOURCES), F.lit(False)),
+             F.lit("evidence source must be business_context or repository")),
+            (_outside(e["quote_chars"], QUOTE_CHARS), F.lit("quote must have 1..500 characters")),
+            (_outside(e["explanation_chars"], EXPLANATION_CHARS), F.lit("explanation must have 1..1000 characters")),
+            ((e["quote"] == "") & (e["quote_chars"] > 0), F.lit("quote cannot be blank")),
+            ((e["explanation"] == "") & (e["explanation_chars"] > 0), F.lit("explanation cannot be blank")),
+            (F.size(e["extra_keys"]) > 0, F.concat(F.lit("extra evidence fields: "), F.array_join(e["extra_keys"], ","))),
+        ]
+        return _true_ones([(c, _violation(F.col("ordinal"), "schema", m, i + 1)) for c, m in conds])
 
+    return F.flatten(F.transform("evidence", of))
 
-def target_rules(targets: DataFrame) -> DataFrame:
-    """flag a string of 1..200 chars and not blank; ``final_state`` a JSON boolean;
-    files a list of 1..200 strings, none blank, no duplicates after strip;
-    evidence 1..20 with at least one business_context item; no extra keys."""
+
+def _target_found() -> F.Column:
+    """Schema violations of a target's own fields."""
     files, ev = F.col("files_affected"), F.col("evidence")
     named = F.filter(files, lambda p: p.isNotNull())
     conds = [
@@ -157,8 +161,21 @@ def target_rules(targets: DataFrame) -> DataFrame:
          F.lit("at least one business_context evidence item is required")),
         (F.size("extra_keys") > 0, F.concat(F.lit("extra target fields: "), F.array_join("extra_keys", ","))),
     ]
-    conds = [(c, "schema", _violation(F.col("ordinal"), "schema", m)) for c, m in conds]
-    return _violations_df(targets, PLAN_KEY, conds)
+    return _true_ones([(c, _violation(F.col("ordinal"), "schema", m)) for c, m in conds])
+
+
+def evidence_rules(targets: DataFrame) -> DataFrame:
+    """Per evidence item: source in the enum, quote 1..500 and explanation
+    1..1000 characters (strings, counted before the strip), not blank after it,
+    no extra keys."""
+    return _rows(targets, _evidence_found())
+
+
+def target_rules(targets: DataFrame) -> DataFrame:
+    """flag a string of 1..200 chars and not blank; ``final_state`` a JSON boolean;
+    files a list of 1..200 strings, none blank, no duplicates after strip;
+    evidence 1..20 with at least one business_context item; no extra keys."""
+    return _rows(targets, _target_found())
 
 
 def plan_rules(plans: DataFrame, targets: DataFrame) -> DataFrame:
@@ -174,8 +191,7 @@ def plan_rules(plans: DataFrame, targets: DataFrame) -> DataFrame:
         (F.coalesce(F.col("dup_flag"), F.lit(False)), F.lit("duplicate target flag")),
         (F.size("extra_keys") > 0, F.concat(F.lit("extra plan fields: "), F.array_join("extra_keys", ","))),
     ]
-    conds = [(c, "schema", _violation(F.lit(0), "schema", m)) for c, m in conds]
-    return _violations_df(p, PLAN_KEY, conds)
+    return _rows(p, _true_ones([(c, _violation(F.lit(0), "schema", m)) for c, m in conds]))
 
 
 def target_files(targets: DataFrame) -> DataFrame:
@@ -245,55 +261,86 @@ def join_evidence_grounding(targets: DataFrame, contexts: DataFrame, candidates:
                                      F.col("e.source").alias("source"), F.col("e.quote").alias("quote"))
 
 
+def within_limits() -> F.Column:
+    """Whether a target's lists are no longer than the schema allows."""
+    return (F.coalesce(F.size("files_affected"), F.lit(0)) <= FILES_PER_TARGET[1]) & (
+        F.coalesce(F.size("evidence"), F.lit(0)) <= EVIDENCE_PER_TARGET[1])
+
+
+def repeated_values(values: F.Column) -> F.Column:
+    """Values that an array holds more than once: sorted, then each compared with
+    its neighbour."""
+    ordered = F.array_sort(values)
+    pairs = F.zip_with(ordered, F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda a, b: F.when(a == b, a))
+    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+
+
 def semantic_violations(targets: DataFrame, candidates: DataFrame, allowlist: DataFrame,
                         contexts: DataFrame) -> DataFrame:
-    """All semantic violations in one pass over the targets.
+    """All semantic violations in one pass over the targets."""
+    return _checked(targets, candidates, allowlist, contexts, schema=False)
+
+
+def _checked(targets: DataFrame, candidates: DataFrame, allowlist: DataFrame, contexts: DataFrame,
+             schema: bool) -> DataFrame:
+    """All violations of the targets in one pass (with ``schema``, those of the
+    target and evidence rules as well).
 
     A target's candidate (its file set and snippets, both bounded by the
     occurrence limit) and its repository's context are joined once; unknown
     flags, bad, repeated and omitted paths and ungrounded quotes follow from
-    the row. Only proposed paths that are not the candidate's are exploded and
-    looked up in the allowlist.
+    the row. The schema's limits come first: a target with longer lists has
+    violated them, and its lists are not looked at further. Only proposed paths
+    that are not the candidate's are exploded and looked up in the allowlist.
     """
     known = candidates.select("repo_id", "flag_name", F.col("files").alias("wanted"), F.array_join(
         F.transform("occurrences", lambda o: o["snippet"]), "\n").alias("repo_text"))
     ctx = contexts.select("repo_id", tx.strip_ws("text").alias("context"))
-    t = targets.join(known, ["repo_id", "flag_name"], "left").join(ctx, "repo_id", "left")
     none = F.array().cast("array<string>")
-    t = t.withColumn("proposed", F.transform(F.filter(F.coalesce("files_affected", none), lambda p: p.isNotNull()),
-                                             lambda p: F.struct(p.alias("raw"), tx.normalize_path(p, model=True).alias("n"))))
+    nothing = F.array().cast(f"array<{VIOLATION_TYPE}>")
+    by_schema = [_target_found(), _evidence_found()] if schema else []
+    t = targets.select(
+        *PLAN_KEY, "ordinal", "flag_name", F.flatten(F.array(nothing, *(F.coalesce(f, nothing) for f in by_schema))).alias("by_schema"),
+        F.when(within_limits(), F.transform(F.filter(F.coalesce("files_affected", none), lambda p: p.isNotNull()), lambda p: F.struct(
+            p.alias("raw"), tx.normalize_path(p, model=True).alias("n")))).alias("proposed"),
+        F.when(within_limits(), F.transform("evidence", lambda e: F.struct(e["source"].alias("source"), e["quote"].alias("quote")))).alias("cited"))
+    t = t.join(known, ["repo_id", "flag_name"], "left").join(ctx, "repo_id", "left")
     t = t.withColumn("paths", F.transform(F.filter("proposed", lambda p: p["n"]["path"].isNotNull()), lambda p: p["n"]["path"]))
     n = F.col("ordinal")
     said = lambda rule, text, value: _violation(n, rule, F.concat(F.lit(text), value))
-    cited = F.transform(F.coalesce("evidence", F.array().cast(targets.schema["evidence"].dataType)),
-                        lambda e, i: F.struct(e.alias("e"), (i + 1).alias("at")))
+    cited = F.transform("cited", lambda e, i: F.struct(e.alias("e"), (i + 1).alias("at")))
     source = lambda e: F.when(e["source"] == "business_context", F.col("context")).otherwise(F.col("repo_text"))
     found = F.flatten(F.filter(F.array(
+        F.col("by_schema"),
         F.when(F.col("wanted").isNull() & F.col("flag_name").isNotNull(),
                F.array(said("unknown_flag", "unknown flag: ", F.col("flag_name")))),
         F.transform(F.filter("proposed", lambda p: p["n"]["error_code"].isNotNull()), lambda p: said(
             "bad_path", "unsafe path (", F.concat(p["n"]["error_code"], F.lit("): "), p["raw"]))),
-        F.transform(F.array_distinct(F.filter("paths", lambda p: F.size(F.filter("paths", lambda q: q == p)) > 1)),
-                    lambda p: said("duplicate_path", "duplicate path: ", p)),
-        F.transform(F.array_except(F.coalesce("wanted", none), "paths"), lambda p: said("omitted_path", "omitted file: ", p)),
+        F.transform(repeated_values(F.col("paths")), lambda p: said("duplicate_path", "duplicate path: ", p)),
+        F.when(F.col("paths").isNotNull(), F.transform(F.array_except(F.coalesce("wanted", none), "paths"),
+                                                       lambda p: said("omitted_path", "omitted file: ", p))),
         F.transform(F.filter(cited, lambda c: ~F.coalesce(F.instr(source(c["e"]), c["e"]["quote"]) > 0, F.lit(False))),
                     lambda c: _violation(n, "ungrounded_evidence", F.concat(
                         F.lit("ungrounded "), F.coalesce(c["e"]["source"], F.lit("?")), F.lit(" quote: "),
                         F.coalesce(c["e"]["quote"], F.lit(""))), c["at"]))), lambda some: some.isNotNull()))
-    own = t.select(*PLAN_KEY, F.explode(found).alias("v")).select(*PLAN_KEY, "v.*")
-    others = t.select(*PLAN_KEY, "ordinal", F.explode(F.array_except(F.array_distinct("paths"), F.coalesce("wanted", none))).alias("path"))
+    others = F.array_except(F.array_distinct("paths"), F.coalesce("wanted", none))
+    # one row per violation, and one per path that the allowlist decides on
+    rows = t.select("repo_id", "attempt", "ordinal", F.explode(F.concat(
+        F.transform(found, lambda v: F.struct(v.alias("v"), F.lit(None).cast("string").alias("path"))),
+        F.transform(F.coalesce(others, none), lambda p: F.struct(
+            F.lit(None).cast(VIOLATION_TYPE).alias("v"), p.alias("path"))))).alias("x")).select(
+        *PLAN_KEY, "ordinal", "x.*")
     allowed = allowlist.select("repo_id", "path", F.lit(True).alias("allowed")).distinct()
-    outside = others.join(allowed, ["repo_id", "path"], "left").select(*PLAN_KEY, F.when(
+    looked_up = rows.where(F.col("path").isNotNull()).join(allowed, ["repo_id", "path"], "left").select(*PLAN_KEY, F.when(
         F.col("allowed").isNull(), said("hallucinated_path", "path outside allowlist: ", F.col("path"))).otherwise(
-        said("unrelated_path", "file without the flag: ", F.col("path"))).alias("v")).select(*PLAN_KEY, "v.*")
-    return own.unionByName(outside)
+        said("unrelated_path", "file without the flag: ", F.col("path"))).alias("v"))
+    return rows.where(F.col("path").isNull()).select(*PLAN_KEY, "v.*").unionByName(looked_up.select(*PLAN_KEY, "v.*"))
 
 
 def all_violations(plans: DataFrame, targets: DataFrame, candidates: DataFrame,
                    allowlist: DataFrame, contexts: DataFrame) -> DataFrame:
-    schema = (plan_rules(plans, targets).unionByName(target_rules(targets))
-              .unionByName(evidence_rules(targets)))
-    return schema.unionByName(semantic_violations(targets, candidates, allowlist, contexts))
+    """Every violation: plan rules, and all rules of the targets in one pass."""
+    return plan_rules(plans, targets).unionByName(_checked(targets, candidates, allowlist, contexts, schema=True))
 
 
 def first_violation(violations: DataFrame) -> DataFrame:
@@ -310,29 +357,29 @@ def first_violation(violations: DataFrame) -> DataFrame:
 
 def resolve_attempts(attempts: DataFrame, key: str, order_cols: list[str], outcome_col: str,
                      error_col: str | None = None, max_attempts: int = 2) -> DataFrame:
-    """First-success-per-key over ordered attempts.
+    """First success per key over ordered attempts, with the order columns of the
+    attempt that decided (an attempt's own number, not its rank).
 
     ``outcome_col`` is ``valid`` (stop, use it), ``invalid`` (try the next one)
     or ``fatal`` (stop at once, no retry). Only the first ``max_attempts``
     attempts count; none valid or fatal -> ``exhausted`` with the last error.
-    ``row_number() <= k`` lets Spark cut each group to k rows before the
-    shuffle (window group limit), so a hot key ships only k rows.
+
+    The window only finds each key's first ``max_attempts`` rows (Spark cuts the
+    groups to them before the shuffle); what decides is one aggregate that can
+    be merged: the least attempt among those that stop, else the greatest.
     """
-    w = Window.partitionBy(key).orderBy(*order_cols)
+    order = F.struct(*order_cols)
     err = F.col(error_col) if error_col else F.lit(None).cast("string")
-    ranked = (attempts.select(key, *[c for c in order_cols if c != key], outcome_col, err.alias("_err"))
-              .withColumn("attempt_no", F.row_number().over(w))
-              .where(F.col("attempt_no") <= max_attempts))
-    terminal = F.when(F.col(outcome_col).isin("valid", "fatal"), F.col("attempt_no"))
-    g = ranked.groupBy(key).agg(
-        F.min(terminal).alias("stop_at"),
-        F.max("attempt_no").alias("attempts_seen"),
-        F.max_by(F.struct(F.col(outcome_col).alias("o"), F.col("_err").alias("e")), "attempt_no").alias("last"),
-        F.collect_list(F.struct("attempt_no", F.col(outcome_col).alias("o"), F.col("_err").alias("e"))).alias("all"))
-    stop = F.filter("all", lambda a: a["attempt_no"] == F.col("stop_at"))[0]
-    resolution = (F.when(F.col("stop_at").isNull(), F.lit("exhausted"))
-                  .when(stop["o"] == "valid", F.lit("accepted")).otherwise(F.lit("fatal")))
+    first = (attempts.select(key, order.alias("at"), F.col(outcome_col).alias("o"), err.alias("e"))
+             .withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("at")))
+             .where(F.col("n") <= max_attempts))
+    it = F.struct("n", "at", "o", "e")
+    g = first.groupBy(key).agg(F.min_by(it, F.when(F.col("o").isin("valid", "fatal"), F.col("n"))).alias("stop"),
+                               F.max_by(it, "n").alias("last"))
+    used = F.coalesce("stop", "last")
+    resolution = (F.when(F.col("stop").isNull(), F.lit("exhausted"))
+                  .when(F.col("stop.o") == "valid", F.lit("accepted")).otherwise(F.lit("fatal")))
     return g.select(
-        key, resolution.alias("resolution"),
-        F.coalesce("stop_at", "attempts_seen").cast("int").alias("used_attempt"),
-        F.when(F.col("stop_at").isNull(), F.col("last.e")).when(stop["o"] == "fatal", stop["e"]).alias("error"))
+        key, resolution.alias("resolution"), used["n"].cast("int").alias("attempts_used"),
+        *(used["at"][c].alias(f"used_{c}") for c in order_cols),
+        F.when(resolution != "accepted", used["e"]).alias("error"))

@@ -1,6 +1,9 @@
 """Plan schema rules, validation joins, first violation and attempt resolution."""
 
 import json
+from functools import reduce
+
+from pyspark.sql import functions as F
 
 from flagtide.plans import validate as V
 from flagtide.plans.grounding import quotes_in_texts
@@ -126,12 +129,52 @@ def test_resolve_attempts(spark):
             ("b", 1, "invalid", "e1"), ("b", 2, "invalid", "e2"),      # exhausted, last error
             ("c", 1, "fatal", "boom"), ("c", 2, "valid", None),        # fatal: no retry
             ("d", 1, "valid", None),
-            ("e", 1, "invalid", "x"), ("e", 2, "invalid", "y"), ("e", 3, "valid", None)]  # only 2 count
+            ("e", 1, "invalid", "x"), ("e", 2, "invalid", "y"), ("e", 3, "valid", None),  # only 2 count
+            ("f", 2, "invalid", "z"), ("f", 7, "valid", None),         # numbers with gaps
+            ("g", 9, "valid", None), ("h", 4, "fatal", "h4"), ("i", 5, "invalid", "i5"), ("i", 3, "invalid", "i3")]
     df = spark.createDataFrame(rows, "k string, n int, outcome string, err string")
-    got = {r.k: (r.resolution, r.used_attempt, r.error)
+    got = {r.k: (r.resolution, r.used_n, r.attempts_used, r.error)
            for r in V.resolve_attempts(df, "k", ["n"], "outcome", "err", 2).collect()}
-    assert got == {"a": ("accepted", 2, None), "b": ("exhausted", 2, "e2"), "c": ("fatal", 1, "boom"),
-                   "d": ("accepted", 1, None), "e": ("exhausted", 2, "y")}
+    assert got == {"a": ("accepted", 2, 2, None), "b": ("exhausted", 2, 2, "e2"), "c": ("fatal", 1, 1, "boom"),
+                   "d": ("accepted", 1, 1, None), "e": ("exhausted", 2, 2, "y"), "f": ("accepted", 7, 2, None),
+                   "g": ("accepted", 9, 1, None), "h": ("fatal", 4, 1, "h4"), "i": ("exhausted", 5, 2, "i5")}
+
+
+def test_accepted_plan_is_that_of_its_own_attempt(spark):
+    """Attempts 2 (rejected) and 3 (accepted) of one repository, and only attempt 5 of another."""
+    from flagtide.plans.discovery import accepted_targets
+
+    wrong, right = {"targets": [_target(flag="NEW_FLAG")]}, {"targets": [_target(state=False)]}
+    rows = [("r1", 2, wrong), ("r1", 3, right), ("r2", 5, {"targets": [_target()]}), ("r3", 4, wrong)]
+    df = spark.createDataFrame([(r, n, "completed", None, json.dumps(p)) for r, n, p in rows],
+                               "repo_id string, attempt int, status string, error string, payload string")
+    cands, allow, ctx = ([x.withColumn("repo_id", F.lit(r)) for r in ("r1", "r2", "r3")] for x in facts(spark))
+    union = lambda dfs: reduce(type(df).unionByName, dfs)
+    resolved, targets = accepted_targets(df, union(cands), union(allow), union(ctx))
+    assert {(r.repo_id, r.resolution, r.used_attempt) for r in resolved.collect()} == {
+        ("r1", "accepted", 3), ("r2", "accepted", 5), ("r3", "exhausted", 4)}
+    assert sorted(map(tuple, targets.collect())) == [("r1", "OLD_FLAG", False, "app.py"), ("r2", "OLD_FLAG", True, "app.py")]
+
+
+def test_a_plan_of_very_many_paths_is_rejected_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        plan = {"targets": [_target(files=[f"d/{i % (n - 1)}.py" for i in range(n)], evidence=[_ev()] * 30)]}
+        df = attempts_df(spark, [plan])
+        at = time.perf_counter()
+        p, t = V.parse_plans(df)
+        first = V.first_violation(V.all_violations(p, t, *facts(spark))).collect()
+        assert [r.rule for r in first] == ["schema"]
+        return time.perf_counter() - at
+
+    seconds(1_000)
+    assert seconds(100_000) < seconds(10_000) * 10 + 10
+
+
+def test_repeated_values_by_neighbours(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c", "a", "b"],), ([],), (["x"],), (None,)], "v array<string>")
+    assert [r[0] for r in df.select(V.repeated_values(F.col("v"))).collect()] == [["a", "b"], [], [], None]
 
 
 def test_keyless_grounding_is_exact(spark):
