@@ -327,6 +327,22 @@ def sink_file_changes(spark, sf_dir):
                        (F.sha2("updated_bytes", 256) == F.col("updated_sha256")).alias("bytes_match"))
 
 
+@query("changed_files", oracle=ORACLE_PREFIX + """
+SELECT e.repo_id, e.flag_name, e.path, e.updated AS updated_source, sha256(e.updated) AS updated_sha256, 'b' AS run_id
+FROM expected e JOIN outcome o ON o.repo_id = e.repo_id AND o.flag_name = e.flag_name WHERE o.status = 'prepared'
+""")
+def changed_files(spark, sf_dir):
+    """The complete new sources of prepared targets, handed over through the
+    outbox: two runs write to it, the second one twice, and its files are read."""
+    changed = O.changed_files(file_changes(spark, sf_dir), outcomes(spark, sf_dir))
+    out = R.output_root(spark) + "/outbox"
+    for run in ("a", "b", "b"):
+        R.write_outbox(changed, out, run)
+    return R.read_outbox(spark, out, "b").select(
+        "repo_id", "flag_name", "path", F.decode("updated_bytes", F.lit("UTF-8")).alias("updated_source"), "updated_sha256",
+        F.lit("b").alias("run_id"))
+
+
 # --- delivery ---------------------------------------------------------------
 
 DELIVERY_FEEDS = """

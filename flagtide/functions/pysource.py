@@ -145,13 +145,14 @@ class _Resolver:
     walked further, so spans never overlap, however guards are nested.
     """
 
-    def __init__(self, text: str, flag: str, state: bool):
+    def __init__(self, text: str, flag: str, state: bool, tree: ast.Module | None = None):
         self.doc, self.flag, self.state = _Doc(text), flag, state
+        self.tree = _parse(text) if tree is None else tree
         self.edits: list[tuple[int, int, str]] = []
         self.shifts: list[tuple[int, int, str, str]] = []
 
     def resolved(self) -> str:
-        self._block(_parse(self.doc.text).body, owner_is_module=True)
+        self._block(self.tree.body, owner_is_module=True)
         if not self.edits:
             return self.doc.text
         if self.shifts:
@@ -322,9 +323,9 @@ class _Resolver:
         return text[end - 1:end] not in (")", "]", "}", '"', "'")
 
 
-def apply_flag(text: str, flag: str, state: bool) -> str:
+def apply_flag(text: str, flag: str, state: bool, tree: ast.Module | None = None) -> str:
     """Resolve every guard that tests exactly ``flag`` as if it were ``state``."""
-    return _Resolver(text, flag, state).resolved()
+    return _Resolver(text, flag, state, tree).resolved()
 
 
 def _parents(tree: ast.AST) -> dict[int, tuple[ast.AST, list]]:
@@ -461,14 +462,27 @@ def rewrite_source(text: str, flag: str, state: bool, scope: str = "all") -> tup
     import of a changed file; ``scope="new"`` only those the change made
     unused (imports that were already unused, e.g. for side effects, stay).
     """
+    return rewrite_each(text, [(flag, state)], scope)[0]
+
+
+def rewrite_each(text: str, asked: list[tuple[str, bool]], scope: str = "all") -> list[tuple[str, str, str | None]]:
+    """``rewrite_source`` for several flags of one file, each on the original
+    text, which is parsed once for all of them."""
+    try:
+        tree = _parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        return [("failed", None, f"{type(error).__name__}: {error}")] * len(asked)
+    return [_rewritten(text, tree, flag, state, scope) for flag, state in asked]
+
+
+def _rewritten(text: str, before: ast.Module, flag: str, state: bool, scope: str) -> tuple[str, str, str | None]:
     try:
-        updated = apply_flag(text, flag, state)
+        updated = apply_flag(text, flag, state, before)
         if updated == text:
             return "unchanged", text, None
         tree = _parse(updated)  # no partial or broken output
         keep = None
         if scope == "new":
-            before = _parse(text)
             keep = {_binding(a, isinstance(n, ast.ImportFrom))
                     for n in ast.walk(before) if isinstance(n, (ast.Import, ast.ImportFrom))
                     for a in n.names} - used_names(before)

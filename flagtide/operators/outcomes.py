@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flagtide.functions import text as tx
+from flagtide.session import materialize
 
 # Fixed values.
 VALIDATION_TIMEOUT_SECONDS = 300
@@ -88,11 +91,12 @@ def target_outcomes(rewritten: DataFrame, validations: DataFrame | None = None,
 
 def changed_files(rewritten: DataFrame, outcomes: DataFrame, key=("repo_id", "flag_name")) -> DataFrame:
     """What delivery takes over: path and complete new source (as text and as
-    bytes) of every file of the prepared targets, one row per file."""
+    bytes) of every file of the prepared targets, one row per file, with the
+    hashes before and after."""
     key = list(key)
     prepared = outcomes.where(F.col("status") == "prepared").select(*key)
     return rewritten.where(F.col("status") == "mutated").join(prepared, key, "left_semi").select(
-        *key, "path", "updated_source", "updated_bytes")
+        *key, "path", "updated_source", "updated_bytes", "original_sha256", "updated_sha256")
 
 
 def baseline_gate(targets: DataFrame, baseline: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -135,8 +139,70 @@ def diff_budget(diffs: DataFrame, key, max_lines: int = MAX_DIFF_LINES) -> DataF
     return g.select(*key, F.array_join(lines, "\n").alias("diff"), F.col("seen").cast("bigint").alias("n_lines"))
 
 
-def stale_snapshots(snapshots: DataFrame, current: DataFrame, key=("repo_id", "path")) -> DataFrame:
-    """Files whose content changed (or vanished) between snapshot and apply."""
-    key = list(key)
-    j = snapshots.join(current.select(*key, F.col("sha256").alias("current_sha256")), key, "left")
+#: Parts that the paths of a repository are digested in, and folders of a written snapshot.
+PATH_BUCKETS, SNAPSHOT_FOLDERS = 64, 256
+
+
+def snapshot_digests(rows: DataFrame, key=("repo_id", "path")) -> DataFrame:
+    """One row per (repository, bucket of paths): number of rows and two sums of
+    hashes over path and content hash, whatever the order of the rows.
+
+    The first of ``key`` is the repository. Sums are partial before the shuffle,
+    so only digests are shuffled, never rows."""
+    repo, *rest = key
+    added = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    return rows.groupBy(F.col(repo).alias("repo"), _path_bucket(rest).alias("paths")).agg(
+        F.count(F.lit(1)).alias("n"), added(*rest, "sha256").alias("a"), added("sha256", *rest).alias("b"))
+
+
+def _path_bucket(rest: list[str]) -> F.Column:
+    return F.pmod(F.xxhash64(*rest), F.lit(PATH_BUCKETS)).cast("int")
+
+
+def _differing(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(repo, paths) of the buckets of the snapshot that are no longer the same."""
+    now = after.select(*(F.col(c).alias(f"now_{c}") for c in ("repo", "paths", "n", "a", "b")))
+    same_key = F.col("repo").eqNullSafe(F.col("now_repo")) & (F.col("paths") == F.col("now_paths"))
+    same = F.col("n").eqNullSafe(F.col("now_n")) & F.col("a").eqNullSafe(F.col("now_a")) & F.col("b").eqNullSafe(F.col("now_b"))
+    return before.join(now, same_key, "left").where(~same).select("repo", "paths")
+
+
+def _stale(snapshots: DataFrame, current: DataFrame, differing: DataFrame, key: list[str]) -> DataFrame:
+    """Changed or vanished files among the rows of differing buckets."""
+    repo, *rest = key
+    inside = lambda df: df.withColumn("__paths", _path_bucket(rest)).join(
+        differing, F.col(repo).eqNullSafe(F.col("repo")) & (F.col("__paths") == F.col("paths")), "left_semi").drop("__paths")
+    now = inside(current).select(*(F.col(c).alias(f"__now_{c}") for c in key), F.col("sha256").alias("current_sha256"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__now_{c}")) for c in key))
+    j = inside(snapshots).join(now, same, "left").select(*snapshots.columns, "current_sha256")
     return j.where(~(F.col("sha256").eqNullSafe(F.col("current_sha256"))))
+
+
+def stale_snapshots(snapshots: DataFrame, current: DataFrame, key=("repo_id", "path")) -> DataFrame:
+    """Files whose content changed (or vanished) between snapshot and apply.
+
+    Both sides are compared by digests of buckets of paths first; rows of files
+    meet only in buckets that differ."""
+    differing = materialize(_differing(snapshot_digests(snapshots, key), snapshot_digests(current, key)))
+    return _stale(snapshots, current, differing, list(key))
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """``rows`` (repo_id, path, sha256) as a snapshot that ``stale_since`` reads: rows in
+    ``SNAPSHOT_FOLDERS`` folders by repository, and their digests beside them."""
+    folder = F.pmod(F.xxhash64("repo_id"), F.lit(SNAPSHOT_FOLDERS)).cast("int")
+    rows.select("repo_id", "path", "sha256", folder.alias("folder")).repartition("folder", _path_bucket(["path"])).write.mode(
+        "overwrite").partitionBy("folder").parquet(f"{path}/rows")
+    spark = rows.sparkSession
+    snapshot_digests(spark.read.parquet(f"{path}/rows")).write.mode("overwrite").parquet(f"{path}/digests")
+
+
+def stale_since(path: str, current: DataFrame) -> DataFrame:
+    """``stale_snapshots`` against a written snapshot: its digests decide which of its
+    folders are read at all, so what no one touched is not read again."""
+    spark = current.sparkSession
+    differing = materialize(_differing(spark.read.parquet(f"{path}/digests"), snapshot_digests(current)).withColumn(
+        "folder", F.pmod(F.xxhash64("repo"), F.lit(SNAPSHOT_FOLDERS)).cast("int")))
+    folders = [r[0] for r in differing.select("folder").distinct().collect()]  # SNAPSHOT_FOLDERS at most
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("folder").isin(folders)).select("repo_id", "path", "sha256")
+    return _stale(rows, current, differing.select("repo", "paths"), ["repo_id", "path"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flagtide.plans.validate import MAX_TARGETS
+from flagtide.session import materialize
 
 SCHEMA_VERSION = 1
 
@@ -70,25 +71,37 @@ def delivery_records(deliveries: DataFrame) -> DataFrame:
         F.col("delivery_status").alias("status")).alias("record"))
 
 
-def _listed(records: DataFrame, name: str) -> DataFrame:
-    """Records of a repository in one list, sorted by flag; a plan has at most
-    ``MAX_TARGETS``, repositories with more get null instead of a list."""
-    small = records.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_TARGETS)
-    return records.join(small.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(
+def _parts(records: DataFrame) -> DataFrame:
+    """(repo_id, parts) of the repositories with more records than a document
+    lists; a part holds half of that on average."""
+    return records.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_TARGETS).select(
+        "repo_id", F.ceil(2 * F.col("n") / MAX_TARGETS).cast("int").alias("parts"))
+
+
+def _listed(records: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Records of a repository's part in one list, sorted by flag. Parts are dealt by the
+    flag, so a list stays short whatever the number of records."""
+    part = F.coalesce(F.pmod(F.xxhash64("flag_name"), F.col("parts")).cast("int"), F.lit(0))
+    return records.join(parts, "repo_id", "left").groupBy("repo_id", part.alias("part")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("flag_name", "record"))), lambda r: r["record"]).alias(name))
 
 
 def repo_report(records: DataFrame, summary: DataFrame, mode: str = "dry_run", *, deliveries: DataFrame | None = None,
                 baseline: DataFrame | None = None, discovery: DataFrame | None = None, repositories: DataFrame | None = None,
                 model: str | None = None, validation_mode: str = "table") -> DataFrame:
-    """One JSON document per repository, keys sorted, nulls written.
+    """repo_id, part, parts, report: one JSON document per repository, keys sorted, nulls
+    written. A repository with more than ``MAX_TARGETS`` records has several
+    documents, alike but for the records they list.
 
     ``baseline``: repo_id, passed and optionally output, returncode, timed_out;
     ``discovery``: repo_id and a struct ``discovery``; ``repositories``: repo_id,
     host_repository, base_branch (delivery mode); ``deliveries`` come beside the
     preparation records, not instead of them.
     """
-    j = summary.join(_listed(records, "outcomes"), "repo_id", "left")
+    parts = materialize(_parts(records))
+    j = summary.join(parts, "repo_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    j = j.join(_listed(records, parts, "outcomes"), ["repo_id", "part"], "left")
     fields = {"mode": F.lit(mode), "model": F.lit(model).cast("string"), "outcomes": F.col("outcomes"),
               "repository": F.col("repo_id"), "schema_version": F.lit(SCHEMA_VERSION),
               "summary": F.struct(*[F.col(c) for c in sorted(summary.columns) if c != "repo_id"]),
@@ -103,12 +116,12 @@ def repo_report(records: DataFrame, summary: DataFrame, mode: str = "dry_run", *
         j = j.join(discovery.select("repo_id", "discovery"), "repo_id", "left")
         fields["discovery"] = F.col("discovery")
     if deliveries is not None:
-        j = j.join(_listed(deliveries, "deliveries"), "repo_id", "left")
+        j = j.join(_listed(deliveries, parts, "deliveries"), ["repo_id", "part"], "left")
         fields["deliveries"] = F.col("deliveries")
     if repositories is not None:
         j = j.join(repositories.select("repo_id", "host_repository", "base_branch"), "repo_id", "left")
         fields |= {"host_repository": F.col("host_repository"), "base_branch": F.col("base_branch")}
-    return j.select("repo_id", F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))),
+    return j.select("repo_id", "part", "parts", F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))),
                                          {"ignoreNullFields": "false"}).alias("report"))
 
 
@@ -121,6 +134,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     w.save(path)
 
 
+OUTBOX_BUCKETS = 64
+
+
+def write_outbox(files: DataFrame, path: str, run_id: str) -> None:
+    """Changed files as an outbox ``path/run_id=.../bucket=...`` that may be written again.
+
+    A run replaces its own buckets only (dynamic partition overwrite), through
+    Spark's commit protocol: a run repeated on the same input leaves the same
+    files, other runs' parts stay as they are, and a lost executor leaves
+    nothing half written. A changed input is another run with an id of its own."""
+    bucket = F.pmod(F.xxhash64("repo_id", "path"), F.lit(OUTBOX_BUCKETS)).cast("int")
+    dealt = files.withColumns({"run_id": F.lit(run_id), "bucket": bucket}).repartition("bucket", F.pmod(
+        F.xxhash64("flag_name", "path"), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "bucket").parquet(path)
+
+
+def read_outbox(spark, path: str, run_id: str) -> DataFrame:
+    """The files of one run; only its folders are read."""
+    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id", "bucket")
+
+
 def output_root(spark) -> str:
     """A new folder under the shared checkpoint location, so runs that share
     it do not overwrite each other's sink outputs."""

@@ -7,27 +7,34 @@ text column; joins, decoding, hashing and status roll-ups are native.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flagtide.operators.guards import decode_source, encode_source
+from flagtide.operators.keys import may_be_among
+from flagtide.session import materialize
 
-REWRITE_TYPE = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("updated", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
+_TEXTS = T.ArrayType(T.StringType())
+REWRITE_TYPE = T.StructType([T.StructField(c, _TEXTS) for c in ("status", "updated", "error")])
+#: Flags of one file that are rewritten in one row; each has a text as long as the file.
+FLAGS_AT_ONCE = 64
 
 
 @F.pandas_udf(REWRITE_TYPE)
 def _rewrite(texts: pd.Series, flags: pd.Series, states: pd.Series, scopes: pd.Series) -> pd.DataFrame:
-    from flagtide.functions.pysource import rewrite_source
+    from flagtide.functions.pysource import rewrite_each
 
-    out = [rewrite_source(t, f, bool(s), c) if t is not None and f is not None else (None, None, None)
-           for t, f, s, c in zip(texts, flags, states, scopes)]
-    return pd.DataFrame(out, columns=["status", "updated", "error"])
+    rows = []
+    for text, names, finals, scope in zip(texts, flags, states, scopes):
+        asked = [(n, bool(s)) for n, s in zip(names, finals) if n is not None]
+        done = iter(rewrite_each(text, asked, scope) if text is not None else [])
+        each = [next(done, (None, None, None)) if n is not None else (None, None, None) for n in names]
+        rows.append([list(c) for c in zip(*each)] or [[], [], []])
+    return pd.DataFrame(rows, columns=["status", "updated", "error"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -70,8 +77,10 @@ def rewrite_files(targets: DataFrame, files: DataFrame, import_scope: str = "all
     """One row per (repo, flag, path) target file.
 
     ``targets``: ``repo_id, flag_name, final_state, path``;
-    ``files``: ``repo_id, path, content`` (each body goes along once per target
-    that names it).
+    ``files``: ``repo_id, path, content``.
+    Targets are gathered per file first, so a body is joined, decoded and parsed
+    once for all flags that name it (``FLAGS_AT_ONCE`` of them to a row); each
+    flag is resolved on the original text.
     Out: status ``mutated``/``unchanged``/``failed``, error, updated text and
     bytes, and both SHA-256 hashes. ``import_scope``: ``all`` (drop every
     unused import of a changed file) or ``new`` (only those the change made
@@ -81,24 +90,30 @@ def rewrite_files(targets: DataFrame, files: DataFrame, import_scope: str = "all
     # target names are kept, and a small target table is broadcast so that no
     # body is shuffled at all; missing files are found by key alone.
     wanted = targets.select("repo_id", "flag_name", "final_state", "path")
-    bodies = files.select("repo_id", "path", "content")
-    missing = wanted.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    j = bodies.join(wanted, ["repo_id", "path"]).unionByName(
-        missing.withColumn("content", F.lit(None).cast("binary")))
-    d = decode_source(j)
-    res = F.when(F.col("text").isNotNull(), _rewrite(F.col("text"), F.col("flag_name"), F.col("final_state"),
-                                                      F.lit(import_scope)))
-    d = d.withColumn("r", res)
-    status = (F.when(F.col("content").isNull(), F.lit("failed"))
-              .when(F.col("decode_error").isNotNull(), F.lit("failed"))
-              .otherwise(F.col("r.status")))
-    error = (F.when(F.col("content").isNull(), F.concat(F.lit("file not found: "), F.col("path")))
-             .when(F.col("decode_error").isNotNull(), F.col("decode_error"))
-             .otherwise(F.col("r.error")))
-    updated = F.when(status != "failed", F.col("r.updated"))
+    asked = wanted.groupBy("repo_id", "path").agg(F.collect_list(F.struct("flag_name", "final_state")).alias("all"))
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / FLAGS_AT_ONCE).cast("int")),
+                       lambda i: F.slice("all", i * FLAGS_AT_ONCE + 1, FLAGS_AT_ONCE))
+    asked = asked.select("repo_id", "path", F.explode(rows).alias("asked"))
+    names = files.select("repo_id", "path")
+    missing = wanted.join(names, ["repo_id", "path"], "left_anti")
+    d = decode_source(files.select("repo_id", "path", "content").join(asked, ["repo_id", "path"]))
+    d = d.withColumn("r", F.when(F.col("text").isNotNull(), _rewrite(
+        F.col("text"), F.transform("asked", lambda a: a["flag_name"]), F.transform("asked", lambda a: a["final_state"]),
+        F.lit(import_scope))))
+    each = F.transform("asked", lambda a, i: F.struct(
+        a["flag_name"].alias("flag_name"), a["final_state"].alias("final_state"),
+        *(F.get(F.col(f"r.{c}"), i).alias(c) for c in ("status", "updated", "error"))))
+    found = d.select("repo_id", "path", "had_bom", "text", F.col("content").isNotNull().alias("there"), "decode_error",
+                     F.explode(each).alias("x")).select("*", "x.*").drop("x")
+    gone = missing.select("*", F.lit(False).alias("had_bom"), F.lit(False).alias("there"),
+                          *(F.lit(None).cast("string").alias(c) for c in ("text", "decode_error", "status", "updated", "error")))
+    d = found.unionByName(gone)
+    status = F.when(~F.col("there") | F.col("decode_error").isNotNull(), F.lit("failed")).otherwise(F.col("status"))
+    error = (F.when(~F.col("there"), F.concat(F.lit("file not found: "), F.col("path")))
+             .when(F.col("decode_error").isNotNull(), F.col("decode_error")).otherwise(F.col("error")))
     out = d.select("repo_id", "flag_name", "final_state", "path", "had_bom",
-                   status.alias("status"), error.alias("error"),
-                   F.col("text").alias("original_source"), updated.alias("updated_source"))
+                   status.alias("status"), error.alias("error"), F.col("text").alias("original_source"),
+                   F.when(status != "failed", F.col("updated")).alias("updated_source"))
     updated_bytes = F.when(F.col("updated_source").isNotNull(),
                            encode_source("updated_source", "had_bom"))
     return out.select(
@@ -125,10 +140,18 @@ def mutation_summary(rewritten: DataFrame, keys=("repo_id",)) -> DataFrame:
 
 def gate_all_or_nothing(rows: DataFrame, keys, bad) -> DataFrame:
     """Flag every member of a group that has any bad member (one veto rolls
-    back the whole group). Group verdicts are aggregated (partially before the
-    shuffle) and joined back on the group key; the join is a plain equi-join, so
-    small verdict tables are broadcast by their bytes and hot groups are split
-    by adaptive execution."""
+    back the whole group) in ``group_failed``; rows whose keys are equal, nulls
+    included, are one group, and a null ``bad`` is no veto.
+
+    Only the keys of failing groups are gathered. A bitmap of them tells the rows
+    of good groups apart where they are, unshuffled; the rest meets the failing
+    keys in an equi-join, which is a broadcast while these are few bytes and is
+    split by adaptive execution where one group is hot.
+    """
     keys = list(keys)
-    verdict = rows.groupBy(*keys).agg(F.bool_or(bad).alias("group_failed"))
-    return rows.join(verdict, keys, "left")
+    failing = materialize(rows.where(bad).select(*keys).distinct())
+    maybe, others = may_be_among(rows, keys, failing)
+    named = failing.select(*(F.col(k).alias(f"__veto_{k}") for k in keys), F.lit(True).alias("__veto"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__veto_{k}")) for k in keys))
+    met = maybe.join(named, same, "left").select(*rows.columns, F.coalesce("__veto", F.lit(False)).alias("group_failed"))
+    return others.withColumn("group_failed", F.lit(False)).unionByName(met)

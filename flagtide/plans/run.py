@@ -21,6 +21,7 @@ class Run:
     resolutions: DataFrame
     targets: DataFrame
     file_changes: DataFrame
+    changed_files: DataFrame
     outcomes: DataFrame
     deliveries: DataFrame
     reports: DataFrame
@@ -35,7 +36,8 @@ def remediation_run(files: DataFrame, candidates: DataFrame, allowlist: DataFram
     output; ``repositories``: repo_id, owner, full_name, base_override,
     default_branch. Repositories without an accepted plan, and those whose
     baseline run fails or is missing, have no outcomes. The rewrite result is
-    written once; outcomes, deliveries and reports are read from it.
+    written once; changed files, outcomes, deliveries and reports are read from it.
+    ``write_outbox`` hands the changed files over.
     """
     resolutions, targets = accepted_targets(attempts, candidates, allowlist, contexts)
     good = baseline.where("passed").select("repo_id").distinct()
@@ -56,4 +58,4 @@ def remediation_run(files: DataFrame, candidates: DataFrame, allowlist: DataFram
     reports = R.repo_report(R.prep_records(outcomes), summary, "delivery", deliveries=R.delivery_records(deliveries),
                             baseline=baseline, discovery=discovery,
                             repositories=hosts.withColumnRenamed("base", "base_branch"))
-    return Run(resolutions, targets, changes, outcomes, deliveries, reports)
+    return Run(resolutions, targets, changes, O.changed_files(changes, outcomes), outcomes, deliveries, reports)

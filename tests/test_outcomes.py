@@ -1,5 +1,9 @@
 """Statuses, gates, diff budgets and delivery on small tables."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from flagtide.operators import delivery as D
 from flagtide.operators import outcomes as O
 from flagtide.operators import rewrite as RW
@@ -86,3 +90,123 @@ def test_bom_and_crlf_survive_the_rewrite(spark):
     import hashlib
     assert row.original_sha256 == hashlib.sha256(b"\xef\xbb\xbfif OLD_FLAG:\r\n    a()\r\nb()\r\n").hexdigest()
     assert row.updated_sha256 == hashlib.sha256(b"\xef\xbb\xbfa()\r\nb()\r\n").hexdigest()
+
+
+def test_a_file_is_parsed_once_for_all_its_flags(spark, monkeypatch):
+    from flagtide.functions import pysource
+
+    text = "from m import a, b\nif A_B:\n    a()\nif C_D:\n    b()\nx = 1 if E_F else 2\n"
+    seen = []
+    plain = pysource._parse
+    monkeypatch.setattr(pysource, "_parse", lambda t: seen.append(t) or plain(t))
+    asked = [("A_B", True), ("C_D", False), ("E_F", True), ("A_B", False), ("G_H", True)]
+    each = pysource.rewrite_each(text, asked)
+    assert seen.count(text) == 1
+    assert each == [pysource.rewrite_source(text, f, s) for f, s in asked]  # independent of each other
+
+
+def test_targets_of_one_file_are_gathered(spark, monkeypatch):
+    monkeypatch.setattr(RW, "FLAGS_AT_ONCE", 3)
+    flags = [f"F_{i}" for i in range(10)]
+    body = "".join(f"if {f}:\n    f{i}()\n" for i, f in enumerate(flags)).encode()
+    files = spark.createDataFrame([("r", "a.py", body), ("r", "bad.py", b"\xff\xfe"), ("r", "other.py", b"x")],
+                                  "repo_id string, path string, content binary")
+    asked = [("r", f, i % 2 == 0, "a.py") for i, f in enumerate(flags)] + [
+        ("r", "F_0", True, "a.py"), ("r", None, True, "a.py"), ("r", "F_1", True, "bad.py"), ("r", "F_2", True, "gone.py")]
+    targets = spark.createDataFrame(asked, "repo_id string, flag_name string, final_state boolean, path string")
+    got = RW.rewrite_files(targets, files).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        if r.path == "a.py" and r.flag_name:
+            i = int(r.flag_name[2:])
+            lines = [f"f{j}()\n" if j == i else f"if F_{j}:\n    f{j}()\n" for j in range(10) if j != i or i % 2 == 0]
+            assert r.status == "mutated" and r.updated_source == "".join(lines)
+    errors = {r.path: (r.status, r.error) for r in got if r.path != "a.py"}
+    assert errors == {"bad.py": ("failed", "invalid UTF-8"), "gone.py": ("failed", "file not found: gone.py")}
+
+
+def _veto_plan(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_veto_stops_its_group_only(spark, tmp_path):
+    rows = [(i // 3, i, i == 7 or None) for i in range(3000)] + [(None, 1, False), (None, 2, True), (5000, 3, None)]
+    spark.createDataFrame(rows, "g int, n int, bad boolean").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    gated = RW.gate_all_or_nothing(df, ["g"], F.col("bad"))
+    got = {(r.g, r.n): r.group_failed for r in gated.collect()}
+    assert got == {(g, n): g in (2, None) for g, n, _ in rows}
+    # no row is shuffled: the only exchange is that of the bitmap's pages
+    assert all("_groupingexpression" in x for x in _veto_plan(gated).split("\n") if "Exchange hashpartitioning" in x)
+
+
+def test_many_vetoes_are_joined_by_key(spark, tmp_path, monkeypatch):
+    from flagtide.operators import keys
+
+    monkeypatch.setattr(keys, "MOST_BITS", 4)  # the bitmap tells nothing apart any more
+    monkeypatch.setattr(keys, "LEAST_BITS", 4)
+    df = spark.range(4000).selectExpr("id % 500 as g", "id", "id % 500 < 400 and id < 500 as bad")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        gated = RW.gate_all_or_nothing(df, ["g"], F.col("bad"))
+        assert gated.where("group_failed != (g < 400)").count() == 0 and gated.count() == 4000
+        assert "SortMergeJoin" in _veto_plan(gated)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _hashes(spark, rows):
+    return spark.createDataFrame(rows, "repo_id string, path string, sha256 string")
+
+
+def test_stale_snapshots_read_differing_buckets_only(spark, tmp_path):
+    before = [(f"r{r}", f"d/{i}.py", f"h{r}.{i}") for r in range(30) for i in range(200)] + [("n", "x.py", None), (None, "y.py", "q")]
+    gone, changed = ("r3", "d/7.py"), ("r9", "d/11.py")
+    after = [(r, p, "new" if (r, p) == changed else h) for r, p, h in before if (r, p) != gone] + [("r1", "d/new.py", "z")]
+    want = {(*gone, "h3.7", None), (*changed, "h9.11", "new")}
+    assert {tuple(r) for r in O.stale_snapshots(_hashes(spark, before), _hashes(spark, after)).collect()} == want
+    path = str(tmp_path / "snapshot")
+    O.write_snapshot(_hashes(spark, before), path)
+    since = O.stale_since(path, _hashes(spark, after))
+    assert {tuple(r) for r in since.collect()} == want
+    assert "PartitionFilters: [folder" in since._jdf.queryExecution().executedPlan().toString()
+    assert O.stale_since(path, _hashes(spark, before)).count() == 0
+
+
+def test_digests_see_rows_not_their_order(spark):
+    rows = [("r", f"{i}.py", f"h{i}") for i in range(50)]
+    a, b = (O.snapshot_digests(_hashes(spark, x)) for x in (rows, rows[::-1]))
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    swapped = [("r", "0.py", "h1"), ("r", "1.py", "h0"), *rows[2:]]
+    assert sorted(map(tuple, O.snapshot_digests(_hashes(spark, swapped)).collect())) != sorted(map(tuple, a.collect()))
+
+
+def test_outbox_may_be_written_again(spark, tmp_path):
+    from flagtide.operators import report as R
+
+    out = str(tmp_path / "outbox")
+    rows = spark.createDataFrame([("r", "A_B", f"{i}.py", f"s{i}", b"x", "o", "u") for i in range(100)],
+                                 "repo_id string, flag_name string, path string, updated_source string, updated_bytes binary, "
+                                 "original_sha256 string, updated_sha256 string")
+    R.write_outbox(rows, out, "one")
+    R.write_outbox(rows.limit(10), out, "two")
+    R.write_outbox(rows, out, "one")
+    assert sorted(map(tuple, R.read_outbox(spark, out, "one").select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert R.read_outbox(spark, out, "two").count() == 10
+
+
+def test_a_long_report_comes_in_parts(spark):
+    from flagtide.operators import report as R
+
+    flags = [("big", f"F_{i}") for i in range(1_000)] + [("small", "A_B"), ("small", "C_D")]
+    records = spark.createDataFrame(flags, "repo_id string, flag_name string").withColumn("record", F.struct("flag_name"))
+    summary = records.groupBy("repo_id").agg(F.count(F.lit(1)).alias("targets"))
+    got = R.repo_report(records, summary).collect()
+    listed = {}
+    for r in got:
+        names = [x["flag_name"] for x in json.loads(r.report)["outcomes"]]
+        assert names == sorted(names) and len(names) <= 100
+        listed.setdefault(r.repo_id, []).extend(names)
+    assert {k: sorted(v) for k, v in listed.items()} == {"big": sorted(f for r, f in flags if r == "big"), "small": ["A_B", "C_D"]}
+    assert sum(r.repo_id == "small" for r in got) == 1 and {r.parts for r in got if r.repo_id == "big"} == {20}
