@@ -359,13 +359,15 @@ def discovery_audit(spark, sf_dir):
                                       F.lit(1).cast("bigint").alias("n_files")))
 
 
-@query("scan_tree", oracle=f"""
+_TREE_SQL = f"""
 WITH corpus AS ({CORPUS_SQL})
 SELECT repo_id, path, CAST(strlen(source) AS BIGINT) AS size, sha256(source) AS sha256 FROM corpus
-""")
-def scan_tree(spark, sf_dir):
+"""
+
+
+def _written_tree(spark, sf_dir):
     """The corpus written as one folder per repository below the shared
-    checkpoint folder (which must be mounted by all machines), then scanned."""
+    checkpoint folder (which must be mounted by all machines)."""
     import uuid
 
     from flagtide.operators.report import output_root
@@ -373,4 +375,23 @@ def scan_tree(spark, sf_dir):
 
     root = output_root(spark) + f"/trees/{uuid.uuid4().hex}"
     tree.write_tree(_files(spark, sf_dir), root).agg(F.sum("written")).collect()
-    return tree.read_tree(spark, root).select("repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))
+    return root
+
+
+@query("scan_tree", oracle=_TREE_SQL)
+def scan_tree(spark, sf_dir):
+    """The corpus as folders, listed by jobs and read."""
+    from flagtide.sources import tree
+
+    return tree.read_tree(spark, _written_tree(spark, sf_dir)).select("repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("tree_source", oracle=_TREE_SQL + " WHERE ends_with(path, '1.py') AND strlen(source) < 60")
+def tree_source(spark, sf_dir):
+    """The same folders through the data source, with filters it takes over."""
+    from flagtide.sources import tree
+
+    tree.register(spark)
+    files = spark.read.format(tree.FORMAT).load(_written_tree(spark, sf_dir))
+    return files.where(F.col("path").endswith("1.py") & (F.col("size") < 60)).select(
+        "repo_id", "path", "size", F.sha2("content", 256).alias("sha256"))

@@ -1,12 +1,18 @@
 """Repository folders on a file system that all machines mount.
 
-``read_tree`` gives ``source_files(repo_id, path, size, content, read_error)``
-for every child folder of ``root`` (one repository each). Folders are listed
-level by level, each level as a Spark job over the folders found on the one
-before, so one huge repository is listed by many tasks. The files are then
-dealt over as many read tasks as their bytes need; a file above the size limit
-is not read (its content is null, its size tells why), nor does a file that
-cannot be read end the job (``read_error`` tells why).
+``spark.read.format("repository_tree").load(root)`` (after ``register``) and
+``read_tree`` give ``source_files(repo_id, path, size, content, read_error)`` for
+every child folder of ``root`` (one repository each).
+
+Work is dealt in units: a folder with all below it, or one slice of the
+entries of a folder too large for one task, whose names are dealt by their hash.
+Nobody lists everything at once. The data source plans with a bounded walk: the
+files it comes across are packed into partitions by their bytes, folders it does
+not get to become partitions of their own. ``list_tree`` lists in rounds of Spark
+jobs instead; a walk that exceeds its share hands the rest to the next round.
+
+A file above the size limit is not read (its content is null, its size tells
+why), nor does a file that cannot be read end the job (``read_error`` tells why).
 
 Pruning follows the scanner rules (see ``operators.guards``): folders whose
 exact name is ignored or starts with ``.`` are not entered (the repository
@@ -17,18 +23,30 @@ hidden files are kept. Symlinked folders are not followed.
 from __future__ import annotations
 
 import os
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith)
 
 from flagtide.operators.guards import IGNORED_DIRS, MAX_FILE_BYTES
 from flagtide.session import materialize
 
 READ_TASK_BYTES = 64 << 20
-ENTRY = "repo_id string, path string, folder boolean, size bigint, list_error string"
+#: Entries of a folder that one task goes through; a larger one is cut into slices.
+FOLDER_ENTRIES, SLICES = 100_000, 64
+#: Entries that the planning of the data source, and a walk of a listing round, look at.
+PLANNED_ENTRIES, FIRST_WALK, WALK = 200_000, 2_000, 50_000
+FORMAT = "repository_tree"
 FILE = "repo_id string, path string, size bigint, content binary, read_error string"
+_FILE_TYPES = [("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()),
+               ("read_error", pa.string())]
 
 
 def mounted_path(uri: str) -> str:
@@ -40,82 +58,242 @@ def mounted_path(uri: str) -> str:
     return parts.path
 
 
-def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+@dataclass(frozen=True)
+class Unit:
+    """A folder with all below it (``of`` = 1), or of its entries those whose hashed
+    name falls into ``slice``. ``folder`` is relative to the root ("" is the root)."""
+    folder: str
+    slice: int = 0
+    of: int = 1
 
 
-def _listed(folders: DataFrame, root: str, ignore: frozenset) -> DataFrame:
-    """The entries of folders ``(repo_id, path)`` that the scanner keeps."""
-    types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-    names = ["repo_id", "path", "folder", "size", "list_error"]
+@dataclass(frozen=True)
+class Found:
+    """A file the scanner keeps (``error`` null), or a folder that cannot be listed."""
+    repo_id: str
+    path: str
+    size: int | None
+    error: str | None = None
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for repo, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    with os.scandir(os.path.join(root, repo, path)) as entries:
-                        for e in entries:
-                            inner = f"{path}/{e.name}" if path else e.name
-                            if e.is_dir(follow_symlinks=False):
-                                if e.name not in ignore and not e.name.startswith("."):
-                                    out.append((repo, inner, True, None, None))
-                            elif e.name.endswith(".py") and e.is_file():
-                                out.append((repo, inner, False, e.stat().st_size, None))
-                except OSError as error:
-                    out.append((repo, path, False, None, f"{type(error).__name__}: {error.strerror}"))
-            yield _batch(out, types, names)
-
-    return folders.mapInArrow(run, ENTRY)
 
+def walk(root: str, units: list[Unit], ignore: frozenset, most: float = float("inf")) -> Iterator[Found | Unit]:
+    """The files below ``units`` breadth first. After ``most`` entries the folders not
+    entered come as units; a folder too large for one task comes as its slices."""
+    queue, seen = deque(units), 0
+    while queue:
+        unit = queue.popleft()
+        if seen >= most:
+            yield unit
+            continue
+        repo, _, inner = unit.folder.partition("/")
+        mine = 0
+        folders: list[Unit] = []
+        files: list[Found] = []
+        try:
+            with os.scandir(os.path.join(root, unit.folder)) as entries:
+                for e in entries:
+                    mine += 1
+                    if unit.of == 1 and mine > FOLDER_ENTRIES:
+                        break
+                    if unit.of > 1 and crc32(os.fsencode(e.name)) % unit.of != unit.slice:
+                        continue
+                    at = f"{unit.folder}/{e.name}" if unit.folder else e.name
+                    if e.is_dir(follow_symlinks=False):
+                        if not unit.folder or e.name not in ignore and not e.name.startswith("."):
+                            folders.append(Unit(at))
+                    elif unit.folder and e.name.endswith(".py") and e.is_file():
+                        files.append(Found(repo, f"{inner}/{e.name}" if inner else e.name, e.stat().st_size))
+        except OSError as error:
+            if not unit.folder:
+                raise
+            yield Found(repo, inner, None, f"{type(error).__name__}: {error.strerror}")
+        seen += mine
+        if unit.of == 1 and mine > FOLDER_ENTRIES:
+            for i in range(SLICES):
+                yield Unit(unit.folder, i, SLICES)
+            continue
+        yield from files
+        queue.extend(folders)
+
+
+def _table(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], [n for n, _ in types])
+
+
+def _read(root: str, found: Iterator[Found], max_file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Files with their bytes, some megabytes at a time."""
+    rows, held = [], 0
+    for f in found:
+        data, size, error = None, f.size, f.error
+        if error is None and size <= max_file_bytes:
+            try:
+                with open(os.path.join(root, f.repo_id, f.path), "rb") as opened:
+                    data = opened.read()
+                size = len(data)
+            except OSError as problem:
+                error = f"{type(problem).__name__}: {problem.strerror}"
+        rows.append((f.repo_id, f.path, size, data, error))
+        held += len(data or b"")
+        if held > 8 << 20 or len(rows) >= 10_000:
+            yield _table(rows, _FILE_TYPES)
+            rows, held = [], 0
+    if rows:
+        yield _table(rows, _FILE_TYPES)
+
+
+# ------------------------------------------------------------------ data source
+
+@dataclass
+class Part(InputPartition):
+    """Files found by the planning, or one unit that the task walks itself."""
+    files: tuple[Found, ...] = ()
+    unit: Unit | None = None
+
+
+def plan(root: str, ignore: frozenset, wanted, most: int, part_bytes: int, max_file_bytes: int) -> list[Part]:
+    """Partitions after a walk of ``most`` entries: files packed by bytes (and by a
+    fixed cost each), one partition for every unit that is left."""
+    parts, held, size = [], [], 0
+    for x in walk(root, [Unit("")], ignore, most):
+        if isinstance(x, Unit):
+            parts.append(Part(unit=x))
+        elif wanted(x):
+            cost = 4096 + (x.size if x.size is not None and x.size <= max_file_bytes else 0)
+            if held and size + cost > part_bytes:
+                parts.append(Part(files=tuple(held)))
+                held, size = [], 0
+            held.append(x)
+            size += cost
+    if held:
+        parts.append(Part(files=tuple(held)))
+    return parts or [Part()]
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = mounted_path(options["path"])
+        self.ignore = frozenset(n for n in options.get("ignore", "").split(",") if n) or frozenset(IGNORED_DIRS)
+        self.max_file_bytes = int(options.get("maxFileBytes", MAX_FILE_BYTES))
+        self.part_bytes = int(options.get("partBytes", READ_TASK_BYTES))
+        self.most = int(options.get("plannedEntries", PLANNED_ENTRIES))
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters):
+        """Repository, path ends and size decide before a file is opened; Spark tests
+        them again, as a size may change until the file is read."""
+        kept = {EqualTo: ("repo_id", "path"), In: ("repo_id", "path"), StringEndsWith: ("path",),
+                StringStartsWith: ("repo_id", "path"), LessThan: ("size",), LessThanOrEqual: ("size",)}
+        self.filters = [f for f in filters if len(f.attribute if hasattr(f, "attribute") else ()) == 1
+                        and f.attribute[0] in kept.get(type(f), ())]
+        return filters
+
+    def wanted(self, x: Found) -> bool:
+        """Whether the pushed filters let a file through (folders that cannot be
+        listed have no size: they always pass)."""
+        if x.error is not None:
+            return True
+        tests = {EqualTo: lambda v, w: v == w, In: lambda v, w: v in w, StringEndsWith: str.endswith,
+                 StringStartsWith: str.startswith, LessThan: lambda v, w: v < w, LessThanOrEqual: lambda v, w: v <= w}
+        return all(tests[type(f)](getattr(x, f.attribute[0]), f.value) for f in self.filters)
+
+    def partitions(self):
+        return plan(self.root, self.ignore, self.wanted, self.most, self.part_bytes, self.max_file_bytes)
+
+    def read(self, partition):
+        files: Iterator[Found] = iter(partition.files)
+        if partition.unit is not None:
+            files = self._below(partition.unit)
+        yield from _read(self.root, files, self.max_file_bytes)
+
+    def _below(self, unit: Unit) -> Iterator[Found]:
+        """A unit to its end: slices of large folders further down are walked here too."""
+        units = [unit]
+        while units:
+            later = []
+            for x in walk(self.root, units, self.ignore):
+                if isinstance(x, Unit):
+                    later.append(x)
+                elif self.wanted(x):
+                    yield x
+            units = later
+
+
+class TreeSource(DataSource):
+    """Options: ``ignore`` (folder names, comma separated), ``maxFileBytes``, ``partBytes``,
+    ``plannedEntries``."""
+
+    @classmethod
+    def name(cls):
+        return FORMAT
+
+    def schema(self):
+        return FILE
+
+    def reader(self, schema):
+        return TreeReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to the session, with filters handed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TreeSource)
+
+
+# ------------------------------------------------------------- listing as jobs
 
 def list_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS) -> DataFrame:
     """``(repo_id, path, size, list_error)`` of every file the scanner keeps, and
-    of folders that cannot be listed. An empty ``ignore`` means the default."""
-    root, skip = mounted_path(root), frozenset(ignore or IGNORED_DIRS)
-    with os.scandir(root) as entries:
-        repos = sorted(e.name for e in entries if e.is_dir())
-    level = spark.createDataFrame([(r, "") for r in repos], "repo_id string, path string")
-    found = None
+    of folders that cannot be listed. An empty ``ignore`` means the default.
+
+    The first round walks from the root a little way; every round deals the units
+    that are left over all tasks, until none is left."""
+    base, skip = mounted_path(root), frozenset(ignore or IGNORED_DIRS)
+    types = [("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("list_error", pa.string()),
+             ("folder", pa.string()), ("slice", pa.int32()), ("of", pa.int32())]
+
+    def listed(most):
+        def run(batches):
+            units = [Unit(*u) for b in batches for u in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            rows = []
+            for unit in units:
+                for x in walk(base, [unit], skip, most):
+                    rows.append((None, None, None, None, x.folder, x.slice, x.of) if isinstance(x, Unit)
+                                else (x.repo_id, x.path, x.size, x.error, None, None, None))
+                    if len(rows) >= 50_000:
+                        yield _table(rows, types)
+                        rows = []
+            yield _table(rows, types)
+        return run
+
+    units = spark.createDataFrame([("", 0, 1)], "folder string, slice int, of int")
+    found, most = None, FIRST_WALK
     while True:
-        tasks = max(1, spark.sparkContext.defaultParallelism)
-        entries = materialize(_listed(level.repartition(tasks, "repo_id", "path"), root, skip))
-        files = entries.where(~F.col("folder")).select("repo_id", "path", "size", "list_error")
+        entries = materialize(units.mapInArrow(listed(most), "repo_id string, path string, size bigint, list_error string, "
+                                               "folder string, slice int, of int"))
+        files = entries.where("folder is null").select("repo_id", "path", "size", "list_error")
         found = files if found is None else found.unionByName(files)
-        level = entries.where("folder").select("repo_id", "path")
-        if level.isEmpty():
+        left = entries.where("folder is not null")
+        if left.isEmpty():
             return found
+        most = WALK
+        units = left.select("folder", "slice", "of").repartition(
+            max(1, spark.sparkContext.defaultParallelism), "folder", "slice")
 
 
 def read_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files of a tree of any size: listed by jobs, then read by as many tasks
+    as their bytes need."""
     files = materialize(list_tree(spark, root, ignore))
     base = mounted_path(root)
     size = F.when(F.col("size") <= max_file_bytes, F.col("size")).otherwise(0)
     total = files.agg(F.sum(size)).first()[0] or 0
     # files are at most ``max_file_bytes``, so tasks of hashed keys weigh alike
     tasks = max(spark.sparkContext.defaultParallelism, total // READ_TASK_BYTES + 1)
-    types = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-    names = ["repo_id", "path", "size", "content", "read_error"]
 
     def run(batches):
-        for batch in batches:
-            out, held = [], 0
-            for repo, path, n, error in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = None
-                if error is None and n <= max_file_bytes:
-                    try:
-                        with open(os.path.join(base, repo, path), "rb") as f:
-                            data = f.read()
-                        n = len(data)
-                    except OSError as problem:
-                        error = f"{type(problem).__name__}: {problem.strerror}"
-                out.append((repo, path, n, data, error))
-                held += len(data or b"")
-                if held > 8 << 20:
-                    yield _batch(out, types, names)
-                    out, held = [], 0
-            yield _batch(out, types, names)
+        yield from _read(base, (Found(*f) for b in batches for f in zip(*(b.column(i).to_pylist() for i in range(4)))),
+                         max_file_bytes)
 
     return files.repartition(int(tasks), "repo_id", "path").mapInArrow(run, FILE)
 

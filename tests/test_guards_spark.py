@@ -103,6 +103,76 @@ def test_tree_data_source(spark, tmp_path):
     assert stages["app.py"] == "oversize" and stages["lib/l.py"] is None
 
 
+def _layout(tmp_path, files):
+    for rel, data in files.items():
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+
+
+def _plain_tree(root):
+    """Every kept file by a plain walk."""
+    out = {}
+    for repo in (p for p in root.iterdir() if p.is_dir()):
+        for p in repo.rglob("*"):
+            parts = p.relative_to(repo).parts
+            if p.is_file() and p.name.endswith(".py") and not any(d in G.IGNORED_DIRS or d.startswith(".") for d in parts[:-1]):
+                out[repo.name, "/".join(parts)] = p.read_bytes()
+    return out
+
+
+@pytest.mark.parametrize("entries, planned", [(100_000, 200_000), (100, 200_000), (100_000, 3), (7, 1)])
+def test_tree_units_hold_every_file_once(spark, tmp_path, monkeypatch, entries, planned):
+    """A flat folder beyond what one task goes through, deep folders, and a root of many
+    repositories, with planning that sees all of it, a part, or nearly nothing."""
+    from flagtide.sources import tree
+
+    files = {f"flat/m{i}.py": b"x" * (i % 50) for i in range(400)}
+    files |= {f"r{i}/a/b{i % 3}/c.py": str(i).encode() for i in range(60)} | {f"r{i}/.git/x.py": b"" for i in range(5)}
+    files |= {"deep/" + "/".join("d" * n for n in range(1, 12)) + "/z.py": b"z", "loose.py": b"", ".cfg/k.py": b"k"}
+    _layout(tmp_path, files)
+    monkeypatch.setattr(tree, "FOLDER_ENTRIES", entries)
+    want = _plain_tree(tmp_path)
+    parts = tree.plan(str(tmp_path), frozenset(G.IGNORED_DIRS), lambda x: True, planned, 1 << 16, 10 ** 6)
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    got = [(r, p) for part in parts for b in reader.read(part) for r, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(got) == sorted(want)
+    flat = [p for p in parts if p.unit and p.unit.folder == "flat"]
+    assert (len(flat) == tree.SLICES) == (entries == 100)
+    if planned == 200_000 and entries > 400:
+        assert all(sum(4096 + f.size for f in p.files) <= 1 << 16 for p in parts) and len(parts) > 10
+
+
+def test_tree_format(spark, tmp_path):
+    from flagtide.sources import tree
+
+    _layout(tmp_path, {f"r{i % 5}/p{i}.py": b"y" * i for i in range(90)} | {"r1/big.py": b"0" * 500})
+    tree.register(spark)
+    df = spark.read.format(tree.FORMAT).option("maxFileBytes", 100).option("partBytes", 40_000).load(f"file:{tmp_path}")
+    rows = {(r.repo_id, r.path): (r.size, r.content) for r in df.collect()}
+    want = _plain_tree(tmp_path)
+    assert {k: v[1] for k, v in rows.items()} == {k: v if len(v) <= 100 else None for k, v in want.items()}
+    assert rows["r1", "big.py"] == (500, None) and df.rdd.getNumPartitions() > 5
+    some = df.where((F.col("repo_id") == "r1") & F.col("path").endswith("6.py") & (F.col("size") <= 60))
+    assert {(r.repo_id, r.path) for r in some.collect()} == {k for k, v in want.items() if k[0] == "r1" and k[1].endswith("6.py") and len(v) <= 60}
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    pushed = [tree.StringEndsWith(("path",), "6.py"), tree.LessThanOrEqual(("size",), 60), tree.EqualTo(("read_error",), "x")]
+    assert list(reader.pushFilters(pushed)) == pushed and len(reader.filters) == 2
+    assert sum(len(p.files) for p in reader.partitions()) == sum(k[1].endswith("6.py") and len(v) <= 60 for k, v in want.items())
+
+
+def test_listing_rounds(spark, tmp_path, monkeypatch):
+    from flagtide.sources import tree
+
+    _layout(tmp_path, {f"r{i}/a{i % 7}/b/m{j}.py": b"q" for i in range(12) for j in range(9)})
+    for name, value in (("FIRST_WALK", 1), ("WALK", 10), ("FOLDER_ENTRIES", 8)):
+        monkeypatch.setattr(tree, name, value)
+    got = [(r.repo_id, r.path) for r in tree.list_tree(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(_plain_tree(tmp_path))
+    (tmp_path / "empty").mkdir()
+    assert tree.list_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_tree_rows_for_what_cannot_be_read(spark, tmp_path):
     from flagtide.sources import tree
 
