@@ -242,3 +242,22 @@ def test_grounding_with_no_quotes(spark):
     quotes = spark.createDataFrame([], "qid int, quote string")
     out = quotes_in_texts(quotes, texts, "qid", "quote", "tid", "text")
     assert out.columns == ["qid", "tid"] and out.count() == 0
+
+
+def test_quotes_are_anchored_on_what_is_rare(spark):
+    """A phrase of every text at the start of a quote makes no candidates."""
+    from flagtide.plans.grounding import candidate_pairs
+
+    texts = spark.createDataFrame(
+        [(i, f"as said in the notes, {'the owner of part ' + str(i) + ' signs it off' if i < 7 else 'nobody signs ' + str(i)} today")
+         for i in range(300)], "tid int, text string")
+    quotes = spark.createDataFrame([(1, "as said in the notes, the owner of part 3 signs it"), (2, "in the notes, the owner of"),
+                                    (3, "as said in the notes, nothing else"), (4, "notes, t"), (5, "s, no"), (6, "a")],
+                                   "qid int, quote string")
+    pairs = candidate_pairs(quotes, texts, "qid", "quote", "tid", "text")
+    per_quote = {r.qid: r["count"] for r in pairs.groupBy("qid").count().collect()}
+    # three words of quote 1 stand in one text only, and quote 3 has words that stand nowhere
+    assert per_quote == {1: 1, 2: 7, 4: 7, 5: 293, 6: 300}
+    got = sorted(map(tuple, quotes_in_texts(quotes, texts, "qid", "quote", "tid", "text").collect()))
+    rows = texts.collect()
+    assert got == sorted((q.qid, t.tid) for q in quotes.collect() for t in rows if q.quote in t.text)
