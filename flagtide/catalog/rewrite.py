@@ -339,7 +339,7 @@ def changed_files(spark, sf_dir):
     for run in ("a", "b", "b"):
         R.write_outbox(changed, out, run)
     return R.read_outbox(spark, out, "b").select(
-        "repo_id", "flag_name", "path", F.decode("updated_bytes", F.lit("UTF-8")).alias("updated_source"), "updated_sha256",
+        "repo_id", "flag_name", "path", F.decode("updated_bytes", "UTF-8").alias("updated_source"), "updated_sha256",
         F.lit("b").alias("run_id"))
 
 

@@ -75,10 +75,11 @@ def _text_anchors(texts: DataFrame, kind: str, text_id: str, text_col: str) -> D
     """``text_id, anchor``: the texts' own anchors of one kind, each once per text."""
     if kind.startswith("chars"):
         own = _char_grams(F.col(text_col), int(kind.removeprefix("chars")))
-    else:
-        words = _words(F.col(text_col))
-        own = _grams(words, ANCHOR_WORDS) if kind == "words" else words
-    return texts.select(text_id, F.explode(F.array_distinct(own)).alias("anchor"))
+        return texts.select(text_id, F.explode(F.array_distinct(own)).alias("anchor"))
+    # the words are a column, so that they are split once and not once per n-gram
+    words = texts.select(text_id, _words(F.col(text_col)).alias("_words"))
+    own = _grams(F.col("_words"), ANCHOR_WORDS) if kind == "words" else F.col("_words")
+    return words.select(text_id, F.explode(F.array_distinct(own)).alias("anchor"))
 
 
 def candidate_pairs(quotes: DataFrame, texts: DataFrame, quote_id: str, quote_col: str,
