@@ -2,11 +2,17 @@
 
 Every token is predicted from the tokens on both sides by a small window
 network; the sum of the conditional log-probabilities is a document's score.
-Tokens are white-space separated words hashed to ``BUCKETS`` numbers, counted
-over the whole corpus. The most frequent buckets are classes of their own, the
-others are dealt to the remaining classes by weight; the network predicts the
-class from the classes of the neighbours, and the corpus counts give the
-bucket within its class, so the probabilities of all buckets sum to one.
+Tokens are white-space separated words, known by 64-bit hashes and counted over
+the whole corpus in a Spark table, one row per different word. The most frequent
+words are classes of their own, the others are dealt to the remaining classes;
+the network predicts the class from the classes of the neighbours, and the corpus
+counts give the word within its class, so the probabilities of all words, and of
+one never seen in each shared class, sum to one. Classes, hidden units and with
+them the weights grow with the number of different words.
+
+Tasks hold the counts of the ``HEAD`` most frequent words as a cache. All other
+words of the documents meet the table in a join on the word, at most as many rows
+for a word as the rarest cached word has tokens.
 
 The network is trained in numpy where the documents are: in every round each
 partition improves the current weights on its share of the documents, and the
@@ -16,6 +22,7 @@ is trained on in exactly one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,63 +30,102 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flagtide.llm.common import slices, word_hashes
+from flagtide.llm.common import slices, word_hashes, written
 
-BUCKETS = 1 << 16  # the top 16 bits of a hash
-CLASSES, OWN, HIDDEN, REACH = 64, 48, 24, 2
-PAD = CLASSES
+REACH = 2
 ROUNDS, BATCH, RATE = 2, 2048, 0.03
+#: Words whose counts tasks hold; tokens that a task counts before it passes them on.
+HEAD, COUNTED = 1 << 16, 1 << 22
 
 
-def buckets_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words of the texts, and the number of words of each text."""
+def hashes_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each text."""
     h, counts = word_hashes([t.encode() if t else b"" for t in texts])
-    return (h >> np.uint64(48)).astype(np.int32), counts
+    return h.view(np.int64), counts
 
 
 # ------------------------------------------------------------------- vocabulary
 
-def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Tokens per bucket over all documents (BUCKETS numbers, whatever the corpus)."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n: tokens of every different word over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def counted():
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n, pa.int64())], ["word", "n"])
+
         for b in slices(batches):
             for group in _groups(b.column(0).to_pylist()):
-                total += np.bincount(np.concatenate([d for _, d in group]), minlength=BUCKETS)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], ["bucket", "n"])
+                held += [d for _, d in group]
+            if sum(map(len, held)) >= COUNTED:
+                yield counted()
+                held = []
+        if held:
+            yield counted()
+
+    return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-    rows = docs.select(text_col).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(
-        F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+
+def sizes_for(words: int) -> tuple[int, int, int]:
+    """Classes, those of a single word, and hidden units for so many different words:
+    they grow with its logarithm, as the cost of a token does."""
+    bits = math.log2(words + 2)
+    classes = 48 + round(2 * bits)
+    return classes, classes * 3 // 4, 20 + round(bits / 4)
 
 
 @dataclass
 class Vocabulary:
-    """``class_of`` and ``inside`` (log-probability within the class) per bucket."""
+    """Classes of all words, and counts of the most frequent ones."""
 
-    class_of: np.ndarray
-    inside: np.ndarray
+    head: np.ndarray         # hashes, ascending
+    head_class: np.ndarray
+    head_inside: np.ndarray  # log-probability within the class
+    classes: int
+    own: int                 # classes of a single word
+    hidden: int
+    log_total: np.ndarray    # logarithm of the weight of every class
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> "Vocabulary":
-        order = np.argsort(-counts, kind="stable")
-        class_of = np.empty(BUCKETS, dtype=np.int16)
-        class_of[order[:OWN]] = np.arange(OWN)
-        rest = order[OWN:]
+    def of(cls, counts: DataFrame) -> "Vocabulary":
+        """``counts``: word, n (a written table)."""
+        classes, own, hidden = sizes_for(counts.count())
+        shared = classes - own
+        rows = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+        word, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("word", "n"))
+        rank = np.arange(len(word))
         # neighbours in frequency go to different classes, which makes them equally heavy
-        class_of[rest] = OWN + np.arange(len(rest)) % (CLASSES - OWN)
-        weight = counts + 0.5
-        total = np.bincount(class_of, weights=weight, minlength=CLASSES)
-        return cls(class_of, np.log(weight / total[class_of]).astype(np.float32))
+        of_word = np.where(rank < own, rank, own + (rank - own) % shared)
+        total = np.zeros(classes)
+        by_hash = F.pmod("word", F.lit(shared))
+        for r in counts.groupBy(by_hash.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+            total[own + r["c"]] = r["n"] + 0.5 * r["words"]
+        # words of the head are not where their hash would put them
+        np.subtract.at(total, own + np.mod(word, shared), n + 0.5)
+        np.add.at(total, of_word, n + 0.5)
+        total[own:] += 0.5  # a word never seen
+        total = np.maximum(total, 0.5)
+        order = np.argsort(word)
+        inside = np.log((n + 0.5) / total[of_word]).astype(np.float32)
+        return cls(word[order], of_word[order].astype(np.int16), inside[order], classes, own, hidden, np.log(total))
+
+    def classified(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, log-probability within it, and whether a word is in the cache
+        (others have 0 for now)."""
+        if not len(self.head):
+            return (self.own + np.mod(words, self.classes - self.own)).astype(np.int16), np.zeros(len(words)), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+        known = self.head[at] == words
+        of_word = np.where(known, self.head_class[at], self.own + np.mod(words, self.classes - self.own)).astype(np.int16)
+        return of_word, np.where(known, self.head_inside[at], 0.0), known
 
 
 # ---------------------------------------------------------------------- network
 
-SHAPES = {"embed": (2 * REACH, CLASSES + 1, HIDDEN), "hidden_bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "out_bias": (CLASSES,)}
+def shapes(classes: int, hidden: int) -> dict[str, tuple[int, ...]]:
+    """The class after the last one stands for the outside of a text."""
+    return {"embed": (2 * REACH, classes + 1, hidden), "hidden_bias": (hidden,), "out": (hidden, classes), "out_bias": (classes,)}
 
 
 @dataclass
@@ -90,23 +136,23 @@ class Network:
     squares: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def start(cls, class_weights: np.ndarray) -> "Network":
+    def start(cls, log_weights: np.ndarray, hidden: int) -> "Network":
+        """``log_weights``: logarithm of the weight of every class."""
         rng = np.random.default_rng(17)
-        p = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in SHAPES.items()}
-        p["out_bias"] = np.log(class_weights / class_weights.sum()).astype(np.float32)
+        p = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in shapes(len(log_weights), hidden).items()}
+        p["out_bias"] = (log_weights - np.logaddexp.reduce(log_weights)).astype(np.float32)
         return cls(p)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.params[k].ravel() for k in SHAPES]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in self.params.values()]).astype(np.float64)
 
-    @classmethod
-    def from_flat(cls, values: np.ndarray) -> "Network":
+    def with_values(self, values: np.ndarray) -> "Network":
+        """A network of the same shape with other weights."""
         p, at = {}, 0
-        for k, shape in SHAPES.items():
-            n = int(np.prod(shape))
-            p[k] = values[at:at + n].reshape(shape).astype(np.float32)
-            at += n
-        return cls(p)
+        for k, old in self.params.items():
+            p[k] = values[at:at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+        return Network(p)
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hidden layer and log-probabilities of all classes; ``around``: one row of
@@ -130,7 +176,7 @@ class Network:
         dz /= n
         dh = (dz @ self.params["out"].T) * (1 - h * h)
         grad = {"out": h.T @ dz, "out_bias": dz.sum(axis=0), "hidden_bias": dh.sum(axis=0)}
-        embed = np.zeros(SHAPES["embed"], dtype=np.float32)
+        embed = np.zeros(self.params["embed"].shape, dtype=np.float32)
         for k in range(2 * REACH):
             order = np.argsort(around[:, k], kind="stable")
             c = around[order, k]
@@ -138,7 +184,7 @@ class Network:
             embed[k][c[heads]] = np.add.reduceat(dh[order], heads, axis=0)
         grad["embed"] = embed
         for k, g in grad.items():
-            s = self.squares.setdefault(k, np.full(SHAPES[k], 1e-4, dtype=np.float32))
+            s = self.squares.setdefault(k, np.full(g.shape, 1e-4, dtype=np.float32))
             s += g * g
             self.params[k] -= RATE * g / np.sqrt(s)
 
@@ -149,10 +195,10 @@ def neighbours(classes: np.ndarray) -> np.ndarray:
     return np.stack([classes[REACH + d:REACH + d + n] for d in (*range(-REACH, 0), *range(1, REACH + 1))], axis=1)
 
 
-def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(docs: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Class sequences laid side by side with REACH pads between them, and the
     places of their tokens among the inner positions."""
-    gap = np.full(REACH, PAD, dtype=np.int16)
+    gap = np.full(REACH, pad, dtype=np.int16)
     parts, places, at = [gap], [], 0
     for d in docs:
         parts += [d, gap]
@@ -163,7 +209,7 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(texts: list, most: int = 600_000) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """(number, buckets) of texts, about ``most`` characters at a time; a longer
+    """(number, hashes) of texts, about ``most`` characters at a time; a longer
     text is a group of its own."""
     at = 0
     while at < len(texts):
@@ -171,37 +217,53 @@ def _groups(texts: list, most: int = 600_000) -> Iterator[list[tuple[int, np.nda
         while to < len(texts) and (to == at or size + len(texts[to] or "") <= most):
             size += len(texts[to] or "")
             to += 1
-        buckets, counts = buckets_of(texts[at:to])
-        yield list(zip(range(at, to), np.split(buckets, np.cumsum(counts)[:-1])))
+        words, counts = hashes_of(texts[at:to])
+        yield list(zip(range(at, to), np.split(words, np.cumsum(counts)[:-1])))
         at = to
 
 
-def token_scores(net: Network, vocab: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
-    """Conditional log-probability of every token of the given bucket sequences."""
-    line, places = padded([vocab.class_of[d] for d in docs])
+def _split(values: np.ndarray, docs: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(d) for d in docs])[:-1]) if docs else []
+
+
+def token_scores(net: Network, vocab: Vocabulary, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Conditional log-probability of every token of the given word sequences (for
+    words outside the cache that of their class alone), classes, and whether a
+    word is in the cache."""
+    words = np.concatenate(docs) if docs else np.empty(0, dtype=np.int64)
+    of_word, inside, known = vocab.classified(words)
+    line, places = padded(_split(of_word, docs), vocab.classes)
     out = np.empty(len(places), dtype=np.float64)
     around, target = neighbours(line), line[REACH:len(line) - REACH]
-    buckets = np.concatenate(docs) if docs else np.empty(0, dtype=np.int32)
     for at in range(0, len(places), 16384):
         p = places[at:at + 16384]
         _, logp = net.forward(around[p])
-        out[at:at + 16384] = logp[np.arange(len(p)), target[p]] + vocab.inside[buckets[at:at + 16384]]
-    return out
+        out[at:at + 16384] = logp[np.arange(len(p)), target[p]] + inside[at:at + 16384]
+    return out, of_word, known
 
 
 # ---------------------------------------------------------------- training, scoring
 
-def train(docs: DataFrame, vocab: Vocabulary, class_weights: np.ndarray, text_col: str = "text") -> Network:
+@dataclass
+class Model:
+    net: Network
+    vocab: Vocabulary
+    counts: DataFrame  # word, n; a written table
+
+
+def train(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> Network:
     """Weights after ROUNDS rounds of averaged local training over all documents."""
-    net = Network.start(class_weights)
+    net = Network.start(vocab.log_total, vocab.hidden)
     for turn in range(ROUNDS):
-        start = net.flat()
+        start = net
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            local, seen = Network.from_flat(start), 0
+            local, seen = start.with_values(start.flat()), 0
             for b in slices(batches):
                 for group in _groups(b.column(0).to_pylist()):
-                    line, places = padded([vocab.class_of[d] for _, d in group])
+                    docs_ = [d for _, d in group]
+                    classes = vocab.classified(np.concatenate(docs_))[0]
+                    line, places = padded(_split(classes, docs_), vocab.classes)
                     if not len(places):
                         continue
                     places = np.random.default_rng(len(places)).permutation(places)
@@ -220,41 +282,53 @@ def train(docs: DataFrame, vocab: Vocabulary, class_weights: np.ndarray, text_co
         rows = share.mapInArrow(run, "i bigint, value double, weight double").groupBy("i").agg(
             (F.sum("value") / F.sum("weight")).alias("value")).collect()  # as many rows as the network has weights
         if rows:
-            values = np.empty(len(start))
+            values = np.empty(len(rows))
             for r in rows:
                 values[r["i"]] = r["value"]
-            net = Network.from_flat(values)
+            net = net.with_values(values)
     return net
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Network, Vocabulary]:
-    counts = bucket_counts(docs, text_col)
+def fit(docs: DataFrame, text_col: str = "text") -> Model:
+    counts = written(word_counts(docs, text_col))
     vocab = Vocabulary.of(counts)
-    weights = np.bincount(vocab.class_of, weights=counts + 0.5, minlength=CLASSES)
-    return train(docs, vocab, weights, text_col), vocab
+    return Model(train(docs, vocab, text_col), vocab, counts)
 
 
-def score(docs: DataFrame, model: tuple[Network, Vocabulary], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum over tokens) and mean_log_likelihood.
 
     Null, empty and blank texts have no tokens, a sum of 0 and a null mean. Rows
     that repeat are scored each, a null id stays null, an empty table gives no
     rows; only id and text are looked at.
     """
-    net, vocab = model
+    net, vocab = model.net, model.vocab
+    rare = pa.list_(pa.struct([("word", pa.int64()), ("of", pa.int16()), ("tf", pa.int32())]))
+
+    def rest(words: np.ndarray, classes: np.ndarray) -> list[dict]:
+        word, first, tf = np.unique(words, return_index=True, return_counts=True)
+        return [{"word": w, "of": c, "tf": n} for w, c, n in zip(word.tolist(), classes[first].tolist(), tf.tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, sums = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows)
+            n, sums, rares = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows), [[] for _ in range(b.num_rows)]
             for group in _groups(b.column(1).to_pylist()):
-                scores = token_scores(net, vocab, [d for _, d in group])
-                at = 0
-                for i, d in group:
-                    n[i], sums[i] = len(d), scores[at:at + len(d)].sum()
-                    at += len(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums)],
-                                             ["doc_id", "n_tokens", "log_likelihood"])
+                docs_ = [d for _, d in group]
+                parts = [_split(x, docs_) for x in token_scores(net, vocab, docs_)]
+                for (i, d), scores, classes, known in zip(group, *parts):
+                    n[i], sums[i] = len(d), scores.sum()
+                    rares[i] = rest(d[~known], classes[~known])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums), pa.array(rares, rare)],
+                                             ["doc_id", "n_tokens", "so_far", "rare"])
 
     scored = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+        run, "doc_id bigint, n_tokens bigint, so_far double, rare array<struct<word: bigint, of: smallint, tf: int>>")
+    # rows are numbered as they are written, so a number stays with its row
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()))
+    tokens = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    total = F.get(F.lit(vocab.log_total.tolist()), F.col("of").cast("int"))
+    inside = F.log(F.coalesce("n", F.lit(0)) + 0.5) - total
+    added = tokens.join(model.counts, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * inside).alias("inside"))
+    summed = scored.drop("rare").join(added, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("so_far") + F.coalesce("inside", F.lit(0.0))).alias("log_likelihood"))
+    return summed.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
