@@ -31,8 +31,8 @@ from flagtide.llm.common import slices, written
 #: Most labelled rows the classifier is fitted on (those with the smallest
 #: hash of their id); everything else covers all rows.
 MAX_LABELLED = 200_000
-#: A term must occur in so many toxic documents, and this share of them.
-MIN_SUPPORT, MIN_SHARE = 8, 0.004
+#: A term must occur in so many toxic documents.
+MIN_SUPPORT = 8
 #: Least ratio of a term's (smoothed) frequency in toxic to that in clean
 #: documents, least log-likelihood ratio of the two, and the ratio from which
 #: misspellings of a term are looked for.
@@ -157,11 +157,6 @@ class TermAutomaton:
         self.moves[state][c] = target
         return target
 
-    def match(self, word: str) -> tuple[str, int] | None:
-        """As ``nearest``, for terms that share one of the first two letters only."""
-        found = self.nearest(word)
-        return None if found and found[1] and word[:1] != found[0][:1] and word[1:2] != found[0][1:2] else found
-
     def nearest(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, or None."""
         if word in self.known:
@@ -180,7 +175,7 @@ class TermAutomaton:
 
 @dataclass
 class Model:
-    """All that scoring needs; its size is bounded by MIN_SHARE and MAX_LABELLED."""
+    """All that scoring needs; its size is bounded by MAX_LABELLED."""
 
     terms: dict[str, float]
     stems: dict[str, float]
@@ -299,7 +294,6 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
     """Whole words and stems (prefixes that open several words) far more
     frequent in toxic documents. Of nested stems the most telling is taken; the
     forms it opens in toxic documents are whole words too."""
-    least = max(MIN_SUPPORT, math.ceil(MIN_SHARE * n_toxic))
     ratio = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     # against one rate for both kinds of documents
     both = (F.col("toxic") + F.col("clean")) / max(1, n_toxic + n_clean)
@@ -307,10 +301,10 @@ def learn_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str
                      + F.when(F.col("clean") > 0, F.col("clean") * F.ln(F.col("clean") / (both * n_clean))).otherwise(0.0))
 
     def chosen(table: DataFrame, key: str):
-        rows = (table.where((F.col("toxic") >= least) & (F.length(key) >= 3))
+        rows = (table.where((F.col("toxic") >= MIN_SUPPORT) & (F.length(key) >= 3))
                 .withColumn("ratio", ratio).withColumn("significance", log_ratio)
                 .where((F.col("ratio") >= MIN_RATIO) & (F.col("significance") >= MIN_SIGNIFICANCE))
-                .orderBy(F.desc("significance"), F.desc(F.length(key)), key).collect())  # MIN_SHARE bounds them
+                .orderBy(F.desc("significance"), F.desc(F.length(key)), key).collect())  # the labelled rows bound them
         return {r[key]: (r["toxic"], math.log(r["ratio"])) for r in rows}
 
     prefixes = counts.where(F.length("word") > min(STEM_LENGTHS)).select(
@@ -422,7 +416,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; nothing but
     the text goes into a score. Null and empty texts get the score of a text
-    without matches. A null id counts as not held out."""
+    without matches, very long ones are read to their end. Rows that repeat are
+    scored each, a null id counts as not held out, an empty table gives no rows;
+    other columns are not looked at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(model)
         for b in slices(batches):
@@ -436,7 +432,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` not predicted toxic, all columns unchanged, in one
-    pass without a shuffle (the verdict is computed on the row itself)."""
+    pass without a shuffle (the verdict is computed on the row itself). Null,
+    empty and very long texts, repeated rows and null ids are judged as in
+    ``score``; columns of any name stay; an empty table gives no rows."""
     model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
