@@ -55,55 +55,58 @@ def chunk_bounds(lines: list[str], c: Chunking) -> list[tuple[int, int]]:
     return out
 
 
+ROW = ["row", "twin"]
+
+
 def chunks(rows: DataFrame, c: Chunking) -> DataFrame:
-    """row, doc_id, first, last, digest: the chunks of two or more lines."""
-    names = ["row", "doc_id", "first", "last", "digest"]
+    """row, twin, doc_id, first, last, digest: the chunks of two or more lines."""
+    names = ["row", "twin", "doc_id", "first", "last", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row, twin, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 lines = (text or "").split("\n")
                 for a, b in chunk_bounds(lines, c):
                     if b - a > 1:
                         digest = xxhash.xxh3_64_intdigest("\n".join(lines[a:b]).encode()) >> (64 - c.digest_bits)
-                        out.append((row, doc, a, b, digest - (1 << 63)))
+                        out.append((row, twin, doc, a, b, digest - (1 << 63)))
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
 
-    return rows.mapInArrow(run, "row bigint, doc_id bigint, first int, last int, digest bigint")
+    return rows.mapInArrow(run, "row bigint, twin bigint, doc_id bigint, first int, last int, digest bigint")
 
 
 def with_bytes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, doc_id, first, last, digest, bytes of the wanted chunks."""
-    by_row = written(wanted.groupBy("row").agg(F.collect_set(F.struct("doc_id", "first", "last", "digest")).alias("parts")))
+    """row, twin, doc_id, first, last, digest, bytes of the wanted chunks."""
+    by_row = written(wanted.groupBy(*ROW).agg(F.collect_set(F.struct("doc_id", "first", "last", "digest")).alias("parts")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple] = []
-            for row, text, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for row, twin, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 lines = (text or "").split("\n")
-                out += [(row, p["doc_id"], p["first"], p["last"], p["digest"],
+                out += [(row, twin, p["doc_id"], p["first"], p["last"], p["digest"],
                          "\n".join(lines[p["first"]:p["last"]]).encode()) for p in parts]
             if out:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)],
-                                                 ["row", "doc_id", "first", "last", "digest", "bytes"])
+                                                 ["row", "twin", "doc_id", "first", "last", "digest", "bytes"])
 
-    texts = key_filter(rows.select("row", "text"), "row", by_row, "row").dropDuplicates(["row"]).join(by_row, "row")
-    return texts.select("row", "text", "parts").mapInArrow(
-        run, "row bigint, doc_id bigint, first int, last int, digest bigint, bytes binary")
+    texts = key_filter(rows.select(*ROW, "text"), "row", by_row, "row").dropDuplicates(ROW).join(by_row, ROW)
+    return texts.select(*ROW, "text", "parts").mapInArrow(
+        run, "row bigint, twin bigint, doc_id bigint, first int, last int, digest bigint, bytes binary")
 
 
 def repeated_chunks(rows: DataFrame, c: Chunking) -> DataFrame:
-    """row, first, last of the chunks to remove. ``rows``: row, doc_id, text."""
+    """row, twin, first, last of the chunks to remove. ``rows``: row, twin, doc_id, text."""
     found = written(chunks(rows, c))
     again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     same = written(with_bytes(rows, found.join(again, "digest")))
-    place = F.struct("doc_id", "row", "first")
+    place = F.struct("doc_id", *ROW, "first")
     firsts = same.groupBy("digest", "bytes").agg(F.min(place).alias("keep"))
-    return same.join(firsts, ["digest", "bytes"]).where(place != F.col("keep")).select("row", "first", "last")
+    return same.join(firsts, ["digest", "bytes"]).where(place != F.col("keep")).select(*ROW, "first", "last")
 
 
 def remove_repeated(docs: DataFrame, chunking: Chunking = Chunking(), id_col: str = "doc_id",
@@ -116,9 +119,11 @@ def remove_repeated(docs: DataFrame, chunking: Chunking = Chunking(), id_col: st
     rows that repeat the text under another id lose their repeated chunks. An
     empty table gives no rows. Other columns are not looked at.
     """
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    # two hashes over differently ordered values: together the 128-bit number of a document
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("row"),
+                       F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias("twin"), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
-    by_row = written(repeated_chunks(rows, chunking).groupBy("row").agg(
+    by_row = written(repeated_chunks(rows, chunking).groupBy(*ROW).agg(
         F.sort_array(F.collect_set(F.struct("first", "last"))).alias("gone")))
 
     @F.pandas_udf("n_removed bigint, kept_text string")
@@ -140,6 +145,6 @@ def remove_repeated(docs: DataFrame, chunking: Chunking = Chunking(), id_col: st
     report = ["doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text"]
     whole = key_filter(rows, "row", by_row, "row", inside=False).select(
         "doc_id", n_lines, F.lit(0).cast("long").alias("n_removed"), text.alias("kept_text")).select(*report)
-    changed = key_filter(rows, "row", by_row, "row").join(by_row, "row", "left").select(
+    changed = key_filter(rows, "row", by_row, "row").join(by_row, ROW, "left").select(
         "doc_id", n_lines, cut(text, "gone").alias("cut")).select("doc_id", "n_lines", "cut.*").select(*report)
     return whole.unionByName(changed)

@@ -32,11 +32,6 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BLOCK, SHELL = 96, 0.05
 
 
-def node_of(set_hash: str = "set_hash") -> Column:
-    """A distinct set is known by a number made of its 128-bit hash."""
-    return F.xxhash64(set_hash)
-
-
 @dataclass(frozen=True)
 class Settings:
     """``words`` to a shingle; link at intersection * per >= least * union."""
@@ -128,7 +123,7 @@ def set_hash(shingles: np.ndarray) -> bytes | None:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, shingles (sorted 64-bit values, as bytes) of a column of texts."""
+    """set_hash, shingles (sorted 64-bit values, as bytes) of a column of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingles_of(batch.column(0).to_pylist(), k)
@@ -136,7 +131,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                                               pa.array([x.tobytes() for x in sets], pa.binary())],
                                              ["set_hash", "shingles"])
 
-    return docs.mapInArrow(run, "set_hash binary, shingles binary").select(node_of().alias("node"), "shingles")
+    return docs.mapInArrow(run, "set_hash binary, shingles binary")
 
 
 # ---------------------------------------------------------------- the join
@@ -251,11 +246,13 @@ def block_links(batch: pa.Table, s: Settings) -> pa.Table:
 def links(sets: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """a, b: links between distinct sets, enough to connect what belongs together.
 
-    ``sets``: node, doc_id (of one row with the set), sig; ``texts``: doc_id, text."""
+    ``sets``: node, set_hash, doc_id (of one row with the set), sig; ``texts``: doc_id, text."""
     found = written(families(sets, s))
     wanted = found.join(sets.select("node", "doc_id"), "node").select("doc_id").distinct()
     full = shingle_sets(texts.join(wanted, "doc_id").select("text"), s.words)
-    members = written(found.join(full, "node").dropDuplicates(["node"]))
+    # rows that share an id give other sets as well; a set is met by its whole 128-bit hash
+    members = written(found.join(sets.select("node", "set_hash"), "node").join(full, "set_hash").drop("set_hash")
+                      .dropDuplicates(["node"]))
     centres = members.groupBy("family").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +312,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     s = settings
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(signatures(texts.withColumn("row_key", F.xxhash64("doc_id", "text")), s))
+    # a distinct set is known by its 128-bit hash, and numbered as it is written
     classes = written(rows.where("n_shingles > 0").groupBy("set_hash").agg(
-        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).withColumn("node", node_of()))
+        F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()))
     found = components(links(classes.where("doc_id is not null"), texts, s))
     merged = classes.select("set_hash", "doc_id", "node").join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
