@@ -7,10 +7,10 @@ next one. ``convert`` reads such archives, and synthesises for every record a
 WARC identifier, timestamp, type and digests; of records with equal payloads
 one is the response, the others revisit it.
 
-Archives are written and read by Spark's own text and binary-file sources
-(gzip), so they can lie in any store Spark reaches. The writer starts a new
-file, with a header block of its own, every ``RECORDS_PER_FILE`` records; a
-reading task holds one file at a time.
+Archives are written and read by Spark's own text source (gzip), so they can lie
+in any store Spark reaches. The writer starts a new file, with a header block of
+its own, after as many records as make ``FILE_BYTES`` on average. Reading inflates
+as a stream: a file comes in pieces, and a task holds one record of it at a time.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import base64
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,7 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flagtide.llm.common import shared_folder, written
 from flagtide.session import ship_package
 
-RECORDS_PER_FILE = 5_000
+#: Bytes of a file's records on average, and most records of one.
+FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 5_000
+#: What parts the pieces that a file is read in; it may stand anywhere in it.
+PIECE = "\r\n\r\n"
 
 # The two record header layouts of the ARC format.
 ARC_FIELDS = {
@@ -41,15 +44,20 @@ WARC_VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _write_text(records: DataFrame, path: str, separator: str) -> None:
+def _write_text(records: DataFrame, path: str, separator: str, per_file: int) -> None:
     (records.select("value").write.option("lineSep", separator).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path))
 
 
-def _first_of_file() -> Column:
+def _first_of_file(per_file: int) -> Column:
     """True for the rows of a partition at which the writer opens a file."""
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return in_partition % RECORDS_PER_FILE == 0
+    return in_partition % per_file == 0
+
+
+def records_per_file(mean_bytes: float | None) -> int:
+    """Records that make FILE_BYTES, headers included, on average."""
+    return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / ((mean_bytes or 0) + 500))))
 
 
 # ---------------------------------------------------------------- ARC writing
@@ -67,10 +75,11 @@ def write_arc(pages: DataFrame, path: str, version: str | Column = "1", date: st
     empty url becomes ``about:blank``. ``version`` may be a column of "1" and "2"
     that does not change inside a partition."""
     v = F.lit(version) if isinstance(version, str) else version
+    per_file = records_per_file(pages.agg(F.avg(F.octet_length("html"))).first()[0])
     url = F.regexp_replace(F.col("url"), r"\s", "%20")
     rows = pages.select(F.when(F.length(url) > 0, url).otherwise(F.lit("about:blank")).alias("url"),
                         http_block(F.col("page_id"), F.col("html")).alias("block"), v.alias("v"),
-                        _first_of_file().alias("opens"))
+                        _first_of_file(per_file).alias("opens"))
     n = F.octet_length("block").cast("string")
     second = F.concat(F.lit(" 0.0.0.0 "), F.lit(date), F.lit(" text/html"))
     header = F.concat("url", second, F.when(F.col("v") == "2", " 200 - - 0 converted.arc ").otherwise(" "), n)
@@ -82,33 +91,64 @@ def write_arc(pages: DataFrame, path: str, version: str | Column = "1", date: st
         versions = (F.when if versions is None else versions.when)(F.col("v") == name, F.lit(block))
     record = F.concat(header, F.lit("\n"), F.col("block"))
     _write_text(rows.select(F.when(F.col("opens"), F.concat(versions, record)).otherwise(record).alias("value")),
-                path, "\n")
+                path, "\n", per_file)
 
 
 # ---------------------------------------------------------------- ARC reading
 
-def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file, or the bytes themselves."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) if out else data
-
-
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, content) of an uncompressed ARC file."""
-    at, fields = 0, ARC_FIELDS["1"]
-    while at < len(data):
-        if data[at:at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+class _Source:
+    """Bytes that come in pieces; what has been taken is let go."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+
+    def _more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.held += piece
+        return True
+
+    def blank_lines(self) -> bool:
+        """Skips line ends; false at the end of the bytes."""
+        while True:
+            n = len(self.held) - len(self.held.lstrip(b"\r\n"))
+            self.take(n)
+            if self.held:
+                return True
+            if not self._more():
+                return False
+
+    def until(self, mark: bytes) -> bytes:
+        """The bytes before ``mark``, which is taken as well."""
+        start = 0
+        while (end := self.held.find(mark, start)) < 0:
+            start = max(0, len(self.held) - len(mark) + 1)
+            if not self._more():
+                raise ValueError(f"no end of a header at {self.at}")
+        out = self.take(end)
+        self.take(len(mark))
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.at += len(out)
+        return out
+
+
+def arc_records(pieces: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, header fields, content) of an ARC file that comes in pieces."""
+    source, fields = _Source(iter(pieces)), ARC_FIELDS["1"]
+    while source.blank_lines():
+        at = source.at
+        line = source.until(b"\n").decode("utf-8", "replace").rstrip("\r")
         # the declared length is the last field of either version
         length = int(line.rpartition(" ")[2])
-        content = data[end + 1:end + 1 + length]
+        content = source.take(length)
         if len(content) < length:
             raise ValueError(f"ARC record at {at} declares {length} bytes, {len(content)} are there")
         if line.startswith("filedesc://"):
@@ -118,7 +158,6 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             if len(values) != len(fields):
                 raise ValueError(f"ARC record at {at} has {len(values)} header fields, not {len(fields)}")
             yield at, dict(zip(fields, values)), content
-        at = end + 1 + length
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -168,10 +207,22 @@ def _batch(types, names, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types[n]) for n in names], names)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, piece: the files below ``path`` cut at every PIECE, inflated as they are
+    read; a file is one task's, and its pieces come in order."""
     ship_package(spark)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.option("lineSep", PIECE).option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.gz").text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("piece"))
+
+
+def _files(batches) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """Files by name, each with its bytes in pieces. The last PIECE of a file does not
+    tell whether it was there: it always comes, and is a blank line to the parsers
+    where no record needs it."""
+    rows = (row for b in batches for row in zip(b.column("file").to_pylist(), b.column("piece").to_pylist()))
+    mark = PIECE.encode()
+    for file, own in groupby(rows, key=lambda row: row[0]):
+        yield file, (part for _, piece in own for part in (piece, mark))
 
 
 def read_arc(spark: SparkSession, path: str, with_content: bool) -> DataFrame:
@@ -180,23 +231,22 @@ def read_arc(spark: SparkSession, path: str, with_content: bool) -> DataFrame:
     names = [n for n in PARSED if with_content or n not in ("head", "payload")]
 
     def rows(batches) -> Iterator[dict]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name = file.rpartition("/")[2]
-                for offset, fields, block in arc_records(_gunzip(content.as_py())):
-                    head, payload = split_http(block)
-                    page = http_field(head, "X-Page-Id")
-                    key = f"{name} {offset} {fields['URL']} {fields['Archive-date']}"
-                    yield {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}",
-                           "page_id": int(page) if page else None, "uri": fields["URL"],
-                           "date": warc_date(fields["Archive-date"]), "payload_bytes": len(payload),
-                           "payload_digest": base32_sha1(payload), "block_digest": base32_sha1(block),
-                           "head_digest": base32_sha1(head), "head": head, "payload": payload}
+        for file, pieces in _files(batches):
+            name = file.rpartition("/")[2]
+            for offset, fields, block in arc_records(pieces):
+                head, payload = split_http(block)
+                page = http_field(head, "X-Page-Id")
+                key = f"{name} {offset} {fields['URL']} {fields['Archive-date']}"
+                yield {"record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, key)}",
+                       "page_id": int(page) if page else None, "uri": fields["URL"],
+                       "date": warc_date(fields["Archive-date"]), "payload_bytes": len(payload),
+                       "payload_digest": base32_sha1(payload), "block_digest": base32_sha1(block),
+                       "head_digest": base32_sha1(head), "head": head, "payload": payload}
 
     def run(batches):
         yield from _batches(PARSED, names, rows(batches), lambda r: len(r["payload"]) if with_content else 0)
 
-    return _files(spark, path).mapInArrow(run, _ddl(PARSED, names))
+    return _pieces(spark, path).mapInArrow(run, _ddl(PARSED, names))
 
 
 # ------------------------------------------------------------------ conversion
@@ -242,37 +292,35 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0)
 
     Record types are decided on digests alone (a small table); contents are
     read a second time, joined to their decision and written."""
-    decided = written(record_types(written(read_arc(spark, arc_path, False)), least))
+    found = written(read_arc(spark, arc_path, False))
+    per_file = records_per_file(found.agg(F.avg("payload_bytes")).first()[0])
+    decided = written(record_types(found, least))
     records = read_arc(spark, arc_path, True).join(decided, "record_id")
-    rows = records.select(warc_value(records).alias("record"), _first_of_file().alias("opens"))
+    rows = records.select(warc_value(records).alias("record"), _first_of_file(per_file).alias("opens"))
     body = "software: flagtide\r\nformat: WARC file version 1.1\r\n"
     info = (f"{WARC_VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\n"
             f"WARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\n"
             f"Content-Length: {len(body)}\r\n\r\n{body}\r\n\r\n")
     _write_text(rows.select(F.when(F.col("opens"), F.concat(F.lit(info), "record")).otherwise(
-        F.col("record")).alias("value")), warc_path, "\r\n\r\n")
+        F.col("record")).alias("value")), warc_path, "\r\n\r\n", per_file)
 
 
 # ---------------------------------------------------------------- WARC reading
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of an uncompressed WARC file."""
-    at = 0
-    while at < len(data):
-        if data[at:at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
+def warc_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of a WARC file that comes in pieces."""
+    source = _Source(iter(pieces))
+    while source.blank_lines():
+        at = source.at
+        version, *lines = source.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         length = int(fields["content-length"])
-        block = data[end + 4:end + 4 + length]
+        block = source.take(length)
         if len(block) < length:
             raise ValueError(f"WARC record at {at} declares {length} bytes, {len(block)} are there")
         yield fields, block
-        at = end + 4 + length
 
 
 READ = {"record_id": pa.string(), "record_type": pa.string(), "refers_to_id": pa.string(), "page_id": pa.int64(),
@@ -287,29 +335,28 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     bare = lambda v: v.strip("<>") if v else None
 
     def rows(batches) -> Iterator[dict]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for fields, block in warc_records(_gunzip(content.as_py())):
-                    kind = fields["warc-type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    head, payload = split_http(block)
-                    digest = fields["warc-payload-digest"].partition(":")[2]
-                    whole = kind == "response"
-                    if fields["warc-block-digest"].partition(":")[2] != base32_sha1(block) or (
-                            whole and digest != base32_sha1(payload)):
-                        raise ValueError(f"digest mismatch in {file}: {fields['warc-record-id']}")
-                    page = http_field(head, "X-Page-Id")
-                    yield {"record_id": bare(fields["warc-record-id"]), "record_type": kind,
-                           "refers_to_id": bare(fields.get("warc-refers-to")), "page_id": int(page) if page else None,
-                           "uri": fields.get("warc-target-uri"), "date": fields["warc-date"],
-                           "payload_bytes": len(payload) if whole else int(http_field(head, "Content-Length") or 0),
-                           "payload_digest": digest, "payload": payload if whole else None}
+        for file, pieces in _files(batches):
+            for fields, block in warc_records(pieces):
+                kind = fields["warc-type"]
+                if kind not in ("response", "revisit"):
+                    continue
+                head, payload = split_http(block)
+                digest = fields["warc-payload-digest"].partition(":")[2]
+                whole = kind == "response"
+                if fields["warc-block-digest"].partition(":")[2] != base32_sha1(block) or (
+                        whole and digest != base32_sha1(payload)):
+                    raise ValueError(f"digest mismatch in {file}: {fields['warc-record-id']}")
+                page = http_field(head, "X-Page-Id")
+                yield {"record_id": bare(fields["warc-record-id"]), "record_type": kind,
+                       "refers_to_id": bare(fields.get("warc-refers-to")), "page_id": int(page) if page else None,
+                       "uri": fields.get("warc-target-uri"), "date": fields["warc-date"],
+                       "payload_bytes": len(payload) if whole else int(http_field(head, "Content-Length") or 0),
+                       "payload_digest": digest, "payload": payload if whole else None}
 
     def run(batches):
         yield from _batches(READ, names, rows(batches), lambda r: len(r["payload"] or b"") if with_payload else 0)
 
-    return _files(spark, path).mapInArrow(run, _ddl(READ, names))
+    return _pieces(spark, path).mapInArrow(run, _ddl(READ, names))
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:

@@ -30,23 +30,76 @@ def _fixed(data):
 
 
 def test_version_specific_headers_and_lengths():
-    one = list(W.arc_records(_fixed(ARC["1"])))
+    whole = lambda data: list(W.arc_records([data]))
+    one = whole(_fixed(ARC["1"]))
     assert [(f["URL"], f["Content-type"], c) for _, f, c in one] == [
         ("http://a.example/", "text/html", b"line\nline"), ("http://b.example/x", "text/plain", b"")]
-    two = list(W.arc_records(_fixed(ARC["2"]) + _fixed(ARC["1"])))  # the version changes on the way
+    two = whole(_fixed(ARC["2"]) + _fixed(ARC["1"]))  # the version changes on the way
     assert [f.get("Result-code") for _, f, _ in two] == ["404", None, None]
     with pytest.raises(ValueError):
-        list(W.arc_records(_fixed(ARC["1"]).replace(b"text/html 9", b"text/html 9000")))
+        whole(_fixed(ARC["1"]).replace(b"text/html 9", b"text/html 9000"))
     with pytest.raises(ValueError):
-        list(W.arc_records(_fixed(ARC["1"]).replace(b"text/html 9", b"text/html extra 9")))
+        whole(_fixed(ARC["1"]).replace(b"text/html 9", b"text/html extra 9"))
+    data = _fixed(ARC["2"]) + _fixed(ARC["1"])
+    for size in (1, 2, 3, 7, 50):  # whatever the pieces
+        assert list(W.arc_records(data[i:i + size] for i in range(0, len(data), size))) == two
 
 
 def test_dates_digests_and_members():
     assert W.warc_date("20010203040506") == "2001-02-03T04:05:06Z"
     assert W.warc_date("200102") == "2001-02-01T00:00:00Z"
     assert W.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
-    data = gzip.compress(b"one") + gzip.compress(b"two")
-    assert W._gunzip(data) == b"onetwo" and W._gunzip(b"plain") == b"plain"
+    assert [W.records_per_file(n) for n in (None, 100, 1 << 20, 1 << 28)] == [5_000, 5_000, 63, 1]
+
+
+def test_one_record_is_held_at_a_time():
+    """Of a long file no more than a record and a piece is in memory."""
+    record = b"http://a.example/ 1.2.3.4 20010203040506 text/html 100000\n" + b"x" * 100_000 + b"\n"
+    head = _fixed(ARC["1"])
+    head = head[:head.index(b"http://a")]
+    longest = 0
+
+    def pieces():
+        nonlocal longest
+        yield head
+        for _ in range(300):
+            for at in range(0, len(record), 4096):
+                yield record[at:at + 4096]
+                longest = max(longest, len(source.held))
+
+    made = W._Source
+
+    def kept(x):
+        nonlocal source
+        source = made(x)
+        return source
+
+    source = None
+    W._Source, n = kept, 0
+    try:
+        for _ in W.arc_records(pieces()):
+            n += 1
+    finally:
+        W._Source = made
+    assert n == 300 and longest < len(record) + 2 * 4096
+
+
+def test_files_of_several_gzip_members(spark, tmp_path):
+    (tmp_path / "a.arc.gz").write_bytes(gzip.compress(_fixed(ARC["2"])) + gzip.compress(_fixed(ARC["1"])))
+    rows = W.read_arc(spark, f"file:{tmp_path}", True).collect()
+    assert [(r.uri, bytes(r.payload)) for r in rows] == [("http://a.example/", b"line\nline"), ("http://a.example/", b"line\nline"),
+                                                         ("http://b.example/x", b"")]
+
+
+def test_pieces_at_the_very_end(spark):
+    """Payloads that end in parts of the mark that files are cut at, and clashing columns."""
+    rows = [(i, "http://x", "q" + end) for i, end in enumerate(["\r\n\r\n", "\r\n\r", "\r\n", "\r", "\r\n\r\n\r\n\r\n", "\n", ""])]
+    for some in ([r] for r in rows):
+        df = spark.createDataFrame([(*r, "mine", "f") for r in some], "page_id long, url string, html string, payload_digest string, file string")
+        (got,) = W.archive_pages(df).collect()
+        payload = some[0][2].encode()
+        assert (got.payload_bytes, got.record_type) == (len(payload), "response")
+        assert got.payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
 def brute(rows):
