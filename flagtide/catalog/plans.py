@@ -526,22 +526,27 @@ failed AS (SELECT DISTINCT repo_id FROM corpus WHERE o_orderkey % 97 = 0),
 ncand AS (SELECT repo_id, count(*) AS n FROM corpus WHERE k IN (0, 1, 2, 5, 7) AND o_orderkey % 97 <> 0
           AND repo_id NOT IN (SELECT repo_id FROM failed) GROUP BY repo_id),
 ctx AS (SELECT CAST(c_custkey AS STRING) AS repo_id,
-               CASE WHEN c_custkey % 11 = 0 THEN '   ' ELSE concat(c_name, ' ', c_mktsegment) END AS text FROM customer)
+               CASE WHEN c_custkey % 11 = 0 THEN '   ' WHEN c_custkey % 17 = 0 THEN concat(' ', repeat(c_name, 1200), ' ')
+                    ELSE concat(c_name, ' ', c_mktsegment) END AS text FROM customer)
 SELECT c.repo_id,
        CASE WHEN length(trim(c.text)) > 20000 THEN 'error_context_too_long'
             WHEN trim(c.text) = '' THEN 'empty_plan_no_context'
             WHEN n.n IS NULL THEN 'empty_plan_no_candidates'
+            WHEN CAST(c.repo_id AS BIGINT) % 7 = 0 THEN 'error_empty_allowlist'
             ELSE 'call_model' END AS decision
 FROM ctx c LEFT JOIN ncand n ON n.repo_id = c.repo_id
 """)
 def early_exit_rules(spark, sf_dir):
-    """Decision per repo before any model call (context blank for customers % 11)."""
+    """Decision per repo before any model call: the context is blank for customers
+    % 11 and too long for % 17, the allowlist is empty for % 7."""
     from flagtide.plans.discovery import early_exit
     cust = read_table(spark, sf_dir, "customer")
-    ctx = cust.select(F.col("c_custkey").cast("string").alias("repo_id"),
-                      F.when(F.col("c_custkey") % 11 == 0, F.lit("   "))
+    key = F.col("c_custkey")
+    ctx = cust.select(key.cast("string").alias("repo_id"),
+                      F.when(key % 11 == 0, F.lit("   "))
+                      .when(key % 17 == 0, F.concat(F.lit(" "), F.repeat("c_name", F.lit(1200)), F.lit(" ")))
                       .otherwise(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("text"))
-    allow = _allowlist(spark, sf_dir)
+    allow = _allowlist(spark, sf_dir).where(F.col("repo_id").cast("bigint") % 7 != 0)
     return early_exit(ctx, _candidates(spark, sf_dir), allow).select("repo_id", "decision")
 
 

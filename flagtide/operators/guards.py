@@ -103,14 +103,18 @@ class Extraction:
 def parse_files(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Per file, in one pass: size check, decode, parse. Oversize files and
     files without content are neither decoded nor parsed (their text is null). ``text`` stays next to
-    the result so snippets are cut natively without a second pass."""
+    the result so snippets are cut natively without a second pass. What a folder
+    source says of files and folders it could not read or list (``read_error``,
+    ``list_error``, where the table has them) is the reason of their error."""
     size = F.coalesce(F.col("size"), F.length("content").cast("bigint"), F.lit(0).cast("bigint"))
-    sized = files.select("repo_id", "path", size.alias("size"), "content")
+    said = [F.col(c) for c in ("read_error", "list_error") if c in files.columns]
+    sized = files.select("repo_id", "path", size.alias("size"), "content",
+                         F.coalesce(*said, F.lit("file has no content")).alias("unread_error"))
     decoded = decode_source(sized)
     fits = F.col("size") <= max_file_bytes
     text = F.when(fits, F.col("text"))
     return decoded.select(
-        "repo_id", "path", "size", text.alias("text"), F.col("content").isNull().alias("unread"),
+        "repo_id", "path", "size", text.alias("text"), F.when(F.col("content").isNull(), F.col("unread_error")).alias("unread"),
         F.when(fits, F.col("decode_error")).alias("decode_error"),
         F.when(text.isNotNull(), _parse_guards(text)).alias("parsed"))
 
@@ -131,12 +135,12 @@ def extract_files(files: DataFrame, context_lines: int = tx.CONTEXT_LINES,
                          max_snippet_chars).alias("snippet")))
     oversize = F.col("size") > max_file_bytes
     stage = (F.when(oversize, F.lit("oversize"))
-             .when(F.col("unread"), F.lit("read"))
+             .when(F.col("unread").isNotNull(), F.lit("read"))
              .when(F.col("decode_error").isNotNull(), F.lit("decode"))
              .when(F.col("parsed.error").isNotNull(), F.lit("parse")))
     error = F.when(oversize, F.format_string("file is %d bytes; limit is %d", F.col("size"),
                                              F.lit(max_file_bytes))) \
-        .when(F.col("unread"), F.lit("file has no content")) \
+        .when(F.col("unread").isNotNull(), F.col("unread")) \
         .otherwise(F.coalesce("decode_error", "parsed.error"))
     return parsed.select(
         "repo_id", "path", F.when(stage.isNull(), guards).otherwise(empty).alias("guards"),

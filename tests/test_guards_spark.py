@@ -184,7 +184,11 @@ def test_tree_rows_for_what_cannot_be_read(spark, tmp_path):
     (tmp_path / "r1" / "gone.py").unlink()
     row = read.collect()[0]
     assert row.content is None and row.read_error.startswith("FileNotFoundError")
-    assert [r.stage for r in G.extract_files(read).collect()] == ["read"]
+    assert [(r.stage, r.error) for r in G.extract_files(read).collect()] == [("read", row.read_error)]
+    cands, errors = G.discover_candidates(read.unionByName(files_df(spark, [("r1", "a.py", "if A_B:\n    c()\n"), (
+        "r2", "a.py", "if A_B:\n    c()\n")]).withColumn("read_error", F.lit(None).cast("string"))))
+    assert [r.repo_id for r in cands.collect()] == ["r2"]  # a file that cannot be read ends its repository's candidates
+    assert [(e.path, e.error) for e in errors.collect()] == [("gone.py", row.read_error)]
     with pytest.raises(ValueError):
         tree.mounted_path("hdfs://host/tree")
 
