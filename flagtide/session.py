@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,6 +94,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+class Scratch:
+    """Folders written below the shared checkpoint folder while it is open."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def keep(self, path: str) -> None:
+        """``path`` outlives the block."""
+        self.paths.remove(path)
+
+
+_OPEN: list[Scratch] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes what is written by ``store``, ``materialize`` and ``shared_path`` in the
+    block when it ends well, but for what is kept. After an error all stays."""
+    made = Scratch()
+    _OPEN.append(made)
+    try:
+        yield made
+        done = True
+    except BaseException:
+        done = False
+        raise
+    finally:
+        _OPEN.remove(made)
+        if done:
+            for path in made.paths:
+                delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of this library from the shared store, whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new folder name below the cluster's shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].paths.append(path)
+    return path
+
+
+def store(df: DataFrame) -> str:
+    """Writes the rows once as a table in the shared checkpoint folder; its path."""
+    path = shared_path(df.sparkSession, "tables")
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage by writing the rows once as a table in the shared
     checkpoint folder and reading them back.
@@ -101,9 +157,4 @@ def materialize(df: DataFrame) -> DataFrame:
     action, once for the checkpoint file), and the result survives the loss
     of any executor.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(store(df))
