@@ -5,14 +5,13 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flagtide.session import ensure_checkpoint_dir, materialize, ship_package
+from flagtide.session import materialize, shared_path, ship_package
 
 # A-Z and their lower-case forms, the only letters that change.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,7 +93,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}/{uuid.uuid4().hex}"
+    return shared_path(spark, what)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -102,3 +102,19 @@ def test_repeated_rows_leave_their_text_once(spark):
     for _, stage in P.STAGES[:4]:
         df = written(stage(spark, df, SF))
     assert sorted(r.text for r in df.collect()) == sorted(texts.values())
+
+
+def test_run_leaves_its_result_only(spark, stages):
+    import os
+    from urllib.parse import urlparse
+
+    from flagtide.session import ensure_checkpoint_dir
+
+    base = urlparse(ensure_checkpoint_dir(spark)).path
+    folders = lambda: {os.path.join(d, x) for d in map(lambda k: os.path.join(base, k), os.listdir(base))
+                       if os.path.isdir(d) for x in os.listdir(d)}
+    before = folders()
+    result = P.run(spark, SF)
+    assert len(folders() - before) == 1
+    key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
+    assert key(result) == key(stages[5])
