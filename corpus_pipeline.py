@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flagtide.llm import exact_dedup, minhash, packing, suffix_dedup, toxicity
-from flagtide.llm.common import table, written
+from flagtide.llm.common import table
+from flagtide.session import delete, scratch, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again. What a
+    stage has written on its way goes when its result is there, and that goes when
+    the next one is: two copies of the documents at most are kept, then the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            path = store(stage(spark, docs, sf_dir))
+            made.keep(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
