@@ -256,7 +256,9 @@ def pack_documents(docs: DataFrame, window: int = 2048, with_ids: bool = False,
                    text_col: str = "text", make_encoder=Encoder.public) -> DataFrame:
     """Tokenises and packs: one row per piece, see ``tokenize`` and ``pack``.
 
-    Null and empty texts are one piece of one token; a null id stays null; of
-    rows that repeat an id each is a document; other columns are not looked at.
+    Null and empty texts are one piece of one token, a very long text is cut into
+    as many pieces as it needs; a null id stays null; of rows that repeat an id
+    each is a document; an empty table gives no rows; other columns are not
+    looked at.
     """
     return pack(written(tokenize(docs, window, with_ids, id_col, text_col, make_encoder)), window)

@@ -83,3 +83,22 @@ def test_odd_rows(spark):
     assert result.count() == len(rows)
     assert got(result) == brute(rows)
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_ties_at_the_threshold(spark):
+    """Cosines of exactly the threshold link, smaller ones do not."""
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [3.0, 4.0, 0.0]), (3, [3.0, 0.0, 4.0]), (4, [3.0 - 1e-9, 4.0, 0.0]),
+            (5, [-3.0, -4.0, 0.0]), (6, [6.0, 8.0, 0.0]), (7, [5.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    result = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df, cosine=0.6, recall=0.999999).collect()}
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    links = {i: sum(cos(v, w) >= 0.6 for j, w in rows if j != i) for i, v in rows}
+    assert {i: n for i, (n, _) in result.items()} == links and links[1] == 4
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(None, [1.0, 0.2]), (None, [1.0, 0.2]), (4, [1.0, 0.2]), (4, [1.0, 0.2]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows],
+                               "vec_id long, embedding array<double>, n_links int, cells int, vector int")
+    result = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect()), key=repr)
+    assert result == sorted([(None, 3, 4, True)] * 2 + [(4, 3, 4, True)] * 2 + [(2, 0, 2, True)], key=repr)

@@ -64,3 +64,16 @@ def test_equal_digests_are_compared_by_bytes(spark):
     rows = [(1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "e\nf\ng")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(L.remove_repeated(docs, L.Chunking(digest_bits=1))) == brute(rows)
+
+
+def test_null_ids_repeated_rows_and_other_id_types(spark):
+    shared = "\n".join(f"shared {i}" for i in range(40))
+    rows = [(None, shared), (None, shared), (3, shared), (3, shared), (9, "own\n" + shared)]
+    docs = spark.createDataFrame([(i, t, "mine", 1.5) for i, t in rows], "doc_id int, text string, twin string, first double")
+    result = {}
+    for r in L.remove_repeated(docs).collect():
+        result.setdefault(r.doc_id, []).append((r.n_lines, r.n_removed))
+    # without an id comes first, and rows that repeat id and text are one document
+    assert result[None] == [(40, 0)] * 2
+    assert len(result[3]) == 2 and result[3][0] == result[3][1] and result[3][0][1] > 30
+    assert result[9][0][0] == 41 and result[9][0][1] > 0
