@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -39,6 +40,12 @@ def get_session(master: str | None = None, app: str = "flagtide",
 
 _SHIPPED: set[str] = set()
 
+
+def _forget(path: str) -> None:
+    with contextlib.suppress(OSError):
+        os.remove(path)
+
+
 # Spark's defaults for what goes to a Python worker at once (10,000 rows, 64 MB)
 # are too much for rows that hold whole texts or files.
 ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
@@ -71,6 +78,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     zf.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(archive)
+    atexit.register(_forget, archive)  # executors that start later still fetch it while the application lives
     _SHIPPED.add(key)
 
 
