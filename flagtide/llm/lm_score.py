@@ -67,6 +67,19 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """The words above a count that no more than HEAD words exceed. It is found on
+    a histogram of the logarithms of the counts (a few thousand numbers)."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    words, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        words += r["count"]
+        if words > HEAD:
+            break
+        least = r["level"]
+    return counts.where(level >= least) if least is not None else counts.limit(0)
+
+
 def sizes_for(words: int) -> tuple[int, int, int]:
     """Classes, those of a single word, and hidden units for so many different words:
     they grow with its logarithm, as the cost of a token does."""
@@ -92,9 +105,10 @@ class Vocabulary:
         """``counts``: word, n (a written table)."""
         classes, own, hidden = sizes_for(counts.count())
         shared = classes - own
-        rows = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+        rows = frequent(counts).collect()  # HEAD at most
         word, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("word", "n"))
-        rank = np.arange(len(word))
+        order = np.lexsort((word, -n))
+        word, n, rank = word[order], n[order], np.arange(len(word))
         # neighbours in frequency go to different classes, which makes them equally heavy
         of_word = np.where(rank < own, rank, own + (rank - own) % shared)
         total = np.zeros(classes)
