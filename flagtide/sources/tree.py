@@ -8,7 +8,7 @@ Work is dealt in units: a folder with all below it, or one slice of the
 entries of a folder too large for one task, whose names are dealt by their hash.
 Nobody lists everything at once. The data source plans with a bounded walk: the
 files it comes across are packed into partitions by their bytes, folders it does
-not get to become partitions of their own. ``list_tree`` lists in rounds of Spark
+not get to are dealt to a bounded number of further partitions. ``list_tree`` lists in rounds of Spark
 jobs instead; a walk that exceeds its share hands the rest to the next round.
 
 A file above the size limit is not read (its content is null, its size tells
@@ -23,6 +23,7 @@ hidden files are kept. Symlinked folders are not followed.
 from __future__ import annotations
 
 import os
+import shutil
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,13 +37,17 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith)
 
 from flagtide.operators.guards import IGNORED_DIRS, MAX_FILE_BYTES
-from flagtide.session import materialize
+from flagtide.session import delete, folder_there, materialize, shared_path, store
 
 READ_TASK_BYTES = 64 << 20
 #: Entries of a folder that one task goes through; a larger one is cut into slices.
 FOLDER_ENTRIES, SLICES = 100_000, 64
 #: Entries that the planning of the data source, and a walk of a listing round, look at.
 PLANNED_ENTRIES, FIRST_WALK, WALK = 200_000, 2_000, 50_000
+#: Partitions of the data source for all folders that its planning does not get to.
+LEFT_PARTS = 256
+#: Files of one tree that ``through_trees`` has on disk at a time.
+TREE_FILES = 500_000
 FORMAT = "repository_tree"
 FILE = "repo_id string, path string, size bigint, content binary, read_error string"
 _FILE_TYPES = [("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()),
@@ -146,18 +151,23 @@ def _read(root: str, found: Iterator[Found], max_file_bytes: int) -> Iterator[pa
 
 @dataclass
 class Part(InputPartition):
-    """Files found by the planning, or one unit that the task walks itself."""
+    """Files found by the planning, or units that the task walks itself."""
     files: tuple[Found, ...] = ()
-    unit: Unit | None = None
+    units: tuple[Unit, ...] = ()
+
+    @property
+    def unit(self) -> Unit | None:
+        return self.units[0] if self.units else None
 
 
 def plan(root: str, ignore: frozenset, wanted, most: int, part_bytes: int, max_file_bytes: int) -> list[Part]:
     """Partitions after a walk of ``most`` entries: files packed by bytes (and by a
-    fixed cost each), one partition for every unit that is left."""
-    parts, held, size = [], [], 0
+    fixed cost each), and the units that are left, which may be as many as the entries
+    looked at, dealt to ``LEFT_PARTS`` partitions at most."""
+    parts, held, size, left = [], [], 0, []
     for x in walk(root, [Unit("")], ignore, most):
         if isinstance(x, Unit):
-            parts.append(Part(unit=x))
+            left.append(x)
         elif wanted(x):
             cost = 4096 + (x.size if x.size is not None and x.size <= max_file_bytes else 0)
             if held and size + cost > part_bytes:
@@ -167,6 +177,7 @@ def plan(root: str, ignore: frozenset, wanted, most: int, part_bytes: int, max_f
             size += cost
     if held:
         parts.append(Part(files=tuple(held)))
+    parts += [Part(units=tuple(left[i::LEFT_PARTS])) for i in range(min(len(left), LEFT_PARTS))]
     return parts or [Part()]
 
 
@@ -202,13 +213,12 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition):
         files: Iterator[Found] = iter(partition.files)
-        if partition.unit is not None:
-            files = self._below(partition.unit)
+        if partition.units:
+            files = self._below(list(partition.units))
         yield from _read(self.root, files, self.max_file_bytes)
 
-    def _below(self, unit: Unit) -> Iterator[Found]:
-        """A unit to its end: slices of large folders further down are walked here too."""
-        units = [unit]
+    def _below(self, units: list[Unit]) -> Iterator[Found]:
+        """Units to their end: slices of large folders further down are walked here too."""
         while units:
             later = []
             for x in walk(self.root, units, self.ignore):
@@ -315,3 +325,53 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["written"])
 
     return files.select("repo_id", "path", "content").mapInArrow(run, "written bigint")
+
+
+def remove_tree(spark: SparkSession, root: str) -> None:
+    """Deletes a tree, its folders dealt over the executors."""
+    base = mounted_path(root)
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                shutil.rmtree(os.path.join(base, folder), ignore_errors=True)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["removed"])
+
+    with os.scandir(base) as entries:
+        folders = [(e.name,) for e in entries]
+    if folders:
+        spark.createDataFrame(folders, "folder string").repartition(spark.sparkContext.defaultParallelism).mapInArrow(
+            run, "removed bigint").collect()
+    shutil.rmtree(base, ignore_errors=True)
+
+
+def through_trees(files: DataFrame, root: str, read, tree_files: int = TREE_FILES) -> DataFrame:
+    """``read(path of a tree)`` over a ``source_files`` table written as trees, one after
+    another, of some ``tree_files`` files each: a small file takes a whole block of the
+    file system, so one tree of all files would take many times the table's bytes.
+
+    The table is cut by ranges of (repository, path), so that a repository is in few
+    trees however large it is, and equal keys are in one. What is read of a tree is
+    written before the tree goes."""
+    spark = files.sparkSession
+    kept = files.select("repo_id", "path", "content")
+    count = kept.count()
+    pieces = -(-count // tree_files) or 1
+    cut = shared_path(spark, "tables")
+    kept.repartitionByRange(pieces, "repo_id", "path").withColumn("piece", F.spark_partition_id()).write.partitionBy(
+        "piece").parquet(cut)
+    schema, out = kept.schema, []
+    for piece in range(pieces):
+        at = f"{cut}/piece={piece}"
+        if not folder_there(spark, at):  # ranges are sampled: one may be empty
+            continue
+        tree = f"{root}/{piece}"
+        part = spark.read.schema(schema).parquet(at).repartition(2 * spark.sparkContext.defaultParallelism, "repo_id")
+        write_tree(part, tree).agg(F.sum("written")).collect()
+        out.append(store(read(tree)))
+        remove_tree(spark, tree)
+        delete(spark, at)
+    if not out:
+        os.makedirs(mounted_path(root), exist_ok=True)
+        return read(root)
+    return spark.read.parquet(*out)
