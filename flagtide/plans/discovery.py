@@ -38,7 +38,7 @@ def early_exit(contexts: DataFrame, candidates: DataFrame, allowlist: DataFrame)
     n_cand = candidates.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     n_allow = allowlist.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_allowlist"))
     ctx = contexts.select("repo_id", tx.strip_ws("text").alias("context"))
-    j = ctx.join(n_cand, "repo_id", "left").join(n_allow, "repo_id", "left")
+    j = ctx.join(n_cand.hint("merge"), "repo_id", "left").join(n_allow.hint("merge"), "repo_id", "left")
     decision = (F.when(F.length("context") > MAX_CONTEXT_CHARS, F.lit("error_context_too_long"))
                 .when(F.col("context") == "", F.lit("empty_plan_no_context"))
                 .when(F.col("n_candidates").isNull(), F.lit("empty_plan_no_candidates"))
@@ -74,10 +74,16 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
     ``attempt`` counting on. The length is summed first (a partial aggregate);
     only repositories within ``max_chars`` get their text assembled, so no task
     builds a longer one. Longer ones are returned ``too_long``, without text.
+
+    Every side here has a row per repository, and files of them are many times
+    smaller than the rows: merge joins, lest the plan takes one for a small table
+    and gathers it in the driver. Who is asked and the sizes are written once.
     """
+    from flagtide.session import materialize
+
     if allowlist is not None:
-        asked = early_exit(contexts, candidates, allowlist).where(F.col("decision") == "call_model").select("repo_id")
-        candidates = candidates.join(asked, "repo_id", "left_semi")
+        asked = materialize(early_exit(contexts, candidates, allowlist).where(F.col("decision") == "call_model").select("repo_id"))
+        candidates = candidates.join(asked.hint("merge"), "repo_id", "left_semi")
     per_flag = candidates.select(
         "repo_id", "flag_name",
         F.concat(
@@ -96,18 +102,18 @@ def prompt_table(candidates: DataFrame, contexts: DataFrame, max_chars: int = MA
     if rejections is not None:
         again = rejections.select("repo_id", (F.col("attempt") + 1).cast("int").alias("attempt"), F.concat(
             F.lit(RETRY_HEAD), F.col("error"), F.lit(RETRY_TAIL)).alias("retry"))
-        turns = turns.unionByName(again.join(sizes.select("repo_id"), "repo_id", "left_semi"))
-    sizes = turns.join(sizes, "repo_id").join(ctx, "repo_id", "left").select(
+        turns = turns.unionByName(again.join(sizes.select("repo_id").hint("merge"), "repo_id", "left_semi"))
+    sizes = materialize(turns.join(sizes.hint("merge"), "repo_id").join(ctx.hint("merge"), "repo_id", "left").select(
         "repo_id", "attempt", "retry", (F.col("blocks_len") + F.coalesce(F.length("context"), F.lit(0)) + fixed
-                                        + F.length("retry")).cast("bigint").alias("prompt_chars"))
+                                        + F.length("retry")).cast("bigint").alias("prompt_chars")))
     ok = sizes.where(F.col("prompt_chars") <= max_chars)
-    texts = per_flag.join(ok.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(
+    texts = per_flag.join(ok.select("repo_id").hint("merge"), "repo_id", "left_semi").groupBy("repo_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("flag_name", "block"))),
                                  lambda s: s["block"]), "\n\n").alias("flags_text"))
-    texts = texts.join(ctx, "repo_id", "left").select(
+    texts = texts.join(ctx.hint("merge"), "repo_id", "left").select(
         "repo_id", F.concat(F.lit("BUSINESS CONTEXT:\n"), F.coalesce("context", F.lit("")),
                             F.lit("\n\nCANDIDATES:\n"), F.col("flags_text"), F.lit(PROMPT_RULES)).alias("body"))
-    return sizes.join(texts, "repo_id", "left").select(
+    return sizes.join(texts.hint("merge"), "repo_id", "left").select(
         "repo_id", "attempt", F.when(F.col("prompt_chars") <= max_chars, F.concat("body", "retry")).alias("prompt"),
         "prompt_chars", (F.col("prompt_chars") > max_chars).alias("too_long"))
 

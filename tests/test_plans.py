@@ -261,3 +261,17 @@ def test_quotes_are_anchored_on_what_is_rare(spark):
     got = sorted(map(tuple, quotes_in_texts(quotes, texts, "qid", "quote", "tid", "text").collect()))
     rows = texts.collect()
     assert got == sorted((q.qid, t.tid) for q in quotes.collect() for t in rows if q.quote in t.text)
+
+
+def test_prompts_gather_no_table_of_repositories(spark):
+    """No side with a row per repository is broadcast, however small its files look."""
+    from flagtide.plans.discovery import prompt_table
+
+    occ = "occurrences array<struct<file_path:string,line:int,kind:string,snippet:string>>"
+    cands = spark.createDataFrame([("1", "A_B", [("a.py", 1, "if_statement", "s")], ["a.py"])], f"repo_id string, flag_name string, {occ}, files array<string>")
+    ctx = spark.createDataFrame([("1", "text"), ("2", "other")], "repo_id string, text string")
+    allow = spark.createDataFrame([("1", "a.py")], "repo_id string, path string")
+    again = spark.createDataFrame([("1", 1, "why")], "repo_id string, attempt int, error string")
+    df = prompt_table(cands, ctx, allowlist=allow, rejections=again)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.attempt, r.prompt is not None) for r in df.orderBy("attempt").collect()] == [(1, True), (2, True)]
