@@ -212,3 +212,47 @@ def test_gate_flags_whole_groups(spark):
     rows = spark.createDataFrame([(i % 3, i, i == 4) for i in range(300)], "g int, i int, bad boolean")
     got = RW.gate_all_or_nothing(rows, ["g"], F.col("bad")).collect()
     assert len(got) == 300 and all(r.group_failed == (r.g == 1) for r in got)
+
+
+def test_folders_left_by_the_planning_share_partitions(tmp_path):
+    from flagtide.sources import tree
+
+    for i in range(2 * tree.LEFT_PARTS):
+        (tmp_path / f"r{i}").mkdir()
+    (tmp_path / "r1/a.py").write_bytes(b"x")
+    parts = tree.plan(str(tmp_path), frozenset(), lambda x: True, 1, 1 << 16, 10 ** 6)
+    assert len(parts) == tree.LEFT_PARTS and sum(len(p.units) for p in parts) == 2 * tree.LEFT_PARTS
+
+
+def test_trees_one_after_another(spark, tmp_path):
+    """A table in several trees: no tree has all of it, none is left, all rows are read."""
+    from pathlib import Path
+
+    from flagtide.sources import tree
+
+    files = {(f"r{i % 9}", f"p{i % 3}/m{i}.py"): b"y" * i for i in range(200)}
+    df = spark.createDataFrame([(*k, len(v), bytearray(v)) for k, v in files.items()],
+                               "repo_id string, path string, size long, content binary")
+    seen = []
+
+    def read(root):
+        seen.append(len(_plain_tree(Path(root))))
+        return tree.read_tree(spark, root)
+
+    for limit, trees in ((50, 4), (1000, 1)):
+        seen.clear()
+        got = tree.through_trees(df, f"{tmp_path}/trees", read, limit)
+        rows = {(r.repo_id, r.path): bytes(r.content) for r in got.collect()}
+        assert rows == files and got.count() == len(files)
+        assert len(seen) <= trees and sum(seen) == len(files) and not list((tmp_path / "trees").iterdir())
+    assert tree.through_trees(df.limit(0), f"{tmp_path}/none", lambda root: tree.read_tree(spark, root)).count() == 0
+
+
+def test_snippets_are_cut_once(spark):
+    """Counting guards needs no snippets, and the filter on empty lists none either."""
+    files = spark.createDataFrame([("r", "a.py", 9, bytearray(b"if A_B:\n    x()\n"))],
+                                  "repo_id string, path string, size long, content binary")
+    occ = G.extract(files).occurrences
+    plan = occ._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "array_join" in line]
+    assert [tuple(r) for r in occ.collect()] == [("r", "A_B", "a.py", 1, "if_statement", "   1: if A_B:\n   2:     x()")]

@@ -202,3 +202,13 @@ def test_guards_are_bare_names_in_if_and_ternary():
                                           ("USE_V2", "ternary_expression", 6, 6)]
     with pytest.raises(SyntaxError):
         find_guards("if USE_V2\n")
+
+
+def test_names_in_another_spelling_are_found():
+    """Names are compared as the compiler reads them, not as they are written."""
+    from flagtide.functions.pysource import find_guards, rewrite_source
+
+    text = "if \uff25N_A:\n    x()\n"
+    assert find_guards(text) == [("EN_A", "if_statement", 1, 2)]
+    assert rewrite_source(text, "EN_A", True) == ("mutated", "x()\n", None)
+    assert rewrite_source("if A:\n    x()\n", "EN_A", True) == ("unchanged", "if A:\n    x()\n", None)
