@@ -42,3 +42,14 @@ def test_parquet_scan_reads_only_needed_columns(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "f"))
     plan = G.path_allowlist(files)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_rewrite_is_dealt_in_many_shares_however_few_splits_hold_the_files(spark):
+    files = _files(spark).coalesce(1)
+    targets = files.limit(3).select("repo_id", "path", F.lit("OLD_FLAG").alias("flag_name"), F.lit(True).alias("final_state"))
+    rewritten = RW.rewrite_files(F.broadcast(targets), files)
+    plan = _plan(rewritten)
+    shares = RW.SHARES_PER_CORE * spark.sparkContext.defaultParallelism
+    below = plan[plan.index("ArrowEvalPython"):]
+    assert "hashpartitioning(repo_id" in below and f", {shares}), REPARTITION_BY_NUM" in below
+    assert rewritten.where("status = 'mutated'").count() == 3
