@@ -210,3 +210,50 @@ def test_a_long_report_comes_in_parts(spark):
         listed.setdefault(r.repo_id, []).extend(names)
     assert {k: sorted(v) for k, v in listed.items()} == {"big": sorted(f for r, f in flags if r == "big"), "small": ["A_B", "C_D"]}
     assert sum(r.repo_id == "small" for r in got) == 1 and {r.parts for r in got if r.repo_id == "big"} == {20}
+
+
+def _outcomes(spark):
+    return spark.createDataFrame(
+        [("r", "A_B", "prepared", None, "o", "main", [("a.py", "1", "2")]), ("r", "C_D", "prepared", None, "o", "main", []),
+         ("s", "A_B", "no_changes", "none", "o", "main", [])],
+        "repo_id string, flag_name string, status string, error string, owner string, base string, "
+        "files array<struct<path:string,original_sha256:string,updated_sha256:string>>")
+
+
+def test_statuses_do_not_carry_files_through_joins(spark):
+    from flagtide.operators import report as R
+
+    prs = spark.createDataFrame([], "repo_id string, base string, head string, url string, number int, head_sha string")
+    branches = spark.createDataFrame([], "repo_id string, branch string, sha string")
+    d = D.delivery_status(_outcomes(spark), prs, branches)
+    assert set(_outcomes(spark).columns) < set(d.columns) and "n_files" not in d.columns
+    assert {(r.flag_name, r.repo_id): r.delivery_status for r in d.collect()} == {
+        ("A_B", "r"): "ready", ("C_D", "r"): "failed", ("A_B", "s"): "not_prepared"}
+    plan = R.delivery_summary(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(files" in plan and plan.index("size(files") > plan.index("Window")
+
+
+def test_branch_names_of_plain_and_odd_flags(spark):
+    from flagtide.functions import text as tx
+
+    long = "A_" + "B" * 90
+    names = ["A_B", "A1_B2_C", "A__B", " A_B\t", "_A_", "__", "É_A", "a_b", "A_B\n", "A" * 78 + "_B", "A" * 79 + "_B", long, None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "f string").select(tx.branch_name("f")).collect()]
+    p = "remediation/remove-"
+    assert got == [p + s if s else None for s in (
+        "a-b", "a1-b2-c", "a-b", "a-b", "a", None, "a", "a-b", "a-b", "a" * 78 + "-b", "a" * 79, ("a-" + "b" * 90)[:80], None)]
+
+
+def test_outcomes_of_large_targets_and_of_rows_without_a_key(spark):
+    few = [("r", "A_B", True, f"m{i}.py", "mutated", None, f"o{i}", f"u{i}") for i in (2, 0, 1)]
+    many = [("r", "C_D", False, f"m{i:03}.py", "mutated", None, "o", "u") for i in range(O.MAX_FILES + 1)]
+    odd = [(None, "A_B", True, "x.py", "unchanged", None, "o", "u"), (None, "C_D", True, "y.py", "failed", "E: y", None, None)]
+    rows = spark.createDataFrame(few + many + odd, "repo_id string, flag_name string, final_state boolean, path string, "
+                                 "status string, error string, original_sha256 string, updated_sha256 string")
+    got = {(r.repo_id, r.flag_name): r for r in O.target_outcomes(rows).collect()}
+    assert len(got) == 4
+    assert got["r", "A_B"].status == "prepared" and [f.path for f in got["r", "A_B"].files] == ["m0.py", "m1.py", "m2.py"]
+    big = got["r", "C_D"]
+    assert (big.status, big.error, big.files) == ("preparation_failed", "201 files; a target may name 200", [])
+    assert (got[None, "A_B"].status, got[None, "A_B"].error, got[None, "A_B"].files) == ("no_changes", None, [])
+    assert (got[None, "C_D"].status, got[None, "C_D"].error) == ("preparation_failed", "E: y")
