@@ -257,3 +257,19 @@ def test_outcomes_of_large_targets_and_of_rows_without_a_key(spark):
     assert (big.status, big.error, big.files) == ("preparation_failed", "201 files; a target may name 200", [])
     assert (got[None, "A_B"].status, got[None, "A_B"].error, got[None, "A_B"].files) == ("no_changes", None, [])
     assert (got[None, "C_D"].status, got[None, "C_D"].error) == ("preparation_failed", "E: y")
+
+
+def test_report_gathers_all_records_at_once(spark):
+    from flagtide.operators import report as R
+
+    records = spark.createDataFrame([("r", "B_B"), ("r", "A_B"), ("s", "A_B")], "repo_id string, flag_name string").withColumn(
+        "record", F.struct("flag_name"))
+    done = records.where("repo_id = 'r'").withColumn("record", F.struct("flag_name", F.lit("ready").alias("status")))
+    summary = spark.createDataFrame([("r", 2), ("s", 1), ("t", 0)], "repo_id string, targets int")
+    reports = R.repo_report(records, summary, deliveries=done)
+    got = {r.repo_id: json.loads(r.report) for r in reports.collect()}
+    assert [x["flag_name"] for x in got["r"]["outcomes"]] == [x["flag_name"] for x in got["r"]["deliveries"]] == ["A_B", "B_B"]
+    assert got["s"]["deliveries"] is None and len(got["s"]["outcomes"]) == 1
+    assert got["t"]["deliveries"] is None and got["t"]["outcomes"] is None
+    plan = reports._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("collect_list" in line for line in plan.split("\n") if "Aggregate" in line) == 1
