@@ -24,13 +24,17 @@ from __future__ import annotations
 
 import os
 import shutil
+import threading
+import uuid
 from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import urlparse
 from zlib import crc32
 
 import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -46,8 +50,8 @@ FOLDER_ENTRIES, SLICES = 100_000, 64
 PLANNED_ENTRIES, FIRST_WALK, WALK = 200_000, 2_000, 50_000
 #: Partitions of the data source for all folders that its planning does not get to.
 LEFT_PARTS = 256
-#: Files of one tree that ``through_trees`` has on disk at a time.
-TREE_FILES = 500_000
+#: Files of one tree of ``through_trees``, and trees it has at work at a time.
+TREE_FILES, LANES = 100_000, 2
 FORMAT = "repository_tree"
 FILE = "repo_id string, path string, size bigint, content binary, read_error string"
 _FILE_TYPES = [("repo_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()),
@@ -294,7 +298,7 @@ def list_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """The files of a tree of any size: listed by jobs, then read by as many tasks
     as their bytes need."""
-    files = materialize(list_tree(spark, root, ignore))
+    files = list_tree(spark, root, ignore)  # stored tables
     base = mounted_path(root)
     size = F.when(F.col("size") <= max_file_bytes, F.col("size")).otherwise(0)
     total = files.agg(F.sum(size)).first()[0] or 0
@@ -308,23 +312,101 @@ def read_tree(spark: SparkSession, root: str, ignore=IGNORED_DIRS, max_file_byte
     return files.repartition(int(tasks), "repo_id", "path").mapInArrow(run, FILE)
 
 
-def write_tree(files: DataFrame, root: str) -> DataFrame:
+def _open_whole(path: str, flags: int) -> int:
+    return os.open(path, flags & ~os.O_TRUNC)
+
+
+class Spares:
+    """Files and folders of trees that were read, which a task takes over for the next
+    tree: on some file systems a new file or folder costs a search for a free place, and
+    one that goes a request to the disk, which together take longer than the writing.
+
+    Whole repositories are taken at a time, from ``start`` (0 to 1) of each root's list on:
+    who moves one into ``held`` first has it, and no other attempt of the round looks there."""
+
+    def __init__(self, roots: list[str], held: str, start: float):
+        self._files, self._free = self._claim(roots, held, start), deque()
+
+    def _claim(self, roots: list[str], held: str, start: float) -> Iterator[str]:
+        for root in roots:
+            names = os.listdir(root)
+            first = int(start * len(names))
+            for name in names[first:] + names[:first]:
+                own = f"{held}/{uuid.uuid4().hex}"
+                try:
+                    os.rename(f"{root}/{name}", own)
+                except FileNotFoundError:  # another task has it
+                    continue
+                for folder, _, files in os.walk(own, topdown=False):
+                    yield from (f"{folder}/{f}" for f in files)
+                    self._free.append(folder)  # its files are gone, and the folders in it come first
+
+    def folder(self, path: str) -> None:
+        """Makes a folder and those above it that are not there."""
+        if os.path.isdir(path):
+            return
+        self.folder(os.path.dirname(path))
+        if self._free:
+            try:
+                return os.rename(self._free.popleft(), path)
+            except OSError:  # not empty, or another attempt has made ``path``
+                pass
+        os.makedirs(path, exist_ok=True)
+
+    def write(self, path: str, content: bytes) -> bool:
+        """Writes a file, in one that is taken over if there is any left (then true). It
+        gets its name when its content is whole."""
+        for spare in self._files:
+            with open(spare, "wb", opener=_open_whole) as f:
+                now = os.fstat(f.fileno())
+                # two names, after an attempt that ended between link and unlink: not to be written by both
+                if single := now.st_nlink == 1:
+                    f.write(content)
+                    if now.st_size > len(content):
+                        f.truncate()
+            if not single:
+                os.unlink(spare)
+                continue
+            try:  # a rename would hold the whole file system's lock on renames between folders
+                os.link(spare, path)
+            except OSError:  # the path is there, or there are no links
+                os.replace(spare, path)
+            else:
+                os.unlink(spare)
+            return True
+        with open(path, "wb") as f:
+            f.write(content)
+        return False
+
+
+def write_tree(files: DataFrame, root: str, spares: tuple[str, ...] = ()) -> DataFrame:
     """Writes a ``source_files`` table as ``root/<repo_id>/<path>`` from the
-    executors (one folder per repository); returns per-task file counts."""
-    base = mounted_path(root)
+    executors (one folder per repository); returns per-task file counts.
+
+    Files and folders of the trees ``spares`` are taken over as far as they are needed
+    (``taken`` counts the files); rows of a repository must be in one partition then.
+    Of repositories that a task began, what is left is in ``root`` + ``.left``."""
+    base, old = mounted_path(root), [mounted_path(s) for s in spares]
+    held = f"{base}.left"
+    if old:
+        os.makedirs(held, exist_ok=True)
 
     def run(batches):
-        n = 0
+        n = taken = 0
+        # steps of the golden ratio: tasks start far from each other, however many they are
+        own = Spares(old, held, TaskContext.get().partitionId() * 0.6180339887 % 1)
         for batch in batches:
             for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                target = os.path.join(base, repo, *path.split("/"))
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(target, "wb") as f:
-                    f.write(content)
+                top = os.path.join(base, repo)
+                target = os.path.join(top, *path.split("/"))
+                if not os.path.isdir(folder := os.path.dirname(target)):
+                    os.makedirs(os.path.dirname(top), exist_ok=True)
+                    own.folder(folder)
+                taken += own.write(target, content)
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["written"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([taken], pa.int64())], ["written", "taken"])
 
-    return files.select("repo_id", "path", "content").mapInArrow(run, "written bigint")
+    return files.select("repo_id", "path", "content").mapInArrow(run, "written bigint, taken bigint")
 
 
 def remove_tree(spark: SparkSession, root: str) -> None:
@@ -345,14 +427,27 @@ def remove_tree(spark: SparkSession, root: str) -> None:
     shutil.rmtree(base, ignore_errors=True)
 
 
+def _not_empty(folders: list[str]) -> list[str]:
+    """The folders that hold something; empty ones go."""
+    kept = []
+    for folder in folders:
+        try:
+            os.rmdir(mounted_path(folder))
+        except OSError:
+            kept.append(folder)
+    return kept
+
+
 def through_trees(files: DataFrame, root: str, read, tree_files: int = TREE_FILES) -> DataFrame:
-    """``read(path of a tree)`` over a ``source_files`` table written as trees, one after
-    another, of some ``tree_files`` files each: a small file takes a whole block of the
-    file system, so one tree of all files would take many times the table's bytes.
+    """``read(path of a tree)`` over a ``source_files`` table written as trees of some
+    ``tree_files`` files each: a small file takes a whole block of the file system, so one
+    tree of all files would take many times the table's bytes.
 
     The table is cut by ranges of (repository, path), so that a repository is in few
-    trees however large it is, and equal keys are in one. What is read of a tree is
-    written before the tree goes."""
+    trees however large it is, and equal keys are in one. ``LANES`` trees are at work at a
+    time, so that small stages of one fill the gaps of another; every lane writes one
+    after another, each over the files of the one before. What is read of a tree is
+    stored before that."""
     spark = files.sparkSession
     kept = files.select("repo_id", "path", "content")
     count = kept.count()
@@ -360,17 +455,47 @@ def through_trees(files: DataFrame, root: str, read, tree_files: int = TREE_FILE
     cut = shared_path(spark, "tables")
     kept.repartitionByRange(pieces, "repo_id", "path").withColumn("piece", F.spark_partition_id()).write.partitionBy(
         "piece").parquet(cut)
-    schema, out = kept.schema, []
-    for piece in range(pieces):
-        at = f"{cut}/piece={piece}"
-        if not folder_there(spark, at):  # ranges are sampled: one may be empty
-            continue
-        tree = f"{root}/{piece}"
-        part = spark.read.schema(schema).parquet(at).repartition(2 * spark.sparkContext.defaultParallelism, "repo_id")
-        write_tree(part, tree).agg(F.sum("written")).collect()
-        out.append(store(read(tree)))
-        remove_tree(spark, tree)
-        delete(spark, at)
+    # ranges are sampled: one may be empty
+    numbers = iter([n for n in range(pieces) if folder_there(spark, f"{cut}/piece={n}")])
+    taking = threading.Lock()
+    lanes = min(LANES, pieces)
+    # one lane's writing leaves cores to the others
+    tasks = max(1, spark.sparkContext.defaultParallelism // min(lanes, 2))
+
+    def lane() -> list[str]:
+        out, spares, there = [], [], 0
+        while True:
+            with taking:
+                piece = next(numbers, None)
+            if piece is None:
+                break
+            at, tree = f"{cut}/piece={piece}", f"{root}/{piece}"
+            part = spark.read.schema(kept.schema).parquet(at).repartition(tasks, "repo_id").sortWithinPartitions("repo_id", "path")
+            written, taken = write_tree(part, tree, tuple(spares)).agg(F.sum("written"), F.sum("taken")).first()
+            there += written - taken
+            if spares:
+                spares = _not_empty([*spares, f"{tree}.left"])
+            if there - written > tree_files:  # few large repositories: most spares are in the hands of one task
+                for spare in spares:
+                    remove_tree(spark, spare)
+                spares, there = [], written
+            out.append(store(read(tree)))
+            spares.append(tree)
+            delete(spark, at)
+        for spare in spares:
+            remove_tree(spark, spare)
+        return out
+
+    def run(_: int) -> list[str]:
+        try:
+            return lane()
+        except BaseException:
+            with taking:  # the other lanes end after their tree
+                deque(numbers, maxlen=0)
+            raise
+
+    with ThreadPoolExecutor(lanes) as pool:
+        out = [path for paths in pool.map(inheritable_thread_target(spark)(run), range(lanes)) for path in paths]
     if not out:
         os.makedirs(mounted_path(root), exist_ok=True)
         return read(root)

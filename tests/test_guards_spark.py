@@ -248,6 +248,73 @@ def test_trees_one_after_another(spark, tmp_path):
     assert tree.through_trees(df.limit(0), f"{tmp_path}/none", lambda root: tree.read_tree(spark, root)).count() == 0
 
 
+def _source_files(spark, files):
+    return spark.createDataFrame([(*k, len(v), bytearray(v)) for k, v in files.items()],
+                                 "repo_id string, path string, size long, content binary")
+
+
+def test_next_tree_is_written_over_the_one_before(spark, tmp_path):
+    """Files and folders of a tree that was read become those of the next one, whole and
+    under their new names only; a file with two names is not written through both."""
+    import os
+
+    from flagtide.sources import tree
+
+    old = {(f"r{i % 7}", f"p{i % 3}/a/m{i}.py"): b"y" * (i % 90) for i in range(300)}
+    new = {(f"s{i % 5}", f"q{i % 4}/n{i}.py"): f"{i}".encode() * (i % 40) for i in range(250)}
+    tree.write_tree(_source_files(spark, old), f"{tmp_path}/0").collect()
+    there = {p.stat().st_ino for p in (tmp_path / "0").rglob("*")}
+    for i in range(6, 300, 7):
+        os.link(tmp_path / f"0/r6/p{i % 3}/a/m{i}.py", tmp_path / f"0/r5/twice{i}.py")
+    for again in (False, True):  # again, as after an attempt that failed late
+        rows = tree.write_tree(_source_files(spark, new).repartition(4, "repo_id"), f"{tmp_path}/1", (f"{tmp_path}/0",)).collect()
+        assert sum(r.written for r in rows) == 250 and _plain_tree(tmp_path / "1") == new
+        assert all(p.stat().st_nlink == 1 for p in (tmp_path / "1").rglob("*.py"))
+        if not again:
+            taken = sum(r.taken for r in rows)
+            assert taken > 125 and sum(p.stat().st_ino in there for p in (tmp_path / "1").rglob("*.py")) >= taken
+            assert any(p.stat().st_ino in there for p in (tmp_path / "1").rglob("q*"))
+
+
+@pytest.mark.parametrize("repos, lanes", [(1, 1), (1, 2), (40, 2), (200, 3)])
+def test_trees_over_each_other_hold_their_own_rows(spark, tmp_path, monkeypatch, repos, lanes):
+    """Pieces of one repository or of many, repeated rows, lanes side by side: every tree
+    has its own files and no other, and in all no more than some trees are on disk."""
+    from pathlib import Path
+
+    from flagtide.sources import tree
+
+    monkeypatch.setattr(tree, "LANES", lanes)
+    files = {(f"r{i % repos}", f"p{i % 3}/m{i}.py"): f"x = {i}\n".encode() * (1 + i % 5) for i in range(200)}
+    df, most, seen = _source_files(spark, files), [], []
+
+    def read(root):
+        seen.append(_plain_tree(Path(root)))
+        most.append(sum(1 for _ in tmp_path.rglob("*.py")))
+        return tree.read_tree(spark, root)
+
+    got = tree.through_trees(df.union(df), f"{tmp_path}/trees", read, 40)
+    rows = [((r.repo_id, r.path), bytes(r.content)) for r in got.collect()]
+    assert sorted(rows) == sorted(files.items()) and len(seen) > 3
+    assert sum(len(t) for t in seen) == 200 and {k: v for t in seen for k, v in t.items()} == files
+    assert max(most) <= lanes * 3 * 40 and not list((tmp_path / "trees").iterdir())
+
+
+def test_failing_read_ends_the_trees(spark, tmp_path):
+    from flagtide.sources import tree
+
+    files = {(f"r{i % 9}", f"m{i}.py"): b"y" for i in range(200)}
+    begun = []
+
+    def read(root):
+        begun.append(root)
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        tree.through_trees(_source_files(spark, files), f"{tmp_path}/trees", read, 10)
+    assert len(begun) <= tree.LANES
+
+
 def test_snippets_are_cut_once(spark):
     """Counting guards needs no snippets, and the filter on empty lists none either."""
     files = spark.createDataFrame([("r", "a.py", 9, bytearray(b"if A_B:\n    x()\n"))],
